@@ -395,7 +395,7 @@ def test_chat(spark):
         loss = "".join(t for _, _, r, t in turns if r == "assistant")
         assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
     shown = sorted(r for r in formatted.where("conv_id = 1").select("window", "formatted", "n_repeated", "tokens").collect())
-    assert len(shown) > 3 and all(r.formatted.startswith("<s>system<n>be <\\s>kind<\\/s></s>") for r in shown) and all(r.n_repeated >= 2 for r in shown[1:])
+    assert len(shown) > 3 and all(r.formatted.startswith("<s>system<n>be <\\s>kind<\\/s></s>") for r in shown) and all(r.n_repeated >= 1 for r in shown[1:]) and any(r.n_repeated >= 2 for r in shown)
     assert chat.read_back(chat.windows(frame.where("false"))).count() == 0
 
 
