@@ -51,14 +51,14 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     def make():
         def step(batch):
             texts = []
-            for text, spans in zip(batch.column(0), batch.column(1)):
+            for text, spans in zip(batch.column("text"), batch.column("spans")):
                 data = (text.as_py() or "").encode("utf-8", "surrogatepass")
                 texts.append(suffix_dedup.kept_bytes(data, suffix_dedup.merged(spans.as_py())).decode("utf-8", "ignore") if spans.is_valid else text.as_py())
-            yield {"text": texts, **{c: batch.column(k + 2) for k, c in enumerate(carried)}}
+            yield {"text": texts, **{c: batch.column(c) for c in carried}}
 
         return step
 
-    cut = arrow_map(rows.select("text", "spans", *carried), f"text string, {kinds}", make)
+    cut = arrow_map(rows, f"text string, {kinds}", make)
     return cut.where(F.trim(F.coalesce("text", F.lit(""))) != "").withColumn("n_chars", F.length("text").cast("long")).select(*_kinds(docs))
 
 

@@ -2,7 +2,7 @@
 
 Every suffix of `WIDTH` bytes falls into the bucket of the smallest hash among its `GRAM`-byte substrings, so equal strings
 share a bucket, and neighbouring suffixes mostly do too: a run of them is one row. Buckets met once hold no repeat and are
-dropped before any text moves. The others are dealt out with the text of their runs, and each task sorts them a block of
+dropped before any text moves; of texts that are copies of each other one stays, and all are removed. The others are dealt out with the text of their runs, and each task sorts them a block of
 buckets at a time. Ties are resolved by ranks of the block's cover samples - positions whose residue modulo 7 is in the
 perfect difference cover {0, 1, 3}, ranked by prefix doubling, which stays within a residue class - so that two suffixes of
 any residues are compared by one rank and at most 11 bytes, and a block needs memory in proportion to its text only.
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, byte_values, materialize, sliding_min, window_hashes
 
-WIDTH, GRAM = 200, 100
+WIDTH, GRAM = 200, 80
 FINE_GRAM = 150  # buckets of more than HOT runs are parted again by the smallest of these
 HOT = 2048
 BLOCK = 4 << 20  # bytes of text that a task sorts at once, unless one bucket has more
@@ -143,35 +143,41 @@ def sort_block(buckets: list[dict[bytes, list]]) -> list:
 
 
 def _find_runs(docs: DataFrame) -> DataFrame:
-    """Rows h, did, tk, start, length, weight of all runs; h null: the whole text has a copy in the same partition."""
+    """Rows h, did, tk, start, length, weight of all runs, and one row for each text (h null, copy its digest, weight 1, or 2
+    if it has a copy in the same partition, whose runs are then written once)."""
 
     def make():
-        seen: dict[bytes, list] = {}  # of the first copy: its keys, and whether its row is written
+        seen: dict[bytes, list] = {}  # of the first copy: its keys, and whether it is known to have another
 
         def step(batch):
-            rows: list[list] = [[], [], [], [], [], []]
+            rows: list[list] = [[], [], [], [], [], [], []]
             for did, tk, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 data = (text.as_py() or "").encode("utf-8", "surrogatepass")
                 if len(data) < WIDTH:
                     continue
                 mark = hashlib.blake2b(data, digest_size=16).digest()
+                copy = int.from_bytes(mark[:8], "little", signed=True)
                 first = seen.get(mark)
-                if first is not None:
-                    for a, b in [(did, tk)] if first[2] else [(did, tk), (first[0], first[1])]:
-                        for column, x in zip(rows, (None, a, b, 0, len(data), 2)):
-                            column.append(x)
+                again = [(did, tk, 2)] if first else [(did, tk, 1)]
+                if first and not first[2]:
+                    again.append((first[0], first[1], 2))
                     first[2] = True
+                for a, b, weight in again:
+                    for column, x in zip(rows, (None, copy, a, b, 0, len(data), weight)):
+                        column.append(x)
+                if first:
                     continue
                 seen[mark] = [did, tk, False]
                 hashes, start, length, weight = runs_of(np.frombuffer(data, dtype=np.uint8), GRAM)
-                for column, x in zip(rows, (hashes.view(np.int64).tolist(), [did] * len(start), [tk] * len(start), start.tolist(), length.tolist(), weight.tolist())):
+                n = len(start)
+                for column, x in zip(rows, (hashes.view(np.int64).tolist(), [None] * n, [did] * n, [tk] * n, start.tolist(), length.tolist(), weight.tolist())):
                     column.extend(x)
-            if rows[1]:
-                yield dict(zip(("h", "did", "tk", "start", "length", "weight"), rows))
+            if rows[2]:
+                yield dict(zip(("h", "copy", "did", "tk", "start", "length", "weight"), rows))
 
         return step
 
-    return arrow_map(docs.select("did", "tk", "text"), "h long, did long, tk int, start int, length int, weight int", make)
+    return arrow_map(docs.select("did", "tk", "text"), "h long, copy long, did long, tk int, start int, length int, weight int", make)
 
 
 def _run_texts(joined: DataFrame) -> DataFrame:
@@ -182,7 +188,7 @@ def _run_texts(joined: DataFrame) -> DataFrame:
 
         def step(batch):
             rows = []
-            for did, tk, text, runs in zip(*(batch.column(k) for k in range(4))):
+            for did, tk, text, runs in zip(*(batch.column(k) for k in ("did", "tk", "text", "runs"))):
                 if not runs.is_valid:
                     continue
                 did, tk, data = did.as_py(), tk.as_py(), text.as_py().encode("utf-8", "surrogatepass")
@@ -249,16 +255,21 @@ def _sorted_spans(dealt: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """`docs` with the columns did, tk and spans: the (s, e) byte spans of each text that repeat anywhere in the table."""
+    """`docs` (text and any other columns but did, tk, runs and spans) with the columns did, tk and spans: the (s, e) byte
+    spans of each text that repeat anywhere in the table. Texts are dealt by key once: both joins ask for the same columns in
+    the same way, so that they share that exchange."""
     text = F.col("text").cast("string")
-    keyed = docs.withColumns({"did": F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text)), "tk": F.hash(text)})
-    runs = materialize(_find_runs(keyed.select("did", "tk", text.alias("text"))), "runs")
+    keyed = docs.withColumns({"text": text, "did": F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text)), "tk": F.hash(text)})
+    runs = materialize(_find_runs(keyed.select("did", "tk", "text")), "runs")
     buckets = runs.where("h is not null").groupBy("h").agg(F.sum("weight").alias("c")).where("c > 1").select("h", (F.col("c") > HOT).alias("hot"))
     shared = runs.where("h is not null").select("h", "did", "tk", "start", "length").join(buckets, "h")
+    texts = runs.where("copy is not null").select("copy", "did", "tk", "length", "weight")
+    copied = texts.groupBy("copy", "tk").agg(F.sum("weight").alias("c"), F.min("did").alias("first")).where("c > 1")
+    copies = texts.join(copied, ["copy", "tk"]).select("did", "tk", "length", (F.col("did") != F.col("first")).alias("later"))
     wanted = shared.groupBy("did", "tk").agg(F.collect_list(F.struct("h", "start", "length", "hot")).alias("runs"))
-    joined = keyed.select("did", "tk", text.alias("text")).join(wanted, ["did", "tk"], "left")
-    dealt = _run_texts(joined).repartition("key").sortWithinPartitions("key")
-    spans = _sorted_spans(dealt).unionByName(runs.where("h is null").select("did", "tk", F.lit(0).alias("s"), F.col("length").alias("e")))
+    wanted = wanted.join(copies.where("later").select("did", "tk"), ["did", "tk"], "left_anti")  # of copies the first speaks
+    dealt = _run_texts(keyed.join(wanted, ["did", "tk"], "left")).repartition("key").sortWithinPartitions("key")
+    spans = _sorted_spans(dealt).unionByName(copies.select("did", "tk", F.lit(0).alias("s"), F.col("length").alias("e")))
     return keyed.join(spans.groupBy("did", "tk").agg(F.collect_list(F.struct("s", "e")).alias("spans")), ["did", "tk"], "left")
 
 
@@ -290,15 +301,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     def make():
         def step(batch):
             out: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept")}
-            for text, spans in zip(batch.column(1), batch.column(2)):
+            for text, spans in zip(batch.column("text"), batch.column("spans")):
                 data = (text.as_py() or "").encode("utf-8", "surrogatepass")
                 joined = merged(spans.as_py()) if spans.is_valid else []
                 kept = kept_bytes(data, joined)
                 for k, x in zip(out, (len(data), len(data) - len(kept), len(joined), kept)):
                     out[k].append(x)
-            yield {"doc_id": batch.column(0), **out}
+            yield {"doc_id": batch.column("doc_id"), **out}
 
         return step
 
     spans = repeated_spans(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    return arrow_map(spans.select("doc_id", "text", "spans"), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary", make)
+    return arrow_map(spans, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary", make)
