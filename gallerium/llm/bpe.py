@@ -26,7 +26,10 @@ from pyspark.sql import functions as F
 from .common import arrow_map
 
 LEXICON_WORDS = 50_000
-MEMO_WORDS = 300_000
+MEMO_WORDS = 200_000  # that a worker remembers
+_NEVER = 1 << 30
+_BETWEEN = b"\xff" * 4  # no id: the vocabulary has fewer than 2**24
+_SLOTS = 1 << 19  # of the table of merges
 # The pre-tokeniser's pattern and white space of the published vocabulary file.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 _ODD_SPACE = re.compile("[\x1c-\x1f]")  # str.split parts words here, the vocabulary's pattern doesn't
@@ -41,6 +44,10 @@ def words_of(text: str) -> list[str]:
     return [x for x in _SPACES.split(text) if x] if _ODD_SPACE.search(text) else text.split()
 
 
+def _slot(keys: np.ndarray) -> np.ndarray:
+    return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(45)).astype(np.int64)
+
+
 def byte_alphabet() -> list[str]:
     """The printable character that stands for each byte: itself, or the next free one from 256 on."""
     shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -54,37 +61,90 @@ class Bpe:
     def __init__(self, spec: bytes):
         model = json.loads(spec)
         self.vocab = model["model"]["vocab"]
-        merges = (x.split(" ") if isinstance(x, str) else x for x in model["model"]["merges"])
-        self.ranks = {(a, b): i for i, (a, b) in enumerate(merges)}
         self.suffix = model["model"]["end_of_word_suffix"] or ""
         self.special = {x["content"]: x["id"] for x in model["added_tokens"]}
         self.cut = re.compile("(" + "|".join(re.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.text_of = {i: x for x, i in self.vocab.items()} | {i: x for x, i in self.special.items()}
-        self.alphabet = byte_alphabet()
-        self.pieces = regex.compile(PIECES)
-
-    def merge(self, piece: str) -> list[int]:
-        parts = [self.alphabet[b] for b in piece.encode("utf-8", "surrogatepass")]
-        parts[-1] += self.suffix
-        ranks = self.ranks
-        while len(parts) > 1:
-            best = min(zip(parts, parts[1:]), key=lambda pair: ranks.get(pair, 1 << 30))
-            if best not in ranks:
-                break
-            a, b = best
-            out, k = [], 0
-            while k < len(parts):
-                if k + 1 < len(parts) and parts[k] == a and parts[k + 1] == b:
-                    out.append(a + b)
-                    k += 2
-                else:
-                    out.append(parts[k])
-                    k += 1
-            parts = out
-        return [self.vocab[x] for x in parts if x in self.vocab]
-
-    def word(self, word: str) -> list[int]:
-        return [i for piece in self.pieces.findall(word) for i in self.merge(piece)]
+        alphabet = byte_alphabet()
+        self.inner = np.array([self.vocab[c] for c in alphabet], dtype=np.int64)
+        self.last = np.array([self.vocab[c + self.suffix] for c in alphabet], dtype=np.int64)
+        self.slot_keys, self.slot_ranks = np.full(_SLOTS, -1, dtype=np.int64), np.zeros(_SLOTS, dtype=np.int64)
+        merges = [x.split(" ") if isinstance(x, str) else x for x in model["model"]["merges"]]
+        self.made = np.array([self.vocab[a + b] for a, b in merges], dtype=np.int64)
+        keys = np.array([self.vocab[a] << 20 | self.vocab[b] for a, b in merges], dtype=np.int64)
+        for rank, (key, at) in enumerate(zip(keys.tolist(), _slot(keys).tolist())):
+            while self.slot_keys[at] >= 0:
+                at = at + 1 & _SLOTS - 1
+            self.slot_keys[at], self.slot_ranks[at] = key, rank
+        self.pieces = regex.compile(PIECES + r"|\n")
+        self.merged: dict[str, bytes] = {"\n": _BETWEEN}
+
+    def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair of symbols, _NEVER where there is none: linear probing in the table of merges."""
+        key = left << 20 | right
+        at = _slot(key)
+        found = self.slot_keys[at]
+        out = np.where(found == key, self.slot_ranks[at], _NEVER)
+        open_ = np.flatnonzero((found != key) & (found >= 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & _SLOTS - 1
+            found = self.slot_keys[at[open_]]
+            hit = found == key[open_]
+            out[open_[hit]] = self.slot_ranks[at[open_[hit]]]
+            open_ = open_[~hit & (found >= 0)]
+        return out
+
+    def merge(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece as little-endian 32-bit integers. All pieces are merged side by side: a round takes the
+        first of the lowest-ranked pairs of each (what it makes ranks above those left), and finished pieces leave."""
+        raw = [p.encode("utf-8", "surrogatepass") for p in pieces]
+        out: list[bytes] = [b""] * len(raw)
+        size = np.array([len(x) for x in raw], dtype=np.int64)
+        data = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        ends = np.cumsum(size)
+        symbols = self.inner[data]
+        symbols[ends - 1] = self.last[data[ends - 1]]
+        owner = np.arange(len(raw))
+        while len(owner):
+            starts = ends - size
+            ranks = np.full(len(symbols), _NEVER, dtype=np.int64)
+            ranks[:-1] = self.pair_ranks(symbols[:-1], symbols[1:])
+            ranks[ends - 1] = _NEVER
+            least = np.minimum.reduceat(ranks, starts)
+            busy = least < _NEVER
+            if not busy.all():
+                whole = symbols.astype("<u4").tobytes()
+                for k in np.flatnonzero(~busy).tolist():
+                    out[owner[k]] = whole[4 * starts[k] : 4 * ends[k]]
+                keep = np.repeat(busy, size)
+                symbols, ranks = symbols[keep], ranks[keep]
+                owner, size, least = owner[busy], size[busy], least[busy]
+                ends = np.cumsum(size)
+                if not len(owner):
+                    break
+            place = np.repeat(np.arange(len(owner)), size)
+            at = np.flatnonzero(ranks == least[place])
+            where = place[at]
+            at = at[np.concatenate([[True], where[1:] != where[:-1]])]
+            symbols[at] = self.made[least]
+            keep = np.ones(len(symbols), dtype=bool)
+            keep[at + 1] = False
+            symbols = symbols[keep]
+            size = size - 1
+            ends = np.cumsum(size)
+        return out
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """The ids of each word; pieces are remembered, as words differ in punctuation more than in letters."""
+        if not words:
+            return []
+        pieces = self.pieces.findall("\n".join(words))
+        new = list(set(pieces).difference(self.merged))
+        if len(self.merged) + len(new) > MEMO_WORDS:
+            self.merged = {"\n": _BETWEEN}
+            new = list(set(pieces) - {"\n"})
+        self.merged.update(zip(new, self.merge(new)))
+        return b"".join(map(self.merged.__getitem__, pieces)).split(_BETWEEN)
 
 
 def compile_lexicon(entries: dict[str, list[int]]) -> bytes:
@@ -186,8 +246,10 @@ class Encoder:
         if len(self.ids) + len(words) > MEMO_WORDS:
             self.ids.clear()
         new = [w for w in words if w not in self.ids]
-        for word, found in zip(new, self.lexicon.find(new)):
-            self.ids[word] = np.array(self.bpe.word(word), dtype="<u4").tobytes() if found is None else found
+        known = self.lexicon.find(new)
+        self.ids.update((w, x) for w, x in zip(new, known) if x is not None)
+        rest = [w for w, x in zip(new, known) if x is None]
+        self.ids.update(zip(rest, self.bpe.words(rest)))
 
     def split(self, text: str | None) -> list[list[str] | str]:
         """Lists of words, and special tokens between them."""
@@ -274,8 +336,8 @@ def frequent_words(docs: DataFrame, limit: int = LEXICON_WORDS) -> list[str]:
 
 
 def lexicon_of(words: list[str], spec: bytes) -> bytes:
-    bpe = Bpe(spec)
-    return compile_lexicon({w: bpe.word(w) for w in words})
+    coded = Bpe(spec).words(words)
+    return compile_lexicon({w: np.frombuffer(x, dtype="<u4").tolist() for w, x in zip(words, coded)})
 
 
 def whole_words(spec: bytes) -> list[str]:
