@@ -340,12 +340,6 @@ def lexicon_of(words: list[str], spec: bytes) -> bytes:
     return compile_lexicon({w: np.frombuffer(x, dtype="<u4").tolist() for w, x in zip(words, coded)})
 
 
-def whole_words(spec: bytes) -> list[str]:
-    """The ASCII words that the vocabulary holds as single tokens: a lexicon without a look at the corpus."""
-    bpe = Bpe(spec)
-    return [x[: -len(bpe.suffix)] for x in bpe.vocab if bpe.suffix and x.endswith(bpe.suffix) and x[: -len(bpe.suffix)].isascii() and x[: -len(bpe.suffix)].isalpha()]
-
-
 def encode(docs: DataFrame, path: str, lexicon_words: list[str] | None = None) -> DataFrame:
     """One row for each row of `docs` (doc_id, text): doc_id, ids (binary, little-endian 32-bit) and decoded (string).
 
