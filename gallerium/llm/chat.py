@@ -34,19 +34,19 @@ def windows(turns: DataFrame, stride: int = STRIDE, history: int = HISTORY) -> D
     own = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     base = turns.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     head = F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(CUT))
+    body = F.concat(head, escape(F.col("text")), F.lit(CLOSE))
     tokens = F.ceil(F.length("text") / CHARS_PER_TOKEN) + TURN_TOKENS
-    sized = base.select("conv_id", "turn", "role", "text", tokens.alias("tokens"), F.row_number().over(own).alias("seq"), F.sum(tokens).over(own.rowsBetween(Window.unboundedPreceding, -1)).alias("sum"))
-    sized = sized.withColumn("before", F.coalesce("sum", F.lit(0)))
-    body = sized.select(
+    sized = base.select("conv_id", "turn", "role", "text", tokens.alias("tokens"), F.row_number().over(own).alias("seq"), (F.sum(tokens).over(own.rowsBetween(Window.unboundedPreceding, 0)) - tokens).alias("before"), F.sum(F.length(body)).over(own.rowsBetween(Window.unboundedPreceding, 0)).alias("written"))
+    placed = sized.select(
         "conv_id", "seq", "role", "before", "tokens",
         F.floor(F.col("before") / stride).alias("slot"),
-        F.concat(head, escape(F.col("text")), F.lit(CLOSE)).alias("body"),
+        body.alias("body"),
+        (F.col("written") - F.length(body)).alias("from"),
         F.length(head).alias("head"),
         F.length(escape(F.col("text"))).alias("chars"),
         ((F.col("seq") == 1) & (F.col("role") == SYSTEM)).alias("is_system"),
     )
-    placed = body.withColumn("at", F.sum(F.length("body")).over(Window.partitionBy("conv_id", "slot").orderBy("seq")) - F.length("body") + F.col("head"))
-    turn = F.struct("seq", "role", "before", "tokens", "body", "chars", "is_system", "at")
+    turn = F.struct("seq", "role", "before", "tokens", "body", "chars", "is_system", "from", "head")
     grouped = placed.groupBy("conv_id", "slot").agg(F.sort_array(F.collect_list(turn)).alias("new"), F.min("before").alias("first"))
     by_slot = Window.partitionBy("conv_id").orderBy("slot")
     first_turn = F.first("new").over(by_slot.rowsBetween(Window.unboundedPreceding, Window.currentRow))[0]
@@ -62,7 +62,7 @@ def windows(turns: DataFrame, stride: int = STRIDE, history: int = HISTORY) -> D
         F.size("past").alias("n_repeated"),
         F.size("new").alias("n_new"),
         F.aggregate(F.concat("past", "new"), F.lit(0).cast("long"), lambda a, t: a + t["tokens"]).alias("tokens"),
-        F.transform(targets, lambda t: F.struct((F.length("front") + t["at"]).alias("start"), t["chars"].cast("long").alias("length"))).alias("loss"),
+        F.transform(targets, lambda t: F.struct((F.length("front") + t["from"] - F.col("new")[0]["from"] + t["head"]).cast("long").alias("start"), t["chars"].cast("long").alias("length"))).alias("loss"),
     )
 
 
