@@ -27,6 +27,7 @@ from .common import arrow_map
 
 LEXICON_WORDS = 50_000
 MEMO_WORDS = 200_000  # that a worker remembers
+GROUP_WORDS = 100_000  # that are learned together
 _NEVER = 1 << 30
 _BETWEEN = b"\xff" * 4  # no id: the vocabulary has fewer than 2**24
 _SLOTS = 1 << 19  # of the table of merges
@@ -240,15 +241,21 @@ class Encoder:
     def __init__(self, spec: bytes, lexicon: bytes):
         self.bpe, self.lexicon = Bpe(spec), Lexicon(lexicon)
         self.ids: dict[str, bytes] = {}
+        self.again: set[str] = set()
 
     def learn(self, words: set[str]) -> None:
-        """Puts words into the memo."""
-        if len(self.ids) + len(words) > MEMO_WORDS:
-            self.ids.clear()
-        new = [w for w in words if w not in self.ids]
-        known = self.lexicon.find(new)
-        self.ids.update((w, x) for w, x in zip(new, known) if x is not None)
-        rest = [w for w, x in zip(new, known) if x is None]
+        """Puts words into the memo. When it is full, those stay that were asked for again since it was full before."""
+        new = words.difference(self.ids)
+        self.again |= words - new
+        if len(self.ids) + len(new) > MEMO_WORDS:
+            if len(self.again) > MEMO_WORDS // 2:
+                self.again = words - new
+            self.ids = {w: self.ids[w] for w in self.again if w in self.ids}
+            self.again = set()
+        rest = list(new)
+        known = self.lexicon.find(rest)
+        self.ids.update((w, x) for w, x in zip(rest, known) if x is not None)
+        rest = [w for w, x in zip(rest, known) if x is None]
         self.ids.update(zip(rest, self.bpe.words(rest)))
 
     def split(self, text: str | None) -> list[list[str] | str]:
@@ -268,25 +275,19 @@ class Encoder:
 
     def grouped(self, texts):
         """The split texts in groups whose words the memo holds."""
-        group, new, size = [], set(), 0
+        group: list = []
+        size = 0
         for text in texts:
-            parts = self.split(text)
-            for part in parts:
-                if not isinstance(part, str):
-                    new.update(set(part).difference(self.ids))
-                    size += len(part)
-            group.append(parts)
-            if size > 50_000:
-                yield from self._ready(group, new)
-                group, new, size = [], set(), 0
-        yield from self._ready(group, new)
-
-    def _ready(self, group, new):
-        if len(self.ids) + len(new) > MEMO_WORDS:  # what is dropped may be in this group, too
-            self.ids.clear()
-            new = {w for parts in group for p in parts if not isinstance(p, str) for w in p}
-        self.learn(new)
-        yield group
+            group.append(self.split(text))
+            size += sum(len(p) for p in group[-1])
+            if size > GROUP_WORDS:
+                yield self._ready(group)
+                group, size = [], 0
+        yield self._ready(group)
+
+    def _ready(self, group: list) -> list:
+        self.learn(set().union(*(p for parts in group for p in parts if not isinstance(p, str))))
+        return group
 
     def decode(self, ids: bytes) -> str:
         """The token texts joined by spaces, as the library does for a file without a decoder; unknown ids are skipped."""

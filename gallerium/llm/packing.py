@@ -116,9 +116,9 @@ def tokenized(docs: DataFrame, path: str, window: int) -> DataFrame:
 
         def step(batch):
             texts = batch.column(1).to_pylist()
-            for s in range(0, len(texts), 256):
+            for s in range(0, len(texts), 1024):
                 rows: list[list] = [[] for _ in range(6)]
-                for doc, ids in zip(batch.column(0).slice(s, 256).to_pylist(), coder.encode(texts[s : s + 256])):
+                for doc, ids in zip(batch.column(0).slice(s, 1024).to_pylist(), coder.encode(texts[s : s + 1024])):
                     ids += np.array([END], dtype="<u4").tobytes()
                     n = len(ids) // 4
                     for at in range(0, n, window):
