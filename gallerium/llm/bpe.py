@@ -19,6 +19,8 @@ import unicodedata
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,22 +29,28 @@ from .common import arrow_map
 
 LEXICON_WORDS = 50_000
 MEMO_WORDS = 200_000  # that a worker remembers
-GROUP_WORDS = 100_000  # that are learned together
+GROUP_TEXTS = 1024  # that are coded together
 _NEVER = 1 << 30
 _BETWEEN = b"\xff" * 4  # no id: the vocabulary has fewer than 2**24
 _SLOTS = 1 << 19  # of the table of merges
 # The pre-tokeniser's pattern and white space of the published vocabulary file.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
-_ODD_SPACE = re.compile("[\x1c-\x1f]")  # str.split parts words here, the vocabulary's pattern doesn't
-_SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+_WIDE_SPACES = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
-def words_of(text: str) -> list[str]:
-    """Normalised words of a text without special tokens."""
+def normalized(text: str) -> str:
+    """A text in the vocabulary's normal form, with ASCII white space only."""
     if not text.isascii():
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower() would look at a sigma's neighbours
-    text = text.lower()
-    return [x for x in _SPACES.split(text) if x] if _ODD_SPACE.search(text) else text.split()
+        text = _WIDE_SPACES.sub(" ", text)
+    return text.lower()
+
+
+def words_of(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct words of texts without special tokens, the place of each word there, and where each text's words begin."""
+    lists = pc.ascii_split_whitespace(pa.array([normalized(t) for t in texts], pa.string()))
+    coded = lists.values.dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), lists.offsets.to_numpy()
 
 
 def _slot(keys: np.ndarray) -> np.ndarray:
@@ -258,36 +266,34 @@ class Encoder:
         rest = [w for w, x in zip(rest, known) if x is None]
         self.ids.update(zip(rest, self.bpe.words(rest)))
 
-    def split(self, text: str | None) -> list[list[str] | str]:
-        """Lists of words, and special tokens between them."""
-        if not text:
-            return []
-        cut = self.bpe.cut
-        if cut is None or not cut.search(text):
-            return [words_of(text)]
-        return [x if k % 2 else words_of(x) for k, x in enumerate(cut.split(text))]
-
     def encode(self, texts: list[str | None]):
-        """For each text, its ids as bytes."""
-        for group in self.grouped(texts):
-            for parts in group:
-                yield b"".join(struct.pack("<I", self.bpe.special[p]) if isinstance(p, str) else b"".join(map(self.ids.__getitem__, p)) for p in parts)
-
-    def grouped(self, texts):
-        """The split texts in groups whose words the memo holds."""
-        group: list = []
-        size = 0
-        for text in texts:
-            group.append(self.split(text))
-            size += sum(len(p) for p in group[-1])
-            if size > GROUP_WORDS:
-                yield self._ready(group)
-                group, size = [], 0
-        yield self._ready(group)
-
-    def _ready(self, group: list) -> list:
-        self.learn(set().union(*(p for parts in group for p in parts if not isinstance(p, str))))
-        return group
+        """For each text, its ids as bytes. Special tokens are cut out before anything else."""
+        cut = self.bpe.cut
+        for s in range(0, len(texts), GROUP_TEXTS):
+            pieces: list[str] = []
+            layout: list[list] = []
+            for text in texts[s : s + GROUP_TEXTS]:
+                parts = cut.split(text) if text and cut is not None else [text or ""]
+                layout.append([struct.pack("<I", self.bpe.special[x]) if k % 2 else len(pieces) + k // 2 for k, x in enumerate(parts)])
+                pieces += parts[::2]
+            coded = self._coded(pieces)
+            for parts in layout:
+                yield coded[parts[0]] if len(parts) == 1 else b"".join(p if isinstance(p, bytes) else coded[p] for p in parts)
+
+    def _coded(self, pieces: list[str]) -> list[bytes]:
+        """The ids of texts without special tokens: each distinct word is looked up once, the rest is gathering."""
+        words, places, begins = words_of(pieces)
+        self.learn(set(words))
+        known = [self.ids[w] for w in words]
+        size = np.array([len(x) // 4 for x in known], dtype=np.int64)
+        start = np.cumsum(size) - size
+        table = np.frombuffer(b"".join(known), dtype="<u4")
+        counts = size[places]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        at = np.arange(ends[-1]) + np.repeat(start[places] - ends[:-1], counts)
+        data = table[at].tobytes()
+        cuts = (4 * ends[begins]).tolist()
+        return [data[a:b] for a, b in zip(cuts, cuts[1:])]
 
     def decode(self, ids: bytes) -> str:
         """The token texts joined by spaces, as the library does for a file without a decoder; unknown ids are skipped."""
@@ -311,8 +317,6 @@ def count_words(docs: DataFrame) -> DataFrame:
     """word, n over all texts, summed within each task before the shuffle."""
 
     def run(batches):
-        import pyarrow as pa
-
         counts: Counter = Counter()
 
         def flush():
@@ -321,10 +325,14 @@ def count_words(docs: DataFrame) -> DataFrame:
             return out
 
         for batch in batches:
-            for text in batch.column(0):
-                counts.update(words_of(text.as_py() or ""))
+            texts = batch.column(0).to_pylist()
+            for s in range(0, len(texts), GROUP_TEXTS):
+                words, places, _ = words_of([t or "" for t in texts[s : s + GROUP_TEXTS]])
+                for word, n in zip(words, np.bincount(places, minlength=len(words)).tolist()):
+                    counts[word] += n
                 if len(counts) > MEMO_WORDS:
                     yield flush()
+        counts.pop("", None)
         yield flush()
 
     counted = docs.select(F.col("text").cast("string")).mapInArrow(run, "word string, n long")
@@ -355,9 +363,9 @@ def encode(docs: DataFrame, path: str, lexicon_words: list[str] | None = None) -
 
         def step(batch):
             texts = batch.column(1).to_pylist()
-            for s in range(0, len(texts), 256):
-                ids = list(coder.encode(texts[s : s + 256]))
-                yield {"doc_id": batch.column(0).slice(s, 256), "ids": ids, "decoded": [coder.decode(x) for x in ids]}
+            for s in range(0, len(texts), GROUP_TEXTS):
+                ids = list(coder.encode(texts[s : s + GROUP_TEXTS]))
+                yield {"doc_id": batch.column(0).slice(s, GROUP_TEXTS), "ids": ids, "decoded": [coder.decode(x) for x in ids]}
 
         return step
 
