@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import arrow_map, materialize
 
 LEXICON_WORDS = 50_000
 MEMO_WORDS = 200_000  # that a worker remembers
@@ -340,8 +340,19 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 def frequent_words(docs: DataFrame, limit: int = LEXICON_WORDS) -> list[str]:
-    """The words counted most often over all texts; `limit` bounds the automaton, not what can be encoded."""
-    return [r.word for r in count_words(docs).orderBy(F.desc("n"), "word").limit(limit).collect()]
+    """The words counted most often over all texts, at most `limit`; that bounds the automaton, not what can be encoded.
+
+    The least count is found by a histogram of counts in eighths of powers of two, so that no task sends more than the words
+    chosen, however many tasks there are. Words met once never come in."""
+    step = F.floor(F.log2("n") * 8).cast("int")
+    counted = materialize(count_words(docs).where("n > 1").withColumn("step", step), "words")
+    least, total = None, 0
+    for r in counted.groupBy("step").agg(F.count("*").alias("words")).orderBy(F.desc("step")).collect():  # at most 512 rows
+        total += r.words
+        if total > limit:
+            break
+        least = r.step
+    return [] if least is None else sorted(r.word for r in counted.where(F.col("step") >= least).select("word").collect())
 
 
 def lexicon_of(words: list[str], spec: bytes) -> bytes:

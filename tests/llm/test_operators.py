@@ -177,6 +177,13 @@ def test_lexicon_is_minimal_and_exact():
     assert bpe.Lexicon(bpe.compile_lexicon({})).find(["a"]) == [None]
 
 
+def test_frequent_words(spark, empty):
+    texts = ["a a a b b c", "A b d e", None, "a f"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.word: r.n for r in bpe.count_words(frame).collect()} == {"a": 5, "b": 3, "c": 1, "d": 1, "e": 1, "f": 1}
+    assert bpe.frequent_words(frame) == ["a", "b"] and bpe.frequent_words(frame, 1) == ["a"] and bpe.frequent_words(empty) == []
+
+
 def check_packing(rows, ids, window=2048):
     pieces, sequences = defaultdict(list), defaultdict(list)
     for r in rows:
