@@ -20,13 +20,14 @@ def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
 
 
-def metadata_score(query: str, title: Column, description: Column, provider_rank: Column, source: Column, license: Column, curated: str = "curated") -> Column:
-    """The text score of an item: phrases, coverage of title and description, provider order and small boosts."""
+def metadata_score(query: str, title_words: Column, description_words: Column, provider_rank: Column, source: Column, license: Column, curated: str = "curated") -> Column:
+    """The text score of an item: phrases, coverage of title and description (given as folded words, so that a plan folds
+    each text once), provider order and small boosts."""
     q = T.fold_exact_py(query)
-    title_tokens, description_tokens = T.tokens(title), T.tokens(description)
+    title_tokens, description_tokens = T.terms(title_words), T.terms(description_words)
     in_title, in_description = T.coverage(query, title_tokens), T.coverage(query, description_tokens)
     n = len(T.query_tokens(query))
-    score = F.when(T.fold(title).contains(q), TITLE_PHRASE).when(T.fold(description).contains(q), DESCRIPTION_PHRASE).otherwise(0.0) if q else F.lit(0.0)
+    score = F.when(F.array_join(title_words, " ").contains(q), TITLE_PHRASE).when(F.array_join(description_words, " ").contains(q), DESCRIPTION_PHRASE).otherwise(0.0) if q else F.lit(0.0)
     score = score + TITLE_COVERAGE * in_title + DESCRIPTION_COVERAGE * in_description
     precision = F.size(T.matched(query, title_tokens)) / F.greatest(F.size(title_tokens), F.lit(1))
     score = score + F.when(in_title > 0, PRECISION * precision).otherwise(0.0)

@@ -58,9 +58,13 @@ def fold_exact(text: Column | str) -> Column:
     return F.pandas_udf(run, "string")(_col(text))
 
 
+def terms(words: Column, stop_words: Iterable[str] = STOP_WORDS) -> Column:
+    """The set of meaningful words among folded ones: longer than one character, no stop word."""
+    return F.array_except(F.filter(words, lambda t: F.length(t) > 1), F.array(*map(F.lit, stop_words)))
+
+
 def tokens(text: Column | str, stop_words: Iterable[str] = STOP_WORDS) -> Column:
-    """The set of meaningful words: longer than one character, no stop word."""
-    return F.array_except(F.array_distinct(F.filter(fold_tokens(text), lambda t: F.length(t) > 1)), F.array(*map(F.lit, stop_words)))
+    return terms(fold_tokens(text), stop_words)
 
 
 def query_tokens(query: str, stop_words: Iterable[str] = STOP_WORDS) -> list[str]:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .families import stored
 from .items import upsert
 
 K1, B = 1.2, 0.75
@@ -34,17 +35,19 @@ def postings(docs: DataFrame, key: str, fields: dict[str, float]) -> DataFrame:
 def bm25(docs: DataFrame, key: str, fields: dict[str, float], query: str) -> DataFrame:
     """(key, score) of rows that hold every query token (a single token also as a prefix); lower is better."""
     terms = list(dict.fromkeys(T.fold_exact_py(query).split()))
-    sizes = docs.select(F.size(F.concat(*[T.fold_tokens(c) for c in fields])).alias("size")).agg(F.count("*").alias("n"), F.avg("size").alias("avg")).first()
+    if not terms:
+        return docs.where("false").select(key, F.lit(0.0).alias("score"))
     hit = lambda t, term: t["token"].startswith(term) if len(terms) == 1 else t["token"] == term
     frequency = lambda term: F.aggregate(F.filter("t", lambda t: hit(t, term)), F.lit(0.0), lambda s, t: s + t["w"])
     rows = docs.select(key, _weighted(fields).alias("t")).select(key, F.size("t").alias("size"), *[frequency(x).alias(f"f{i}") for i, x in enumerate(terms)])
-    found = rows.agg(*[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(terms))]).first()
+    rows = stored(rows)  # a few numbers a row, read twice: for the statistics of the whole table and for the scores
+    found = rows.agg(F.count("*").alias("rows"), F.avg("size").alias("average"), *[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(terms))]).first()
     score = F.lit(0.0)
     for i in range(len(terms)):
         n = found[f"n{i}"]
-        idf = math.log((sizes.n - n + 0.5) / (n + 0.5))
+        idf = math.log((found.rows - n + 0.5) / (n + 0.5))
         f = F.col(f"f{i}")
-        score = score - (idf if idf > 0 else 1e-6) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("size") / F.lit(sizes.avg)))
+        score = score - (idf if idf > 0 else 1e-6) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("size") / F.lit(found.average)))
     every = F.lit(True)
     for i in range(len(terms)):
         every = every & (F.col(f"f{i}") > 0)

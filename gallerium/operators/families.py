@@ -16,7 +16,7 @@ def shared_folder(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/gallerium-scratch").rstrip("/")
 
 
-def _stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame) -> DataFrame:
     """Written to the shared folder and read again, which cuts lineage."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/components-{uuid.uuid4().hex}"
@@ -42,13 +42,13 @@ def dedupe_keys(curated: str = "curated") -> Column:
 def components(edges: DataFrame) -> DataFrame:
     """Edges (a, b) to (node, component), the smallest node reachable: labels sink along edges and are then followed to
     their own labels, until nothing changes. Hubs are summed in the tasks before each shuffle."""
-    both = _stored(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = _stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")))
+    both = stored(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    labels = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")))
     while True:
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("near"))
         sunk = labels.join(near, F.col("node") == F.col("a")).select("node", F.least("component", "near").alias("c"), F.col("component").alias("old"))
         jump = labels.select(F.col("node").alias("c"), F.col("component").alias("further"))
-        new = _stored(sunk.join(jump, "c", "left").select("node", F.coalesce("further", "c").alias("component"), "old"))
+        new = stored(sunk.join(jump, "c", "left").select("node", F.coalesce("further", "c").alias("component"), "old"))
         if not new.where("component <> old").limit(1).count():
             return new.select("node", "component")
         labels = new.select("node", "component")

@@ -18,7 +18,9 @@ def order() -> list[Column]:
 def scored(items: DataFrame, query: str) -> DataFrame:
     """Items with their text score as rank_score."""
     description = F.concat_ws(" ", "description", "medium", "artist", "date")
-    return items.withColumn("rank_score", S.metadata_score(query, F.col("title"), description, F.col("provider_rank"), F.col("source"), F.col("license")))
+    words = items.withColumns({"__title": T.fold_tokens("title"), "__description": T.fold_tokens(description)})
+    score = S.metadata_score(query, F.col("__title"), F.col("__description"), F.col("provider_rank"), F.col("source"), F.col("license"))
+    return words.withColumn("rank_score", score).drop("__title", "__description")
 
 
 def top(items: DataFrame, n: int) -> DataFrame:

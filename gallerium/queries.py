@@ -56,7 +56,8 @@ COVER = "(len(list_intersect({0}, ['tion']))) / 1.0"
 @query(f"SELECT doc_id, len({FOLD.format('text')})::INT AS n_tokens, len({TOKENS.format('text')})::INT AS n_terms, md5(array_to_string({FOLD.format('text')}, ' ')) AS folded FROM documents")
 def text_fold(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.size(T.fold_tokens("text")).alias("n_tokens"), F.size(T.tokens("text")).alias("n_terms"), F.md5(T.fold("text")).alias("folded"))
+    words = docs.select("doc_id", T.fold_tokens("text").alias("w"))
+    return words.select("doc_id", F.size("w").alias("n_tokens"), F.size(T.terms(F.col("w"))).alias("n_terms"), F.md5(F.array_join("w", " ")).alias("folded"))
 
 
 @query("SELECT doc_id, length(regexp_replace(lower(text), '[^\\p{L}\\p{M}\\p{N}]+', ' ', 'g').trim())::INT AS n, contains(' ' || regexp_replace(lower(text), '[^\\p{L}\\p{M}\\p{N}]+', ' ', 'g').trim() || ' ', ' and the ') AS has_phrase FROM documents")
@@ -144,8 +145,8 @@ s AS (SELECT doc_id, provider_rank, source, title, round(CASE WHEN contains(ft,
 
 @query(f"WITH {RANK} SELECT doc_id, rank_score, row_number() OVER (ORDER BY rank_score DESC, provider_rank, doc_id)::INT AS position FROM s QUALIFY position <= 50")
 def rank_metadata(spark, sf_dir):
-    docs = document_items(spark, sf_dir)
-    score = S.metadata_score(QUERY, F.col("title"), F.col("text"), F.col("provider_rank"), F.col("source"), F.lit(""))
+    docs = document_items(spark, sf_dir).select("doc_id", "provider_rank", "source", T.fold_tokens("title").alias("t"), T.fold_tokens("text").alias("d"))
+    score = S.metadata_score(QUERY, F.col("t"), F.col("d"), F.col("provider_rank"), F.col("source"), F.lit(""))
     ranked = docs.select("doc_id", "provider_rank", F.round(score, 3).alias("rank_score")).orderBy(F.desc("rank_score"), "provider_rank", "doc_id").limit(50)
     return ranked.select("doc_id", "rank_score", F.row_number().over(Window.orderBy(F.desc("rank_score"), "provider_rank", "doc_id")).alias("position"))
 
