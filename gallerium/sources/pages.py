@@ -106,3 +106,88 @@ def page_facts(pages: DataFrame) -> DataFrame:
 def key_of(*parts) -> F.Column:
     """A content address for cached pages and answers."""
     return F.substring(F.sha1(F.concat_ws("\x1f", *parts)), 1, 20)
+
+
+class Sections(HTMLParser):
+    """Texts of the elements with chosen ids or classes, and the images of anchors below a path, in page order."""
+
+    VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+
+    def __init__(self, names: tuple[str, ...], below: str = ""):
+        super().__init__(convert_charrefs=True)
+        self.names, self.below = names, below
+        self.texts: dict[str, list[str]] = {}
+        self.images: list[tuple[str, str, str]] = []
+        self.headings: list[tuple[str, str]] = []
+        self._open: list[tuple[str, str]] = []
+        self._href = ""
+
+    def handle_starttag(self, tag, attrs):
+        values = {k: v or "" for k, v in attrs}
+        if tag == "a":
+            self._href = values.get("href", "")
+        if tag == "img" and self._href and urllib.parse.urlsplit(self._href).path.startswith(self.below):
+            self.images.append((self._href, values.get("src", ""), values.get("alt", "")))
+        if tag not in self.VOID:
+            marks = {values.get("id", ""), *values.get("class", "").split()}
+            self._open.append((tag, next((n for n in self.names if n in marks), "")))
+
+    def handle_endtag(self, tag):
+        if any(t == tag for t, _ in self._open):
+            while self._open.pop()[0] != tag:
+                pass
+        if tag == "a":
+            self._href = ""
+
+    def handle_data(self, data):
+        for name in {n for _, n in self._open if n}:
+            self.texts.setdefault(name, []).append(data)
+        if self._href and any(re.fullmatch("h[1-6]", t) for t, _ in self._open):
+            self.headings.append((self._href, " ".join(data.split())))
+
+
+def sections(html: str | None, names: tuple[str, ...], below: str = "") -> Sections:
+    out = Sections(names, below)
+    out.feed(html or "")
+    return out
+
+
+def section_texts(pages: DataFrame, names: list[str], prefixes: tuple[str, ...] = ()) -> DataFrame:
+    """(page_id, text): the named sections of each page in the order of names, without their label, joined by blank lines."""
+    wanted = tuple(names)
+
+    def run(frames):
+        for frame in frames:
+            texts = []
+            for page in frame["html"]:
+                found = sections(page, wanted).texts
+                parts = [" ".join("".join(found.get(n, [])).split()) for n in wanted]
+                for prefix in prefixes:
+                    parts = [p.removeprefix(prefix).strip() for p in parts]
+                texts.append("\n\n".join(p for p in parts if p))
+            yield pd.DataFrame({"page_id": frame["page_id"], "text": texts})
+
+    return pages.select("page_id", "html").mapInPandas(run, "page_id long, text string")
+
+
+def gallery_images(pages: DataFrame, below: str) -> DataFrame:
+    """(source_id, page_id, rank, image_url, title) of images in anchors below a path; the stem of the anchor's address is the
+    id, of which the first in page order stays."""
+    from ..operators.items import first_by
+
+    def run(frames):
+        for frame in frames:
+            rows = [
+                (urllib.parse.urlsplit(href).path.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0], page, k, src, " ".join(alt.split()))
+                for page, html in zip(frame["page_id"], frame["html"])
+                for k, (href, src, alt) in enumerate(sections(html, (), below).images)
+            ]
+            yield pd.DataFrame(rows, columns=["source_id", "page_id", "rank", "image_url", "title"])
+
+    found = pages.select("page_id", "html").mapInPandas(run, "source_id string, page_id long, rank int, image_url string, title string").where("source_id <> ''")
+    return first_by(found.withColumns({"__p": F.col("page_id"), "__r": F.col("rank")}), ["source_id"], [F.col("__p"), F.col("__r")]).drop("__p", "__r")
+
+
+def gallery_index(html: str | None) -> list[tuple[str, str]]:
+    """(address, heading) of linked headings, each address once."""
+    return list(dict(reversed(sections(html, ()).headings)).items())[::-1]

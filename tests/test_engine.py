@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from gallerium import queries
+from gallerium import provider_queries, queries  # noqa: F401
 from gallerium.functions import scoring, text
 from gallerium.operators import catalog, evidence, families, items, staged, tournament
 from gallerium.plans import search
