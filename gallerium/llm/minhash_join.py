@@ -6,7 +6,9 @@ trees). A node of at most `leaf` sets is compared exhaustively; a larger one is
 all levels is dense: its sets are compared with the node's first set and within salted parts. A pair of similarity s
 survives d levels of one tree with probability s**d, so the 16 trees miss a pair of 0.85 at depth one with 0.15**16 and at
 depth four with less than 1e-5. Estimated links (a fixed margin below the threshold) only build clusters; within a cluster
-every pair that isn't yet connected is confirmed on the full sets.
+every pair that isn't yet connected is confirmed on the full sets. In a cluster too large for one task the estimated links
+are confirmed first; every set that isn't connected to the largest part by then is compared with all sets of the cluster, in
+blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -21,7 +23,9 @@ from .common import U64, arrow_map, byte_values, connected_components, materiali
 TREES, LEVELS, TOKENS = 16, 4, 64
 LEAF = 48  # sets that a node compares exhaustively without branching on
 PART = 4096  # sets of a dense node that one group holds
-CLUSTER_SETS, CLUSTER_SHINGLES = 16384, 4_000_000  # larger clusters are confirmed edge by edge
+CLUSTER_SETS, CLUSTER_SHINGLES = 16384, 4_000_000  # larger clusters are confirmed edge by edge, and then in blocks
+QUERY_SETS, QUERY_SHINGLES = 512, 1_000_000  # what a block holds of the sets outside a cluster's largest part
+SLICE_SETS, SLICE_SHINGLES = 4096, 2_000_000  # and of the sets that these are compared with
 MARGIN = 0.13  # four standard deviations of an estimate from 64 tokens, at 0.85
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -222,7 +226,7 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     sized = cluster.join(full.groupBy(F.col("doc_id").alias("node")).agg(F.max("n_shingles").alias("n")), "node")
     totals = sized.groupBy("component").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
     big = (F.col("sets") > CLUSTER_SETS) | (F.col("shingles") > CLUSTER_SHINGLES)
-    members = materialize(sized.join(totals, "component").select("node", "component", big.alias("big")), "members")
+    members = materialize(sized.join(totals, "component").select("node", "component", "n", big.alias("big")), "members")
 
     def run(batches):
         for group in _by_group(batches, 0):
@@ -233,8 +237,11 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string"))
     of_cluster = texts.join(members.where("not big"), "node").select("component", F.col("node").alias("doc_id"), "text")
     labels = of_cluster.repartition("component").sortWithinPartitions("component", "doc_id").mapInArrow(run, "node long, component long")
-    if members.where("big").limit(1).count():
-        labels = labels.unionByName(connected_components(confirmed(texts, members.where("big"), edges, words, percent), "links"))
+    large = members.where("big")
+    if large.limit(1).count():
+        links = materialize(confirmed(texts, large, edges, words, percent), "links")
+        rest = left_over(texts, large, connected_components(links), reps, words, percent)
+        labels = labels.unionByName(connected_components(links.unionByName(rest), "links"))
     labels = labels.groupBy("node").agg(F.min("component").alias("component"))
     classes = reps.select("n_shingles", "k1", "k2", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("n_shingles", "k1", "k2", F.coalesce("component", "rep").alias("component_id"))
     out = prof.select("doc_id", "n_shingles", "k1", "k2").join(classes, ["n_shingles", "k1", "k2"], "left")
@@ -263,3 +270,53 @@ def confirmed(texts: DataFrame, members: DataFrame, edges: DataFrame, words: int
         return step
 
     return arrow_map(both, "a long, b long", make)
+
+
+def left_over(texts: DataFrame, members: DataFrame, labels: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) of large clusters between parts that `labels` (node, component) keeps apart.
+
+    The sets outside a cluster's largest part are dealt to blocks, all its sets to slices; a group is one block and one slice,
+    both of bounded size. A set is compared on the full sets with those of the slice that are in other parts and whose tokens
+    may reach the threshold, until it has a link to their part."""
+    least = max(0.0, percent / 100 - MARGIN)
+    part = labels.withColumnRenamed("component", "part")
+    state = members.select("node", F.col("component").alias("cluster"), "n").join(part, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    sizes = state.groupBy("cluster", "part").agg(F.count("*").alias("c"), F.sum("n").alias("m"))
+    largest = F.max_by(F.struct("part", "c", "m"), F.struct("c", "part")).alias("l")
+    about = sizes.groupBy("cluster").agg(largest, F.sum("c").alias("c"), F.sum("m").alias("m")).where("c > l.c")
+    needed = lambda c, m, sets, shingles: F.greatest(F.ceil(c / sets), F.ceil(m / shingles))
+    plan = about.select("cluster", F.col("l.part").alias("main"), needed(F.col("c") - F.col("l.c"), F.col("m") - F.col("l.m"), QUERY_SETS, QUERY_SHINGLES).alias("blocks"), needed(F.col("c"), F.col("m"), SLICE_SETS, SLICE_SHINGLES).alias("slices"))
+    sets = state.join(plan, "cluster").join(reps.select(F.col("rep").alias("node"), "tokens"), "node").join(texts, "node")
+    dealt = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    kinds = ["cluster", "node", "part", "tokens", "text"]
+    targets = sets.select(*kinds, F.lit(False).alias("query"), dealt(1, "slices").alias("slice"), every("blocks").alias("block"))
+    queries = sets.where("part <> main").select(*kinds, F.lit(True).alias("query"), dealt(2, "blocks").alias("block"), every("slices").alias("slice"))
+    rows = targets.unionByName(queries)
+    grouped = rows.select(F.xxhash64("cluster", "block", "slice").alias("group"), "query", "node", "part", "tokens", "text").repartition("group").sortWithinPartitions("group", F.desc("query"), "node")
+
+    def run(batches):
+        for group in _by_group(batches, 0):
+            query = group.column("query").to_numpy(zero_copy_only=False)
+            n = int(query.sum())
+            node, parts = group.column("node").to_numpy(), group.column("part").to_numpy()
+            tokens = np.frombuffer(b"".join(group.column("tokens").to_pylist()), dtype=np.uint32).reshape(-1, TOKENS)
+            text = group.column("text")
+            known: dict[int, np.ndarray] = {}
+
+            def full(i: int) -> np.ndarray:
+                if i not in known:
+                    known[i] = shingle_set(text[i].as_py(), words)
+                return known[i]
+
+            found = []
+            for i in range(n):
+                near = (tokens[n:] == tokens[i]).mean(axis=1) >= least
+                linked = {int(parts[i])}
+                for j in (np.flatnonzero(near) + n).tolist():
+                    if int(parts[j]) not in linked and similar(full(i), full(j), percent):
+                        linked.add(int(parts[j]))
+                        found.append((int(node[i]), int(node[j])))
+            yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
+
+    return grouped.mapInArrow(run, "a long, b long")

@@ -93,6 +93,24 @@ def test_near_duplicates_in_dense_and_large_groups(spark, monkeypatch):
     assert got == want
 
 
+def test_large_clusters_lose_no_link(spark, monkeypatch):
+    """Chains just above and just below the threshold, in clusters that are all too large for a task."""
+    rng = random.Random(4)
+    rows = []
+    for chain in range(4):
+        words = [f"c{chain}w{k}" for k in range(60)]
+        for _ in range(40):
+            rows.append((len(rows), " ".join(words)))
+            for k in rng.sample(range(60), rng.choice([1, 1, 2])):
+                words[k] = f"x{rng.randrange(10**9)}"
+    rng.shuffle(rows)
+    rows = [(k, t) for k, (_, t) in enumerate(rows)]
+    for name, value in (("CLUSTER_SETS", 3), ("QUERY_SETS", 7), ("SLICE_SETS", 11), ("QUERY_SHINGLES", 900), ("LEAF", 8), ("PART", 20)):
+        monkeypatch.setattr(minhash_join, name, value)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_join.components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    assert got == components_of(rows, 3, 85)
+
+
 def test_near_duplicates_empty_null_id_and_repeats(spark, empty):
     assert minhash_join.components(empty).count() == 0
     frame = spark.createDataFrame([(None, "a b c d e"), (3, "a b c d e"), (3, "a b c d e"), (4, None)], "doc_id long, text string")
