@@ -17,7 +17,8 @@ FEATURE_WEIGHTS = {"color": 0.52, "gray": 0.18, "dhash": 0.22, "aspect": 0.08}
 
 
 def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
-    return F.least(F.greatest(x, F.lit(low)), F.lit(high))
+    """x within bounds; null stays null, which greatest and least would take for a bound."""
+    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(low)), F.lit(high)))
 
 
 def metadata_score(query: str, title_words: Column, description_words: Column, provider_rank: Column, source: Column, license: Column, curated: str = "curated") -> Column:

@@ -204,3 +204,18 @@ def test_hidden_sources_keep_results(spark):
     assert [r.selected for r in live.choose(states, ["b"]).orderBy("source").collect()] == [False, True]
     assert not live.choose(states, []).where("selected").count()
     assert [r.stage for r in live.retry(states).orderBy("source").collect()] == ["queued", "finished"]
+
+
+def test_finish(spark):
+    rows = [(100, 100, 0.22, 0.5, 3.0), (100, 100, 0.085, None, 3.0), (0, 100, None, None, 3.0)]
+    frame = spark.createDataFrame(rows, "width int, height int, c double, l double, metadata_score double")
+    got = snapshot.finish(frame, F.col("c"), F.col("l")).collect()
+    size = np.log2(10000)
+    assert [r.rank_score for r in got] == [pytest.approx(size / 2, abs=1e-5), pytest.approx(size / 2, abs=1e-5), 3.0]
+    assert [r.scoring_complete for r in got] == [True, False, False]
+
+
+def test_lines(spark, tmp_path):
+    path = f"file://{tmp_path}/lines"
+    live.write_lines(spark.createDataFrame([(1, None)], "a int, b string"), path)
+    assert [tuple(r) for r in spark.read.schema("a int, b string").json(path).collect()] == [(1, None)]
