@@ -264,10 +264,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     buckets = runs.where("h is not null").groupBy("h").agg(F.sum("weight").alias("c")).where("c > 1").select("h", (F.col("c") > HOT).alias("hot"))
     shared = runs.where("h is not null").select("h", "did", "tk", "start", "length").join(buckets, "h")
     texts = runs.where("copy is not null").select("copy", "did", "tk", "length", "weight")
-    copied = texts.groupBy("copy", "tk").agg(F.sum("weight").alias("c"), F.min("did").alias("first")).where("c > 1")
+    copied = texts.groupBy("copy", "tk").agg(F.sum("weight").alias("c"), F.min(F.when(F.col("weight") == 1, F.col("did"))).alias("first")).where("c > 1")  # weight 1: its runs are written
     copies = texts.join(copied, ["copy", "tk"]).select("did", "tk", "length", (F.col("did") != F.col("first")).alias("later"))
     wanted = shared.groupBy("did", "tk").agg(F.collect_list(F.struct("h", "start", "length", "hot")).alias("runs"))
-    wanted = wanted.join(copies.where("later").select("did", "tk"), ["did", "tk"], "left_anti")  # of copies the first speaks
+    wanted = wanted.join(copies.where("later").select("did", "tk"), ["did", "tk"], "left_anti")  # of copies the first with runs speaks
     dealt = _run_texts(keyed.join(wanted, ["did", "tk"], "left")).repartition("key").sortWithinPartitions("key")
     spans = _sorted_spans(dealt).unionByName(copies.select("did", "tk", F.lit(0).alias("s"), F.col("length").alias("e")))
     return keyed.join(spans.groupBy("did", "tk").agg(F.collect_list(F.struct("s", "e")).alias("spans")), ["did", "tk"], "left")

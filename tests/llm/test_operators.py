@@ -159,6 +159,19 @@ def test_suffix_dedup_edges(spark, empty):
     assert {(r.n_removed, bytes(r.kept)) for r in suffix_dedup.remove_repeats(frame).collect()} == {(len(text.encode()), b""), (len(text.encode()), b"!")}
 
 
+def test_suffix_dedup_copies_read_in_any_order(spark):
+    rng = random.Random(21)
+    passages, bodies = [prose(rng, 60) for _ in range(4)], [prose(rng, 40) for _ in range(8)]
+    copied = [f"{bodies[k]} {passages[k]} {bodies[k + 4]}" for k in range(4)]
+    alone = [f"{prose(rng, 20)} {p} {prose(rng, 20)}" for p in passages]  # each shares a passage with one copied text only
+    ids = [(90, 5, 3), (80, None), (None, 70), (60, 61)]
+    rows = [(i, t) for t, group in zip(copied, ids) for i in group] + [(20 - k, t) for k, t in enumerate(alone)]
+    want = sorted((i or 0, *w) for (i, _), w in zip(rows, removed([t.encode() for _, t in rows])))
+    assert [w[2] > 200 for w in want].count(True) == len(rows)
+    for frame in (spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), spark.createDataFrame(rows[::-1], "doc_id long, text string").repartition(3)):
+        assert sorted((r.doc_id or 0, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.remove_repeats(frame).collect()) == want
+
+
 def test_repeated_suffixes_of_any_residue():
     rng = random.Random(8)
     piece = bytes(rng.randrange(4) for _ in range(230))
