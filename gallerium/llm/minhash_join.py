@@ -5,14 +5,17 @@ Sixteen independent trees branch the sets by one selected minwise token a level
 trees). A node of at most `leaf` sets is compared exhaustively; a larger one is branched on. A node that stays large over
 all levels is dense: its sets are compared with the node's first set and within salted parts. A pair of similarity s
 survives d levels of one tree with probability s**d, so the 16 trees miss a pair of 0.85 at depth one with 0.15**16 and at
-depth four with less than 1e-5. Estimated links (a fixed margin below the threshold) only build clusters; within a cluster
-every pair that isn't yet connected is confirmed on the full sets. In a cluster too large for one task the estimated links
-are confirmed first; every set that isn't connected to the largest part by then is compared with all sets of the cluster, in
-blocks of bounded size.
+depth four with less than 1e-5, and a pair of 0.80 with 0.2**16 and 2.2e-4. All trees estimate a pair from the same 64 tokens,
+so that an estimate that is too low loses it in all of them; links need so few equal tokens that this happens to a pair at the
+threshold with less than `MISS`. Estimated links only build clusters; within a cluster every pair that isn't yet connected is
+confirmed on the full sets. In a cluster too large for one task the estimated links are confirmed first; every set that isn't
+connected to the largest part by then is compared with all sets of the cluster on full sets, in blocks of bounded size.
 """
 
 from __future__ import annotations
 
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,7 +29,7 @@ PART = 4096  # sets of a dense node that one group holds
 CLUSTER_SETS, CLUSTER_SHINGLES = 16384, 4_000_000  # larger clusters are confirmed edge by edge, and then in blocks
 QUERY_SETS, QUERY_SHINGLES = 512, 1_000_000  # what a block holds of the sets outside a cluster's largest part
 SLICE_SETS, SLICE_SHINGLES = 4096, 2_000_000  # and of the sets that these are compared with
-MARGIN = 0.13  # four standard deviations of an estimate from 64 tokens, at 0.85
+MISS = 1e-6  # the probability at most that a pair at the threshold is estimated too low for a link
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, *range(9, 14)]] = True
 _MULTIPLIERS = seeds(TOKENS, 77)
@@ -106,6 +109,16 @@ def tree_rows(reps: DataFrame) -> DataFrame:
     return arrow_map(reps, "doc_id long, short binary, n1 long, n2 long, n3 long, n4 long", make)
 
 
+def least_share(threshold: float) -> float:
+    """The share of equal tokens that makes an estimated link: a pair of this similarity has less with `MISS` at most."""
+    below = 0.0
+    for equal in range(TOKENS + 1):
+        below += comb(TOKENS, equal) * threshold**equal * (1 - threshold) ** (TOKENS - equal)
+        if below > MISS:
+            return equal / TOKENS
+    return 1.0
+
+
 def links_within(tokens: np.ndarray, least: float):
     """A spanning forest of the graph of pairs that agree in `least` of the tokens: each set is compared with all that
     aren't reached yet."""
@@ -155,7 +168,7 @@ def _by_group(batches, key, size_limit=None):
 
 def candidate_edges(reps: DataFrame, threshold: float) -> DataFrame:
     """Estimated links between sets (a, b), a spanning forest of each node."""
-    least = max(0.0, threshold - MARGIN)
+    least = least_share(threshold)
     rows = tree_rows(reps)
     sizes = rows.groupBy("n1").agg(F.count("*").alias("c")).where("c > 1")
     shared = rows.join(sizes, "n1")
@@ -240,7 +253,7 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     large = members.where("big")
     if large.limit(1).count():
         links = materialize(confirmed(texts, large, edges, words, percent), "links")
-        rest = left_over(texts, large, connected_components(links), reps, words, percent)
+        rest = left_over(texts, large, connected_components(links), words, percent)
         labels = labels.unionByName(connected_components(links.unionByName(rest), "links"))
     labels = labels.groupBy("node").agg(F.min("component").alias("component"))
     classes = reps.select("n_shingles", "k1", "k2", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("n_shingles", "k1", "k2", F.coalesce("component", "rep").alias("component_id"))
@@ -272,13 +285,12 @@ def confirmed(texts: DataFrame, members: DataFrame, edges: DataFrame, words: int
     return arrow_map(both, "a long, b long", make)
 
 
-def left_over(texts: DataFrame, members: DataFrame, labels: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
+def left_over(texts: DataFrame, members: DataFrame, labels: DataFrame, words: int, percent: int) -> DataFrame:
     """Links (a, b) of large clusters between parts that `labels` (node, component) keeps apart.
 
     The sets outside a cluster's largest part are dealt to blocks, all its sets to slices; a group is one block and one slice,
-    both of bounded size. A set is compared on the full sets with those of the slice that are in other parts and whose tokens
-    may reach the threshold, until it has a link to their part."""
-    least = max(0.0, percent / 100 - MARGIN)
+    both of bounded size. A set's shingles are looked up in those of the slice, which counts what it shares with each set there;
+    the first link to each other part is given."""
     part = labels.withColumnRenamed("component", "part")
     state = members.select("node", F.col("component").alias("cluster"), "n").join(part, "node", "left").withColumn("part", F.coalesce("part", "node"))
     sizes = state.groupBy("cluster", "part").agg(F.count("*").alias("c"), F.sum("n").alias("m"))
@@ -286,35 +298,34 @@ def left_over(texts: DataFrame, members: DataFrame, labels: DataFrame, reps: Dat
     about = sizes.groupBy("cluster").agg(largest, F.sum("c").alias("c"), F.sum("m").alias("m")).where("c > l.c")
     needed = lambda c, m, sets, shingles: F.greatest(F.ceil(c / sets), F.ceil(m / shingles))
     plan = about.select("cluster", F.col("l.part").alias("main"), needed(F.col("c") - F.col("l.c"), F.col("m") - F.col("l.m"), QUERY_SETS, QUERY_SHINGLES).alias("blocks"), needed(F.col("c"), F.col("m"), SLICE_SETS, SLICE_SHINGLES).alias("slices"))
-    sets = state.join(plan, "cluster").join(reps.select(F.col("rep").alias("node"), "tokens"), "node").join(texts, "node")
+    sets = state.join(plan, "cluster").join(texts, "node")
     dealt = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    kinds = ["cluster", "node", "part", "tokens", "text"]
+    kinds = ["cluster", "node", "part", "text"]
     targets = sets.select(*kinds, F.lit(False).alias("query"), dealt(1, "slices").alias("slice"), every("blocks").alias("block"))
     queries = sets.where("part <> main").select(*kinds, F.lit(True).alias("query"), dealt(2, "blocks").alias("block"), every("slices").alias("slice"))
     rows = targets.unionByName(queries)
-    grouped = rows.select(F.xxhash64("cluster", "block", "slice").alias("group"), "query", "node", "part", "tokens", "text").repartition("group").sortWithinPartitions("group", F.desc("query"), "node")
+    grouped = rows.select(F.xxhash64("cluster", "block", "slice").alias("group"), "query", "node", "part", "text").repartition("group").sortWithinPartitions("group", F.desc("query"), "node")
 
     def run(batches):
         for group in _by_group(batches, 0):
             query = group.column("query").to_numpy(zero_copy_only=False)
             n = int(query.sum())
             node, parts = group.column("node").to_numpy(), group.column("part").to_numpy()
-            tokens = np.frombuffer(b"".join(group.column("tokens").to_pylist()), dtype=np.uint32).reshape(-1, TOKENS)
-            text = group.column("text")
-            known: dict[int, np.ndarray] = {}
-
-            def full(i: int) -> np.ndarray:
-                if i not in known:
-                    known[i] = shingle_set(text[i].as_py(), words)
-                return known[i]
-
+            sets = [shingle_set(x.as_py(), words) for x in group.column("text")]
+            sizes = np.array([len(x) for x in sets[n:]], dtype=np.int64)
+            shingles = np.concatenate([np.empty(0, dtype=np.uint64), *sets[n:]])
+            order = np.argsort(shingles)
+            shingles, owner = shingles[order], np.repeat(np.arange(len(sizes)), sizes)[order]
             found = []
             for i in range(n):
-                near = (tokens[n:] == tokens[i]).mean(axis=1) >= least
+                low = np.searchsorted(shingles, sets[i], "left")
+                count = np.searchsorted(shingles, sets[i], "right") - low
+                at = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
+                both = np.bincount(owner[at], minlength=len(sizes))
                 linked = {int(parts[i])}
-                for j in (np.flatnonzero(near) + n).tolist():
-                    if int(parts[j]) not in linked and similar(full(i), full(j), percent):
+                for j in (np.flatnonzero((both > 0) & (100 * both >= percent * (len(sets[i]) + sizes - both))) + n).tolist():
+                    if int(parts[j]) not in linked:
                         linked.add(int(parts[j]))
                         found.append((int(node[i]), int(node[j])))
             yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})

@@ -111,6 +111,24 @@ def test_large_clusters_lose_no_link(spark, monkeypatch):
     assert got == components_of(rows, 3, 85)
 
 
+@pytest.mark.parametrize("percent, path", [(80, "task"), (85, "blocks")])
+def test_near_duplicates_of_low_estimate(spark, monkeypatch, percent, path):
+    rng = random.Random(percent)
+    low = round(64 * (percent / 100 - 0.13)) - 1  # equal tokens of about one in a few hundred pairs at the threshold
+    while True:
+        words = [f"w{rng.getrandbits(40)}" for _ in range(120)]
+        other = [*words[: 110 if percent == 85 else 107], *(f"w{rng.getrandbits(40)}" for _ in range(9 if percent == 85 else 12))]
+        pair = [" ".join(words), " ".join(other)]
+        a, b = (minhash_join.shingle_set(t, 3) for t in pair)
+        if minhash_join.similar(a, b, percent) and (minhash_join.min_tokens(a) == minhash_join.min_tokens(b)).sum() <= low:
+            break
+    if path == "blocks":
+        monkeypatch.setattr(minhash_join, "CLUSTER_SETS", 1)
+        monkeypatch.setattr(minhash_join, "confirmed", lambda texts, members, edges, *_: edges.limit(0))
+    frame = spark.createDataFrame(list(enumerate(pair)), "doc_id long, text string")
+    assert {r.component_id for r in minhash_join.components(frame, 3, percent).collect()} == {0}
+
+
 def test_near_duplicates_empty_null_id_and_repeats(spark, empty):
     assert minhash_join.components(empty).count() == 0
     frame = spark.createDataFrame([(None, "a b c d e"), (3, "a b c d e"), (3, "a b c d e"), (4, None)], "doc_id long, text string")
