@@ -4,12 +4,14 @@ A word is what lies between white space after normalisation (NFC, lower case); n
 crosses it. The driver counts words over all texts, compiles the most frequent into a minimal acyclic automaton whose arcs
 carry integer outputs (their sum along a path is the word's number, and so the place of its ids), and ships the compiled
 bytes, which every worker maps into memory. Words outside it are merged exactly, pair by pair; a bounded memo keeps what a
-worker has met. The vocabulary file is a parameter.
+worker has met. The vocabulary file is a parameter. What is a letter, a number, white space or a lower-case letter is asked
+of the library's own normaliser and pre-tokeniser once, as its Unicode tables differ from Python's.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import mmap
 import re
@@ -17,13 +19,15 @@ import struct
 import tempfile
 import unicodedata
 from collections import Counter
+from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Regex, Tokenizer, normalizers, pre_tokenizers
 
 from .common import arrow_map, materialize
 
@@ -33,24 +37,82 @@ GROUP_TEXTS = 1024  # that are coded together
 _NEVER = 1 << 30
 _BETWEEN = b"\xff" * 4  # no id: the vocabulary has fewer than 2**24
 _SLOTS = 1 << 19  # of the table of merges
-# The pre-tokeniser's pattern and white space of the published vocabulary file.
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
-_WIDE_SPACES = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-
-
-def normalized(text: str) -> str:
-    """A text in the vocabulary's normal form, with ASCII white space only."""
-    if not text.isascii():
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower() would look at a sigma's neighbours
-        text = _WIDE_SPACES.sub(" ", text)
-    return text.lower()
-
-
-def words_of(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The distinct words of texts without special tokens, the place of each word there, and where each text's words begin."""
-    lists = pc.ascii_split_whitespace(pa.array([normalized(t) for t in texts], pa.string()))
-    coded = lists.values.dictionary_encode()
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), lists.offsets.to_numpy()
+LONG_PIECE = 256  # bytes from which a piece is merged by a heap, and a word isn't remembered
+# The contractions of the published vocabulary file's pre-tokeniser, and where Unicode has characters.
+CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
+_ASSIGNED = (range(0xD800), range(0xE000, 0x34000), range(0xE0000, 0xE0200))
+
+
+class Alphabet(NamedTuple):
+    """What the library's Unicode tables say: classes as ranges for a regular expression, and the code points whose
+    normal form or lower case Python's tables tell otherwise."""
+
+    letters: str
+    numbers: str
+    spaces: str
+    odd: str
+
+
+@lru_cache(1)
+def alphabet() -> Alphabet:
+    """Asks the library about every code point, many in a call."""
+    chars = [chr(c) for r in _ASSIGNED for c in r if c != 10]
+    odd = set()
+
+    def compare(normaliser, own, before="", after=""):
+        told = normaliser.normalize_str("\n".join(before + c + after for c in chars)).split("\n")
+        for c, x in zip(chars, told, strict=True):
+            if x != own(before + c + after):
+                odd.update((c, *x) if len(x) < 4 else c)
+
+    compare(normalizers.Lowercase(), str.lower)
+    compare(normalizers.NFD(), lambda x: unicodedata.normalize("NFD", x))
+    overlay, iota = "\u0334", "\u0345"  # marks of the least and the greatest class: what moves across them is a mark, too
+    compare(normalizers.NFD(), lambda x: unicodedata.normalize("NFD", x), after=overlay)
+    compare(normalizers.NFD(), lambda x: unicodedata.normalize("NFD", x), before=iota)
+    odd -= {overlay, iota} | {c for c in odd if c.isascii()}
+
+    def ranges(pattern: str) -> str:
+        found = pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str("\n" + "".join(chars))
+        return "".join(_range(run) for run, _ in found)
+
+    return Alphabet(ranges(r"\p{L}+"), ranges(r"\p{N}+"), ranges(r"\s+"), "".join(map(re.escape, sorted(odd))))
+
+
+def _range(run: str) -> str:
+    """Consecutive characters as ranges; a run can leave out code points that aren't characters."""
+    out, at = [], 0
+    for k in range(1, len(run) + 1):
+        if k == len(run) or ord(run[k]) != ord(run[k - 1]) + 1:
+            out.append(re.escape(run[at]) if k - at == 1 else f"{re.escape(run[at])}-{re.escape(run[k - 1])}")
+            at = k
+    return "".join(out)
+
+
+class Splitter:
+    """Normal forms, words and pieces as the library makes them."""
+
+    def __init__(self, classes: Alphabet, spec: bytes):
+        self.odd = re.compile(f"[{classes.odd}]" if classes.odd else "(?!)")
+        self.spaces = re.compile(f"[{classes.spaces}]+")
+        inner = f"{classes.spaces}{classes.letters}{classes.numbers}"
+        self.pieces = re.compile(f"{CONTRACTIONS}|[{classes.letters}]+|[{classes.numbers}]|[^\n{inner}]+|\n")
+        self.normaliser = Tokenizer.from_str(spec.decode("utf-8")).normalizer
+
+    def normalized(self, text: str) -> str:
+        """A text in the vocabulary's normal form, with ASCII white space only."""
+        if not text.isascii():
+            if self.odd.search(text):
+                return self.spaces.sub(" ", self.normaliser.normalize_str(text))
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower() would look at a sigma's neighbours
+            text = self.spaces.sub(" ", text)
+        return text.lower()
+
+    def words_of(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The distinct words of texts without special tokens, the place of each word there, and where each text's words begin."""
+        lists = pc.ascii_split_whitespace(pa.array([self.normalized(t) for t in texts], pa.string()))
+        coded = lists.values.dictionary_encode()
+        return coded.dictionary.to_pylist(), coded.indices.to_numpy(), lists.offsets.to_numpy()
 
 
 def _slot(keys: np.ndarray) -> np.ndarray:
@@ -67,7 +129,7 @@ def byte_alphabet() -> list[str]:
 class Bpe:
     """Exact merging: the vocabulary, the ranks of its merges, and special tokens."""
 
-    def __init__(self, spec: bytes):
+    def __init__(self, spec: bytes, classes: Alphabet):
         model = json.loads(spec)
         self.vocab = model["model"]["vocab"]
         self.suffix = model["model"]["end_of_word_suffix"] or ""
@@ -85,7 +147,9 @@ class Bpe:
             while self.slot_keys[at] >= 0:
                 at = at + 1 & _SLOTS - 1
             self.slot_keys[at], self.slot_ranks[at] = key, rank
-        self.pieces = regex.compile(PIECES + r"|\n")
+        self.splitter = Splitter(classes, spec)
+        self.rank_of: dict[int, int] = {}
+        self.keys = keys.tolist()
         self.merged: dict[str, bytes] = {"\n": _BETWEEN}
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -104,10 +168,54 @@ class Bpe:
         return out
 
     def merge(self, pieces: list[str]) -> list[bytes]:
-        """The ids of each piece as little-endian 32-bit integers. All pieces are merged side by side: a round takes the
-        first of the lowest-ranked pairs of each (what it makes ranks above those left), and finished pieces leave."""
+        """The ids of each piece as little-endian 32-bit integers."""
         raw = [p.encode("utf-8", "surrogatepass") for p in pieces]
+        out = [self.merge_long(x) if len(x) >= LONG_PIECE else b"" for x in raw]
+        short = [k for k, x in enumerate(raw) if len(x) < LONG_PIECE]
+        for k, ids in zip(short, self.merge_short([raw[k] for k in short])):
+            out[k] = ids
+        return out
+
+    def merge_long(self, piece: bytes) -> bytes:
+        """One piece by a heap of its pairs, the lowest rank first and the leftmost of equal ones: n log n steps."""
+        if not self.rank_of:
+            for rank, key in enumerate(self.keys):
+                self.rank_of[key] = rank
+        data = np.frombuffer(piece, dtype=np.uint8)
+        start = self.inner[data]
+        start[-1] = self.last[data[-1]]
+        ranks = self.pair_ranks(start[:-1], start[1:])
+        at = np.flatnonzero(ranks < _NEVER)
+        heap = (ranks[at] << 32 | at).tolist()  # sorted by rank, then place
+        heapq.heapify(heap)
+        symbols, rank_at = start.tolist(), [*ranks.tolist(), _NEVER]
+        n, made, rank_of = len(symbols), self.made.tolist(), self.rank_of
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        while heap:
+            rank, i = divmod(heapq.heappop(heap), 1 << 32)
+            if rank_at[i] != rank:
+                continue
+            j = after[i]
+            symbols[i], symbols[j], rank_at[j] = made[rank], -1, _NEVER
+            k = after[i] = after[j]
+            rank_at[i] = _NEVER
+            if k < n:
+                before[k] = i
+                if (new := rank_of.get(symbols[i] << 20 | symbols[k])) is not None:
+                    rank_at[i] = new
+                    heapq.heappush(heap, new << 32 | i)
+            if (h := before[i]) >= 0:
+                rank_at[h] = new = rank_of.get(symbols[h] << 20 | symbols[i], _NEVER)
+                if new < _NEVER:
+                    heapq.heappush(heap, new << 32 | h)
+        return np.array([x for x in symbols if x >= 0], dtype="<u4").tobytes()
+
+    def merge_short(self, raw: list[bytes]) -> list[bytes]:
+        """All pieces are merged side by side: a round takes the first of the lowest-ranked pairs of each (what it makes ranks
+        above those left), and finished pieces leave."""
         out: list[bytes] = [b""] * len(raw)
+        if not raw:
+            return out
         size = np.array([len(x) for x in raw], dtype=np.int64)
         data = np.frombuffer(b"".join(raw), dtype=np.uint8)
         ends = np.cumsum(size)
@@ -147,13 +255,17 @@ class Bpe:
         """The ids of each word; pieces are remembered, as words differ in punctuation more than in letters."""
         if not words:
             return []
-        pieces = self.pieces.findall("\n".join(words))
+        pieces = self.splitter.pieces.findall("\n".join(words))
         new = list(set(pieces).difference(self.merged))
         if len(self.merged) + len(new) > MEMO_WORDS:
             self.merged = {"\n": _BETWEEN}
             new = list(set(pieces) - {"\n"})
         self.merged.update(zip(new, self.merge(new)))
-        return b"".join(map(self.merged.__getitem__, pieces)).split(_BETWEEN)
+        out = b"".join(map(self.merged.__getitem__, pieces)).split(_BETWEEN)
+        for piece in new:
+            if len(piece) >= LONG_PIECE:
+                del self.merged[piece]
+        return out
 
 
 def compile_lexicon(entries: dict[str, list[int]]) -> bytes:
@@ -246,8 +358,8 @@ class Lexicon:
 class Encoder:
     """Texts to ids and token texts, by memo, lexicon and exact merges."""
 
-    def __init__(self, spec: bytes, lexicon: bytes):
-        self.bpe, self.lexicon = Bpe(spec), Lexicon(lexicon)
+    def __init__(self, spec: bytes, classes: Alphabet, lexicon: bytes):
+        self.bpe, self.lexicon = Bpe(spec, classes), Lexicon(lexicon)
         self.ids: dict[str, bytes] = {}
         self.again: set[str] = set()
 
@@ -282,9 +394,13 @@ class Encoder:
 
     def _coded(self, pieces: list[str]) -> list[bytes]:
         """The ids of texts without special tokens: each distinct word is looked up once, the rest is gathering."""
-        words, places, begins = words_of(pieces)
+        words, places, begins = self.bpe.splitter.words_of(pieces)
         self.learn(set(words))
         known = [self.ids[w] for w in words]
+        for word in words:
+            if len(word) >= LONG_PIECE:
+                del self.ids[word]
+                self.again.discard(word)
         size = np.array([len(x) // 4 for x in known], dtype=np.int64)
         start = np.cumsum(size) - size
         table = np.frombuffer(b"".join(known), dtype="<u4")
@@ -304,19 +420,21 @@ class Encoder:
 _ENCODERS: dict[bytes, Encoder] = {}
 
 
-def encoder(spec: bytes, lexicon: bytes) -> Encoder:
+def encoder(spec: bytes, classes: Alphabet, lexicon: bytes) -> Encoder:
     """One encoder a worker for each vocabulary and lexicon; a worker's later tasks find it, with its memo."""
     key = hashlib.blake2b(spec + lexicon, digest_size=16).digest()
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(spec, lexicon)
+        _ENCODERS[key] = Encoder(spec, classes, lexicon)
     return _ENCODERS[key]
 
 
-def count_words(docs: DataFrame) -> DataFrame:
+def count_words(docs: DataFrame, spec: bytes) -> DataFrame:
     """word, n over all texts, summed within each task before the shuffle."""
+    sent = docs.sparkSession.sparkContext.broadcast((alphabet(), spec))
 
     def run(batches):
+        words_of = Splitter(*sent.value).words_of
         counts: Counter = Counter()
 
         def flush():
@@ -339,13 +457,13 @@ def count_words(docs: DataFrame) -> DataFrame:
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def frequent_words(docs: DataFrame, limit: int = LEXICON_WORDS) -> list[str]:
+def frequent_words(docs: DataFrame, spec: bytes, limit: int = LEXICON_WORDS) -> list[str]:
     """The words counted most often over all texts, at most `limit`; that bounds the automaton, not what can be encoded.
 
     The least count is found by a histogram of counts in eighths of powers of two, so that no task sends more than the words
     chosen, however many tasks there are. Words met once never come in."""
     step = F.floor(F.log2("n") * 8).cast("int")
-    counted = materialize(count_words(docs).where("n > 1").withColumn("step", step), "words")
+    counted = materialize(count_words(docs, spec).where("n > 1").withColumn("step", step), "words")
     least, total = None, 0
     for r in counted.groupBy("step").agg(F.count("*").alias("words")).orderBy(F.desc("step")).collect():  # at most 512 rows
         total += r.words
@@ -356,18 +474,18 @@ def frequent_words(docs: DataFrame, limit: int = LEXICON_WORDS) -> list[str]:
 
 
 def lexicon_of(words: list[str], spec: bytes) -> bytes:
-    coded = Bpe(spec).words(words)
+    coded = Bpe(spec, alphabet()).words(words)
     return compile_lexicon({w: np.frombuffer(x, dtype="<u4").tolist() for w, x in zip(words, coded)})
 
 
 def encode(docs: DataFrame, path: str, lexicon_words: list[str] | None = None) -> DataFrame:
     """One row for each row of `docs` (doc_id, text): doc_id, ids (binary, little-endian 32-bit) and decoded (string).
 
-    A null or empty text has no ids and decodes to an empty text. `path` is the vocabulary file on the driver."""
+    A null or empty text has no ids and decodes to an empty text; rows that repeat are coded each. `path` is the vocabulary file on the driver."""
     with open(path, "rb") as file:
         spec = file.read()
-    compiled = lexicon_of(frequent_words(docs) if lexicon_words is None else lexicon_words, spec)
-    sent = docs.sparkSession.sparkContext.broadcast((spec, compiled))  # bounded: the file and LEXICON_WORDS words
+    compiled = lexicon_of(frequent_words(docs, spec) if lexicon_words is None else lexicon_words, spec)
+    sent = docs.sparkSession.sparkContext.broadcast((spec, alphabet(), compiled))  # bounded: the file and LEXICON_WORDS words
 
     def make():
         coder = encoder(*sent.value)

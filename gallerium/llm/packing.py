@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import compile_lexicon, encoder
+from .bpe import alphabet, compile_lexicon, encoder
 from .common import arrow_map, materialize
 
 WINDOW = 2048
@@ -109,7 +109,7 @@ def tokenized(docs: DataFrame, path: str, window: int) -> DataFrame:
     """The pieces of each document: whole windows with their checksum, and the rest with its ids."""
     with open(path, "rb") as file:
         spec = file.read()
-    sent = docs.sparkSession.sparkContext.broadcast((spec, compile_lexicon({})))  # no lexicon: words are merged and remembered
+    sent = docs.sparkSession.sparkContext.broadcast((spec, alphabet(), compile_lexicon({})))  # no lexicon: words are merged and remembered
 
     def make():
         coder = encoder(*sent.value)

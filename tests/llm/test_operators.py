@@ -211,13 +211,42 @@ def test_bpe(docs, empty):
 
 @pytest.mark.parametrize("text", ["Hello <|endoftext|> it's 12 ÉÉ\x1cx ΟΔΟΣ İ ① ª² '' 'll<|startoftext|>", "é ​ x y DON'T \x00 \x85 ǅ ß 北京 한국어 👍🏽 a_b é", "", " 　"])
 def test_bpe_odd_texts(text):
-    with open(queries.vocabulary(), "rb") as file:
-        spec = file.read()
-    coder = bpe.Encoder(spec, bpe.lexicon_of(["hello", "it's", "don't"], spec))
-    (ids,) = coder.encode([text])
+    (ids,) = coder_of(["hello", "it's", "don't"]).encode([text])
     assert np.frombuffer(ids, dtype="<u4").tolist() == library().encode(text, add_special_tokens=False).ids
 
 
+def vocabulary_bytes():
+    with open(queries.vocabulary(), "rb") as file:
+        return file.read()
+
+
+def coder_of(words):
+    spec = vocabulary_bytes()
+    return bpe.Encoder(spec, bpe.alphabet(), bpe.lexicon_of(words, spec))
+
+
+def test_bpe_every_code_point():
+    """Letters, numbers, spaces, marks and lower case are the library's, for all code points and in company."""
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(f"Ab{c}1x {c}'s e{c}\u0316\u0301 ." for c in points[k : k + 64]) for k in range(0, len(points), 64)]
+    coder, tokenizer = coder_of(["ab", "e"]), library()
+    for s in range(0, len(texts), 1024):
+        want = tokenizer.encode_batch(texts[s : s + 1024], add_special_tokens=False)
+        for text, ids, w in zip(texts[s:], coder.encode(texts[s : s + 1024]), want):
+            assert np.frombuffer(ids, dtype="<u4").tolist() == w.ids, text
+
+
+@pytest.mark.parametrize("kind", ["random", "one letter", "words", "bytes"])
+def test_bpe_long_pieces(kind):
+    rng = random.Random(12)
+    make = {"random": lambda n: "".join(rng.choices("abcdefghijklmnop", k=n)), "one letter": lambda n: "a" * n, "words": lambda n: "theandinger" * (n // 11), "bytes": lambda n: "".join(rng.choices("漢é🙂ßж", k=n))}[kind]
+    coder, tokenizer = coder_of([]), library()
+    texts = [make(n) for n in (250, 257, 3000, 100_000)] + [make(300) + " and " + make(1000)]
+    for text, ids in zip(texts, coder.encode(texts)):
+        assert np.frombuffer(ids, dtype="<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert all(len(w) < bpe.LONG_PIECE for w in coder.ids)
+
+
 def test_lexicon_is_minimal_and_exact():
     words = {w: [i, i + 1][: i % 3] for i, w in enumerate(sorted({a + b + c for a in "abc" for b in ("", "x", "é") for c in ("ing", "ed", "")}))}
     found = bpe.Lexicon(bpe.compile_lexicon(words))
@@ -229,8 +258,9 @@ def test_lexicon_is_minimal_and_exact():
 def test_frequent_words(spark, empty):
     texts = ["a a a b b c", "A b d e", None, "a f"]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert {r.word: r.n for r in bpe.count_words(frame).collect()} == {"a": 5, "b": 3, "c": 1, "d": 1, "e": 1, "f": 1}
-    assert bpe.frequent_words(frame) == ["a", "b"] and bpe.frequent_words(frame, 1) == ["a"] and bpe.frequent_words(empty) == []
+    spec = vocabulary_bytes()
+    assert {r.word: r.n for r in bpe.count_words(frame, spec).collect()} == {"a": 5, "b": 3, "c": 1, "d": 1, "e": 1, "f": 1}
+    assert bpe.frequent_words(frame, spec) == ["a", "b"] and bpe.frequent_words(frame, spec, 1) == ["a"] and bpe.frequent_words(empty, spec) == []
 
 
 def check_packing(rows, ids, window=2048):
