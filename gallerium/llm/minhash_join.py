@@ -1,15 +1,17 @@
 """Chosen-path set similarity join over word shingles.
 
-Documents with one shingle set are first folded into their smallest doc_id. Every remaining set gets 64 minwise tokens.
-Sixteen independent trees branch the sets by one selected minwise token a level (four levels, no token is used by two
-trees). A node of at most `leaf` sets is compared exhaustively; a larger one is branched on. A node that stays large over
-all levels is dense: its sets are compared with the node's first set and within salted parts. A pair of similarity s
-survives d levels of one tree with probability s**d, so the 16 trees miss a pair of 0.85 at depth one with 0.15**16 and at
-depth four with less than 1e-5, and a pair of 0.80 with 0.2**16 and 2.2e-4. All trees estimate a pair from the same 64 tokens,
-so that an estimate that is too low loses it in all of them; links need so few equal tokens that this happens to a pair at the
-threshold with less than `MISS`. Estimated links only build clusters; within a cluster every pair that isn't yet connected is
-confirmed on the full sets. In a cluster too large for one task the estimated links are confirmed first; every set that isn't
-connected to the largest part by then is compared with all sets of the cluster on full sets, in blocks of bounded size.
+Documents with one shingle set are first folded into one node. Every node gets 64 minwise tokens. Sixteen independent trees
+branch the sets by one selected minwise token a level (four levels, no token is used by two trees). A tree node of at most
+`LEAF` sets is compared exhaustively; a larger one is branched on. One of more than `PART` sets, too many for a task, is
+branched on over the cluster, by the first level at which it falls into parts that a task can hold. What stays larger over all
+levels is dense: its sets are compared with `PIVOTS` of them and within salted parts, both chosen anew in each tree. A pair of
+similarity s survives d levels of one tree with probability s**d, so the 16 trees miss a pair of 0.85 at depth one with
+0.15**16 and at depth four with less than 1e-5, and a pair of 0.80 with 0.2**16 and 2.2e-4. All trees estimate a pair from the
+same 64 tokens, so that an estimate that is too low loses it in all of them; links need so few equal tokens that this happens
+to a pair at the threshold with less than `MISS`. Estimated links only build clusters; within a cluster every pair that isn't
+yet connected is confirmed on the full sets. In a cluster too large for one task the estimated links are confirmed first; every
+set that isn't connected to the largest part by then is compared with all sets of the cluster on full sets, in blocks of
+bounded size.
 """
 
 from __future__ import annotations
@@ -26,7 +28,9 @@ from .common import U64, arrow_map, byte_values, connected_components, materiali
 TREES, LEVELS, TOKENS = 16, 4, 64
 LEAF = 48  # sets that a node compares exhaustively without branching on
 PART = 4096  # sets of a dense node that one group holds
-CLUSTER_SETS, CLUSTER_SHINGLES = 16384, 4_000_000  # larger clusters are confirmed edge by edge, and then in blocks
+PIVOTS = 8  # sets that all sets of a dense node are compared with
+CLUSTER_SETS, CLUSTER_SHINGLES = 1024, 1_000_000  # larger clusters are confirmed edge by edge, and then in blocks
+STAR = 512  # links of one set that a task confirms
 QUERY_SETS, QUERY_SHINGLES = 512, 1_000_000  # what a block holds of the sets outside a cluster's largest part
 SLICE_SETS, SLICE_SHINGLES = 4096, 2_000_000  # and of the sets that these are compared with
 MISS = 1e-6  # the probability at most that a pair at the threshold is estimated too low for a link
@@ -66,28 +70,33 @@ def min_tokens(shingles: np.ndarray) -> np.ndarray:
     return (mix64(best) >> U64(32)).astype(np.uint32)
 
 
+def set_keys(s: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit keys of a set."""
+    mixed = mix64(s ^ U64(0xA5A5A5A5))
+    return int(mixed.sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(mix64(mixed + U64(12345)), initial=U64(0)).view(np.int64))
+
+
 def profiles(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, two 64-bit set keys, 64 minwise tokens."""
+    """doc_id, text_key (a hash of the text), n_shingles, two 64-bit set keys, 64 minwise tokens."""
 
     def make():
         def step(batch):
-            ids, n, k1, k2, tokens = batch.column(0), [], [], [], []
-            for text in batch.column(1):
+            n, keys, tokens = [], [], []
+            for text in batch.column(2):
                 s = shingle_set(text.as_py(), words)
                 n.append(len(s))
-                mixed = mix64(s ^ U64(0xA5A5A5A5))
-                k1.append(int(mixed.sum(dtype=np.uint64).view(np.int64)))
-                k2.append(int(np.bitwise_xor.reduce(mix64(mixed + U64(12345)), initial=U64(0)).view(np.int64)))
+                keys.append(set_keys(s))
                 tokens.append(min_tokens(s).tobytes() if len(s) else None)
-            yield {"doc_id": ids, "n_shingles": n, "k1": k1, "k2": k2, "tokens": tokens}
+            yield {"doc_id": batch.column(0), "text_key": batch.column(1), "n_shingles": n, "k1": [x for x, _ in keys], "k2": [x for _, x in keys], "tokens": tokens}
 
         return step
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), "doc_id long, n_shingles long, k1 long, k2 long, tokens binary", make)
+    text = F.col("text").cast("string")
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), F.xxhash64(text), text), "doc_id long, text_key long, n_shingles long, k1 long, k2 long, tokens binary", make)
 
 
 def tree_rows(reps: DataFrame) -> DataFrame:
-    """A row for each set and tree: its node at each level, and its tokens cut to 8 bits for comparison."""
+    """A row for each set (node, tokens) and tree: its node at each level, and its tokens cut to 8 bits for comparison."""
 
     def make():
         def step(batch):
@@ -97,7 +106,7 @@ def tree_rows(reps: DataFrame) -> DataFrame:
             tokens = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint32).reshape(-1, TOKENS)
             short = [x.tobytes() for x in (tokens & np.uint32(255)).astype(np.uint8)]
             for tree in range(TREES):
-                out = {"doc_id": ids, "short": short}
+                out = {"set": ids, "short": short}
                 node = np.full(len(ids), tree + 1, dtype=np.uint64)
                 for level in range(LEVELS):
                     node = mix64(node * U64(0x9E3779B97F4A7C15) + tokens[:, tree * LEVELS + level])
@@ -106,7 +115,7 @@ def tree_rows(reps: DataFrame) -> DataFrame:
 
         return step
 
-    return arrow_map(reps, "doc_id long, short binary, n1 long, n2 long, n3 long, n4 long", make)
+    return arrow_map(reps, "set long, short binary, n1 long, n2 long, n3 long, n4 long", make)
 
 
 def least_share(threshold: float) -> float:
@@ -167,33 +176,38 @@ def _by_group(batches, key, size_limit=None):
 
 
 def candidate_edges(reps: DataFrame, threshold: float) -> DataFrame:
-    """Estimated links between sets (a, b), a spanning forest of each node."""
+    """Estimated links (a, b) between sets (node, tokens), a spanning forest of each tree node."""
     least = least_share(threshold)
     rows = tree_rows(reps)
     sizes = rows.groupBy("n1").agg(F.count("*").alias("c")).where("c > 1")
     shared = rows.join(sizes, "n1")
-    kind = F.col("c") > PART
-    usual = shared.where(~kind).select("n1", "doc_id", "short", "n2", "n3", "n4", F.lit(None).cast("long").alias("pivot"), F.lit(None).cast("binary").alias("pivot_short"))
-    huge = shared.where(kind)
-    dense = huge.groupBy("n4").agg(F.count("*").alias("c4"), F.min(F.struct("doc_id", "short")).alias("p")).where("c4 > 1")
-    salted = huge.join(dense, "n4").select(
-        F.xxhash64("n4", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("c4") / PART))).alias("n1"), "doc_id", "short", "n2", "n3", "n4", F.col("p.doc_id").alias("pivot"), F.col("p.short").alias("pivot_short")
-    )
-    dealt = usual.unionByName(salted).repartition("n1").sortWithinPartitions("n1", "doc_id")
+    kept = ("set", "short", "n1", "n2", "n3", "n4")
+    alone = F.array().cast("array<struct<h:bigint,set:bigint,short:binary>>")
+    usual = shared.where(F.col("c") <= PART).select(F.col("n1").alias("group"), F.lit(1).alias("level"), *kept, alone.alias("pivots"))
+    huge = shared.where(F.col("c") > PART)
+    pivot = lambda k: F.min(F.struct(F.xxhash64("n4", "set", F.lit(k)).alias("h"), "set", "short"))
+    parts = huge.groupBy("n2", "n3", "n4").agg(F.count("*").alias("c4"), F.array(*map(pivot, range(PIVOTS))).alias("pivots"))
+    for n, c in (("n2", "c2"), ("n3", "c3")):
+        parts = parts.join(parts.groupBy(n).agg(F.sum("c4").alias(c)), n)
+    fits = lambda k: F.col(f"c{k}") <= PART
+    level = F.when(fits(2), 2).when(fits(3), 3).otherwise(4)
+    salts = F.ceil(F.col("c4") / PART)
+    parts = parts.select("n4", level.alias("level"), F.when(fits(4), 1).otherwise(salts).alias("salts"), F.when(fits(4), alone).otherwise(F.col("pivots")).alias("pivots"))
+    salt = F.pmod(F.xxhash64("n4", "set"), F.col("salts"))  # n4 differs from tree to tree, and so do salts and pivots
+    at = F.when(F.col("level") == 2, F.col("n2")).when(F.col("level") == 3, F.col("n3")).when(F.col("salts") == 1, F.col("n4")).otherwise(F.xxhash64("n4", salt))
+    branched = huge.join(parts, "n4").select(at.alias("group"), "level", *kept, "pivots")
+    dealt = usual.unionByName(branched).repartition("group").sortWithinPartitions("group", "set")
 
     def run(batches):
         for group in _by_group(batches, 0):
-            ids = group.column("doc_id").to_numpy()
+            ids = group.column("set").to_numpy()
             tokens = np.frombuffer(b"".join(group.column("short").to_pylist()), dtype=np.uint8).reshape(-1, TOKENS)
             nodes = [group.column(f"n{k}").to_numpy() for k in range(1, LEVELS + 1)]
-            pivot = group.column("pivot")[0].as_py()
-            if pivot is None:
-                found = list(branch(ids, tokens, nodes, least))
-            else:
-                first = np.frombuffer(group.column("pivot_short")[0].as_py(), dtype=np.uint8)
-                near = (tokens == first).mean(axis=1) >= least
-                found = [(pivot, int(x)) for x in ids[near] if x != pivot]
-                found += [(int(ids[a]), int(ids[b])) for a, b in links_within(tokens, least)]
+            pivots = group.column("pivots")[0].as_py()
+            found = list(branch(ids, tokens, nodes, least, group.column("level")[0].as_py()))
+            for pivot in pivots:
+                near = (tokens == np.frombuffer(pivot["short"], dtype=np.uint8)).mean(axis=1) >= least
+                found += [(pivot["set"], int(x)) for x in ids[near] if x != pivot["set"]]
             if found:
                 yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
 
@@ -226,63 +240,90 @@ def exact_components(ids: list[int], sets: list[np.ndarray], percent: int):
 
 
 def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """Each row of `docs` (doc_id, text) with n_shingles, component_id and kept.
+    """Each row of `docs` (doc_id, text) with n_shingles, component_id and kept, then text_key and link_group.
 
-    Two sets are linked when 100 * intersection >= percent * union. Null or blank texts have no shingles and no links.
-    Rows that repeat a doc_id are rows of one document each; they share a component when their sets are linked. A null
-    doc_id gets a null component. component_id is the smallest doc_id reachable; kept says that a row is that one."""
+    Two sets are linked when 100 * intersection >= percent * union. Null or blank texts have no shingles and no links; they
+    are components of their own, without a link_group. component_id is the smallest doc_id reachable; kept says that a row has
+    it. Rows that repeat a doc_id are documents of their own, linked by their texts only: their link_group (the same for all
+    rows of a component) tells them apart, and text_key, a hash of the text, which row is which. A row without a doc_id
+    takes part by its text if a row with one has the same set, and has a null component otherwise."""
     prof = materialize(profiles(docs, words), "profiles")
     full = prof.where("n_shingles > 0 and doc_id is not null")
-    reps = full.groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens"))
-    edges = materialize(candidate_edges(reps.select(F.col("rep").alias("doc_id"), "tokens"), percent / 100), "edges")
+    folded = full.groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens"))
+    reps = materialize(folded.withColumn("node", F.monotonically_increasing_id()), "sets")
+    edges = materialize(candidate_edges(reps.select("node", "tokens"), percent / 100), "edges")
     cluster = connected_components(edges)
-    sized = cluster.join(full.groupBy(F.col("doc_id").alias("node")).agg(F.max("n_shingles").alias("n")), "node")
-    totals = sized.groupBy("component").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
+    sized = cluster.join(reps.select("node", "rep", "n_shingles", "k1", "k2"), "node")
+    totals = sized.groupBy("component").agg(F.count("*").alias("sets"), F.sum("n_shingles").alias("shingles"))
     big = (F.col("sets") > CLUSTER_SETS) | (F.col("shingles") > CLUSTER_SHINGLES)
-    members = materialize(sized.join(totals, "component").select("node", "component", "n", big.alias("big")), "members")
+    members = materialize(sized.join(totals, "component").select("node", "component", "rep", F.col("n_shingles").alias("n"), "k1", "k2", big.alias("big")), "members")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string"))
 
     def run(batches):
         for group in _by_group(batches, 0):
-            sets = [shingle_set(x.as_py(), words) for x in group.column("text")]
-            found = list(exact_components(group.column("doc_id").to_pylist(), sets, percent))
+            ids, sets = _sets(group, words)
+            found = list(exact_components(ids, sets, percent))
             yield pa.RecordBatch.from_pydict({"node": pa.array([x for x, _ in found], pa.int64()), "component": pa.array([x for _, x in found], pa.int64())})
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string"))
-    of_cluster = texts.join(members.where("not big"), "node").select("component", F.col("node").alias("doc_id"), "text")
-    labels = of_cluster.repartition("component").sortWithinPartitions("component", "doc_id").mapInArrow(run, "node long, component long")
+    of_cluster = texts.join(members.where("not big"), "rep").select("component", "node", "k1", "k2", "text")
+    labels = of_cluster.repartition("component").sortWithinPartitions("component", "node").mapInArrow(run, "node long, component long")
     large = members.where("big")
     if large.limit(1).count():
         links = materialize(confirmed(texts, large, edges, words, percent), "links")
         rest = left_over(texts, large, connected_components(links), words, percent)
         labels = labels.unionByName(connected_components(links.unionByName(rest), "links"))
-    labels = labels.groupBy("node").agg(F.min("component").alias("component"))
-    classes = reps.select("n_shingles", "k1", "k2", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("n_shingles", "k1", "k2", F.coalesce("component", "rep").alias("component_id"))
-    out = prof.select("doc_id", "n_shingles", "k1", "k2").join(classes, ["n_shingles", "k1", "k2"], "left")
+    labelled = reps.select("n_shingles", "k1", "k2", "rep", "node").join(labels, "node", "left").withColumn("link_group", F.coalesce("component", "node")).drop("component", "node")
+    smallest = labelled.groupBy("link_group").agg(F.min("rep").alias("component_id"))
+    classes = labelled.drop("rep").join(smallest, "link_group")
+    out = prof.drop("tokens").join(classes, ["n_shingles", "k1", "k2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"), "text_key", "link_group")
+
+
+def _sets(group: pa.Table, words: int) -> tuple[list[int], list[np.ndarray]]:
+    """The nodes of a group and their sets. A doc_id that repeats brings other texts, too; those have other keys."""
+    out: dict[int, np.ndarray] = {}
+    for node, k1, k2, text in zip(*(group.column(c).to_pylist() for c in ("node", "k1", "k2")), group.column("text")):
+        if node not in out:
+            s = shingle_set(text.as_py(), words)
+            if set_keys(s) == (k1, k2):
+                out[node] = s
+    return list(out), list(out.values())
 
 
 def confirmed(texts: DataFrame, members: DataFrame, edges: DataFrame, words: int, percent: int) -> DataFrame:
     """Links of large clusters that hold on the full sets: every estimated edge of every tree, and each set with its
-    cluster's first."""
+    cluster's first. A set with its links' other ends makes a star; those of more than STAR links are split."""
     inside = edges.join(members.select(F.col("node").alias("a")), "a", "left_semi").select("a", "b")
     pairs = inside.unionAll(members.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))).distinct()
-    both = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "ta"}), "a").join(texts.withColumnsRenamed({"node": "b", "text": "tb"}), "b").select("a", "b", "ta", "tb")
-
-    def make():
-        last: list = [None, None]
+    stars = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).alias("parts"))
+    ends = pairs.join(stars, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), F.lit(False).alias("centre"), F.col("b").alias("node"))
+    centres = stars.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(True).alias("centre"), F.col("a").alias("node"))
+    told = members.select("node", "rep", "k1", "k2").join(texts, "rep")
+    rows = ends.unionByName(centres).join(told, "node").select(F.xxhash64("a", "part").alias("group"), "a", "centre", "node", "k1", "k2", "text")
 
-        def step(batch):
-            keep = []
-            for a, ta, tb in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3))):
-                if last[0] != a:
-                    last[:] = a, shingle_set(ta, words)
-                keep.append(similar(last[1], shingle_set(tb, words), percent))
-            yield {"a": batch.column(0).filter(pa.array(keep)), "b": batch.column(1).filter(pa.array(keep))}
-
-        return step
+    def run(batches):
+        held = centre = None
+        done: set[int] = set()
+        for batch in batches:
+            found = []
+            for group, a, first, node, k1, k2, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if (group, a) != held:
+                    held, centre, done = (group, a), None, set()
+                if node in done or (first and centre is not None):
+                    continue
+                s = shingle_set(text, words)
+                if set_keys(s) != (k1, k2):
+                    continue
+                if first:
+                    centre = s
+                else:
+                    done.add(node)
+                    if similar(centre, s, percent):
+                        found.append((a, node))
+            yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
 
-    return arrow_map(both, "a long, b long", make)
+    return rows.repartition("group").sortWithinPartitions("group", "a", F.desc("centre"), "node").mapInArrow(run, "a long, b long")
 
 
 def left_over(texts: DataFrame, members: DataFrame, labels: DataFrame, words: int, percent: int) -> DataFrame:
@@ -292,27 +333,29 @@ def left_over(texts: DataFrame, members: DataFrame, labels: DataFrame, words: in
     both of bounded size. A set's shingles are looked up in those of the slice, which counts what it shares with each set there;
     the first link to each other part is given."""
     part = labels.withColumnRenamed("component", "part")
-    state = members.select("node", F.col("component").alias("cluster"), "n").join(part, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    state = members.select("node", F.col("component").alias("cluster"), "n", "rep", "k1", "k2").join(part, "node", "left").withColumn("part", F.coalesce("part", "node"))
     sizes = state.groupBy("cluster", "part").agg(F.count("*").alias("c"), F.sum("n").alias("m"))
     largest = F.max_by(F.struct("part", "c", "m"), F.struct("c", "part")).alias("l")
     about = sizes.groupBy("cluster").agg(largest, F.sum("c").alias("c"), F.sum("m").alias("m")).where("c > l.c")
     needed = lambda c, m, sets, shingles: F.greatest(F.ceil(c / sets), F.ceil(m / shingles))
     plan = about.select("cluster", F.col("l.part").alias("main"), needed(F.col("c") - F.col("l.c"), F.col("m") - F.col("l.m"), QUERY_SETS, QUERY_SHINGLES).alias("blocks"), needed(F.col("c"), F.col("m"), SLICE_SETS, SLICE_SHINGLES).alias("slices"))
-    sets = state.join(plan, "cluster").join(texts, "node")
+    sets = state.join(plan, "cluster").join(texts, "rep")
     dealt = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    kinds = ["cluster", "node", "part", "text"]
+    kinds = ["cluster", "node", "part", "k1", "k2", "text"]
     targets = sets.select(*kinds, F.lit(False).alias("query"), dealt(1, "slices").alias("slice"), every("blocks").alias("block"))
     queries = sets.where("part <> main").select(*kinds, F.lit(True).alias("query"), dealt(2, "blocks").alias("block"), every("slices").alias("slice"))
     rows = targets.unionByName(queries)
-    grouped = rows.select(F.xxhash64("cluster", "block", "slice").alias("group"), "query", "node", "part", "text").repartition("group").sortWithinPartitions("group", F.desc("query"), "node")
+    grouped = rows.select(F.xxhash64("cluster", "block", "slice").alias("group"), "query", "node", "part", "k1", "k2", "text").repartition("group").sortWithinPartitions("group", F.desc("query"), "node")
 
     def run(batches):
         for group in _by_group(batches, 0):
             query = group.column("query").to_numpy(zero_copy_only=False)
-            n = int(query.sum())
-            node, parts = group.column("node").to_numpy(), group.column("part").to_numpy()
-            sets = [shingle_set(x.as_py(), words) for x in group.column("text")]
+            asked, own = _sets(group.filter(pa.array(query)), words)
+            others, theirs = _sets(group.filter(pa.array(~query)), words)
+            n, node, sets = len(asked), [*asked, *others], own + theirs
+            wanted = dict(zip(group.column("node").to_pylist(), group.column("part").to_pylist()))
+            parts = [wanted[x] for x in node]
             sizes = np.array([len(x) for x in sets[n:]], dtype=np.int64)
             shingles = np.concatenate([np.empty(0, dtype=np.uint64), *sets[n:]])
             order = np.argsort(shingles)

@@ -68,7 +68,7 @@ def op9_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash_join.components(documents(spark, sf_dir), words=3, percent=85)
+    return minhash_join.components(documents(spark, sf_dir), words=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

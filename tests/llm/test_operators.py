@@ -87,7 +87,7 @@ def test_near_duplicates_in_dense_and_large_groups(spark, monkeypatch):
         rows.append((i, " ".join(words)))
     want = components_of(rows, 3, 85)
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    for name, value in (("LEAF", 8), ("PART", 20), ("CLUSTER_SETS", 10)):
+    for name, value in (("LEAF", 8), ("PART", 20), ("CLUSTER_SETS", 10), ("STAR", 7)):
         monkeypatch.setattr(minhash_join, name, value)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_join.components(frame, 3, 85).collect()}
     assert got == want
@@ -136,6 +136,31 @@ def test_near_duplicates_empty_null_id_and_repeats(spark, empty):
     assert got == Counter({(None, 3, None): 1, (3, 3, True): 2, (4, 4, True): 1})
 
 
+def test_near_duplicates_of_one_doc_id(spark):
+    """Texts that share a doc_id only aren't linked; their groups tell them apart."""
+    texts = [" ".join(f"{k}w{i}" for i in range(30)) for k in range(3)]
+    rows = [(5, texts[0]), (5, texts[1]), (7, texts[1]), (9, texts[0] + " more"), (9, texts[2]), (2, texts[2]), (5, ""), (5, None)]
+    got = minhash_join.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    groups = defaultdict(list)
+    for r in got:
+        groups[r.link_group].append((r.doc_id, r.n_shingles, r.component_id, r.kept))
+    assert sorted(sorted(g) for g in groups.values()) == [[(2, 26, 2, True), (9, 26, 2, False)], [(5, 0, 5, True), (5, 0, 5, True)], [(5, 26, 5, True), (7, 26, 5, False)], [(5, 26, 5, True), (9, 27, 5, False)]]
+
+
+@pytest.mark.parametrize("percent, cluster", [(85, 1024), (80, 1024), (80, 1)])
+def test_near_duplicates_at_the_threshold(spark, monkeypatch, percent, cluster):
+    """Isolated pairs exactly at the threshold, of which a tree's nodes or an estimate could lose some."""
+    monkeypatch.setattr(minhash_join, "CLUSTER_SETS", cluster)
+    rng = random.Random(percent)
+    common_words, own = (170, 15) if percent == 85 else (160, 20)  # a shingle of one word: 170 / 200 and 160 / 200
+    rows = []
+    for _ in range(700):
+        words = [f"w{rng.getrandbits(48)}" for _ in range(common_words + 2 * own)]
+        rows += [(len(rows), " ".join(words[: common_words + own])), (len(rows) + 1, " ".join(words[:common_words] + words[common_words + own :]))]
+    got = {r.doc_id: r.component_id for r in minhash_join.components(spark.createDataFrame(rows, "doc_id long, text string"), 1, percent).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+
+
 def test_connected_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(160)] + [(k, k + 1) for k in range(1000, 1100)]
@@ -228,7 +253,8 @@ def coder_of(words):
 def test_bpe_every_code_point():
     """Letters, numbers, spaces, marks and lower case are the library's, for all code points and in company."""
     points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-    texts = [" ".join(f"Ab{c}1x {c}'s e{c}\u0316\u0301 ." for c in points[k : k + 64]) for k in range(0, len(points), 64)]
+    shown = lambda c: f"Ab{c}1x {c}'s e{c}\u0316\u0301 ." if ord(c) < 0x20000 else f"a{c}b"
+    texts = [" ".join(map(shown, points[k : k + 64])) for k in range(0, len(points), 64)]
     coder, tokenizer = coder_of(["ab", "e"]), library()
     for s in range(0, len(texts), 1024):
         want = tokenizer.encode_batch(texts[s : s + 1024], add_special_tokens=False)
