@@ -1,10 +1,13 @@
-"""From raw documents to packed training sequences: five stages, each written and read again before the next one."""
+"""From raw documents to packed training sequences: five stages, each written and read again before the next one.
+
+A stage carries the columns of documents that its input has (doc_id and text at least) and leaves out all others. Null and
+empty texts are no error in any stage: language ID drops them, as it finds no letters. An empty table stays empty."""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gallerium.llm import language, minhash_join, packing, suffix_dedup, toxicity
@@ -28,17 +31,22 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents not predicted toxic."""
+    """Documents not predicted toxic; null and empty texts stay, rows that repeat are scored each."""
     model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score(docs, model, _kinds(docs)).where("predicted = 0").select(*_kinds(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates, the one with the smallest doc_id; of rows that repeat a doc_id one
-    stays. Documents without words have no duplicates, and rows without a doc_id stay."""
-    kept = minhash_join.components(docs, WORDS, PERCENT).where("kept").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").select(*_kinds(docs)).dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id is null").select(*_kinds(docs)))
+    """One document of each component of near-duplicates, the one with the smallest doc_id (then text hash). Documents without
+    words have no duplicates, and rows without a doc_id stay. Rows that share a doc_id are documents of their own; of rows
+    with one doc_id and text the first by their other columns stays."""
+    found = minhash_join.components(docs, WORDS, PERCENT).where("kept")
+    linked = found.where("link_group is not null").groupBy("link_group").agg(F.min(F.struct("doc_id", "text_key")).alias("first")).select("first.*")
+    kept = linked.unionByName(found.where("link_group is null").select("doc_id", "text_key").distinct())
+    keyed = docs.select(*_kinds(docs), F.xxhash64(F.col("text").cast("string")).alias("text_key"))
+    own = Window.partitionBy("doc_id", "text_key").orderBy(*[c for c in _kinds(docs) if c not in ("doc_id", "text")], "text")
+    one = keyed.join(kept, ["doc_id", "text_key"], "left_semi").withColumn("copy", F.row_number().over(own)).where("copy = 1")
+    return one.select(*_kinds(docs)).unionByName(docs.where("doc_id is null").select(*_kinds(docs)))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +71,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of full sequences."""
+    """Pieces of full sequences; a null or empty text is its end mark alone, rows that repeat are packed each."""
     return packing.pack(docs, vocabulary())
 
 
@@ -74,6 +82,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the table `documents` of `sf_dir`; the result is the last one's."""
     docs = documents(spark, sf_dir)
     for k, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
