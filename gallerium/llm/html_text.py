@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map
 
 SHORT, LONG = 70, 200  # characters
-LINKS_BAD, LINKS_BAD_INSIDE = 0.2, 0.5
+LINKS_BAD, LINKS_BAD_INSIDE = 0.2, 0.9
 STOPS_LOW, STOPS_HIGH = 0.15, 0.25
 # Element names, words of class and id attributes, and common function words.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -25,9 +26,12 @@ HIDDEN = frozenset("head template svg math canvas object audio video map select
 BOILERPLATE = frozenset("nav footer aside form menu dialog".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MAIN = frozenset("article main".split())
+LINK_LISTS = frozenset("li dd dt td option".split())
 BAD_WORDS = frozenset(
     "ad ads adv advert advertisement advertising adverts alert banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer disqus footer login menu modal nav navbar navigation newsletter notice pager pagination popup promo promotion recommended related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe teaser toolbar widget".split()
 )
+# Words that say nothing of their own beside a bad one: a name goes if all its words are of either list, one of them bad.
+PLAIN_WORDS = frozenset("area bar block body bottom box btn button buttons center col column container content footer form global group header icons inline inner item items left line link links list main message middle module new outer overlay page panel post posts primary right row secondary section site slot small sticky stories story sub text title top unit widget wrap wrapper".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar alert dialog form".split())
 STOP_WORDS = frozenset(
     "a about all also an and are as at be been but by can for from had has have he her his if in into is it its may more not of on or she so than that the their there they this to was we were which who will with would you "
@@ -42,25 +46,36 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 class Block:
-    __slots__ = ("container", "enclosed", "inside", "links", "text")
+    __slots__ = ("container", "enclosed", "inside", "links", "name", "text")
 
-    def __init__(self, text: str, links: int, enclosed: bool, inside: bool, container: int):
-        self.text, self.links, self.enclosed, self.inside, self.container = text, links, enclosed, inside, container
+    def __init__(self, text: str, links: int, enclosed: bool, inside: bool, container: int, name: str):
+        self.text, self.links, self.enclosed, self.inside, self.container, self.name = text, links, enclosed, inside, container, name
+
+
+def names_bad(value: str) -> bool:
+    """Whether one of the names of a class or id attribute says that an element isn't main text. Names are taken whole:
+    `ad-box` does, `related-work`, `has-sidebar` and `comment-on-law` don't."""
+    for name in value.split():
+        words = [w for w in _WORD_CUT.split(name) if w]
+        if words and not BAD_WORDS.isdisjoint(words) and all(w in BAD_WORDS or w in PLAIN_WORDS for w in words):
+            return True
+    return False
 
 
 def encloses(name: str, attributes: str, inside: bool) -> bool:
-    """Whether an element holds what surrounds a page's text."""
+    """Whether an element holds what surrounds a page's text. The page's own main container isn't judged by its names."""
     if name in BOILERPLATE or (name == "header" and not inside):
         return True
     if not attributes:
         return False
+    named = name not in ("html", "body", "main") and (name != "article" or inside)
     for key, value in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):
             return True
         if key == "role" and value in BAD_ROLES:
             return True
-        if key in ("class", "id") and name not in ("html", "body", *MAIN) and not BAD_WORDS.isdisjoint(_WORD_CUT.split(value)):
+        if key in ("class", "id") and named and names_bad(value):
             return True
     return False
 
@@ -69,28 +84,33 @@ def blocks_of(page: str) -> list[Block]:
     """The text blocks of a page in order. Comments, declarations, raw and hidden elements have no text; a tag that the page
     ends within is dropped; a less-than sign that starts no tag is text."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, int]] = []  # name, hidden, enclosed, main container
+    stack: list[tuple[str, bool, bool, int, int]] = []  # name, hidden, enclosed, main container, open anchors
+    block_at: list[int] = []  # where the stack has blocks
+    open_names: Counter = Counter()
     parts: list[str] = []
-    links = anchors = containers = at = 0
+    links = containers = at = 0
     hidden = enclosed = False
-    container = 0
+    container = anchors = 0
 
     def flush():
         nonlocal links
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            out.append(Block(text, min(links, len(text)), enclosed, container > 0, container))
+            out.append(Block(text, min(links, len(text)), enclosed, container > 0, container, stack[block_at[-1]][0] if block_at else ""))
         parts.clear()
         links = 0
 
     def settle():
         nonlocal hidden, enclosed, container, anchors
-        hidden, enclosed, container = (stack[-1][1], stack[-1][2], stack[-1][3]) if stack else (False, False, 0)
-        anchors = sum(x[0] == "a" for x in stack)
+        _, hidden, enclosed, container, anchors = stack[-1] if stack else ("", False, False, 0, 0)
 
     def pop_to(k: int):
-        if any(x[0] in BLOCKS for x in stack[k:]):
+        if block_at and block_at[-1] >= k:
             flush()
+        while block_at and block_at[-1] >= k:
+            block_at.pop()
+        for x in stack[k:]:
+            open_names[x[0]] -= 1
         del stack[k:]
         settle()
 
@@ -119,13 +139,13 @@ def blocks_of(page: str) -> list[Block]:
             end = page.find(">", cut)
             name = re.split(r"[\s/>]", page[cut + 2 : n if end < 0 else end], maxsplit=1)[0].lower()
             at = n if end < 0 else end + 1
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    pop_to(k)
-                    break
-            else:
-                if name in BLOCKS:
-                    flush()
+            if open_names[name]:
+                k = len(stack) - 1
+                while stack[k][0] != name:
+                    k -= 1
+                pop_to(k)
+            elif name in BLOCKS:
+                flush()
         elif mark.isalpha() and mark.isascii():
             found = _TAG.match(page, cut)
             if not found:
@@ -143,12 +163,8 @@ def blocks_of(page: str) -> list[Block]:
             if name == "body" and hidden:
                 pop_to(0)
             if name in BLOCKS:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == "p" or (stack[k][0] == name and name in ("li", "td", "th", "tr", "dd", "dt", "option")):
-                        pop_to(k)
-                        break
-                    if stack[k][0] in BLOCKS:
-                        break
+                if block_at and (stack[block_at[-1]][0] == "p" or (stack[block_at[-1]][0] == name and name in ("li", "td", "th", "tr", "dd", "dt", "option"))):
+                    pop_to(block_at[-1])
                 flush()
             if name == "br":
                 say(" ")
@@ -160,7 +176,10 @@ def blocks_of(page: str) -> list[Block]:
                 own = containers
             else:
                 own = container
-            stack.append((name, hidden or name in HIDDEN, enclosed or encloses(name, attributes, inside or name in MAIN), own))
+            if name in BLOCKS:
+                block_at.append(len(stack))
+            open_names[name] += 1
+            stack.append((name, hidden or name in HIDDEN, enclosed or encloses(name, attributes, inside), own, anchors + (name == "a")))
             settle()
         else:
             say("<")
@@ -173,19 +192,25 @@ def first_pass(block: Block) -> str:
     """good, bad, short (too short to tell) or near (of middling stop-word density)."""
     length = len(block.text)
     density = block.links / length
-    if block.enclosed or density > (LINKS_BAD_INSIDE if block.inside else LINKS_BAD):
+    if block.enclosed or (density > LINKS_BAD and not block.inside):
         return "bad"
-    if not block.inside and ("©" in block.text or "&copy" in block.text):
+    if block.inside:  # its sentences may be links altogether; items that are links and nothing else make a menu
+        if length < SHORT:
+            return "bad" if density > LINKS_BAD_INSIDE and block.name in LINK_LISTS else "short"
+        return "good" if length > LONG and _dense(block, STOPS_HIGH) else "near"
+    if "©" in block.text or "&copy" in block.text:
         return "bad"
     if length < SHORT:
-        return "bad" if block.links and not block.inside else "short"
-    words = _WORD.findall(block.text.lower())
-    stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-    if stops >= STOPS_HIGH:
+        return "bad" if block.links else "short"
+    if _dense(block, STOPS_HIGH):
         return "good" if length > LONG else "near"
-    if stops >= STOPS_LOW:
-        return "near"
-    return "near" if block.inside else "bad"
+    return "near" if _dense(block, STOPS_LOW) else "bad"
+
+
+def _dense(block: Block, least: float) -> bool:
+    """Whether function words make up this share of a block's words."""
+    words = _WORD.findall(block.text.lower())
+    return sum(w in STOP_WORDS for w in words) >= least * max(1, len(words))
 
 
 def classify(blocks: list[Block]) -> list[bool]:
@@ -217,7 +242,7 @@ def classify(blocks: list[Block]) -> list[bool]:
                 continue
             around = {x for x in (before[i], after[i]) if x}
             if block.inside:
-                new[i] = "bad" if around == {"bad"} and kind == "short" and block.links else "good"
+                new[i] = "bad" if around == {"bad"} and kind == "short" and block.name in LINK_LISTS and block.links else "good"
             elif around == {"bad"} or not around:
                 new[i] = "bad" if around else kind if kind == "short" else "good"
             elif kind == "short" and "near" in around and "good" not in around:
@@ -239,7 +264,8 @@ def main_text(page: str | None) -> str:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text and n_chars of each row of `pages` (page_id, url, html)."""
+    """page_id, url, text and n_chars of each row of `pages` (page_id, url, html); other columns are left out. Null, empty and
+    text-free pages have an empty text; rows that repeat are read each."""
 
     def make():
         def step(batch):

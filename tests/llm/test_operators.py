@@ -480,6 +480,57 @@ def test_html(spark):
     assert html_text.extract(frame.where("false")).count() == 0
 
 
+def made_page(rng):
+    """A page from known parts, and its main text: what stands in the article's own blocks."""
+    text, kept = lambda n: prose(rng, rng.randint(1, n)), []
+
+    def keep(words):
+        kept.append(words)
+        return words
+
+    linked = lambda words: f"<a href='/x'>{words}</a>"
+    good = [
+        lambda: f"<p>{keep(text(60))}",
+        lambda: f"<p>{linked(keep(text(40)))}</p>",  # a paragraph that is a link altogether
+        lambda: f"<div class='{rng.choice(['related-work', 'has-sidebar', 'no-ads-here', 'banner-of-peace', 'cookie-recipe', 'lead'])}'><p>{keep(text(30))}</p></div>",
+        lambda: f"<section id='comment-on-law'><h2>{keep(text(4))}</h2><blockquote>{keep(text(50))}</blockquote></section>",
+        lambda: "<b><i>" * 30 + f"<p>{keep(text(20))}</p>" + "</i></b>" * 30,
+        lambda: f"<ul><li>{keep(text(20))} <li>{keep(text(3) + ' x')} </ul>",
+        lambda: f"<table><tr><td>{keep(text(9))}<td>{keep(text(9))}</table>",
+        lambda: f"<header><p>{keep(text(9))}</p></header>",
+    ]
+    bad = [
+        lambda: f"<div class='ad box'>{text(50)}</div>",
+        lambda: f"<nav><ul><li>{linked(text(3))}<li>{linked(text(3))}</ul></nav>",
+        lambda: f"<aside><article><p>{text(40)}</p></article></aside>",
+        lambda: f"<div class='share-buttons'>{linked(text(3))}</div>",
+        lambda: f"<section class='comments'><article class='comment'><p>{text(60)}</p></article></section>",
+        lambda: f"<form><label>{text(4)}</label><select><option>{text(2)}</select></form>",
+        lambda: f"<script>var a = '<p>{text(5)}</p>';</script><style>p {{}}</style><!-- <p>{text(5)}</p> -->",
+        lambda: f"<div role=banner>{text(20)}</div></span></li></section-x>",
+    ]
+    inner = "".join(rng.choice(good if rng.random() < 0.7 else bad)() for _ in range(rng.randint(1, 12)))
+    furniture = lambda: "".join(rng.choice(bad)() for _ in range(rng.randint(0, 3)))
+    wrap, end = rng.choice([("<div class='page has-sidebar'>", "</div>"), ("<main class='main sidebar'>", "</main>"), ("", "")])
+    return f"<html><head><title>{text(5)}</title></head><body><header>{text(6)}</header>{furniture()}{wrap}<article class='post'>{inner}</article>{end}{furniture()}<footer>&copy; {text(9)}</footer></body></html>", " ".join(kept)
+
+
+def test_html_of_made_pages():
+    rng = random.Random(31)
+    for _ in range(400):
+        page, want = made_page(rng)
+        assert html_text.main_text(page) == want, page
+
+
+@pytest.mark.parametrize("kind", ["</b>", "<b>", "<div>", "<p><b>", "</div>", "<a ", "<", "<!--", "<li><i>"])
+def test_html_takes_linear_time(kind):
+    import time
+
+    began = time.process_time()
+    html_text.main_text("<article><b><div>" + kind * 100_000 + "x</article>")
+    assert time.process_time() - began < 5
+
+
 def test_html_long_page():
     body = "".join(f"<p>the block number {k} of a page that is very long and has many blocks</p>" for k in range(5000))
     assert html_text.main_text(f"<nav><a>x</a></nav><article>{body}</article>") == " ".join(re.findall(r"<p>(.*?)</p>", html.unescape(body)))
