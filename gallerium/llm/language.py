@@ -1,7 +1,7 @@
 """Language identification by bit-sliced Bloom filters of character n-grams.
 
-One table holds the filters of all languages: a slot is a word whose bit l belongs to language l, so that the AND of an
-n-gram's slots is the set of all languages that contain it. A text's language is the one whose bits are set most often, once
+One table holds the filters of up to 64 languages: a slot is a word whose bit l belongs to language l, so that the AND of an
+n-gram's slots is the set of all languages that contain it; more languages take more tables of the same slots. A text's language is the one whose bits are set most often, once
 each count is corrected for its filter's false positives.
 """
 
@@ -19,6 +19,7 @@ SAMPLE_PER_LANGUAGE = 2000  # labelled rows a language that the filters are lear
 LEAST_SHARE = 0.005  # of a language's sampled rows, that hold an n-gram of its filter
 SLOTS_PER_GRAM = 16
 UNKNOWN = "und"
+BITS = 64
 _LETTERS: list[np.ndarray] = []
 
 
@@ -51,18 +52,16 @@ def grams(text: str | None) -> np.ndarray:
 
 class Filters:
     def __init__(self, languages: list[str], members: list[np.ndarray]):
-        if len(languages) > 64:
-            raise ValueError("a slot has 64 bits")
         self.languages = languages
         most = max([1, *map(len, members)])
         self.size = 1 << max(10, (SLOTS_PER_GRAM * most - 1).bit_length())
-        self.table = np.zeros(self.size, dtype=np.uint64)
+        self.tables = np.zeros((-(-len(languages) // BITS), self.size), dtype=np.uint64)
         self.false = []
-        for bit, own in enumerate(members):
+        for k, own in enumerate(members):
+            table, bit = self.tables[k // BITS], U64(k % BITS)
             for at in self.slots(own):
-                self.table[at] |= U64(1) << U64(bit)
-            filled = float(((self.table >> U64(bit)) & U64(1)).mean())
-            self.false.append(filled**HASHES)
+                table[at] |= U64(1) << bit
+            self.false.append(float(((table >> bit) & U64(1)).mean()) ** HASHES)
 
     def slots(self, hashes: np.ndarray):
         step = mix64(hashes) | U64(1)
@@ -75,11 +74,14 @@ class Filters:
         if not len(hashes) or not self.languages:
             return UNKNOWN, 0.0
         first, *rest = self.slots(hashes)
-        masks = self.table[first]
-        for at in rest:
-            masks &= self.table[at]
-        n = len(masks)
-        share = [max(0.0, (int(((masks >> U64(bit)) & U64(1)).sum()) / n - p) / (1 - p)) if p < 1 else 0.0 for bit, p in enumerate(self.false)]
+        counts = []
+        for table in self.tables:
+            masks = table[first]
+            for at in rest:
+                masks &= table[at]
+            counts += [int(((masks >> U64(bit)) & U64(1)).sum()) for bit in range(min(BITS, len(self.false) - len(counts)))]
+        n = len(hashes)
+        share = [max(0.0, (c / n - p) / (1 - p)) if p < 1 else 0.0 for c, p in zip(counts, self.false)]
         best = int(np.argmax(share))
         return self.languages[best], min(1.0, share[best])
 
@@ -88,12 +90,12 @@ def learn(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Filte
     """Filters from labelled rows (doc_id, text, lang). Of each language about `per_language` rows are sampled by a hash of
     their doc_id; only n-gram counts of the sample leave the executors."""
     counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
-    languages = sorted(counts, key=lambda x: (-counts[x], x))[:64]
+    languages = sorted(counts, key=lambda x: (-counts[x], x))
     if not languages:
         return Filters([], [])
     million = 1_000_000
     below = F.create_map(*[F.lit(x) for k in languages for x in (k, min(million, int(per_language / counts[k] * million) + 1))])
-    sample = labelled.where(F.col("lang").isin(languages)).where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(million)) < below[F.col("lang")])
+    sample = labelled.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(million)) < below[F.col("lang")])
 
     def make():
         def step(batch):
@@ -114,7 +116,8 @@ def learn(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Filte
 
 
 def identify(docs: DataFrame, filters: Filters, keep: list[str] | None = None) -> DataFrame:
-    """`docs` with lang_pred and score; `keep` names the columns to carry (default: doc_id)."""
+    """`docs` with lang_pred and score; `keep` names the columns to carry (default: doc_id). A text that is null or has no
+    letter is `und` with 0; rows that repeat are predicted each; an empty table stays empty."""
     keep = keep or ["doc_id"]
     sent = docs.sparkSession.sparkContext.broadcast(filters)  # SLOTS_PER_GRAM words an n-gram of the largest filter
     kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)

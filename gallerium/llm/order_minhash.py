@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .common import U64, arrow_map, mix64, seeds, window_hashes
 
 K, ELL, SKETCHES = 6, 2, 24
+NULL_RANGES = 64  # that rows without a doc_id are dealt to
 _MULTIPLIERS = seeds(SKETCHES, 4242)
 
 
@@ -22,12 +23,8 @@ def code_points(text: str) -> np.ndarray:
 def occurrence_numbers(kmers: np.ndarray) -> np.ndarray:
     """How many equal k-mers stand before each."""
     n = len(kmers)
-    if n < 1 << 20:
-        packed = np.sort((kmers & ~U64((1 << 20) - 1)) | np.arange(n, dtype=np.uint64))
-        ordered, order = packed >> U64(20), (packed & U64((1 << 20) - 1)).astype(np.int64)
-    else:
-        order = np.argsort(kmers, kind="stable")
-        ordered = kmers[order]
+    order = np.argsort(kmers, kind="stable")
+    ordered = kmers[order]
     at = np.arange(n)
     first = np.maximum.accumulate(np.where(np.concatenate([[True], ordered[1:] != ordered[:-1]]), at, 0))
     out = np.empty(n, dtype=np.uint64)
@@ -79,32 +76,35 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def with_next(docs: DataFrame) -> DataFrame:
     """Deals rows by ranges of doc_id, in falling order, each range followed by the first row of the next one (the last by
-    the first of all), so that a task sees each row's successor without one task holding all rows. Nulls come last,
-    rows that repeat a doc_id in order of their text."""
+    the first of all), so that a task sees each row's successor without one task holding all rows. Rows without a doc_id come
+    last, in ranges of their texts' hashes; rows that repeat a doc_id in order of that hash and the text."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("h"))
     shares = [k / parts for k in range(1, parts)]
     bounds = sorted(set(rows.agg(F.percentile_approx("doc_id", shares, 10000)).first()[0] or []), reverse=True) if shares else []
     array = F.lit(bounds) if bounds else F.array().cast("array<long>")
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(len(bounds))).otherwise(F.size(F.filter(array, lambda b: F.col("doc_id") < b)))
+    by_hash = F.shiftrightunsigned(F.col("h").bitwiseXOR(F.lit(-(1 << 63))), 64 - NULL_RANGES.bit_length() + 1).cast("int")
+    bucket = F.when(F.col("doc_id").isNull(), len(bounds) + by_hash).otherwise(F.size(F.filter(array, lambda b: F.col("doc_id") < b)))
     rows = rows.withColumn("bucket", bucket)
-    firsts = {r.bucket: r.first for r in rows.groupBy("bucket").agg(F.max("doc_id").alias("first")).collect()}  # a row a range
-    order = sorted(firsts)
-    hosts = [(firsts[b], b, order[k - 1]) for k, b in enumerate(order)]
-    targets = F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("guest")))
-    guests = [F.when((F.col("bucket") == b) & F.col("doc_id").eqNullSafe(F.lit(first)), F.array(F.struct(F.lit(host).alias("bucket"), F.lit(1).alias("guest")))) for first, b, host in hosts]
-    if guests:
-        targets = F.concat(targets, F.coalesce(*guests, F.array().cast("array<struct<bucket:int,guest:int>>")))
-    dealt = rows.select("doc_id", "text", F.explode(targets).alias("t")).select(F.col("t.bucket").alias("bucket"), F.col("t.guest").alias("guest"), "doc_id", "text")
-    return dealt.repartition(parts, "bucket").sortWithinPartitions("bucket", "guest", F.desc_nulls_last("doc_id"), "text")
+    firsts = rows.groupBy("bucket").agg(F.max(F.struct("doc_id", F.bitwise_not("h").alias("h"))).alias("first")).collect()  # a row a range
+    order = sorted(firsts, key=lambda r: r.bucket)
+    hosts = spark.createDataFrame([(r.bucket, order[k - 1].bucket, r.first.doc_id, ~r.first.h) for k, r in enumerate(order)], "bucket int, host int, first long, first_h long")
+    told = rows.join(F.broadcast(hosts), "bucket")  # broadcast: a row a range
+    own, guest = (F.struct(F.col(b).alias("bucket"), F.lit(g).alias("guest")) for b, g in (("bucket", 0), ("host", 1)))
+    is_first = F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("h") == F.col("first_h"))
+    dealt = told.select("doc_id", "h", "text", F.explode(F.when(is_first, F.array(own, guest)).otherwise(F.array(own))).alias("t"))
+    dealt = dealt.select(F.col("t.bucket").alias("bucket"), F.col("t.guest").alias("guest"), "doc_id", "text", "h")
+    return dealt.repartition(parts, "bucket").sortWithinPartitions("bucket", "guest", F.desc_nulls_last("doc_id"), "h", "text").drop("h")
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text: the last floor(n_chars / 3) code points replaced by the first as many (or all) of the next document in
-    falling order of doc_id; the last one's next is the first. A table of one row has itself as next."""
+    falling order of doc_id; the last one's next is the first. A table of one row has itself as next. Null texts are empty;
+    rows without a doc_id come last and rows that repeat one stand side by side, in order of their texts."""
 
     def make():
         held: list = []  # bucket, doc_id, codes, fingerprint of the row before

@@ -358,6 +358,48 @@ def test_order_minhash(docs, empty, spark):
     assert alone.near_next == 1.0
 
 
+def plain_fingerprint(text):
+    """Order MinHash by the book, in whole numbers: no arrays."""
+    mask = (1 << 64) - 1
+
+    def mixed(x):
+        x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & mask
+        x = ((x ^ x >> 27) * 0x94D049BB133111EB) & mask
+        return x ^ x >> 31
+
+    if not text:
+        return ""
+    base, k = common._MULTIPLIER, min(order_minhash.K, len(text))
+    kmers = [mixed(sum(mixed(ord(c)) * pow(base, j, 1 << 64) for j, c in enumerate(text[i : i + k])) & mask) for i in range(len(text) - k + 1)]
+    seen, items = Counter(), []
+    for x in kmers:
+        items.append(mixed((x + seen[x] * 0x9E3779B97F4A7C15) & mask))
+        seen[x] += 1
+    out = ""
+    for s, m in enumerate(order_minhash._MULTIPLIERS.tolist()):
+        least = sorted(range(len(items)), key=lambda i: (items[i] * m & mask, i))[: order_minhash.ELL]
+        value = s
+        for i in sorted(least):
+            value = mixed((value * 0x9E3779B97F4A7C15 + kmers[i]) & mask)
+        out += f"{value >> 32:08x}"
+    return out
+
+
+def test_order_minhash_against_plain():
+    rng = random.Random(6)
+    for text in ["", "a", "abcde", "abcdef", "aaaaaaaaaa", "ab" * 50, "漢字🙂é" * 9, prose(rng, 60)]:
+        assert order_minhash.fingerprint(order_minhash.code_points(text)) == plain_fingerprint(text)
+
+
+def test_order_minhash_of_null_and_repeated_ids(spark):
+    rows = [(None, f"text {k} without id") for k in range(40)] + [(3, "x y z"), (3, "x y z"), (3, "p q r"), (8, None), (1, "")] + [(None, None)] * 3
+    got = order_minhash.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    want = Counter((i, len(t or ""), plain_fingerprint(t or "")) for i, t in rows)
+    assert Counter((r.doc_id, r.n_chars, r.fingerprint) for r in got) == want
+    marks = Counter(plain_fingerprint(t or "") for _, t in rows)
+    assert sum(r.near_next == 1.0 for r in got) <= sum(n for n in marks.values() if n > 1)  # each row has one other row after it
+
+
 def test_order_minhash_follows_edits_and_order():
     rng = random.Random(3)
     words = prose(rng, 400).split()
@@ -376,6 +418,34 @@ def test_occurrence_numbers():
     assert order_minhash.occurrence_numbers(values).tolist() == [0, 0, 1, 2, 1]
 
 
+def test_language_filters_against_sets():
+    rng = random.Random(14)
+    letters = [chr(0x100 + k) for k in range(300)]
+    names, members, texts = [], [], []
+    for k in range(130):  # more languages than a slot has bits
+        own = rng.sample(letters, 12)
+        sample = [" ".join("".join(rng.choices(own, k=4)) for _ in range(60)) for _ in range(3)]
+        names.append(f"l{k}")
+        members.append(np.unique(np.concatenate([language.grams(t) for t in sample])))
+        texts.append(sample[0])
+    filters = language.Filters(names, members)
+    for k, text in enumerate(texts):
+        have = language.grams(text).tolist()
+        share = [sum(x in own for x in have) / len(have) for own in (set(m.tolist()) for m in members)]
+        found, score = filters.predict(text)
+        assert found == names[k] == names[int(np.argmax(share))] and abs(score - max(share)) < 0.01
+
+
+def test_language_learns_any_number(spark):
+    rng = random.Random(15)
+    rows = [(i, " ".join("".join(rng.choices([chr(0x400 + 3 * (i % 70) + j) for j in range(3)], k=4)) for _ in range(20)), f"l{i % 70}") for i in range(700)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    filters = language.learn(frame)
+    assert len(filters.languages) == 70
+    got = language.identify(frame.withColumn("lang_pred", F.lit("x")), filters, ["doc_id", "lang"]).collect()
+    assert sum(r.lang == r.lang_pred for r in got) > 0.95 * len(rows)
+
+
 def test_avi_round_trip(docs, empty):
     rows = dict(fixture_rows())
     for r in avi.read_media(avi.to_media(docs)).collect():
@@ -420,7 +490,7 @@ def test_language_filters_hold_their_members():
     members = [common.mix64(np.arange(1, 2000, dtype=np.uint64)), common.mix64(np.arange(1500, 3000, dtype=np.uint64))]
     filters = language.Filters(["a", "b"], members)
     for bit, own in enumerate(members):
-        masks = np.bitwise_and.reduce([filters.table[s] for s in filters.slots(own)])
+        masks = np.bitwise_and.reduce([filters.tables[0][s] for s in filters.slots(own)])
         assert ((masks >> np.uint64(bit)) & np.uint64(1)).all()
     assert max(filters.false) < 0.02
 
