@@ -64,7 +64,9 @@ def op8_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return avi.read_media(avi.to_media(documents(spark, sf_dir))).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    read = avi.read_media(avi.to_media(documents(spark, sf_dir)))
+    timed = F.transform("clips", lambda c: F.format_string("%.2f-%.2f:%.1f", c["start_s"], c["end_s"], c["mean"]))
+    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", F.array_join(timed, ";").alias("clips"))
 
 
 def op10_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -463,13 +463,107 @@ def test_avi_samples_and_shots():
     samples[0], samples[1] = 255, 0
     film = avi.read_avi(avi.write_avi(avi.encode_frames(samples)))
     assert (film["width"], film["height"], film["rate"]) == (24, 24, 25)
-    assert (avi.decode_frames(film["frames"]) == samples).all()
+    assert (np.array(avi.decode_frames(film["frames"])) == samples).all()
     scene = np.concatenate([np.full((20, 576), 30), np.full((15, 576), 200), np.full((9, 576), 90)]).astype(np.uint8)
     assert avi.shots(scene) == [0, 20, 35]
     with pytest.raises(ValueError):
         avi.read_avi(b"RIFFxxxxWAVE")
 
 
+BYTE_CODES = bytes([0] * 7 + [255] + [0] * 8) + bytes(range(255))  # each symbol below 255 is its own code of eight bits
+
+
+def segment(mark, body):
+    return bytes([255, mark]) + (len(body) + 2).to_bytes(2, "big") + body
+
+
+def scan_bytes(bits):
+    bits += "1" * (-len(bits) % 8)
+    return int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\x00")
+
+
+def signed_bits(value):
+    size = abs(value).bit_length()
+    return size, format(value if value > 0 else value + (1 << size) - 1, f"0{size}b") if size else ""
+
+
+@pytest.mark.parametrize("sampling, restart", [([(1, 1)], 0), ([(2, 2), (1, 1), (1, 1)], 0), ([(1, 1), (1, 1), (1, 1)], 2), ([(2, 1), (1, 1)], 1)])
+def test_avi_reads_foreign_baseline_frames(sampling, restart):
+    """Frames by a plain encoder of our own for the test: other tables, markers, sampling and restarts."""
+    rng = np.random.default_rng(5)
+    height, width = 21, 37
+    wide, high = max(h for h, _ in sampling), max(v for _, v in sampling)
+    down, across = -(-height // (8 * high)), -(-width // (8 * wide))
+    y, x = np.mgrid[: down * high * 8, : across * wide * 8]
+    luma = np.clip(128 + 60 * np.sin(x / 5) + 40 * np.cos(y / 4) + rng.integers(-9, 9, x.shape), 0, 255)
+    planes = [luma, *(np.full((down * v * 8, across * h * 8), 90.0) for h, v in sampling[1:])]
+    wave = np.array([[(0.125**0.5 if u == 0 else 0.5) * np.cos((2 * k + 1) * u * np.pi / 16) for u in range(8)] for k in range(8)])
+    order = sorted(range(64), key=lambda k: (k // 8 + k % 8, k // 8 if (k // 8 + k % 8) % 2 else k % 8))
+    scans, bits, before = [], "", [0] * len(sampling)
+    for unit in range(down * across):
+        if restart and unit and unit % restart == 0:
+            scans.append(scan_bytes(bits))
+            bits, before = "", [0] * len(sampling)
+        for n, (h, v) in enumerate(sampling):
+            for k in range(h * v):
+                top, left = 8 * (unit // across * v + k // h), 8 * (unit % across * h + k % h)
+                block = np.round(wave.T @ (planes[n][top : top + 8, left : left + 8] - 128) @ wave / 2).astype(int).ravel()[order].tolist()
+                size, more = signed_bits(block[0] - before[n])
+                before[n] = block[0]
+                bits += format(size, "08b") + more
+                zeros = 0
+                for value in block[1:]:
+                    if value:
+                        bits += "11110000" * (zeros // 16)
+                        size, more = signed_bits(value)
+                        bits += format(zeros % 16 * 16 + size, "08b") + more
+                        zeros = 0
+                    else:
+                        zeros += 1
+                if zeros:
+                    bits += "00000000"
+    scans.append(scan_bytes(bits))
+    data = b"".join(s + bytes([255, 0xD0 + k % 8]) for k, s in enumerate(scans[:-1])) + scans[-1]
+    n = len(sampling)
+    frame = b"\xff\xd8" + segment(0xE0, b"JFIF\0\1\1\0\0\1\0\1\0\0") + segment(0xFE, b"\xff\xda") + segment(0xDB, bytes([0]) + bytes([2] * 64))
+    frame += segment(0xC0, bytes([8, 0, height, 0, width, n]) + b"".join(bytes([k + 1, h << 4 | v, 0]) for k, (h, v) in enumerate(sampling)))
+    frame += segment(0xC4, b"\x00" + BYTE_CODES + b"\x11" + BYTE_CODES) + segment(0xDD, bytes([0, restart]))
+    frame += segment(0xDA, bytes([n]) + b"".join(bytes([k + 1, 0x01]) for k in range(n)) + bytes([0, 63, 0])) + data + b"\xff\xd9"
+    (found,) = avi.decode_frames([frame])
+    assert np.abs(found.reshape(height, width) - luma[:height, :width]).max() <= 6
+
+
+@pytest.mark.parametrize("predictor", [1, 2, 3, 4, 5, 6, 7])
+def test_avi_reads_foreign_lossless_frames(predictor):
+    rng = np.random.default_rng(predictor)
+    frames, want = [], []
+    for _ in range(3):
+        grid = rng.integers(0, 256, (5, 7)).tolist()
+        bits = ""
+        for y in range(5):
+            for x in range(7):
+                a, b, c = grid[y][x - 1], grid[y - 1][x], grid[y - 1][x - 1]
+                guess = [a, b, c, a + b - c, a + (b - c >> 1), b + (a - c >> 1), a + b >> 1][predictor - 1] if x and y else a if x else b if y else 128
+                size, more = signed_bits(grid[y][x] - guess)
+                bits += format(size, "08b") + more
+        want.append(np.array(grid).ravel())
+        frames.append(b"\xff\xd8" + segment(0xC4, b"\x01" + BYTE_CODES) + segment(0xC3, bytes([8, 0, 5, 0, 7, 1, 1, 0x11, 0])) + segment(0xDA, bytes([1, 1, 0x10, predictor, 0, 0])) + scan_bytes(bits) + b"\xff\xd9")
+    assert (np.array(avi.decode_frames(frames)) == np.array(want)).all()
+    with pytest.raises(ValueError):
+        avi.decode_frames([frames[0][:-12]])
+
+
+def test_avi_table_is_made_from_data(monkeypatch):
+    lengths = avi.code_lengths([100, 50, 20, 5, 0, 1])
+    assert lengths[4] == 0 and lengths[0] == 1 and lengths == sorted(lengths[:4]) + lengths[4:]
+    assert sum(2.0**-n for n in lengths if n) < 1  # the code of ones only is free
+    monkeypatch.setattr(avi, "DECODED", 3)  # many slices
+    text = np.frombuffer(prose(random.Random(1), 4000).encode()[: 576 * 11], dtype=np.uint8).reshape(-1, 576)
+    frames = avi.encode_frames(text)
+    assert (np.array(avi.decode_frames(frames)) == text).all()
+    assert sum(map(len, frames)) < 576 * 11 * 1.1
+
+
 def test_language(spark, empty):
     rng = random.Random(6)
     speak = {"aa": "the an re er ing".split(), "bb": "ció que ado las ez".split(), "cc": "漢 字 語 学 校".split()}
