@@ -1,8 +1,12 @@
-"""Toxicity by a weighted finite-state grammar.
-
-Words become class letters by a lexicon (learned insult stems, given threats, targets, negations and reporting verbs). Three
-transducers rewrite the classes of a clause - after a negation, after a reporting verb, after a target - and are composed
-into one table. Matched clauses are counted by what the composition makes of them; labelled rows give the weights.
+"""Toxicity by a weighted finite-state grammar of clauses.
+
+Words become class letters by a lexicon (learned insult stems, given insults, threats, targets, negations and reporting verbs).
+Transducers mark the insults and threats of a clause that stand near a negation, a reporting verb or a target: those composed
+for one direction read a clause forwards, those for the other backwards, so that "you idiot" and "idiot, you" are the same. The
+marks say which patterns a clause matches: an insult at a target, a threat at a target, an insult at nobody, a threat at nobody,
+what is only denied or reported, and several insults or threats at once. A text's score weighs how many clauses match each pattern, however many of its words do;
+labelled rows move the weights from given ones. A pattern of its own, with a weight of its own, is the insult at nobody: where
+labels call it toxic, it counts, and in labels of isolated words it carries most of the score.
 """
 
 from __future__ import annotations
@@ -19,17 +23,22 @@ from .common import arrow_map, materialize
 TRAIN_ROWS = 20_000  # labelled rows that are learned from, in expectation
 STEMS = (4, 5, 6)
 LEAST_ODDS, LEAST_DOCS, LEAST_SHARE, MARGIN = 2.5, 3, 0.003, 6.0
-REACH = 3  # words that a negation or target reaches
 MEMO_WORDS = 200_000
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, BREAK = "o", "I", "H", "T", "N", "R", "."
-# The given classes.
+OTHER, INSULT, THREAT, TARGET, OBJECT, NEGATION, REPORT, BREAK = "o", "I", "H", "T", "O", "N", "R", "."
+LETTERS = (OTHER, INSULT, THREAT, TARGET, OBJECT, NEGATION, REPORT, BREAK)
+# The given classes. An object can stand before its verb.
 GIVEN = {
-    INSULT: "idiot idiots moron morons stupid pathetic worthless loser losers scum trash disgusting",
-    THREAT: "kill murder hurt destroy strangle töten umbringen tuer tuez matar mataré",
-    TARGET: "you your yours yourself du dich dir ihr euch tu toi vous usted ustedes vosotros",
-    NEGATION: "not never isn't aren't don't nicht kein keine niemals jamais nunca",
-    REPORT: "said says wrote quoted called calls sagte schrieb nannte écrit disait dijo escribió llamó",
+    INSULT: "idiot idiots moron morons imbecile imbeciles cretin cretins stupid pathetic worthless loser losers scum scumbag scumbags disgusting bastard bastards asshole assholes dumbass idiotin vollidiot arschloch schwachkopf abschaum connard connasse crétin abruti imbécile idiote idiota imbécil estúpido estúpida pendejo gilipollas",
+    THREAT: "kill murder hurt destroy strangle stab shoot töten umbringen verprügeln erwürgen tuer tuerai tuez frapper étrangler matar mataré matarte pegarte",
+    TARGET: "you your you're you'll yours yourself u du ihr tu toi vous usted ustedes vosotros he she they him her them his their",
+    OBJECT: "dich dir euch te os le",
+    NEGATION: "not no never nobody none nor neither without isn't aren't wasn't weren't don't doesn't didn't won't wouldn't can't cannot nicht kein keine keinen keiner niemand nie ohne pas aucun aucune personne niemals jamais sans nunca nadie ningún ninguna sin",
+    REPORT: "said says saying wrote written writes quoted quotes called calls calling named reported sagte sagt schrieb nannte nennt écrit écrivait disait dit appelait dijo dice escribió llamó llamaba",
 }
+#: What a clause can match, and the weights that labels move: log(1 + clauses) times these, and the last is the bias.
+PATTERNS = ("insult at a target", "insult at nobody", "threat at a target", "threat at nobody", "insult denied or reported", "threat denied or reported", "several of them")
+GIVEN_WEIGHTS = np.array([4.0, 2.0, 5.0, 0.5, 0.5, 0.5, 1.0])
+GIVEN_BIAS = -2.0
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|[.!?;:]")
 
 
@@ -53,42 +62,71 @@ class Transducer:
         return Transducer((self.start, other.start), step)
 
 
-def after(trigger: str, mark: str, reach: int | None) -> Transducer:
-    """Marks insults and threats up to `reach` words after a trigger (None: to the end of the clause)."""
+def near(triggers: str, mark: str, reach: int | None, kinds: str) -> Transducer:
+    """Marks words of `kinds` up to `reach` words after a trigger (None: to the end of the clause)."""
 
     def step(state, symbol):
         kind = symbol[0]
         if kind == BREAK:
             return 0, symbol
-        left = state - 1 if state > 0 and reach is not None else state
-        if kind == trigger:
+        left = max(state - 1, 0) if reach is not None else state
+        if kind in triggers:
             return (reach or 1), symbol
-        return max(left, 0), symbol + mark if state and kind in (INSULT, THREAT) else symbol
+        return left, symbol + mark if state and kind in kinds else symbol
 
     return Transducer(0, step)
 
 
-GRAMMAR = after(NEGATION, "n", REACH).compose(after(REPORT, "r", None)).compose(after(TARGET, "t", REACH))
-#: What the grammar makes of an insult or threat, with any marks; each is a feature.
-OUTPUTS = [kind + n + r + t for kind in (INSULT, THREAT) for n in ("", "n") for r in ("", "r") for t in ("", "t")]
-_PLACE = {x: i for i, x in enumerate(OUTPUTS)}
+def composed(*parts: Transducer) -> Transducer:
+    first, *rest = parts
+    for part in rest:
+        first = first.compose(part)
+    return first
+
+
+BOTH = INSULT + THREAT
+FORWARDS = composed(near(NEGATION, "n", 4, BOTH), near(REPORT, "r", None, BOTH), near(TARGET + OBJECT, "t", 4, INSULT), near(OBJECT, "t", 2, THREAT))
+BACKWARDS = composed(near(NEGATION, "n", 2, INSULT), near(REPORT, "r", 4, BOTH), near(TARGET + OBJECT, "t", 3, INSULT), near(TARGET + OBJECT, "t", 2, THREAT))
 
 
-def table_of(grammar: Transducer) -> dict:
-    """All reachable transitions: (state, letter) to (state, output)."""
-    table, todo = {}, [grammar.start]
-    seen = {grammar.start}
+def table_of(grammar: Transducer) -> tuple[int, dict]:
+    """The start and all reachable transitions, states numbered: (state, letter) to (state, marks)."""
+    number, todo, table = {grammar.start: 0}, [grammar.start], {}
     while todo:
         state = todo.pop()
-        for letter in (OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, BREAK):
-            to, out = table[state, letter] = grammar.step(state, letter)
-            if to not in seen:
-                seen.add(to)
+        for letter in LETTERS:
+            to, out = grammar.step(state, letter)
+            if to not in number:
+                number[to] = len(number)
                 todo.append(to)
-    return table
+            table[number[state], letter] = number[to], out[1:]
+    return 0, table
+
+
+_FORWARDS, _BACKWARDS = table_of(FORWARDS), table_of(BACKWARDS)
 
 
-_TABLE = table_of(GRAMMAR)
+def marks_of(letters: str, grammar: tuple[int, dict]) -> list[str]:
+    state, table = grammar
+    out = []
+    for letter in letters:
+        state, marks = table[state, letter]
+        out.append(marks)
+    return out
+
+
+def patterns_of(clause: str) -> frozenset[int]:
+    """The places in PATTERNS of what a clause, as class letters, matches."""
+    before, after = marks_of(clause, _FORWARDS), marks_of(clause[::-1], _BACKWARDS)[::-1]
+    found, several = set(), sum(map(clause.count, BOTH)) > 1
+    for letter, a, b in zip(clause, before, after):
+        if letter in BOTH:
+            marks = a + b
+            if "n" in marks or "r" in marks:
+                found.add(4 if letter == INSULT else 5)
+            else:
+                found.add((0 if "t" in marks else 1) if letter == INSULT else (2 if "t" in marks else 3))
+    return frozenset(found | {6} if several else found)
 
 
 class Classes(dict):
@@ -109,19 +147,16 @@ class Classes(dict):
 
 
 def features(text: str | None, classes: Classes) -> list[int]:
-    """How many clauses hold each output of the grammar, counted with repetitions in a clause."""
-    out = [0] * len(OUTPUTS)
-    for line in (text or "").lower().split("\n"):
+    """How many clauses match each pattern, once each."""
+    out = [0] * len(PATTERNS)
+    for line in (text or "").lower().replace("’", "'").split("\n"):
         letters = "".join(map(classes.__getitem__, line.split()))
         if INSULT not in letters and THREAT not in letters:
             continue
         for clause in letters.split(BREAK):
             if INSULT in clause or THREAT in clause:
-                state = GRAMMAR.start
-                for letter in clause:
-                    state, made = _TABLE[state, letter]
-                    if made[0] in (INSULT, THREAT):
-                        out[_PLACE[made]] += 1
+                for k in patterns_of(clause):
+                    out[k] += 1
     return out
 
 
@@ -130,24 +165,19 @@ class Model:
         self.lexicon, self.weights = lexicon, weights
 
     def score(self, counts: list[int]) -> float:
-        z = float(self.weights[0] + self.weights[1:] @ summary(np.array([counts]))[0])
+        z = float(self.weights[0] + self.weights[1:] @ np.log1p(counts))
         return 1 / (1 + float(np.exp(-np.clip(z, -30, 30))))
 
 
-def summary(counts: np.ndarray) -> np.ndarray:
-    """Logarithms of: all insults, all threats, and of both those negated, reported and targeted."""
-    pick = lambda test: counts[:, [i for i, x in enumerate(OUTPUTS) if test(x)]].sum(axis=1)
-    return np.log1p(np.stack([pick(lambda x: x[0] == INSULT), pick(lambda x: x[0] == THREAT), pick(lambda x: "n" in x), pick(lambda x: "r" in x), pick(lambda x: "t" in x)], axis=1))
-
-
 def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 60) -> np.ndarray:
-    """Ridge logistic regression by damped Newton steps; the bias isn't penalised."""
+    """Ridge logistic regression by damped Newton steps, drawn to the given weights instead of none; the bias is free."""
     design = np.concatenate([np.ones((len(x), 1)), x], axis=1)
-    weights = np.zeros(design.shape[1])
+    given = np.array([GIVEN_BIAS, *GIVEN_WEIGHTS])
+    weights = given.copy()
     penalty = np.diag([1e-6, *[ridge] * x.shape[1]])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(design @ weights, -30, 30)))
-        step = np.linalg.solve((design * (p * (1 - p))[:, None]).T @ design + penalty, design.T @ (y - p) - penalty @ weights)
+        step = np.linalg.solve((design * (p * (1 - p))[:, None]).T @ design + penalty, design.T @ (y - p) - penalty @ (weights - given))
         weights += np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-6:
             break
@@ -202,8 +232,8 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     x = arrow_map(sample, "toxic int, counts array<int>", lambda: _featured(Classes(lexicon))).toArrow()  # `rows` rows of a few numbers
     y = x.column("toxic").to_numpy().astype(float)
     if not len(y):
-        return Model(lexicon, np.array([-2.0, 3.0, 3.0, 0, 0, 0]))
-    return Model(lexicon, fit_weights(summary(np.array(x.column("counts").to_pylist())), y))
+        return Model(lexicon, np.array([GIVEN_BIAS, *GIVEN_WEIGHTS]))
+    return Model(lexicon, fit_weights(np.log1p(np.array(x.column("counts").to_pylist())), y))
 
 
 def _featured(classes: Classes):
@@ -214,7 +244,8 @@ def _featured(classes: Classes):
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """`docs` with score (0 to 1) and predicted (1 from 0.5 on); null and empty texts get the score of no match."""
+    """`docs` with score (0 to 1) and predicted (1 from 0.5 on); null and empty texts get the score of no match, rows
+    that repeat are scored each, an empty table stays empty."""
     keep = keep or ["doc_id"]
     sent = docs.sparkSession.sparkContext.broadcast((model.lexicon, model.weights))  # stems of LEAST_SHARE of the sample
     kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
@@ -222,7 +253,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
     def make():
         own = Model(*sent.value)
         classes = Classes(own.lexicon)
-        nothing = own.score([0] * len(OUTPUTS))
+        nothing = own.score([0] * len(PATTERNS))
 
         def step(batch):
             scores = []

@@ -609,16 +609,62 @@ def test_toxicity(spark, empty):
     assert toxicity.score(empty, unlearned).count() == 0
 
 
-def test_toxicity_grammar():
-    classes = toxicity.Classes(toxicity.given_lexicon())
-    found = lambda text: {o for o, n in zip(toxicity.OUTPUTS, toxicity.features(text, classes)) if n}
-    assert found("he is an idiot") == {"I"}
-    assert found("he is not an idiot") == {"In"}
-    assert found("they said idiot") == {"Ir"}
-    assert found("you idiot") == {"It"}
-    assert found("not he. idiot") == {"I"}
-    assert found("I will kill you") == {"H"}
-    assert found("nothing here") == set()
+def patterns(text):
+    counts = toxicity.features(text, toxicity.Classes(toxicity.given_lexicon()))
+    return {name: n for name, n in zip(toxicity.PATTERNS, counts) if n}
+
+
+@pytest.mark.parametrize("text, pattern", [
+    ("what an idiot", "insult at nobody"),
+    ("idiot, you", "insult at a target"),
+    ("you are such an idiot", "insult at a target"),
+    ("You’re an idiot!", "insult at a target"),
+    ("vous, vous êtes stupid", "insult at a target"),
+    ("you are no idiot", "insult denied or reported"),
+    ("nobody is an idiot", "insult denied or reported"),
+    ("they said idiot", "insult denied or reported"),
+    ("an idiot, he said", "insult denied or reported"),
+    ("I will kill you", "threat at a target"),
+    ("ich werde dich umbringen", "threat at a target"),
+    ("I kill time", "threat at nobody"),
+    ("you kill time", "threat at nobody"),
+    ("we will not kill you", "threat denied or reported"),
+])
+def test_toxicity_grammar(text, pattern):
+    assert patterns(text) == {pattern: 1}
+
+
+def test_toxicity_counts_clauses():
+    assert patterns("not he. idiot") == {"insult at nobody": 1}
+    assert patterns("idiot and moron and scum. a loser") == {"insult at nobody": 2, "several of them": 1}
+    assert patterns("you idiot\nyou idiot") == {"insult at a target": 2}
+    assert patterns("nothing here") == {} == patterns(None)
+    model = toxicity.Model(toxicity.given_lexicon(), np.array([toxicity.GIVEN_BIAS, *toxicity.GIVEN_WEIGHTS]))
+    score = lambda t: model.score(toxicity.features(t, toxicity.Classes(model.lexicon)))
+    assert score("I will kill you") > 0.5 > score("I kill time") and score("you idiot") > 0.5 > score("you are no idiot")
+
+
+def plain_patterns(letters):
+    """The clause patterns by looking around each word."""
+    found = set()
+    for i, letter in enumerate(letters):
+        if letter not in "IH":
+            continue
+
+        def trigger(kinds, reach, step):
+            return any(letters[j] in kinds for j in range(i + step, i + step * (reach + 1), step) if 0 <= j < len(letters))
+
+        denied = trigger("N", 4, -1) or trigger("R", 99, -1) or trigger("R", 4, 1) or (letter == "I" and trigger("N", 2, 1))
+        near = trigger("TO", 4, -1) or trigger("TO", 3, 1) if letter == "I" else trigger("O", 2, -1) or trigger("TO", 2, 1)
+        found.add((4 if letter == "I" else 5) if denied else {"I": (1, 0), "H": (3, 2)}[letter][near])
+    return found | ({6} if sum(x in "IH" for x in letters) > 1 else set())
+
+
+def test_toxicity_transducers_against_plain():
+    rng = random.Random(19)
+    for _ in range(3000):
+        letters = "".join(rng.choices("ooooIHTONR", k=rng.randint(1, 12)))
+        assert toxicity.patterns_of(letters) == plain_patterns(letters), letters
 
 
 PAGES = [
