@@ -1,9 +1,12 @@
 """Chat formatting in budgeted windows, by DataFrame functions only.
 
 A turn is `<s>role<n>text</s>`. In roles and texts a backslash is doubled and follows each less-than sign, so no control
-string can occur in them and the change can be undone. Prefix sums of turn tokens deal turns to windows of `stride` tokens;
-each window repeats the conversation's system turn and the turns of the window before that began within `history` tokens of
-its own first one. The loss mask covers the texts of the assistant turns that a window is the first to hold.
+string can occur in them and the change can be undone. A turn's tokens are its runs of letters, its digits and its runs of other
+signs, and what the template adds. Prefix sums of these deal turns to windows: turns that begin in one stretch of a
+conversation's stride are one window, a turn longer than that is a window of its own. The stride is half of what the budget
+leaves beside the system turn and the history, so that a window keeps to the budget unless a turn can't. Each window repeats
+the conversation's system turn and the turns of the window before that began within `history` tokens of its own first one. The
+loss mask covers the texts of the assistant turns that a window is the first to hold.
 """
 
 from __future__ import annotations
@@ -11,8 +14,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-STRIDE, HISTORY = 1024, 256  # tokens of new turns that begin in a window; tokens of history it repeats
-CHARS_PER_TOKEN, TURN_TOKENS = 4, 4
+BUDGET, HISTORY = 2304, 256  # tokens of a window; tokens of history it repeats
+LEAST_STRIDE = 8  # parts of the budget: the least stride, however long the system turn
+PIECES, TURN_TOKENS = r"\p{L}+|\p{N}|[^ \t\n\x0B\f\r\p{L}\p{N}]+", 4
 OPEN, CUT, CLOSE = "<s>", "<n>", "</s>"
 TARGET, SYSTEM = "assistant", "system"
 
@@ -25,30 +29,36 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"(<)\\|(\\)\\", "$1$2")
 
 
-def windows(turns: DataFrame, stride: int = STRIDE, history: int = HISTORY) -> DataFrame:
+def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
     """conv_id, window, formatted, n_repeated (turns at the front that an earlier window held), n_new, tokens and loss (an
     array of (start, length) in code points of formatted).
 
     `turns` has conv_id, turn, role, text; other columns are ignored. A null role or text is empty; a null conv_id is a
-    conversation of its own; rows of one turn number are ordered by role and text. An empty table has no windows."""
+    conversation of its own; rows of one turn number are ordered by role and text. An empty table has no windows. A
+    conversation is ordered in one task; no row holds more of it than a window and the one before."""
     own = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     base = turns.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     head = F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(CUT))
     body = F.concat(head, escape(F.col("text")), F.lit(CLOSE))
-    tokens = F.ceil(F.length("text") / CHARS_PER_TOKEN) + TURN_TOKENS
-    sized = base.select("conv_id", "turn", "role", "text", tokens.alias("tokens"), F.row_number().over(own).alias("seq"), (F.sum(tokens).over(own.rowsBetween(Window.unboundedPreceding, 0)) - tokens).alias("before"), F.sum(F.length(body)).over(own.rowsBetween(Window.unboundedPreceding, 0)).alias("written"))
-    placed = sized.select(
-        "conv_id", "seq", "role", "before", "tokens",
-        F.floor(F.col("before") / stride).alias("slot"),
+    tokens = F.regexp_count("text", F.lit(PIECES)) + TURN_TOKENS
+    counted = base.select("conv_id", "turn", "role", "text", tokens.alias("tokens"), F.row_number().over(own).alias("seq"))
+    is_system = (F.col("seq") == 1) & (F.col("role") == SYSTEM)
+    so_far = own.rowsBetween(Window.unboundedPreceding, 0)
+    stride = F.greatest(F.floor((budget - history - F.first(F.when(is_system, F.col("tokens")).otherwise(0)).over(so_far)) / 2), F.lit(budget // LEAST_STRIDE))
+    strided = counted.select("*", stride.alias("stride"), is_system.alias("is_system"), (F.sum("tokens").over(so_far) - F.col("tokens")).alias("before"), F.sum(F.length(body)).over(so_far).alias("written"))
+    long = (F.col("tokens") > F.col("stride")).cast("int")
+    placed = strided.select(
+        "conv_id", "seq", "role", "before", "tokens", "is_system",
+        F.floor(F.col("before") / F.col("stride")).alias("slot"),
+        (2 * F.sum(long).over(so_far) - long).alias("part"),
         body.alias("body"),
         (F.col("written") - F.length(body)).alias("from"),
         F.length(head).alias("head"),
         F.length(escape(F.col("text"))).alias("chars"),
-        ((F.col("seq") == 1) & (F.col("role") == SYSTEM)).alias("is_system"),
     )
     turn = F.struct("seq", "role", "before", "tokens", "body", "chars", "is_system", "from", "head")
-    grouped = placed.groupBy("conv_id", "slot").agg(F.sort_array(F.collect_list(turn)).alias("new"), F.min("before").alias("first"))
-    by_slot = Window.partitionBy("conv_id").orderBy("slot")
+    grouped = placed.groupBy("conv_id", "slot", "part").agg(F.sort_array(F.collect_list(turn)).alias("new"), F.min("before").alias("first"))
+    by_slot = Window.partitionBy("conv_id").orderBy("first")
     first_turn = F.first("new").over(by_slot.rowsBetween(Window.unboundedPreceding, Window.currentRow))[0]
     linked = grouped.select("conv_id", "new", "first", (F.row_number().over(by_slot) - 1).alias("window"), F.lag("new").over(by_slot).alias("last"), first_turn.alias("start"))
     repeats_system = (F.col("window") > 0) & F.col("start.is_system")

@@ -91,14 +91,15 @@ WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
   UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
-s AS (SELECT *, row_number() OVER w AS seq, ceil(length(text) / {float(chat.CHARS_PER_TOKEN)})::BIGINT + {chat.TURN_TOKENS} AS tokens,
+s AS (SELECT *, row_number() OVER w AS seq, len(regexp_extract_all(text, '{chat.PIECES}')) + {chat.TURN_TOKENS} AS tokens,
   {len(chat.OPEN + chat.CUT + chat.CLOSE)} + length(replace(replace(role, '\\', '\\\\'), '<', '<\\')) + length(replace(replace(text, '\\', '\\\\'), '<', '<\\')) AS size
   FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
-b AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY conv_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s),
-p AS (SELECT *, (before // {chat.STRIDE}) AS slot, seq = 1 AND role = '{chat.SYSTEM}' AS is_system FROM b),
-g AS (SELECT conv_id, slot, min(before) AS first FROM p GROUP BY conv_id, slot),
-f AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY slot) AS k FROM g),
-q AS (SELECT p.*, f.k FROM p JOIN f ON p.conv_id IS NOT DISTINCT FROM f.conv_id AND p.slot = f.slot),
+y AS (SELECT *, coalesce(max(tokens) FILTER (seq = 1 AND role = '{chat.SYSTEM}') OVER (PARTITION BY conv_id), 0) AS system FROM s),
+b AS (SELECT *, greatest(({chat.BUDGET} - {chat.HISTORY} - system) // 2, {chat.BUDGET // chat.LEAST_STRIDE}) AS stride, coalesce(sum(tokens) OVER (PARTITION BY conv_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM y),
+p AS (SELECT *, (before // stride) AS slot, 2 * sum((tokens > stride)::INT) OVER (PARTITION BY conv_id ORDER BY seq) - (tokens > stride)::INT AS part, seq = 1 AND role = '{chat.SYSTEM}' AS is_system FROM b),
+g AS (SELECT conv_id, slot, part, min(before) AS first FROM p GROUP BY ALL),
+f AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY first) AS k FROM g),
+q AS (SELECT p.*, f.k FROM p JOIN f ON p.conv_id IS NOT DISTINCT FROM f.conv_id AND p.slot = f.slot AND p.part = f.part),
 again AS (SELECT q.conv_id, sum(q.size) AS size FROM q JOIN f ON q.conv_id IS NOT DISTINCT FROM f.conv_id
   WHERE (q.is_system AND f.k > 1) OR (NOT q.is_system AND f.k = q.k + 1 AND f.first - q.before <= {chat.HISTORY}) GROUP BY 1)
 SELECT s.conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY seq)) AS turns_sha256,

@@ -772,6 +772,32 @@ def test_chat(spark):
     assert chat.read_back(chat.windows(frame.where("false"))).count() == 0
 
 
+def test_chat_windows_keep_to_the_budget(spark):
+    rng = random.Random(23)
+    budget, history = 200, 40
+    rows = []
+    for c in range(30):
+        if c % 2:
+            rows.append((c, 0, "system", " ".join("rule" for _ in range(rng.randint(1, 60)))))
+        rows += [(c, t + 1, ("user", "assistant")[t % 2], " ".join("word" for _ in range(rng.choice([1, 5, 20, 45, 300])))) for t in range(rng.randint(1, 25))]
+    got = defaultdict(list)
+    for r in chat.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), budget, history).collect():
+        got[r.conv_id].append(r)
+    size = lambda text: len(text.split()) + chat.TURN_TOKENS
+    for c, windows in got.items():
+        turns = [(role, text) for i, _, role, text in rows if i == c]
+        system = size(turns[0][1]) if turns[0][0] == "system" else 0
+        at = 0
+        for w in sorted(windows, key=lambda w: w.window):
+            new = turns[at : at + w.n_new]
+            repeated = w.tokens - sum(size(t) for _, t in new) - (system if w.window else 0)
+            assert 0 <= repeated <= history
+            assert w.tokens <= budget or (w.n_new == 1 and size(new[0][1]) > (budget - history - system) // 2)
+            assert len(w.loss) == sum(role == "assistant" for role, _ in new)
+            at += w.n_new
+        assert at == len(turns)
+
+
 def test_chat_main_path_is_native(spark):
     frame = spark.createDataFrame(conversation_rows(), "conv_id long, turn long, role string, text string")
     plan = chat.read_back(chat.windows(frame))._jdf.queryExecution().executedPlan().toString()
