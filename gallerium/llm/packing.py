@@ -9,6 +9,7 @@ cut at window borders; the last part is cut into powers of two, which need no pa
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -19,36 +20,47 @@ from .common import arrow_map, materialize
 
 WINDOW = 2048
 END = 1  # the id that ends each document
-SALTS = 64  # parts of one length's ranking: a length that a third of all pieces have is ranked in as many tasks
+RANKED = 1_000_000  # pieces of one length that a task ranks
 DENSE_LENGTHS = 96  # the most frequent lengths, of which combinations of three are enumerated
+COPIES = 24  # pieces of one length that a combination repeats at most
 SWEEPS = 60
 
 
-def combinations(histogram: np.ndarray, window: int) -> list[tuple[int, ...]]:
-    """Combinations of up to three lengths in the histogram that add up to the window: all pairs, and the threes with two
-    of the most frequent lengths."""
+Combination = tuple[tuple[int, int], ...]  # lengths and how many of each
+
+
+def combinations(histogram: np.ndarray, window: int) -> list[Combination]:
+    """Combinations of lengths in the histogram that add up to the window: all of up to `COPIES` pieces of one length and one
+    of another, and the threes with two of the most frequent lengths."""
     have = np.flatnonzero(histogram)
     present = set(have.tolist())
-    out = [(int(a), window - int(a)) for a in have if 2 * a >= window and window - int(a) in present]
+    counted = lambda c: tuple(sorted(Counter(c).items(), reverse=True))
+    out = []
+    for a in have.tolist():
+        for copies in range(1, min(COPIES, window // a) + 1):
+            left = window - copies * a
+            if left in present and (copies > 1 or left >= a):
+                out.append(counted({a: copies, left: 1} if left != a else {a: copies + 1}))
+            elif not left and copies > 1:
+                out.append(((a, copies),))
     dense = sorted(have[np.argsort(-histogram[have], kind="stable")][:DENSE_LENGTHS].tolist(), reverse=True)
-    out += [c for i, a in enumerate(dense) for b in dense[i:] if (left := window - a - b) > 0 and left in present and (c := tuple(sorted((a, b, left), reverse=True)))]
+    out += [counted((a, b, left)) for i, a in enumerate(dense) for b in dense[i:] if (left := window - a - b) > 0 and left in present]
     return list(dict.fromkeys(out))
 
 
-def solve(histogram: np.ndarray, columns: list[tuple[int, ...]]) -> np.ndarray:
+def solve(histogram: np.ndarray, columns: list[Combination]) -> np.ndarray:
     """Non-negative repeat counts whose use of lengths is nearest to the histogram in squares, by coordinate descent."""
     rest = histogram.astype(float).tolist()
-    use = [sorted({k: c.count(k) for k in c}.items()) for c in columns]
-    norm = [sum(n * n for _, n in u) for u in use]
+    norm = [sum(n * n for _, n in c) for c in columns]
     x = [0.0] * len(columns)
     for _ in range(SWEEPS):
         moved = 0.0
-        for j, u in enumerate(use):
-            step = max(-x[j], sum(n * rest[k] for k, n in u) / norm[j])
+        for j, c in enumerate(columns):
+            step = max(-x[j], sum(n * rest[k] for k, n in c) / norm[j])
             if step:
                 x[j] += step
                 moved = max(moved, abs(step))
-                for k, n in u:
+                for k, n in c:
                     rest[k] -= n * step
         if moved < 0.01:
             break
@@ -62,20 +74,21 @@ def plan(histogram: np.ndarray, window: int) -> dict:
     segments: list[tuple[int, int, int, int, int]] = []  # length, first rank, ranks, first sequence, offset
     taken, sequence = np.zeros(window + 1, dtype=np.int64), 0
 
-    def give(combination: tuple[int, ...], times: int) -> None:
+    def give(combination: Combination, times: int) -> None:
         nonlocal sequence
         offset = 0
-        for length in combination:
-            segments.append((length, int(taken[length]), times, sequence, offset))
-            taken[length] += times
-            left[length] -= times
-            offset += length
+        for length, copies in combination:
+            for _ in range(copies):
+                segments.append((length, int(taken[length]), times, sequence, offset))
+                taken[length] += times
+                left[length] -= times
+                offset += length
         sequence += times
 
     if left[window]:
-        give((window,), int(left[window]))
+        give(((window, 1),), int(left[window]))
     for combination, repeats in zip(columns, solve(left, columns)):
-        times = min(int(repeats + 1e-6), *(int(left[k]) // combination.count(k) for k in combination))
+        times = min(int(repeats + 1e-6), *(int(left[k]) // n for k, n in combination))
         if times > 0:
             give(combination, times)
     base = np.concatenate([[0], np.cumsum(left * np.arange(window + 1))])
@@ -139,18 +152,20 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
     """A row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_tokens.
 
     Every id of every document (its text's ids, then END; a null or empty text has END only) lies in exactly one piece;
-    offsets of a sequence are gapless from 0. Each sequence is full or a power of two long, so none needs padding. Rows
+    offsets of a sequence are gapless from 0; a null doc_id is kept as it is. Each sequence is full or a power of two long, so none needs padding. Rows
     that repeat a doc_id are packed as documents of their own."""
     spark = docs.sparkSession
-    pieces = materialize(tokenized(docs, path, window).withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "doc_tokens"), F.lit(SALTS)).cast("int")), "pieces")
-    counts = pieces.groupBy("length", "salt").agg(F.count("*").alias("n"))
+    pieces = materialize(tokenized(docs, path, window), "pieces")
     histogram = np.zeros(window + 1, dtype=np.int64)
-    for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most `window` rows
+    for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect():  # at most `window` rows
         histogram[r.length] = r.n
     p = plan(histogram, window)
+    parts = F.element_at(F.lit(np.maximum(1, -(-histogram // RANKED)).tolist()), F.col("length") + 1)
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "doc_tokens"), parts))
+    counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = counts.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
     rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "start")) - 1
-    ranked = pieces.withColumn("rank", rank).join(F.broadcast(before), ["length", "salt"])  # at most window * SALTS rows
+    ranked = salted.withColumn("rank", rank).join(F.broadcast(before), ["length", "salt"])  # a row a length and RANKED pieces
     sent = spark.sparkContext.broadcast((p, np.searchsorted(p["segments"][:, 0], np.arange(window + 2))))
 
     def make():

@@ -337,7 +337,36 @@ def test_packing_plan_places_every_token_once():
         size = sum(own[-1])
         assert size == 64 or size & (size - 1) == 0
     solved = packing.solve(histogram, columns := packing.combinations(histogram, 64))
-    assert (solved >= 0).all() and all(sum(c) == 64 for c in columns)
+    assert (solved >= 0).all() and all(sum(k * n for k, n in c) == 64 for c in columns)
+
+
+@pytest.mark.parametrize("window", [16, 40])
+def test_packing_solves_the_least_squares(window):
+    """Non-negative least squares: no count can be moved to lower the residual (the conditions of Karush, Kuhn and Tucker)."""
+    rng = np.random.default_rng(window)
+    for _ in range(5):
+        histogram = rng.integers(0, 1000, window + 1)
+        histogram[[0, window]] = 0
+        columns = packing.combinations(histogram, window)
+        matrix = np.array([[dict(c).get(k, 0) for c in columns] for k in range(window + 1)], dtype=float)
+        x = packing.solve(histogram, columns)
+        slope = matrix.T @ (matrix @ x - histogram)
+        assert (x >= 0).all() and (slope > -8).all() and (np.abs(slope[x > 1e-9]) < 8).all()
+
+
+def test_packing_places_most_by_combinations():
+    rng = np.random.default_rng(9)
+    histogram = np.bincount(np.clip(rng.lognormal(5, 1, 200_000).astype(int), 1, 2047), minlength=2049)
+    p = packing.plan(histogram, 2048)
+    placed = (p["segments"][:, 0] * p["segments"][:, 2]).sum() / (histogram * np.arange(2049)).sum()
+    assert placed > 0.5
+
+
+def test_packing_ranks_in_parts(docs, monkeypatch):
+    monkeypatch.setattr(packing, "RANKED", 2)
+    tokenizer = library()
+    ids = {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, packing.END] for i, t in fixture_rows()}
+    check_packing(packing.pack(docs, queries.vocabulary()).collect(), ids)
 
 
 def test_order_minhash(docs, empty, spark):
