@@ -22,13 +22,35 @@ SYNONYM_GROUPS = (
 FUZZY_STOP_WORDS = "a an and at by for from in of on the to with image photo picture art artwork mot va cua cho trong tren voi hinh anh".split()
 
 
-def _accents() -> tuple[str, str]:
-    """Letters of the Latin blocks that decompose into one ASCII letter and marks, and those letters."""
-    pairs = [(chr(c), unicodedata.normalize("NFKD", chr(c))[0]) for c in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)] if (d := unicodedata.normalize("NFKD", chr(c))) != chr(c) and d[0].isascii() and all(map(unicodedata.combining, d[1:]))]
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+def _ranges(points: list[int]) -> str:
+    """Code points as ranges of a character class of Java's regular expressions."""
+    out: list[list[int]] = []
+    for c in points:
+        if out and c == out[-1][1] + 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in out)
+
+
+def _decompositions() -> tuple[str, str, str, dict[str, str]]:
+    """Marks to drop; characters whose compatibility decomposition has one ASCII letter or digit, and these; and those whose
+    decomposition has more, with it."""
+    marks, one, many = [], {}, {}
+    for point in range(0x80, 0x110000):
+        if 0xD800 <= point < 0xE000:
+            continue
+        c = chr(point)
+        bare = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if not bare:
+            marks.append(point)
+        elif bare != c and any(x.isascii() and x.isalnum() for x in bare):
+            (one if len(bare) == 1 else many)[c] = bare
+    return _ranges(marks), "".join(one), "".join(one.values()), many
 
 
-ACCENTED, PLAIN = _accents()
+MARKS, ACCENTED, PLAIN, LIGATURES = _decompositions()
+_LIGATURE = "[" + _ranges(sorted(map(ord, LIGATURES))) + "]"
 
 
 def _col(x: Column | str) -> Column:
@@ -36,8 +58,13 @@ def _col(x: Column | str) -> Column:
 
 
 def fold_tokens(text: Column | str) -> Column:
-    """Lower-case ASCII words and numbers of a text without its Latin accents; letters that don't decompose part words."""
-    bare = F.translate(F.regexp_replace(F.coalesce(_col(text).cast("string"), F.lit("")), r"[\u0300-\u036F]", ""), ACCENTED, PLAIN)
+    """Lower-case ASCII words and numbers of a text in compatibility form without marks; letters that don't decompose to
+    ASCII part words. Texts with characters of several letters (ligatures, fractions) are rebuilt one character at a time."""
+    text = F.coalesce(_col(text).cast("string"), F.lit(""))
+    known = F.create_map(*[F.lit(x) for pair in LIGATURES.items() for x in pair])
+    rebuilt = F.array_join(F.transform(F.split(text, ""), lambda c: F.when(c.rlike(_LIGATURE), F.element_at(known, c)).otherwise(c)), "")
+    whole = F.when(text.rlike(_LIGATURE), rebuilt).otherwise(text)
+    bare = F.translate(F.regexp_replace(whole, f"[{MARKS}]", ""), ACCENTED, PLAIN)
     return F.regexp_extract_all(F.lower(bare), F.lit("([a-z0-9]+)"), F.lit(1))
 
 
@@ -145,6 +172,28 @@ def strip_tags(html: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(_col(html), F.lit("")), "<[^>]*>", " "), r"\s+", " "))
 
 
+TRUE_WORDS = ("1", "true", "yes", "on")  # fixed values, as the next line
+LEAST_LIMIT, MOST_LIMIT, DEFAULT_LIMIT = 1, 24, 12
+
+
+def validate_limit(raw: object) -> int:
+    """How many results are wanted; none given means the default."""
+    if raw in (None, ""):
+        return DEFAULT_LIMIT
+    try:
+        limit = int(raw)
+    except (TypeError, ValueError):
+        raise ValueError("the limit isn't a number") from None
+    if limit not in range(LEAST_LIMIT, MOST_LIMIT + 1):
+        raise ValueError(f"the limit is {LEAST_LIMIT} to {MOST_LIMIT}")
+    return limit
+
+
+def is_true(value: Column | str) -> Column:
+    """Whether a written flag is set; anything else, and null, is not."""
+    return F.coalesce(F.lower(F.trim(_col(value).cast("string"))).isin(*TRUE_WORDS), F.lit(False))
+
+
 def safe_int(value: Column | str) -> Column:
     return F.coalesce(F.greatest(_col(value).try_cast("int"), F.lit(0)), F.lit(0))
 

@@ -30,9 +30,16 @@ def full_size_url(url: Column) -> Column:
     return F.when(url.rlike("^(?i)https?://[^/\\s]+"), url).otherwise("")
 
 
-def may_proxy(url: Column, hosts: Iterable[str]) -> Column:
-    """Only secure addresses of listed hosts."""
-    return F.coalesce((F.try_parse_url(url, F.lit("PROTOCOL")) == "https") & F.lower(F.try_parse_url(url, F.lit("HOST"))).isin(*hosts), F.lit(False))
+def may_proxy(url: Column, hosts: Iterable[str] | Column) -> Column:
+    """Only secure addresses of listed hosts; a column holds the one listed host that a row was joined with, or null."""
+    host = F.lower(F.try_parse_url(url, F.lit("HOST")))
+    listed = host == hosts if isinstance(hosts, Column) else host.isin(*hosts)
+    return F.coalesce((F.try_parse_url(url, F.lit("PROTOCOL")) == "https") & listed, F.lit(False))
+
+
+def enough_pixels(width: Column, height: Column, megapixels: float) -> Column:
+    """Whether an image has at least so many million pixels; unknown sizes have none."""
+    return F.coalesce(width.cast("long") * height >= megapixels * 1_000_000, F.lit(False))
 
 
 def slug(title: Column | str) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
+BLOCK_ROWS = 8  # of unlike vectors in a block, about
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Where driver and executors both write: spark.checkpoint.dir, or a folder of our own where it is unset."""
     return (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/gallerium-scratch").rstrip("/")
@@ -77,31 +81,36 @@ def collapse(items: DataFrame, labels: DataFrame, node: str) -> DataFrame:
     return best.select("component", "best.*", "rank_score", "duplicate_count", F.transform(F.slice("members", 2, F.greatest(F.size("members") - 1, F.lit(1))), lambda m: m["n"]).alias("alternate_ids"))
 
 
-def image_pairs(vectors: DataFrame, threshold: float = 0.9, tables: int = 32, bits: int = 8) -> DataFrame:
-    """Pairs (a, b, cosine) of unit vectors (vec_id, embedding) at or above a cosine: signs of random projections block them.
-    At 0.9 a table of 8 bits joins a pair with probability 0.29, so 32 tables miss one in 50,000."""
+def image_pairs(vectors: DataFrame, threshold: float = 0.9, miss: float = 1e-4, same: Callable[[DataFrame], Column] | None = None) -> DataFrame:
+    """Pairs (a, b, cosine) of unit vectors (vec_id, embedding) at or above a cosine, and for which `same` holds, a rule over
+    the pair's columns. Signs of random projections block them: a table has as many bits as leave about `BLOCK_ROWS` rows a
+    block, and there are as many tables as miss a pair at the threshold with `miss` at most. A pair is compared in the first
+    table that has it in one block. A block of many near copies is that large however many bits it has, and its pairs are the
+    result."""
     import numpy as np
+    import pyarrow as pa
 
-    rng = np.random.default_rng(7)
-    width = len(vectors.select("embedding").first()[0])
-    planes = rng.normal(size=(tables * bits, width)).astype("float32")
+    from ..functions.scoring import dot
 
-    def run(batches):
-        import pyarrow as pa
+    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>").alias("embedding"))
+    about = rows.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("width")).first()
+    bits = int(min(24, max(6, np.ceil(np.log2(max(about.n, 1) / BLOCK_ROWS)))))
+    agree = (1 - np.arccos(threshold) / np.pi) ** bits
+    tables = int(np.ceil(np.log(miss) / np.log1p(-agree)))
+    planes = np.random.default_rng(7).normal(size=(tables * bits, about.width or 1)).astype("float32")
 
+    def run(batches):
         for batch in batches:
-            ids = batch.column(0)
-            matrix = np.array(batch.column(1).to_pylist(), dtype="float32")
-            if not len(matrix):
-                continue
-            signs = (matrix @ planes.T > 0).reshape(len(matrix), tables, bits) @ (1 << np.arange(bits))
-            keys = (signs + np.arange(tables) * (1 << bits)).astype("int32")
-            yield pa.RecordBatch.from_pydict({"vec_id": ids, "embedding": batch.column(1), "keys": pa.array(keys.tolist(), pa.list_(pa.int32()))})
-
-    from ..functions.scoring import dot
-
-    blocked = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>")).mapInArrow(run, "vec_id long, embedding array<float>, keys array<int>")
-    side = lambda n: blocked.select(F.explode("keys").alias("key"), F.col("vec_id").alias(n))
-    pairs = side("a").join(side("b"), "key").where("a < b").select("a", "b").distinct()
-    own = lambda n: vectors.select(F.col("vec_id").alias(n), F.col("embedding").alias(f"v{n}"))
-    return pairs.join(own("a"), "a").join(own("b"), "b").withColumn("cosine", dot(F.col("va"), F.col("vb"))).where(F.col("cosine") >= threshold).select("a", "b", "cosine")
+            if batch.num_rows:
+                matrix = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
+                keys = (matrix @ planes.T > 0).reshape(len(matrix), tables, bits) @ (1 << np.arange(bits))
+                yield pa.RecordBatch.from_pydict({"vec_id": batch.column(0), "keys": pa.array(list(keys.astype("int32")), pa.list_(pa.int32()))})
+
+    blocked = stored(rows.where("embedding is not null").mapInArrow(run, "vec_id long, keys array<int>"))
+    side = lambda n: blocked.select(F.posexplode("keys").alias("table", "key"), F.col("vec_id").alias(n), F.col("keys").alias(f"k{n}"))
+    met = side("a").join(side("b"), ["table", "key"]).where("a < b")
+    first = F.array_position(F.zip_with("ka", "kb", lambda x, y: x == y), True) - 1
+    pairs = met.where(F.col("table") == first).select("a", "b")
+    own = lambda n: vectors.select(*[F.col(c).alias(n if c == "vec_id" else f"{c}_{n}") for c in vectors.columns])
+    both = pairs.join(own("a"), "a").join(own("b"), "b").withColumn("cosine", dot(F.col("embedding_a"), F.col("embedding_b"))).where(F.col("cosine") >= threshold)
+    return (both.where(same(both)) if same else both).select("a", "b", "cosine")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .functions import scoring as S
 from .functions import text as T
 from .operators import catalog, evidence, families, items, staged, tournament
+from .plans import phrases
 from .plans import search as plans
 from .sources import pages as html
 from .sources import providers
@@ -66,6 +67,22 @@ def phrase_match(spark, sf_dir):
     return docs.select("doc_id", F.length(T.phrase_tokens("text")).alias("n"), T.matches_phrases(["text"], ["And the"]).alias("has_phrase"))
 
 
+PHRASES = ("and the", "of the")
+HOLDS = "contains(' ' || regexp_replace(lower(text), '[^\\p{L}\\p{M}\\p{N}]+', ' ', 'g').trim() || ' ', ' {0} ')"
+
+
+@query("SELECT doc_id, source FROM documents WHERE " + " AND ".join(HOLDS.replace("{0}", p) for p in PHRASES))
+def phrase_intersection(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return phrases.candidates(lambda p: docs.where(T.contains_phrase("text", p)), "", list(PHRASES), "doc_id").select("doc_id", "source")
+
+
+@query("WITH w AS (SELECT * FROM documents ORDER BY n_chars DESC, doc_id LIMIT 400), v AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS provider_rank FROM w WHERE " + HOLDS.replace("{0}", "and the") + ") SELECT * FROM v WHERE provider_rank BETWEEN 20 AND 29")
+def exact_phrase_batch(spark, sf_dir):
+    docs, order = table(spark, sf_dir, "documents"), [F.desc("n_chars"), F.col("doc_id")]
+    return phrases.exact_batch(lambda n: docs.orderBy(*order).limit(n), ["text"], ["and the"], order, 20, 10)[0].select("doc_id", "provider_rank")
+
+
 @query(f"SELECT doc_id, len(list_intersect({FOLD.format('text')}, ['was', 'tion'])) = 2 AS has_all FROM documents")
 def all_terms_filter(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.has_all_terms(T.page_terms("text"), "was the tion").alias("has_all"))
@@ -345,9 +362,10 @@ def evidence_excerpts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", evidence.excerpts("tion was", 300)("text").alias("excerpt"))
 
 
-@query(f"SELECT doc_id, len([x FOR x IN {FOLD.format('text')} IF x = 'was'])::INT AS marked FROM documents WHERE lang = 'en'")
+@query(f"SELECT doc_id, len([x FOR x IN {FOLD.format('text')} IF x = 'was'])::INT AS marked, len([x FOR x IN {FOLD.format('text')} IF starts_with(x, 'th')])::INT AS begun FROM documents")
 def highlight_segments(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.size(F.filter(T.fold_tokens("text"), lambda t: t == "was")).alias("marked"))
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", evidence.highlighted("was")("text").alias("marked"), evidence.highlighted("th", "prefix")("text").alias("begun"))
 
 
 @query("SELECT page_id, (len(regexp_extract_all(html, '<a '))::INT) AS n_links, 0 AS n_images FROM pages")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 OPEN_LICENSES = r"(?i)public domain|cc0|cc by|pdm"
-IMAGE_TYPES = ("image/jpeg", "image/png", "image/tiff", "image/webp")
+CARD_GENRES = ("card catalogs", "card catalog")
+IMAGE_TYPES = ("image/jpeg", "image/png", "image/webp")
 
 
 def license_is_open(license: Column) -> Column:
@@ -46,29 +47,39 @@ def museum_records(payloads: DataFrame) -> DataFrame:
     )
 
 
+def catalog_card(genres: Column, captions: Column, notes: Column, collections: Column) -> Column:
+    """A scanned catalog card: classed as one, and said to be one by a caption, a note or the collection's name. All are arrays
+    of strings."""
+    plain = lambda values: F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda x: F.trim(F.regexp_replace(F.lower(F.coalesce(x, F.lit(""))), r"\s+", " ")))
+    said = lambda values, words: F.array_join(plain(values), " ").contains(words)
+    return F.arrays_overlap(plain(genres), F.array(*map(F.lit, CARD_GENRES))) & (said(captions, "card catalog") | said(notes, "digitized catalog card") | said(collections, "card catalog"))
+
+
 def library_results(payloads: DataFrame) -> DataFrame:
-    """Digitised, unrestricted results that aren't texts of many files; the largest image, and the thumbnail nearest to 1,024."""
-    kind = "struct<results:array<struct<id:string,title:string,date:string,digitized:boolean,access_restricted:boolean,rights:string,image:array<struct<url:string,width:int,height:int>>,resources:array<struct<files:int,fulltext:string>>>>>"
+    """Digitised, unrestricted results that are neither texts of many files nor catalog cards; the largest image, and the thumbnail nearest to 1,024."""
+    kind = "struct<results:array<struct<id:string,title:string,date:string,digitized:boolean,access_restricted:boolean,rights:string,image:array<struct<url:string,width:int,height:int>>,resources:array<struct<files:int,fulltext:string,caption:string>>,genre:array<string>,subject:array<string>,notes:array<string>,source_collection:array<string>,item:struct<genre:array<string>,subjects:array<string>,notes:array<string>,source_collection:array<string>>>>>"
     rows = payloads.select(F.explode(F.from_json("payload", kind)["results"]).alias("r")).select("r.*")
-    text = F.exists(F.coalesce("resources", F.array().cast("array<struct<files:int,fulltext:string>>")), lambda x: (x["files"] > 1) & x["fulltext"].isNotNull())
+    text = F.exists(F.coalesce("resources", F.array().cast("array<struct<files:int,fulltext:string,caption:string>>")), lambda x: (x["files"] > 1) & x["fulltext"].isNotNull())
     area = F.array_sort(F.transform("image", lambda i: F.struct((-i["width"].cast("long") * i["height"]).alias("k"), i.alias("i"))))[0]["i"]
     thumb = F.array_sort(F.transform("image", lambda i: F.struct(F.abs(F.greatest(i["width"], i["height"]) - 1024).alias("k"), i.alias("i"))))[0]["i"]
     rights = F.when(F.col("rights").rlike("(?i)no known|public domain"), "public domain").otherwise(F.coalesce("rights", F.lit("unknown")))
-    usable = F.col("digitized") & ~F.coalesce("access_restricted", F.lit(False)) & (F.size("image") > 0) & ~text
+    both = lambda *names: F.flatten(F.array(*[F.coalesce(F.col(c), F.array().cast("array<string>")) for c in names]))
+    card = catalog_card(both("genre", "subject", "item.genre", "item.subjects"), F.col("resources.caption"), both("notes", "item.notes"), both("source_collection", "item.source_collection"))
+    usable = ~card & F.col("digitized") & ~F.coalesce("access_restricted", F.lit(False)) & (F.size("image") > 0) & ~text
     return rows.where(usable).select(
         F.lit("loc").alias("source"), F.col("id").alias("source_id"), "title", "date", rights.alias("license"), F.col("id").alias("page_url"),
         area["url"].alias("image_url"), thumb["url"].alias("thumb_url"), area["width"].alias("width"), area["height"].alias("height"),
     )
 
 
-def hits(payloads: DataFrame) -> DataFrame:
-    """Search hits that are public domain, have a valid image and public access."""
+def hits(payloads: DataFrame, image_base: str) -> DataFrame:
+    """Search hits that are public domain, have a valid image and public access; images are at `image_base` and the id."""
     source = "struct<id:string,title:string,artist:string,dated:string,medium:string,rights_type:string,image:string,public_access:int,image_width:int,image_height:int>"
     rows = payloads.select(F.posexplode(F.from_json("payload", f"struct<hits:struct<hits:array<struct<_source:{source}>>>>")["hits"]["hits"]).alias("k", "h")).select("k", "h._source.*")
     kept = rows.where((F.lower("rights_type") == "public domain") & (F.col("image") == "valid") & (F.col("public_access") == 1))
     return kept.select(
         F.lit("mia").alias("source"), F.col("id").alias("source_id"), "title", "artist", F.col("dated").alias("date"), "medium",
-        F.concat(F.lit("https://images.test/"), F.url_encode(F.regexp_replace("id", r"[^A-Za-z0-9_-]", ""))).alias("image_url"), F.col("image_width").alias("width"), F.col("image_height").alias("height"), F.col("k").alias("provider_rank"),
+        F.concat(F.lit(image_base), F.url_encode(F.regexp_replace("id", r"[^A-Za-z0-9_-]", ""))).alias("image_url"), F.col("image_width").alias("width"), F.col("image_height").alias("height"), F.col("k").alias("provider_rank"),
     )
 
 

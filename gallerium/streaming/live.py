@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.families import stored
-from ..operators.items import first_by
+from ..operators.items import first_by, ordered_union
 
 # Limits of sessions and caches, and the stages of progress in the order that they are told.
 SESSION_MINUTES, SESSIONS, BATCH_SECONDS, BATCHES = 30, 24, 300, 256
@@ -154,10 +154,10 @@ def run_session(spark: SparkSession, fetch: Callable[[str, int], DataFrame | Non
                 new.append(batch)
                 still.append(source)
         active = still
-        for batch in new:
-            found = batch if found is None else found.unionByName(batch)
         if new:
-            found = stored(found.dropDuplicates(["id"]))
+            batches = [b.withColumn("__at", F.monotonically_increasing_id()) for b in new]
+            before = [] if found is None else [found.withColumn("__at", F.lit(0).cast("long"))]
+            found = stored(ordered_union([*before, *batches], ["id"], ["__at"]).drop("__at", "priority"))  # the first row of an id stays
             ranking = rank(found)
             signature = tuple(r[0] for r in ranking.select("id").limit(50).collect())
             yield ("snapshot", ranking) if signature != last else ("heartbeat", None)

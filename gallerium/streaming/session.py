@@ -77,17 +77,43 @@ def snapshot_changes(old: DataFrame, new: DataFrame, key: str = "id") -> DataFra
     return both.withColumn("change", F.when(F.col("was").isNull(), "insert").when(F.col("now").isNull(), "remove").when(F.col("was") != F.col("now"), "move").otherwise("retain"))
 
 
-def stream_items(items: DataFrame, rank: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, every: int = 4) -> StreamingQuery:
-    """Ranks again after every `every` micro-batches and at the end, over all items so far; each result is a folder of
-    `sink` named by its batch, so that a repeated batch overwrites itself."""
+class RankedStream:
+    """A running query whose end is followed by one more ranking, if items came after the last."""
+
+    def __init__(self, query: StreamingQuery, settle: Callable[[], None]):
+        self.query, self.settle = query, settle
+
+    def awaitTermination(self, timeout: int | None = None) -> bool | None:
+        done = self.query.awaitTermination(timeout)
+        if done is not False:
+            self.settle()
+        return done
+
+    def __getattr__(self, name):
+        return getattr(self.query, name)
+
+
+def stream_items(items: DataFrame, rank: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, every: int = 4) -> RankedStream:
+    """Ranks again after every `every` micro-batches and once more when the stream has ended, over all items so far; each
+    result is a folder of `sink` named by its batch, so that a repeated batch overwrites itself."""
+    spark = items.sparkSession
+    last = {"batch": -1, "ranked": -1}
+
+    def ranked(number: int) -> None:
+        rank(spark.read.parquet(f"{sink}/items")).write.mode("overwrite").parquet(f"{sink}/ranked/{number}")
+        last["ranked"] = number
 
     def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
         batch.write.mode("overwrite").parquet(f"{sink}/items/batch={number}")
-        if number % every == 0 or batch.isEmpty():
-            rank(spark.read.parquet(f"{sink}/items")).write.mode("overwrite").parquet(f"{sink}/ranked/{number}")
+        last["batch"] = number
+        if number % every == 0:
+            ranked(number)
+
+    def settle() -> None:
+        if last["batch"] > last["ranked"]:
+            ranked(last["batch"])
 
-    return items.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return RankedStream(items.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(), settle)
 
 
 def windowed_counts(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:

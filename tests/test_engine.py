@@ -137,8 +137,9 @@ def test_tournament(spark):
     votes = spark.createDataFrame(rows, "left_id string, right_id string, choice string")
     score = {r.id: r.score for r in tournament.fit(votes, spark.createDataFrame([("a",), ("b",), ("c",)], "id string")).collect()}
     assert score["a"] > score["c"] > score["b"]
-    left, right = tournament.next_pair(["a", "b", "c"], [dict(zip(("left_id", "right_id", "choice"), r)) for r in rows[:6]], score)
-    assert "c" in (left, right)
+    items = spark.createDataFrame([("a",), ("b",), ("c",)], "id string")
+    shown = spark.createDataFrame(rows[:6], "left_id string, right_id string, choice string")
+    assert "c" in tuple(tournament.next_pair(items, shown, spark.createDataFrame(list(score.items()), "id string, score double")).first())
 
 
 def test_catalog(spark):
@@ -200,7 +201,7 @@ def test_providers(spark):
     assert (r.title, r.artist, r.license, r.provider_rank) == ("Rose", "Ann", "CC-BY 4.0", 2)
     (r,) = providers.library_results(one(library)).collect()
     assert (r.image_url, r.thumb_url, r.license) == ("l", "m", "public domain")
-    assert [r.source_id for r in providers.hits(one(found)).collect()] == ["5"]
+    assert [r.source_id for r in providers.hits(one(found), "https://images.test/").collect()] == ["5"]
 
 
 def test_pages(spark):
