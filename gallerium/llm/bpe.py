@@ -89,25 +89,50 @@ def _range(run: str) -> str:
     return "".join(out)
 
 
+_ODD, _SPACE, _ASTRAL = 1, 2, 4
+
+
 class Splitter:
     """Normal forms, words and pieces as the library makes them."""
 
     def __init__(self, classes: Alphabet, spec: bytes):
-        self.odd = re.compile(f"[{classes.odd}]" if classes.odd else "(?!)")
         self.spaces = re.compile(f"[{classes.spaces}]+")
-        inner = f"{classes.spaces}{classes.letters}{classes.numbers}"
-        self.pieces = re.compile(f"{CONTRACTIONS}|[{classes.letters}]+|[{classes.numbers}]|[^\n{inner}]+|\n")
+        self.wide_spaces = re.compile(f"(?![\x00-\x7f])[{classes.spaces}]")
+        self.kinds = np.zeros(0x110000, dtype=np.uint8)
+        self.kinds[0x10000:] = _ASTRAL
+        every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+        for kind, found in ((_ODD, classes.odd), (_SPACE, classes.spaces)):
+            for c in re.findall(f"[{found}]", every) if found else ():
+                self.kinds[ord(c)] |= kind
+        self.kinds[:128] = 0
+        self.pieces = {wide: self._pieces(classes, wide) for wide in (False, True)}
         self.normaliser = Tokenizer.from_str(spec.decode("utf-8")).normalizer
 
+    @staticmethod
+    def _pieces(classes: Alphabet, wide: bool) -> re.Pattern:
+        """Letters first, as they are what there is most of; without the rare planes, whose ranges are searched one by one."""
+        letters, numbers, spaces = (x if wide else re.sub(r"(\\?[\U00010000-\U0010FFFF](-\\?[\U00010000-\U0010FFFF])?)+", "", x) for x in classes[:3])
+        return re.compile(f"[{letters}]+|[{numbers}]|{CONTRACTIONS}|[^\n{spaces}{letters}{numbers}]+|\n")
+
+    def kind(self, text: str) -> int:
+        """Which kinds of code points a text holds."""
+        return int(np.bitwise_or.reduce(self.kinds[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)], initial=0))
+
     def normalized(self, text: str) -> str:
         """A text in the vocabulary's normal form, with ASCII white space only."""
         if not text.isascii():
-            if self.odd.search(text):
+            kind = self.kind(text)
+            if kind & _ODD:
                 return self.spaces.sub(" ", self.normaliser.normalize_str(text))
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower() would look at a sigma's neighbours
-            text = self.spaces.sub(" ", text)
+            if kind & _SPACE:
+                text = self.wide_spaces.sub(" ", text)
         return text.lower()
 
+    def cut(self, words: str) -> list[str]:
+        """The pieces of words that line feeds part, with these."""
+        return self.pieces[not words.isascii() and bool(self.kind(words) & _ASTRAL)].findall(words)
+
     def words_of(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """The distinct words of texts without special tokens, the place of each word there, and where each text's words begin."""
         lists = pc.ascii_split_whitespace(pa.array([self.normalized(t) for t in texts], pa.string()))
@@ -170,6 +195,8 @@ class Bpe:
     def merge(self, pieces: list[str]) -> list[bytes]:
         """The ids of each piece as little-endian 32-bit integers."""
         raw = [p.encode("utf-8", "surrogatepass") for p in pieces]
+        if max(map(len, raw), default=0) < LONG_PIECE:
+            return self.merge_short(raw)
         out = [self.merge_long(x) if len(x) >= LONG_PIECE else b"" for x in raw]
         short = [k for k, x in enumerate(raw) if len(x) < LONG_PIECE]
         for k, ids in zip(short, self.merge_short([raw[k] for k in short])):
@@ -255,16 +282,17 @@ class Bpe:
         """The ids of each word; pieces are remembered, as words differ in punctuation more than in letters."""
         if not words:
             return []
-        pieces = self.splitter.pieces.findall("\n".join(words))
+        pieces = self.splitter.cut("\n".join(words))
         new = list(set(pieces).difference(self.merged))
         if len(self.merged) + len(new) > MEMO_WORDS:
             self.merged = {"\n": _BETWEEN}
             new = list(set(pieces) - {"\n"})
         self.merged.update(zip(new, self.merge(new)))
         out = b"".join(map(self.merged.__getitem__, pieces)).split(_BETWEEN)
-        for piece in new:
-            if len(piece) >= LONG_PIECE:
-                del self.merged[piece]
+        if max(map(len, new), default=0) >= LONG_PIECE:
+            for piece in new:
+                if len(piece) >= LONG_PIECE:
+                    del self.merged[piece]
         return out
 
 
@@ -362,11 +390,15 @@ class Encoder:
         self.bpe, self.lexicon = Bpe(spec, classes), Lexicon(lexicon)
         self.ids: dict[str, bytes] = {}
         self.again: set[str] = set()
+        self.long: list[str] = []  # words that aren't remembered beyond their group
 
     def learn(self, words: set[str]) -> None:
         """Puts words into the memo. When it is full, those stay that were asked for again since it was full before."""
+        for word in self.long:
+            del self.ids[word]
         new = words.difference(self.ids)
         self.again |= words - new
+        self.long = [w for w in new if len(w) >= LONG_PIECE] if max(map(len, new), default=0) >= LONG_PIECE else []
         if len(self.ids) + len(new) > MEMO_WORDS:
             if len(self.again) > MEMO_WORDS // 2:
                 self.again = words - new
@@ -397,10 +429,6 @@ class Encoder:
         words, places, begins = self.bpe.splitter.words_of(pieces)
         self.learn(set(words))
         known = [self.ids[w] for w in words]
-        for word in words:
-            if len(word) >= LONG_PIECE:
-                del self.ids[word]
-                self.again.discard(word)
         size = np.array([len(x) // 4 for x in known], dtype=np.int64)
         start = np.cumsum(size) - size
         table = np.frombuffer(b"".join(known), dtype="<u4")

@@ -270,6 +270,7 @@ def test_bpe_long_pieces(kind):
     texts = [make(n) for n in (250, 257, 3000, 100_000)] + [make(300) + " and " + make(1000)]
     for text, ids in zip(texts, coder.encode(texts)):
         assert np.frombuffer(ids, dtype="<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    list(coder.encode(["next"]))
     assert all(len(w) < bpe.LONG_PIECE for w in coder.ids)
 
 
