@@ -29,7 +29,7 @@ TREES, LEVELS, TOKENS = 16, 4, 64
 LEAF = 48  # sets that a node compares exhaustively without branching on
 PART = 4096  # sets of a dense node that one group holds
 PIVOTS = 8  # sets that all sets of a dense node are compared with
-CLUSTER_SETS, CLUSTER_SHINGLES = 1024, 1_000_000  # larger clusters are confirmed edge by edge, and then in blocks
+CLUSTER_SETS, CLUSTER_SHINGLES = 4096, 2_000_000  # larger clusters are confirmed edge by edge, and then in blocks
 STAR = 512  # links of one set that a task confirms
 QUERY_SETS, QUERY_SHINGLES = 512, 1_000_000  # what a block holds of the sets outside a cluster's largest part
 SLICE_SETS, SLICE_SHINGLES = 4096, 2_000_000  # and of the sets that these are compared with
@@ -179,24 +179,26 @@ def candidate_edges(reps: DataFrame, threshold: float) -> DataFrame:
     """Estimated links (a, b) between sets (node, tokens), a spanning forest of each tree node."""
     least = least_share(threshold)
     rows = tree_rows(reps)
-    sizes = rows.groupBy("n1").agg(F.count("*").alias("c")).where("c > 1")
-    shared = rows.join(sizes, "n1")
     kept = ("set", "short", "n1", "n2", "n3", "n4")
-    alone = F.array().cast("array<struct<h:bigint,set:bigint,short:binary>>")
-    usual = shared.where(F.col("c") <= PART).select(F.col("n1").alias("group"), F.lit(1).alias("level"), *kept, alone.alias("pivots"))
-    huge = shared.where(F.col("c") > PART)
-    pivot = lambda k: F.min(F.struct(F.xxhash64("n4", "set", F.lit(k)).alias("h"), "set", "short"))
-    parts = huge.groupBy("n2", "n3", "n4").agg(F.count("*").alias("c4"), F.array(*map(pivot, range(PIVOTS))).alias("pivots"))
-    for n, c in (("n2", "c2"), ("n3", "c3")):
-        parts = parts.join(parts.groupBy(n).agg(F.sum("c4").alias(c)), n)
-    fits = lambda k: F.col(f"c{k}") <= PART
-    level = F.when(fits(2), 2).when(fits(3), 3).otherwise(4)
-    salts = F.ceil(F.col("c4") / PART)
-    parts = parts.select("n4", level.alias("level"), F.when(fits(4), 1).otherwise(salts).alias("salts"), F.when(fits(4), alone).otherwise(F.col("pivots")).alias("pivots"))
-    salt = F.pmod(F.xxhash64("n4", "set"), F.col("salts"))  # n4 differs from tree to tree, and so do salts and pivots
-    at = F.when(F.col("level") == 2, F.col("n2")).when(F.col("level") == 3, F.col("n3")).when(F.col("salts") == 1, F.col("n4")).otherwise(F.xxhash64("n4", salt))
-    branched = huge.join(parts, "n4").select(at.alias("group"), "level", *kept, "pivots")
-    dealt = usual.unionByName(branched).repartition("group").sortWithinPartitions("group", "set")
+    none = F.array().cast("array<struct<h:bigint,set:bigint,short:binary>>")
+    parts, rest = [], rows
+    for level in range(1, LEVELS + 1):
+        n = f"n{level}"
+        sizes = materialize(rest.groupBy(n).agg(F.count("*").alias("c")).where("c > 1"), "nodes")  # two numbers a node
+        parts.append(rest.join(sizes.where(F.col("c") <= PART).select(n), n).select(F.col(n).alias("group"), F.lit(level).alias("level"), *kept, none.alias("pivots")))
+        over = sizes.where(F.col("c") > PART)
+        rest = rest.join(over, n).drop("c") if level < LEVELS else rest.join(over, n)
+        if not over.limit(1).count():
+            break
+    else:
+        pivot = lambda k: F.min(F.struct(F.xxhash64("n4", "set", F.lit(k)).alias("h"), "set", "short"))
+        pivots = rest.groupBy("n4").agg(F.array(*map(pivot, range(PIVOTS))).alias("pivots"))
+        salt = F.pmod(F.xxhash64("n4", "set"), F.ceil(F.col("c") / PART))  # n4 differs from tree to tree, and so do salts and pivots
+        parts.append(rest.join(pivots, "n4").select(F.xxhash64("n4", salt).alias("group"), F.lit(LEVELS).alias("level"), *kept, "pivots"))
+    usual, *others = parts
+    for part in others:
+        usual = usual.unionByName(part)
+    dealt = usual.repartition("group").sortWithinPartitions("group", "set")
 
     def run(batches):
         for group in _by_group(batches, 0):
@@ -269,7 +271,7 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     labels = of_cluster.repartition("component").sortWithinPartitions("component", "node").mapInArrow(run, "node long, component long")
     large = members.where("big")
     if large.limit(1).count():
-        links = materialize(confirmed(texts, large, edges, words, percent), "links")
+        links = confirmed(texts, large, edges, words, percent)
         rest = left_over(texts, large, connected_components(links), words, percent)
         labels = labels.unionByName(connected_components(links.unionByName(rest), "links"))
     labelled = reps.select("n_shingles", "k1", "k2", "rep", "node").join(labels, "node", "left").withColumn("link_group", F.coalesce("component", "node")).drop("component", "node")
@@ -292,10 +294,19 @@ def _sets(group: pa.Table, words: int) -> tuple[list[int], list[np.ndarray]]:
 
 
 def confirmed(texts: DataFrame, members: DataFrame, edges: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links of large clusters that hold on the full sets: every estimated edge of every tree, and each set with its
-    cluster's first. A set with its links' other ends makes a star; those of more than STAR links are split."""
-    inside = edges.join(members.select(F.col("node").alias("a")), "a", "left_semi").select("a", "b")
-    pairs = inside.unionAll(members.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))).distinct()
+    """Links of large clusters that hold on the full sets: each set with its cluster's first, then every estimated edge of
+    every tree between sets that this leaves apart, so that most texts move once."""
+    firsts = members.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+    links = materialize(star_links(texts, members, firsts, words, percent), "links")
+    parts = members.select("node").join(connected_components(links), "node", "left").select("node", F.coalesce("component", "node").alias("part"))
+    inside = edges.join(parts.select(F.col("node").alias("a"), F.col("part").alias("pa")), "a").join(parts.select(F.col("node").alias("b"), F.col("part").alias("pb")), "b")
+    apart = inside.where("pa <> pb").select("a", "b")
+    return materialize(links.unionByName(star_links(texts, members, apart, words, percent)), "links")
+
+
+def star_links(texts: DataFrame, members: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) that are linked on the full sets. A set with its pairs' other ends makes a star; those of
+    more than STAR pairs are split."""
     stars = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).alias("parts"))
     ends = pairs.join(stars, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), F.lit(False).alias("centre"), F.col("b").alias("node"))
     centres = stars.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(True).alias("centre"), F.col("a").alias("node"))
