@@ -260,6 +260,8 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     big = (F.col("sets") > CLUSTER_SETS) | (F.col("shingles") > CLUSTER_SHINGLES)
     members = materialize(sized.join(totals, "component").select("node", "component", "rep", F.col("n_shingles").alias("n"), "k1", "k2", big.alias("big")), "members")
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string"))
+    # the one time that whole texts are looked up; members grow with the input, so they are never broadcast
+    told = materialize(texts.join(members.hint("merge"), "rep").select("component", "node", "n", "k1", "k2", "big", "text"), "texts")
 
     def run(batches):
         for group in _by_group(batches, 0):
@@ -267,10 +269,10 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
             found = list(exact_components(ids, sets, percent))
             yield pa.RecordBatch.from_pydict({"node": pa.array([x for x, _ in found], pa.int64()), "component": pa.array([x for _, x in found], pa.int64())})
 
-    of_cluster = texts.join(members.where("not big"), "rep").select("component", "node", "k1", "k2", "text")
-    labels = of_cluster.repartition("component").sortWithinPartitions("component", "node").mapInArrow(run, "node long, component long")
+    labels = told.where("not big").select("component", "node", "k1", "k2", "text").repartition("component").sortWithinPartitions("component", "node").mapInArrow(run, "node long, component long")
     large = members.where("big")
     if large.limit(1).count():
+        texts = told.where("big").select("node", "k1", "k2", "text")
         links = confirmed(texts, large, edges, words, percent)
         rest = left_over(texts, large, connected_components(links), words, percent)
         labels = labels.unionByName(connected_components(links.unionByName(rest), "links"))
@@ -294,24 +296,23 @@ def _sets(group: pa.Table, words: int) -> tuple[list[int], list[np.ndarray]]:
 
 
 def confirmed(texts: DataFrame, members: DataFrame, edges: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links of large clusters that hold on the full sets: each set with its cluster's first, then every estimated edge of
+    """Links of large clusters (members: node, component; their texts: node, k1, k2, text) that hold on the full sets: each set with its cluster's first, then every estimated edge of
     every tree between sets that this leaves apart, so that most texts move once."""
     firsts = members.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
-    links = materialize(star_links(texts, members, firsts, words, percent), "links")
+    links = materialize(star_links(texts, firsts, words, percent), "links")
     parts = members.select("node").join(connected_components(links), "node", "left").select("node", F.coalesce("component", "node").alias("part"))
     inside = edges.join(parts.select(F.col("node").alias("a"), F.col("part").alias("pa")), "a").join(parts.select(F.col("node").alias("b"), F.col("part").alias("pb")), "b")
     apart = inside.where("pa <> pb").select("a", "b")
-    return materialize(links.unionByName(star_links(texts, members, apart, words, percent)), "links")
+    return materialize(links.unionByName(star_links(texts, apart, words, percent)), "links")
 
 
-def star_links(texts: DataFrame, members: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+def star_links(texts: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) that are linked on the full sets. A set with its pairs' other ends makes a star; those of
     more than STAR pairs are split."""
     stars = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).alias("parts"))
     ends = pairs.join(stars, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), F.lit(False).alias("centre"), F.col("b").alias("node"))
     centres = stars.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(True).alias("centre"), F.col("a").alias("node"))
-    told = members.select("node", "rep", "k1", "k2").join(texts, "rep")
-    rows = ends.unionByName(centres).join(told, "node").select(F.xxhash64("a", "part").alias("group"), "a", "centre", "node", "k1", "k2", "text")
+    rows = ends.unionByName(centres).hint("merge").join(texts, "node").select(F.xxhash64("a", "part").alias("group"), "a", "centre", "node", "k1", "k2", "text")
 
     def run(batches):
         held = centre = None
@@ -344,13 +345,13 @@ def left_over(texts: DataFrame, members: DataFrame, labels: DataFrame, words: in
     both of bounded size. A set's shingles are looked up in those of the slice, which counts what it shares with each set there;
     the first link to each other part is given."""
     part = labels.withColumnRenamed("component", "part")
-    state = members.select("node", F.col("component").alias("cluster"), "n", "rep", "k1", "k2").join(part, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    state = members.select("node", F.col("component").alias("cluster"), "n").join(part, "node", "left").withColumn("part", F.coalesce("part", "node"))
     sizes = state.groupBy("cluster", "part").agg(F.count("*").alias("c"), F.sum("n").alias("m"))
     largest = F.max_by(F.struct("part", "c", "m"), F.struct("c", "part")).alias("l")
     about = sizes.groupBy("cluster").agg(largest, F.sum("c").alias("c"), F.sum("m").alias("m")).where("c > l.c")
     needed = lambda c, m, sets, shingles: F.greatest(F.ceil(c / sets), F.ceil(m / shingles))
     plan = about.select("cluster", F.col("l.part").alias("main"), needed(F.col("c") - F.col("l.c"), F.col("m") - F.col("l.m"), QUERY_SETS, QUERY_SHINGLES).alias("blocks"), needed(F.col("c"), F.col("m"), SLICE_SETS, SLICE_SHINGLES).alias("slices"))
-    sets = state.join(plan, "cluster").join(texts, "rep")
+    sets = state.join(plan, "cluster").hint("merge").join(texts, "node")
     dealt = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     kinds = ["cluster", "node", "part", "k1", "k2", "text"]
