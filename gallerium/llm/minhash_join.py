@@ -185,11 +185,14 @@ def candidate_edges(reps: DataFrame, threshold: float) -> DataFrame:
     for level in range(1, LEVELS + 1):
         n = f"n{level}"
         sizes = materialize(rest.groupBy(n).agg(F.count("*").alias("c")).where("c > 1"), "nodes")  # two numbers a node
-        parts.append(rest.join(sizes.where(F.col("c") <= PART).select(n).hint("merge"), n).select(F.col(n).alias("group"), F.lit(level).alias("level"), *kept, none.alias("pivots")))
-        over = sizes.where(F.col("c") > PART).hint("merge")  # the table of nodes grows with the input: the same plan at every size
-        rest = rest.join(over, n).drop("c") if level < LEVELS else rest.join(over, n)
-        if not over.limit(1).count():
+        # the table of nodes grows with the input: the same plan at every size, and the rows of a level move once
+        shared = materialize(rest.join(sizes.hint("merge"), n).select(*kept, "c"), "level")
+        parts.append(shared.where(F.col("c") <= PART).select(F.col(n).alias("group"), F.lit(level).alias("level"), *kept, none.alias("pivots")))
+        rest = shared.where(F.col("c") > PART)
+        if not rest.limit(1).count():
             break
+        if level < LEVELS:
+            rest = rest.drop("c")
     else:
         pivot = lambda k: F.min(F.struct(F.xxhash64("n4", "set", F.lit(k)).alias("h"), "set", "short"))
         pivots = rest.groupBy("n4").agg(F.array(*map(pivot, range(PIVOTS))).alias("pivots"))
