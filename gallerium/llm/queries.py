@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import avi, bpe, chat, html_text, language, minhash_join, order_minhash, packing, suffix_dedup, toxicity
+from . import avi, bpe, chat, fill_middle, filter_audit, host_rules, html_text, language, minhash_join, order_minhash, packing, suffix_dedup, toxicity
 from .common import documents
 
 VOCABULARY = "word_bpe_49k.json"
@@ -73,6 +73,21 @@ def op10_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_join.components(documents(spark, sf_dir), words=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op11_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = host_rules.judge(documents(spark, sf_dir))
+    return judged.select(F.col("doc_id").cast("long"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.coalesce("reason", F.lit("")).alias("reason"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.transform(documents(spark, sf_dir))
+    text = fill_middle.restored(F.col("form"), F.col("output"))
+    return made.select(F.col("doc_id").cast("long"), "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -81,7 +96,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_order_minhash, op2_packing, op3_html_text, op4_chat_windows, op5_language_id, op6_toxicity, op7_suffix_dedup, op8_bpe_transducer, op9_avi, op10_minhash_join, pipeline)
+    for f in (op1_order_minhash, op2_packing, op3_html_text, op4_chat_windows, op5_language_id, op6_toxicity, op7_suffix_dedup, op8_bpe_transducer, op9_avi, op10_minhash_join, op11_host_rules, op12_filter_audit, op13_fill_middle, pipeline)
 }
 
 #: DuckDB runs over whole tables what SQL can express at all; the others are tested against brute force in tests/llm.
@@ -118,5 +133,50 @@ r AS (SELECT doc_id AS start, doc_id AS node FROM documents UNION SELECT r.start
 m AS (SELECT start AS doc_id, min(node) AS component_id FROM r GROUP BY 1)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept
 FROM documents d JOIN m USING (doc_id) LEFT JOIN n USING (doc_id)
+""",
+    "op11_host_rules": rf"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS x, row_number() OVER () AS k FROM documents),
+w AS (SELECT *, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS words, [l FOR l IN string_split(x, chr(10)) IF regexp_matches(l, '[^\x20\x09-\x0D]')] AS lines FROM d),
+t AS (SELECT k, i, list_extract(words, i) || ' ' || list_extract(words, i + 1) || ' ' || list_extract(words, i + 2) AS three FROM (SELECT k, words, unnest(range(1, len(words) - 1)) AS i FROM w)),
+again AS (SELECT k, i FROM t QUALIFY count(*) OVER (PARTITION BY k, three) > 1),
+covered AS (SELECT k, count(DISTINCT i + j) AS n FROM again, range(3) AS r(j) GROUP BY k),
+c AS (SELECT doc_id, host, len(words)::BIGINT AS n_words, length(regexp_replace(x, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars, (length(x) - length(translate(x, '#*$%&|<>', '')))::BIGINT AS n_symbols,
+  (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines FROM w LEFT JOIN covered USING (k)),
+f AS (SELECT *, n_words < {host_rules.LEAST_WORDS} OR 100 * n_repeat_words > {host_rules.MOST_REPEATED_PERCENT} * n_words AS base, 10 * n_symbols > n_words AS symbols, 100 * n_dup_lines > 30 * n_lines AS lines,
+  word_chars < 3 * n_words OR word_chars > 10 * n_words AS lengths FROM c),
+s AS (SELECT host, rule, count(*) AS n, sum(failed::INT)::DOUBLE AS failed FROM (UNPIVOT (SELECT host, base, symbols, lines, lengths FROM f) ON base, symbols, lines, lengths INTO NAME rule VALUE failed) GROUP BY ALL),
+m AS (SELECT rule, count(*) AS hosts, sum(n)::DOUBLE AS rows, sum(failed) / sum(n) AS mean, sum(n * n)::DOUBLE / sum(n) AS big, sum(failed * failed / n) - sum(failed) * sum(failed) / sum(n) AS between FROM s GROUP BY rule),
+e AS (SELECT *, (between - mean * (1 - mean) * (hosts - 1)) / nullif(mean * (1 - mean) * (rows - big - (hosts - 1)), 0) AS excess FROM m),
+p AS (SELECT rule, mean, 1 / least(greatest(coalesce(excess, 0), 1e-6), 0.999) - 1 AS weight FROM e),
+r AS (SELECT host, rule, (failed + mean * weight) / (n + weight) AS rate FROM s JOIN p USING (rule)),
+v AS (SELECT host, max(rate) > {host_rules.REJECT} AS rejected, coalesce(list(rule) FILTER (rate >= {host_rules.TRUST}), []) AS strict FROM r GROUP BY host),
+j AS (SELECT *, CASE WHEN base THEN 'base' WHEN rejected THEN 'host' WHEN (symbols AND list_contains(strict, 'symbols')) OR (lines AND list_contains(strict, 'lines')) OR (lengths AND list_contains(strict, 'lengths')) THEN 'rule' ELSE '' END AS reason FROM f JOIN v USING (host))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base AS base_failed, reason = '' AS kept, reason FROM j
+""",
+    "op12_filter_audit": rf"""
+WITH RECURSIVE l AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY 1),
+d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+f AS (SELECT part, coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS toxic,
+  CASE WHEN len(words) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END
+  || CASE WHEN 100 * (length(x) - length(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 2 * length(x) THEN 'C' ELSE '' END
+  || CASE WHEN regexp_matches(x, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY x) THEN 'E' ELSE '' END AS fails
+  FROM d LEFT JOIN l USING (doc_id)),
+g AS (SELECT part, good, toxic, fails, count(*) AS n FROM f GROUP BY ALL),
+o AS (SELECT '' AS filter_order UNION ALL SELECT filter_order || c FROM o, unnest(['A', 'B', 'C', 'D', 'E']) AS u(c) WHERE NOT contains(filter_order, c)),
+s AS (SELECT filter_order, step::INT AS step, filter_order[1 : step - 1] AS applied, filter_order[step] AS filter FROM o, range(1, 6) AS r(step) WHERE length(filter_order) = 5),
+x AS (SELECT g.*, s.*, translate(fails, applied, '') = fails AS passed, contains(fails, filter) AS failed FROM g, s),
+a AS (SELECT part, filter_order, step, filter, sum(CASE WHEN passed AND NOT failed THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN passed AND failed THEN n ELSE 0 END)::BIGINT AS removed,
+  sum(CASE WHEN NOT passed AND failed THEN n ELSE 0 END)::BIGINT AS redundant, sum(CASE WHEN fails = filter THEN n ELSE 0 END)::BIGINT AS unique_fails,
+  sum(CASE WHEN passed AND failed AND good THEN n ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN passed AND failed AND toxic THEN n ELSE 0 END)::BIGINT AS toxic_lost FROM x GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley FROM a
+""",
+    "op13_fill_middle": f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS w, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+n AS (SELECT doc_id, x, w, len(w)::BIGINT AS n, [('0x' || h[8 * k + 1 : 8 * k + 8])::BIGINT FOR k IN range(4)] AS draw FROM d),
+c AS (SELECT *, list_extract(draw, 1) % (n + 1) AS one, list_extract(draw, 2) % (n + 1) AS two,
+  CASE WHEN x = '' OR contains(x, '<P>') OR contains(x, '<S>') OR contains(x, '<M>') OR list_extract(draw, 3) % 100 >= {fill_middle.PLAIN_FROM} THEN 'plain' WHEN list_extract(draw, 4) % 100 < {fill_middle.SPM_BELOW} THEN 'spm' ELSE 'psm' END AS form FROM n),
+p AS (SELECT *, array_to_string(w[1 : least(one, two)], '') AS prefix, array_to_string(w[least(one, two) + 1 : greatest(one, two)], '') AS middle, array_to_string(w[greatest(one, two) + 1 :], '') AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN x WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(x) AS restored_sha256 FROM p
 """,
 }
