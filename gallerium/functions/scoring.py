@@ -24,22 +24,28 @@ def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
 def metadata_score(query: str, title_words: Column, description_words: Column, provider_rank: Column, source: Column, license: Column, curated: str = "curated") -> Column:
     """The text score of an item: phrases, coverage of title and description (given as folded words, so that a plan folds
     each text once), provider order and small boosts."""
-    q = T.fold_exact_py(query)
-    title_tokens, description_tokens = T.terms(title_words), T.terms(description_words)
-    in_title, in_description = T.coverage(query, title_tokens), T.coverage(query, description_tokens)
-    n = len(T.query_tokens(query))
-    score = F.when(F.array_join(title_words, " ").contains(q), TITLE_PHRASE).when(F.array_join(description_words, " ").contains(q), DESCRIPTION_PHRASE).otherwise(0.0) if q else F.lit(0.0)
-    score = score + TITLE_COVERAGE * in_title + DESCRIPTION_COVERAGE * in_description
-    precision = F.size(T.matched(query, title_tokens)) / F.greatest(F.size(title_tokens), F.lit(1))
-    score = score + F.when(in_title > 0, PRECISION * precision).otherwise(0.0)
-    if n:
-        score = score + F.when(F.size(T.matched(query, F.array_union(title_tokens, description_tokens))) == n, ALL_TERMS).otherwise(0.0)
+    q, n = T.fold_exact_py(query), len(T.query_tokens(query))
+
+    def by_words(m: Column) -> Column:
+        in_title, in_description = F.size(m["title"]), F.size(m["description"])
+        score = F.when(m["title_phrase"], TITLE_PHRASE).when(m["description_phrase"], DESCRIPTION_PHRASE).otherwise(0.0)
+        if n:
+            score = score + TITLE_COVERAGE * (in_title / F.lit(float(n))) + DESCRIPTION_COVERAGE * (in_description / F.lit(float(n)))
+            score = score + F.when(in_title > 0, PRECISION * (in_title / F.greatest(m["title_size"], F.lit(1)))).otherwise(0.0)
+            score = score + F.when(F.size(F.array_union(m["title"], m["description"])) == n, ALL_TERMS).otherwise(0.0)
+        return score
+
+    phrase = lambda words: F.array_join(words, " ").contains(q) if q else F.lit(False)
+    title, description = T.terms(title_words), T.terms(description_words)
+    met = F.struct(
+        T.let(title, lambda t: F.struct(T.matched(query, t).alias("title"), F.size(t).alias("title_size"))).alias("t"),
+        T.matched(query, description).alias("description"), phrase(title_words).alias("title_phrase"), phrase(description_words).alias("description_phrase"),
+    )
+    flat = lambda m: F.struct(m["t"]["title"].alias("title"), m["t"]["title_size"].alias("title_size"), m["description"].alias("description"), m["title_phrase"].alias("title_phrase"), m["description_phrase"].alias("description_phrase"))
+    score = T.let(T.let(met, flat), by_words)
     score = score + PROVIDER_ORDER / F.sqrt(F.greatest(F.coalesce(provider_rank, F.lit(0)), F.lit(0)) + 1.0)
     score = score + F.when(source == curated, CURATED_BOOST).otherwise(0.0)
-    folded = T.fold(license)
-    open_license = F.lit(False)
-    for mark in ("cc0", "public domain", "cc by"):
-        open_license = open_license | folded.contains(mark)
+    open_license = T.let(T.fold(license), lambda folded: folded.contains("cc0") | folded.contains("public domain") | folded.contains("cc by"))
     return F.round(score + F.when(open_license, OPEN_LICENSE).otherwise(0.0), 5)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -22,17 +22,6 @@ SYNONYM_GROUPS = (
 FUZZY_STOP_WORDS = "a an and at by for from in of on the to with image photo picture art artwork mot va cua cho trong tren voi hinh anh".split()
 
 
-def _ranges(points: list[int]) -> str:
-    """Code points as ranges of a character class of Java's regular expressions."""
-    out: list[list[int]] = []
-    for c in points:
-        if out and c == out[-1][1] + 1:
-            out[-1][1] = c
-        else:
-            out.append([c, c])
-    return "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in out)
-
-
 def _decompositions() -> tuple[str, str, str, dict[str, str]]:
     """Marks to drop; characters whose compatibility decomposition has one ASCII letter or digit, and these; and those whose
     decomposition has more, with it."""
@@ -43,28 +32,38 @@ def _decompositions() -> tuple[str, str, str, dict[str, str]]:
         c = chr(point)
         bare = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
         if not bare:
-            marks.append(point)
+            marks.append(c)
         elif bare != c and any(x.isascii() and x.isalnum() for x in bare):
             (one if len(bare) == 1 else many)[c] = bare
-    return _ranges(marks), "".join(one), "".join(one.values()), many
+    return "".join(marks), "".join(one), "".join(one.values()), many
 
 
 MARKS, ACCENTED, PLAIN, LIGATURES = _decompositions()
-_LIGATURE = "[" + _ranges(sorted(map(ord, LIGATURES))) + "]"
 
 
 def _col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """`then` of a value that is computed once a row, however often `then` uses it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _opened(text: Column) -> Column:
+    """Characters of several letters (ligatures, fractions) as these letters. Few texts have one: they show in what is left
+    without ASCII, and only these are rebuilt one character at a time."""
+    rare = F.regexp_replace(text, r"[\x00-\x7F]+", "")
+    known = F.str_to_map(F.lit("\n".join(f"{c}\t{letters}" for c, letters in LIGATURES.items())), F.lit("\n"), F.lit("\t"))
+    rebuilt = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.element_at(known, c), c)), "")
+    return F.when(F.length(F.translate(rare, "".join(LIGATURES), "")) < F.length(rare), rebuilt).otherwise(text)
+
+
 def fold_tokens(text: Column | str) -> Column:
     """Lower-case ASCII words and numbers of a text in compatibility form without marks; letters that don't decompose to
-    ASCII part words. Texts with characters of several letters (ligatures, fractions) are rebuilt one character at a time."""
+    ASCII part words. Texts in ASCII, which have as many characters as bytes, need no decomposition."""
     text = F.coalesce(_col(text).cast("string"), F.lit(""))
-    known = F.create_map(*[F.lit(x) for pair in LIGATURES.items() for x in pair])
-    rebuilt = F.array_join(F.transform(F.split(text, ""), lambda c: F.when(c.rlike(_LIGATURE), F.element_at(known, c)).otherwise(c)), "")
-    whole = F.when(text.rlike(_LIGATURE), rebuilt).otherwise(text)
-    bare = F.translate(F.regexp_replace(whole, f"[{MARKS}]", ""), ACCENTED, PLAIN)
+    bare = F.when(F.octet_length(text) == F.length(text), text).otherwise(F.translate(_opened(text), ACCENTED + MARKS, PLAIN))
     return F.regexp_extract_all(F.lower(bare), F.lit("([a-z0-9]+)"), F.lit(1))
 
 
@@ -108,9 +107,13 @@ def concepts(query: str) -> list[list[str]]:
 
 
 def matched(query: str, field_tokens: Column) -> Column:
-    """The query's words that a field holds, themselves or by a synonym."""
-    found = [F.when(F.arrays_overlap(field_tokens, F.array(*map(F.lit, concept_of(t)))), F.lit(t)) for t in query_tokens(query)]
-    return F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
+    """The query's words that a field holds, themselves or by a synonym. The field is met once, with all synonyms."""
+    words = query_tokens(query)
+    if not words:
+        return F.array().cast("array<string>")
+    every = F.array(*map(F.lit, dict.fromkeys(s for t in words for s in concept_of(t))))
+    found = lambda held: [F.when(F.arrays_overlap(held, F.array(*map(F.lit, concept_of(t)))), F.lit(t)) for t in words]
+    return let(F.array_intersect(every, field_tokens), lambda held: F.array_compact(F.array(*found(held))))
 
 
 def coverage(query: str, field_tokens: Column) -> Column:

@@ -55,17 +55,11 @@ def bm25(docs: DataFrame, key: str, fields: dict[str, float], query: str) -> Dat
 
 
 def terms_are_close(tokens: Column, terms: list[str], reach: int = 12) -> Column:
-    """All terms stand within `reach` tokens of some occurrence of the first one."""
-    places = lambda term: F.filter(F.transform(tokens, lambda t, i: F.when(t == term, i)), lambda i: i.isNotNull())
-    first, *rest = terms
-
-    def near(at: Column) -> Column:
-        out = F.lit(True)
-        for term in rest:
-            out = out & F.exists(places(term), lambda i: F.abs(i - at) <= reach)
-        return out
-
-    return F.exists(places(first), near)
+    """All terms stand within `reach` tokens of some occurrence of the first one. Each term's places are found once."""
+    places = lambda t: F.array(*[F.filter(F.transform(t, lambda x, i: F.when(x == term, i)), lambda i: i.isNotNull()) for term in terms])
+    near = lambda at, others: F.exists(others, lambda i: F.abs(i - at) <= reach)
+    each = lambda p: F.exists(p[0], lambda at: F.forall(F.slice(p, 2, max(len(terms) - 1, 1)), lambda others: near(at, others)))
+    return T.let(T.let(tokens, places), each)
 
 
 def fuzzy_score(record: dict, phrase: str, words: list[str]) -> tuple[float, str]:

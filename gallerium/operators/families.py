@@ -29,18 +29,22 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def dedupe_keys(curated: str = "curated") -> Column:
-    """All keys of an item as strings; two items that share any belong together."""
-    title, artist, words = T.fold("title"), T.fold("artist"), T.tokens("title")
+    """All keys of an item as strings; two items that share any belong together. Each text is folded once."""
     is_curated = F.col("source") == curated
     key = lambda kind, *parts: F.concat_ws("\x1f", F.lit(kind), *parts)
-    keys = F.array_compact(F.array(
-        F.when((F.col("source") != "") & (F.col("work_id") != ""), key("work-id", F.col("source"), F.col("work_id"))),
-        F.when(T.canonical_url("image_url") != "", key("image", T.canonical_url("image_url"))),
-        F.when((title != "") & ((artist != "") | (F.size(words) >= 6)), key("work", title, artist, T.fold("date"))),
-        F.when(is_curated & (artist != "") & (F.size(words) >= 3), key("title-words", artist, F.array_join(F.array_sort(words), " "))),
-        F.when(is_curated & (F.length(T.fold("description")) >= 80), key("description", T.fold("description"))),
-    ))
-    return F.when(F.size(keys) > 0, keys).otherwise(F.array(key("id", F.col("id"))))
+
+    def of_texts(m: Column) -> Column:
+        title, artist, words = F.array_join(m["title"], " "), m["artist"], T.terms(m["title"])
+        return F.array_compact(F.array(
+            F.when((F.col("source") != "") & (F.col("work_id") != ""), key("work-id", F.col("source"), F.col("work_id"))),
+            F.when(m["address"] != "", key("image", m["address"])),
+            F.when((title != "") & ((artist != "") | (F.size(words) >= 6)), key("work", title, artist, m["date"])),
+            F.when(is_curated & (artist != "") & (F.size(words) >= 3), key("title-words", artist, F.array_join(F.array_sort(words), " "))),
+            F.when(is_curated & (F.length(m["description"]) >= 80), key("description", m["description"])),
+        ))
+
+    texts = F.struct(T.fold_tokens("title").alias("title"), T.fold("artist").alias("artist"), T.fold("date").alias("date"), F.when(is_curated, T.fold("description")).alias("description"), T.canonical_url("image_url").alias("address"))
+    return T.let(T.let(texts, of_texts), lambda keys: F.when(F.size(keys) > 0, keys).otherwise(F.array(key("id", F.col("id")))))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -28,10 +28,9 @@ def evidence(df: DataFrame, query: str, extra: Column | None = None) -> DataFram
     tidy = F.transform(labelled(df, extra), lambda x: F.struct(x["label"].alias("label"), F.trim(F.regexp_replace(x["text"], r"\s+", " ")).alias("text")))
 
     def judged(x: Column, at: Column) -> Column:
-        tokens = T.tokens(x["text"])
         has_phrase = F.concat(F.lit(" "), T.phrase_tokens(x["text"]), F.lit(" ")).contains(f" {needle} ") if needle else F.lit(False)
-        found = T.matched(query, tokens)
-        return F.struct(has_phrase.cast("int").alias("phrase"), F.size(found).alias("n"), (-at).alias("order"), (-F.length(x["text"])).alias("length"), x["label"].alias("label"), x["text"].alias("text"), found.alias("found"))
+        row = lambda found: F.struct(has_phrase.cast("int").alias("phrase"), F.size(found).alias("n"), (-at).alias("order"), (-F.length(x["text"])).alias("length"), x["label"].alias("label"), x["text"].alias("text"), found.alias("found"))
+        return T.let(T.matched(query, T.tokens(x["text"])), row)
 
     rows = df.withColumn("__e", F.filter(F.transform(tidy, judged), lambda x: (x["text"] != "") & ((x["n"] > 0) | (x["phrase"] > 0))))
     best = F.array_max("__e")
