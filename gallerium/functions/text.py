@@ -77,6 +77,19 @@ def fold_exact_py(text: object) -> str:
     return " ".join(re.findall("[a-z0-9]+", bare.lower()))
 
 
+_BARE = str.maketrans(ACCENTED, PLAIN, MARKS)
+
+
+def bare_py(word: str) -> str:
+    """A lower-case word of any script without marks, and with ASCII letters where they decompose to one."""
+    return word.lower().translate(_BARE).lower()
+
+
+def word_tokens_py(text: object) -> list[str]:
+    """Words of any script as a query's: compatibility form, folded case, runs of letters, digits and underscores."""
+    return re.findall(r"\w+", unicodedata.normalize("NFKC", str(text or "")).casefold())
+
+
 def fold_exact(text: Column | str) -> Column:
     def run(values: pd.Series) -> pd.Series:
         return values.map(fold_exact_py)

@@ -26,12 +26,6 @@ def _weighted(fields: dict[str, float]) -> Column:
     return F.concat(*[one(c, w) for c, w in fields.items()])
 
 
-def postings(docs: DataFrame, key: str, fields: dict[str, float]) -> DataFrame:
-    """(key, token, f, size): weighted occurrences of each token, and the row's number of tokens over all fields."""
-    rows = docs.select(key, _weighted(fields).alias("t")).select(key, F.size("t").alias("size"), F.explode("t").alias("t"))
-    return rows.groupBy(key, "size", F.col("t.token").alias("token")).agg(F.sum("t.w").alias("f"))
-
-
 def bm25(docs: DataFrame, key: str, fields: dict[str, float], query: str) -> DataFrame:
     """(key, score) of rows that hold every query token (a single token also as a prefix); lower is better."""
     terms = list(dict.fromkeys(T.fold_exact_py(query).split()))

@@ -14,7 +14,7 @@ from .operators import catalog, evidence, families, items, staged, tournament
 from .plans import phrases
 from .plans import search as plans
 from .sources import pages as html
-from .sources import providers
+from .sources import postings, providers
 from .streaming import session
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -314,6 +314,33 @@ def catalog_bm25(spark, sf_dir):
     return found.select("doc_id", F.round("score", 4).alias("score"))
 
 
+WORDS = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}\\p{{M}}]+')"
+FOUND_WORDS = ("tion", "was")
+PLACES = lambda words, w: f"[i FOR i IN range(1, len({words}) + 1) IF {words}[i] = '{w}']"
+NEAR = lambda words: f"len([i FOR i IN {PLACES(words, FOUND_WORDS[0])} IF len([j FOR j IN {PLACES(words, FOUND_WORDS[1])} IF abs(i - j) <= 12]) > 0]) > 0"
+BARE_COUNT = lambda words, w: f"len([x FOR x IN {words} IF strip_accents(x) = '{w}'])"
+BARE_SUM = lambda w: " + ".join(f"{weight} * {BARE_COUNT(field, w)}" for field, weight in (("t", 8.0), ("a", 2.0), ("m", 0.25), ("d", 3.0)))
+
+
+@query(
+    f"""WITH i AS ({ITEMS}), w AS (SELECT doc_id, {WORDS.format('title')} AS t, {WORDS.format('source')} AS a, {WORDS.format('lang')} AS m, {WORDS.format('text')} AS d FROM i),
+    f AS (SELECT doc_id, len(t) + len(a) + len(m) + len(d) AS size, {BARE_SUM('tion')} AS f0, {BARE_SUM('was')} AS f1, ({NEAR('t')}) OR ({NEAR('d')}) AS focus FROM w),
+    a AS (SELECT count(*) AS n, sum(size) / count(*) AS av, count(*) FILTER (f0 > 0) AS n0, count(*) FILTER (f1 > 0) AS n1 FROM f),
+    k AS (SELECT *, ln((n - n0 + 0.5) / (n0 + 0.5)) AS i0, ln((n - n1 + 0.5) / (n1 + 0.5)) AS i1 FROM a),
+    s AS (SELECT doc_id, focus, round(-(CASE WHEN i0 > 0 THEN i0 ELSE 1e-6 END) * f0 * 2.2 / (f0 + 1.2 * (0.25 + 0.75 * size / av)) - (CASE WHEN i1 > 0 THEN i1 ELSE 1e-6 END) * f1 * 2.2 / (f1 + 1.2 * (0.25 + 0.75 * size / av)), 6) AS score FROM f, k WHERE f0 > 0 AND f1 > 0),
+    l AS (SELECT * FROM s ORDER BY score, doc_id LIMIT 2000)
+    SELECT doc_id, score, (row_number() OVER (ORDER BY score, doc_id) - 1)::INT AS position FROM l WHERE focus ORDER BY score, doc_id LIMIT 100"""
+)
+def catalog_search(spark, sf_dir):
+    """Documents indexed in two segments, of which the second replaces rows of the first, and searched in one call."""
+    works = document_items(spark, sf_dir).select("doc_id", "title", F.col("source").alias("artist"), F.col("lang").alias("medium"), F.col("text").alias("description"))
+    index = postings.Index(spark, f"{families.shared_folder(spark)}/index-{uuid.uuid4().hex}", "doc_id", ["title", "artist", "medium", "description"], buckets=16)
+    later = F.col("doc_id") % 5 == 0
+    index.add(works.withColumn("description", F.when(later, "stale tion was").otherwise(F.col("description"))))
+    index.add(works.where(later))
+    return postings.search(index, " ".join(FOUND_WORDS), 50).select("doc_id", "score", "position")
+
+
 @query(
     f"""WITH t AS (SELECT doc_id, unnest({FOLD.format('text')}) AS w, generate_subscripts({FOLD.format('text')}, 1) AS i FROM documents), a AS (SELECT * FROM t WHERE w = 'tion'), b AS (SELECT * FROM t WHERE w = 'was')
     SELECT DISTINCT a.doc_id FROM a JOIN b ON a.doc_id = b.doc_id AND abs(a.i - b.i) <= 12"""
