@@ -15,7 +15,7 @@ from .plans import phrases
 from .plans import search as plans
 from .sources import pages as html
 from .sources import postings, providers
-from .streaming import session
+from .streaming import keyed, session
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -470,14 +470,42 @@ def windowed_events(spark, sf_dir):
 
 @query(ORACLES["windowed_events"])
 def stream_windowed_events(spark, sf_dir):
-    """The same by a stream: files as they come, ranked again batch by batch, the last result read back."""
+    """The same by a stream of five files, ranked again after every third and at the end; the last result read back."""
     events = table(spark, sf_dir, "events")
-    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     folder = f"{families.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    running = session.stream_items(stream, session.windowed_counts, folder, f"{folder}/checkpoint", every=1)
-    running.awaitTermination()
-    last = running.lastProgress["batchId"]
-    return spark.read.parquet(f"{folder}/ranked/{last}").select("start", "event_type", "n", F.round("total", 2).alias("total"))
+    for k in range(5):
+        events.where(F.pmod(F.xxhash64("event_id"), F.lit(5)) == k).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    session.stream_items(stream, session.windowed_counts, folder, f"{folder}/checkpoint", every=3).awaitTermination()
+    return session.last_ranking(spark, folder).select("start", "event_type", "n", F.round("total", 2).alias("total"))
+
+
+@query(
+    """WITH r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id::VARCHAR) AS k FROM events)
+    SELECT 'u' || user_id AS session, count(*) AS items, string_agg(event_id::VARCHAR, ' ' ORDER BY k) FILTER (k <= 50) AS best, true AS complete FROM r GROUP BY user_id"""
+)
+def session_stream(spark, sf_dir):
+    """Users as live sessions and event types as their sources, which answer in batches of ten. The stream runs three times, each
+    time from where its checkpoint left it; what counts is the last snapshot of a session's told rows."""
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    own = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
+    rows = events.withColumns({"k": F.row_number().over(own) - 1, "n": F.count("*").over(Window.partitionBy("user_id", "event_type"))})
+    session_of = F.concat(F.lit("u"), "user_id").alias("session")
+    answers = rows.groupBy(session_of, F.col("event_type").alias("source"), F.floor(F.col("k") / keyed.BATCH).alias("b"), "n").agg(F.max("ts").alias("at"), F.collect_list(F.struct("k", F.col("event_id").cast("string").alias("id"), "value")).alias("rows"))
+    answers = answers.select("session", "at", F.lit("batch").alias("kind"), "source", (F.col("b") * keyed.BATCH).alias("offset"), (F.col("b") * keyed.BATCH + F.size("rows") == F.col("n")).alias("exhausted"), F.lit(None).cast("string").alias("reason"), F.array_sort("rows")["id"].alias("ids"), F.array_sort("rows")["value"].alias("scores"))
+    starts = events.groupBy(session_of).agg((F.min("ts") - F.expr("INTERVAL 1 SECOND")).alias("at"), F.array_sort(F.collect_set("event_type")).alias("ids"))
+    starts = starts.select("session", "at", F.lit("start").alias("kind"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("long").alias("offset"), F.lit(False).alias("exhausted"), F.lit(None).cast("string").alias("reason"), "ids", F.lit(None).cast("array<double>").alias("scores"))
+    told = families.stored(starts.unionByName(answers))
+    folder = f"{families.shared_folder(spark)}/sessions-{uuid.uuid4().hex}"
+    place = F.coalesce(F.floor(F.col("offset") / (2 * keyed.BATCH)), F.lit(0))
+    for k in range(3):  # the first two batches of all sources, the next two, and the rest
+        told.where(place == k if k < 2 else place >= k).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(told.schema).parquet(f"{folder}/in")
+        with keyed.state_store(spark):
+            keyed.start(stream, f"{folder}/out", f"{folder}/checkpoint", late="60 days").awaitTermination()
+    last = keyed.last_snapshots(spark.read.parquet(f"{folder}/out"))
+    found = answers.groupBy("session").agg(F.sum(F.size("ids")).alias("items"))
+    return last.join(found, "session").select("session", "items", F.array_join("ids", " ").alias("best"), "complete")
 
 
 @query(

@@ -17,9 +17,10 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -28,6 +29,7 @@ HEARTBEAT, FETCH_SECONDS, SCORE_SECONDS = 5, 120, 90
 DIRTY_BATCHES, TOP, BATCH = 4, 50, 10
 EVENT = "session string, at timestamp, kind string, source string, offset long, exhausted boolean, reason string, ids array<string>, scores array<double>"
 TOLD = "session string, number long, at timestamp, kind string, source string, offset long, revision long, ids array<string>, reason string"
+_TOLD = TOLD.replace("at timestamp", "ms long")
 KINDS = ("start", "choose", "batch", "score", "cancel")
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _FETCHING, _SCORING, _IDLE, _STOPPED = "fetching", "scoring", "idle", "stopped"
@@ -58,8 +60,8 @@ class Sessions(StatefulProcessor):
         frame = pd.concat(list(rows))  # one session's events of one micro-batch
         frame["order"] = frame["kind"].map({k: n for n, k in enumerate(KINDS)})
         told, force = [], False
-        for e in frame.sort_values(["at", "order", "source", "offset"], kind="stable").itertuples():
-            now = int(e.at.value // 1_000_000) if self.event_time else int(timerValues.getCurrentProcessingTimeInMs())
+        for e in frame.sort_values(["ms", "order", "source", "offset"], kind="stable").itertuples():
+            now = int(e.ms) if self.event_time else int(timerValues.getCurrentProcessingTimeInMs())
             if e.kind == "start" and not self.session.exists():
                 self._save(number=0, revision=0, dirty=0, top="", beat=0, settle=0, closed=False)
                 self._show(list(e.ids), told, now)
@@ -124,11 +126,11 @@ class Sessions(StatefulProcessor):
 
     def _tell(self, told: list, now: int, kind: str, source: str | None = None, offset: int | None = None, ids: list | None = None, reason: str | None = None) -> None:
         s = self._load()
-        told.append({"number": s["number"], "at": pd.Timestamp(now, unit="ms"), "kind": kind, "source": source, "offset": offset, "revision": s["revision"], "ids": ids, "reason": reason})
+        told.append({"number": s["number"], "ms": now, "kind": kind, "source": source, "offset": offset, "revision": s["revision"], "ids": ids, "reason": reason})
         self._save(number=s["number"] + 1)
 
     def _frame(self, key, told: list) -> pd.DataFrame:
-        columns = [part.split()[0] for part in TOLD.split(", ")]
+        columns = [part.split()[0] for part in _TOLD.split(", ")]
         return pd.DataFrame([{"session": key[0], **t} for t in told], columns=columns)
 
     # Rules
@@ -236,13 +238,26 @@ class Sessions(StatefulProcessor):
         self.items.clear()
 
 
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """Queries that start inside keep their state in STORE."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, STORE)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def told(events: DataFrame, mode: str = "EventTime", late: str = "10 seconds") -> DataFrame:
     """A stream of EVENT rows to one of TOLD rows. The session's state store must be STORE."""
     spark = events.sparkSession
     if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != STORE:
         raise ValueError(f"spark.sql.streaming.stateStore.providerClass must be {STORE}")
     timed = events.withWatermark("at", late) if mode == "EventTime" else events
-    return timed.groupBy("session").transformWithStateInPandas(Sessions(mode == "EventTime"), TOLD, "Append", mode)
+    rows = timed.withColumn("ms", F.unix_millis("at")).groupBy("session").transformWithStateInPandas(Sessions(mode == "EventTime"), _TOLD, "Append", mode)
+    return rows.select(*[F.timestamp_millis("ms").alias("at") if c == "ms" else c for c in rows.columns])
 
 
 def start(events: DataFrame, sink: str, checkpoint: str, mode: str = "EventTime", late: str = "10 seconds", **trigger):

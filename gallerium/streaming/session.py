@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -89,33 +89,56 @@ class RankedStream:
             self.settle()
         return done
 
+    def processAllAvailable(self) -> None:
+        self.query.processAllAvailable()
+        self.settle()
+
+    def stop(self) -> None:
+        self.query.stop()
+        self.settle()
+
     def __getattr__(self, name):
         return getattr(self.query, name)
 
 
+def numbered(spark: SparkSession, folder: str, name: str) -> list[int]:
+    """The numbers of the folders `name`=number that are written whole."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [f.getPath() for f in files.listStatus(path)] if files.exists(path) else []
+    whole = [p.getName() for p in found if files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(int(n.removeprefix(f"{name}=")) for n in whole if n.startswith(f"{name}="))
+
+
 def stream_items(items: DataFrame, rank: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, every: int = 4) -> RankedStream:
     """Ranks again after every `every` micro-batches and once more when the stream has ended, over all items so far; each
-    result is a folder of `sink` named by its batch, so that a repeated batch overwrites itself."""
+    result is a folder of `sink` named by its batch, so that a repeated batch overwrites itself. What is ranked is read from
+    the sink, so a run that ends between its batches and its last ranking is made up for: by the next run's start, if it is
+    behind its items, and by its end."""
     spark = items.sparkSession
-    last = {"batch": -1, "ranked": -1}
 
     def ranked(number: int) -> None:
-        rank(spark.read.parquet(f"{sink}/items")).write.mode("overwrite").parquet(f"{sink}/ranked/{number}")
-        last["ranked"] = number
+        rank(spark.read.parquet(f"{sink}/items")).write.mode("overwrite").parquet(f"{sink}/ranked/at={number}")
+
+    def settle() -> None:
+        came, done = numbered(spark, f"{sink}/items", "batch"), numbered(spark, f"{sink}/ranked", "at")
+        if came and (not done or came[-1] > done[-1]):
+            ranked(came[-1])
 
     def step(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{sink}/items/batch={number}")
-        last["batch"] = number
         if number % every == 0:
             ranked(number)
 
-    def settle() -> None:
-        if last["batch"] > last["ranked"]:
-            ranked(last["batch"])
-
+    settle()
     return RankedStream(items.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(), settle)
 
 
+def last_ranking(spark: SparkSession, sink: str) -> DataFrame:
+    """The latest result of a sink."""
+    return spark.read.parquet(f"{sink}/ranked/at={numbered(spark, f'{sink}/ranked', 'at')[-1]}")
+
+
 def windowed_counts(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
     """Counts and sums by event-time window and type, for a stream or a table."""
     timed = events.withWatermark("ts", late) if events.isStreaming else events

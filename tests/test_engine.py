@@ -236,8 +236,7 @@ def test_stream(spark, tmp_path):
     stream = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     running = session.stream_items(stream, lambda d: d.orderBy(F.desc("id")).limit(3), f"{tmp_path}/out", f"{tmp_path}/check", every=1)
     running.awaitTermination()
-    last = running.lastProgress["batchId"]
-    assert {r.id for r in spark.read.parquet(f"{tmp_path}/out/ranked/{last}").collect()} == {29, 28, 27}
+    assert {r.id for r in session.last_ranking(spark, f"{tmp_path}/out").collect()} == {29, 28, 27}
 
 
 def test_matching(spark):

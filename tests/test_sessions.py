@@ -20,11 +20,8 @@ def event(session, seconds, kind, source=None, offset=None, ids=None, scores=Non
 
 @pytest.fixture(scope="module")
 def store(spark):
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key)
-    spark.conf.set(key, keyed.STORE)
-    yield spark
-    spark.conf.set(key, before)
+    with keyed.state_store(spark):
+        yield spark
 
 
 class Run:
