@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions import images
 from .functions import text as T
 from .functions import words as W
 from .operators import delivery, families, matches, tournament
-from .plans import snapshot
+from .plans import snapshot, translation
 from .queries import FOLD, TOKENS, document_items, first_vector, query, table, votes, with_copies
 from .sources import pages as html
-from .sources import paging, records
+from .sources import cursors, paging, records
 from .streaming import live
 
 # Word matching and evidence
@@ -360,3 +361,52 @@ def work_deadlines(spark, sf_dir):
     now, e = F.lit(events.agg(F.max("ts")).first()[0]), F.col("event_id")
     work = events.select("event_id", F.when(e % 2 == 0, "score").otherwise("fetch").alias("kind"), F.col("ts").alias("started"), (e % 3).alias("attempt"), (e % 5 == 0).alias("done"))
     return live.deadlines(work, now, {"score": 60, "fetch": 3600}).select("event_id", "outcome")
+
+
+# Searches in a collection's own words, and cursors
+
+LABELS = ((0, "german", "de"), (1, "french (language)", "fr"), (2, "the", "der"), (3, "tion", "cion"), (4, "ing", "ung (suffix)"))
+ASKED = ((0, "german"), (1, "French"), (2, "ing tion"), (3, "was tion"), (4, "was nowhere"), (5, "tion was his of and or not"))
+NEED = 120
+#: What the thesaurus makes of the queries: query, rank, kind, words, whether it stands in.
+SEARCHES = """(0, 0, 'keyword', ['de'], false), (0, 1, 'text', ['de'], false), (1, 0, 'keyword', ['fr'], false), (1, 1, 'text', ['fr'], false), (2, 0, 'text', ['ung', 'cion'], false), (2, 1, 'text', ['ing', 'tion'], true),
+    (3, 0, 'text', ['was', 'tion'], false), (3, 1, 'text', ['cion'], true), (4, 0, 'text', ['was', 'nowhere'], false), (5, 0, 'text', ['tion', 'was', 'his', 'of', 'and', 'or', 'not'], false)"""
+
+
+@query(
+    f"""WITH s(query_id, rank, kind, words, if_empty) AS (VALUES {SEARCHES}), d AS (SELECT doc_id, 'images/' || md5(text) AS image_url, lang, list_distinct({FOLD.format('text')}) AS held FROM documents),
+    m AS (SELECT query_id, rank, if_empty, doc_id, image_url, row_number() OVER (PARTITION BY query_id, rank ORDER BY doc_id) - 1 AS nth FROM d, s WHERE CASE kind WHEN 'text' THEN len(list_intersect(held, words)) = len(words) ELSE list_contains(words, lang) END),
+    l AS (SELECT *, nth // 50 AS page FROM m WHERE nth < 150),
+    p AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY query_id, image_url ORDER BY rank, nth) = 1),
+    c AS (SELECT query_id, rank, page, count(*) AS n FROM p GROUP BY ALL),
+    e AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY query_id ORDER BY rank, page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c),
+    b AS (SELECT query_id, rank, min(before) AS before FROM e GROUP BY ALL),
+    k AS (SELECT p.* FROM p JOIN e USING (query_id, rank, page) JOIN b USING (query_id, rank) WHERE e.before < {NEED} AND NOT (p.if_empty AND b.before > 0))
+    SELECT query_id, rank, (row_number() OVER (PARTITION BY query_id ORDER BY rank, nth) - 1)::INT AS place, doc_id FROM k"""
+)
+def thesaurus_search(spark, sf_dir):
+    """Documents as records whose keyword is their language; a text's image is the same for equal texts."""
+    docs = table(spark, sf_dir, "documents")
+    found = docs.select(F.col("doc_id").alias("source_id"), F.concat(F.lit("images/"), F.md5("text")).alias("image_url"), F.col("doc_id").alias("ordinal"), "text", F.array("lang").alias("keywords"))
+    planned = translation.searches(spark.createDataFrame(ASKED, "query_id int, query string"), spark.createDataFrame(LABELS, "ordinal long, label string, keyword string"))
+    return translation.run(planned, found, NEED).select("query_id", "rank", "place", F.col("source_id").alias("doc_id"))
+
+
+@query(
+    """WITH r AS (SELECT source, doc_id, md5(text) AS key, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS ordinal FROM documents),
+    w AS (SELECT * FROM r WHERE ordinal <= 40 QUALIFY row_number() OVER (PARTITION BY source, key ORDER BY ordinal) = 1)
+    SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY ordinal) - 1 AS position, (SELECT count(*) FROM r x WHERE x.source = w.source) < 40 AS exhausted FROM w"""
+)
+def cursor_buffer(spark, sf_dir):
+    """Every source read by three calls of growing windows; equal texts are one record."""
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars", F.md5("text").alias("source_id"))
+    sources = docs.select("source").distinct()
+
+    def fetch(ask):
+        ranked = docs.withColumn("ordinal", F.row_number().over(Window.partitionBy("source").orderBy("n_chars", "doc_id")))
+        return ranked.join(ask, "source").where("ordinal <= requested").drop("requested", "n_chars")
+
+    reader = cursors.Cursors(spark, f"{families.shared_folder(spark)}/cursor-{uuid.uuid4().hex}", ("source_id",))
+    for n in (7, 15, 40):
+        held = reader.window(sources.withColumn("requested", F.lit(n)), fetch)
+    return held.join(reader.states().select("source", "exhausted"), "source").select("source", "doc_id", "position", "exhausted")
