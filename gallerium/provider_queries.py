@@ -12,7 +12,7 @@ from .functions import text as T
 from .functions import words as W
 from .operators import delivery, families, matches, tournament
 from .plans import snapshot, translation
-from .queries import FOLD, TOKENS, document_items, first_vector, query, table, votes, with_copies
+from .queries import FOLD, HOLDS, TOKENS, document_items, first_vector, query, table, votes, with_copies
 from .sources import pages as html
 from .sources import cursors, paging, records
 from .streaming import live
@@ -410,3 +410,45 @@ def cursor_buffer(spark, sf_dir):
     for n in (7, 15, 40):
         held = reader.window(sources.withColumn("requested", F.lit(n)), fetch)
     return held.join(reader.states().select("source", "exhausted"), "source").select("source", "doc_id", "position", "exhausted")
+
+
+def stored_page(folder: str, size: int):
+    """fetch(chain, token) over pages that lie as Parquet folders chain=c/page=n, whose token is the page's number."""
+
+    def fetch(chain, token):
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        page = int(token or 0)
+        system, path = fs.FileSystem.from_uri(folder)
+        at = f"{path}/chain={chain}/page={page}"
+        files = [f.path for f in system.get_file_info(fs.FileSelector(at, allow_not_found=True)) if f.path.endswith(".parquet")]
+        ids = sorted(i for f in files for i in pq.read_table(f, columns=["id"], filesystem=system, partitioning=None).column("id").to_pylist())
+        return [(i,) for i in ids], str(page + 1) if len(ids) == size else None
+
+    return fetch
+
+
+TITLE_HOLDS = HOLDS.replace("text", "title")
+
+
+@query(
+    f"""WITH i AS (SELECT doc_id, source, text, coalesce(string_split(text, '.')[1], '') AS title FROM documents),
+    f AS (SELECT doc_id, source, 1 AS priority FROM i WHERE {TITLE_HOLDS.replace('{0}', 'and the')} UNION ALL SELECT doc_id, source, 2 FROM i WHERE {HOLDS.replace('{0}', 'and the')}),
+    o AS (SELECT *, row_number() OVER (PARTITION BY source, priority ORDER BY doc_id) AS ordinal FROM f),
+    u AS (SELECT source, doc_id, min(priority * 1000000000 + ordinal) AS first FROM o WHERE ordinal <= 30 GROUP BY ALL)
+    SELECT source, doc_id AS id, row_number() OVER (PARTITION BY source ORDER BY first) - 1 AS position FROM u QUALIFY position < 25"""
+)
+def token_paged_union(spark, sf_dir):
+    """Searches of titles and texts of each source, answered in pages of ten that name the next one, followed by a task each and
+    united, titles first."""
+    docs = document_items(spark, sf_dir)
+    hits = lambda field, c: docs.where(T.contains_phrase(c, "and the")).select(F.concat(F.lit(f"{field}-"), F.hex("source")).alias("chain"), F.col("doc_id").alias("id"))
+    numbered = hits("title", "title").unionByName(hits("text", "text")).withColumn("page", F.floor((F.row_number().over(Window.partitionBy("chain").orderBy("id")) - 1) / 10))
+    folder = f"{families.shared_folder(spark)}/pages-{uuid.uuid4().hex}"
+    numbered.repartition("chain").write.partitionBy("chain", "page").parquet(folder)
+    chains = [r.chain for r in numbered.select("chain").distinct().collect()]  # two a source
+    rows = paging.read_chains(spark, f"pages{uuid.uuid4().hex[:8]}", "id long", stored_page(folder, 10), chains, 30)
+    found = rows.select(F.split("chain", "-")[0].alias("field"), F.unhex(F.split("chain", "-")[1]).cast("string").alias("source"), "ordinal", "id")
+    records = docs.select(F.col("doc_id").alias("id"), "title", "text")
+    return paging.field_union(found, ["title", "text"], "and the", records, ["title", "text"], 25, ["source"]).select("source", "id", F.col("position").cast("long").alias("position"))

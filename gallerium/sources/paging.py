@@ -1,4 +1,5 @@
-"""Paged sources: a Python data source that reads a provider page by page, and identities across its pages."""
+"""Paged sources: Python data sources that read a provider page by page, by offsets or by continuation tokens, and identities
+across pages."""
 
 from __future__ import annotations
 
@@ -6,8 +7,9 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
+from ..functions.text import matches_phrases
 from ..operators.families import components, stored
 
 Fetch = Callable[[int, int], tuple[list, int]]
@@ -63,6 +65,108 @@ def read_paged(spark: SparkSession, name: str, schema: str, fetch: Fetch, total:
     return spark.read.format(name).load()
 
 
+# Pages by continuation tokens
+
+TokenFetch = Callable[[str, str], tuple[list, str | None]]
+END = "\x00end"
+
+
+def followed(fetch: TokenFetch, chain: str, need: int, token: str = "") -> Iterator[tuple[int, tuple]]:
+    """(ordinal, row) of fetch(chain, token) -> (rows, next token or None), page after page, up to `need` rows. A token that
+    came before is an error, as it would never end."""
+    n, seen = 0, set()
+    while n < need:
+        if token in seen:
+            raise ValueError(f"{chain}: a page leads back to the token {token!r}")
+        seen.add(token)
+        rows, following = fetch(chain, token)
+        for row in rows[: need - n]:
+            yield n, tuple(row)
+            n += 1
+        if following is None:
+            return
+        token = following
+
+
+class Chain(InputPartition):
+    def __init__(self, name: str):
+        self.name = name
+
+
+def read_chains(spark: SparkSession, name: str, schema: str, fetch: TokenFetch, chains: list[str], need: int) -> DataFrame:
+    """(chain, ordinal, ...) of chains of pages, each followed by a task of its own, as only a page says where the next is; a
+    lost executor costs its chains."""
+    kind, called, made = f"chain string, ordinal long, {schema}", name, (fetch, list(chains), need)
+
+    class Pages(DataSourceReader):
+        def partitions(self):
+            return [Chain(c) for c in made[1]]
+
+        def read(self, partition):
+            for n, row in followed(made[0], partition.name, made[2]):
+                yield (partition.name, n, *row)
+
+    class Chained(DataSource):
+        @classmethod
+        def name(cls):
+            return called
+
+        def schema(self):
+            return kind
+
+        def reader(self, schema):
+            return Pages()
+
+    spark.dataSource.register(Chained)
+    return spark.read.format(name).load()
+
+
+def stream_chain(spark: SparkSession, name: str, schema: str, fetch: TokenFetch, chain: str) -> DataFrame:
+    """A chain as a stream whose offset is the token: a micro-batch is a page, one that is repeated reads its page again, and
+    a query that starts again from its checkpoint goes on at its token."""
+    kind, called, made = schema, name, (fetch, chain)
+
+    class Pages(SimpleDataSourceStreamReader):
+        def initialOffset(self):
+            return {"token": ""}
+
+        def read(self, start):
+            if start["token"] == END:
+                return iter([]), start
+            rows, following = made[0](made[1], start["token"])
+            return iter([tuple(r) for r in rows]), {"token": END if following is None else following}
+
+        def readBetweenOffsets(self, start, end):
+            return self.read(start)[0]
+
+    class Streamed(DataSource):
+        @classmethod
+        def name(cls):
+            return called
+
+        def schema(self):
+            return kind
+
+        def simpleStreamReader(self, schema):
+            return Pages()
+
+    spark.dataSource.register(Streamed)
+    return spark.readStream.format(name).load()
+
+
+def field_union(found: DataFrame, fields: list[str], phrase: str, records: DataFrame, texts: list[str], need: int, group: list[str] | None = None) -> DataFrame:
+    """The first `need` ids (of each `group`) that searches of several fields found: `found` (field, ordinal, id), those of an
+    earlier field first, each id once, and only records (id and texts) of which one text alone holds the phrase."""
+    from pyspark.sql import Window
+
+    group = group or []
+    at = F.array_position(F.array(*map(F.lit, fields)), F.col("field"))
+    once = found.withColumn("priority", at).groupBy(*group, "id").agg(F.min(F.struct("priority", "ordinal")).alias("first"))
+    met = records.where(matches_phrases(texts, [phrase])).select("id")
+    own = Window.partitionBy(*group).orderBy("first", "id")
+    return once.join(met, "id").withColumn("position", F.row_number().over(own) - 1).where(F.col("position") < need).select(*group, "id", "position")
+
+
 def first_of_identities(rows: DataFrame, order: str, identities: list[str]) -> DataFrame:
     """Keeps a row, in order, unless an identity of it belongs to a row kept before. Rows that share none with another stay
     at once; the others are decided in rounds: a row goes if it shares an identity with a kept one, and stays once nothing

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gallerium.plans import translation
+from gallerium.sources import paging
 from gallerium.sources.cursors import Cursors
 
 KEYWORDS = """<section><h2>unicorn</h2><a href='x("UD_DESCRIPTEUR", "licorne")'>go</a></section>
@@ -133,3 +134,52 @@ def test_pages_keep_their_surplus(spark, tmp_path):
     assert listed(cursors.pages(asked(spark, a=500), fetch))["a"] == [f"a{i}" for i in range(50)]
     with pytest.raises(ValueError, match="advance"):
         Cursors(spark, f"{tmp_path}/d").pages(asked(spark, a=50), lambda ask: (every.limit(3), ask.select("source", "next_offset", F.lit(False).alias("exhausted"))))
+
+
+# Pages by tokens
+
+
+def token_fetch(chain, token):
+    """Three pages whose tokens are words; the second repeats an id of the first."""
+    pages = {"": (["a0", "a1"], "go"), "go": (["a1", "a2"], "on"), "on": (["a3"], None), "back": (["b"], "back")}
+    rows, following = pages[token]
+    return [(r,) for r in rows], following
+
+
+def test_chains_are_followed(spark):
+    rows = paging.read_chains(spark, "chains_a", "id string", token_fetch, ["x", "y"], 4)
+    assert sorted((r.chain, r.ordinal, r.id) for r in rows.collect()) == [(c, k, i) for c in "xy" for k, i in enumerate(["a0", "a1", "a1", "a2"])]
+    assert [i for _, (i,) in paging.followed(token_fetch, "x", 99, "go")] == ["a1", "a2", "a3"]
+    with pytest.raises(ValueError, match="leads back"):
+        list(paging.followed(token_fetch, "x", 99, "back"))
+
+
+def test_a_stream_goes_on_at_its_token(spark, tmp_path):
+    """A page a run; a run whose batch was not committed reads the same page again."""
+    seen = []
+    for k in range(4):
+        stream = paging.stream_chain(spark, "chain_stream", "id string", token_fetch, "x")
+
+        def step(batch, number, k=k):
+            seen.append((number, sorted(r.id for r in batch.collect())))
+            if k == 1:
+                raise RuntimeError("lost")
+
+        running = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+        try:
+            running.awaitTermination()
+        except Exception as e:
+            assert "lost" in str(e)
+    pages = [ids for _, ids in seen if ids]
+    assert pages[0] == ["a0", "a1"] and pages[1] == pages[2] == ["a1", "a2"] and pages[-1] == ["a3"]
+
+
+def test_fields_are_united_titles_first(spark):
+    found = spark.createDataFrame([("text", 0, "wrong"), ("text", 1, "both"), ("text", 2, "text"), ("title", 0, "title"), ("title", 1, "both")], "field string, ordinal int, id string")
+    records = spark.createDataFrame([
+        ("wrong", "Watch at Night", "A guard observes the city."), ("text", "City Guard", "A night-watch patrol crosses the square."),
+        ("title", "Copy of the Night Watch", "A painted copy."), ("both", "night watch", "the night watch"), ("apart", "Night", "Watch"),
+    ], "id string, title string, text string")
+    got = paging.field_union(found, ["title", "text"], "night watch", records, ["title", "text"], 10)
+    assert [r.id for r in got.orderBy("position").collect()] == ["title", "both", "text"]
+    assert [r.id for r in paging.field_union(found, ["title", "text"], "night watch", records, ["title", "text"], 2).orderBy("position").collect()] == ["title", "both"]
