@@ -83,3 +83,59 @@ def _fingerprints(data: pd.Series, width: pd.Series, height: pd.Series) -> pd.Da
 def fingerprints(data: Column, width: Column, height: Column) -> Column:
     """Of raw RGB bytes, row by row; null parts where the bytes don't fill the size."""
     return F.pandas_udf(_fingerprints, FINGERPRINT)(data, width, height)
+
+
+def colourfulness(pixels: Column) -> Column:
+    """How coloured an image is: the mean over its pixels (red, green, blue in a row, 0 to 255) of the span between a pixel's
+    channels; 0 is grey, 1 pure colour, null none at all."""
+    whole = F.filter(F.sequence(F.lit(0), F.greatest(F.size(pixels) - 1, F.lit(0))), lambda i: i % 3 == 0)
+    span = lambda i: F.greatest(F.get(pixels, i), F.get(pixels, i + 1), F.get(pixels, i + 2)) - F.least(F.get(pixels, i), F.get(pixels, i + 1), F.get(pixels, i + 2))
+    n = F.floor(F.size(pixels) / 3)
+    return F.when(n > 0, F.aggregate(whole, F.lit(0.0), lambda s, i: s + span(i)) / (255 * n))
+
+
+HEADER_BYTES = 384 * 1024  # fixed value: what is looked at of an image
+SIZE = "struct<width:int,height:int>"
+_FRAMES = {*range(0xC0, 0xD0)} - {0xC4, 0xC8, 0xCC}
+
+
+def header_size(data: bytes | None) -> tuple[int, int] | None:
+    """Width and height by the header of a PNG, GIF, JPEG or WebP image; None if it isn't one or ends before they are told."""
+    head = (data or b"")[:HEADER_BYTES]
+    big = lambda at, n: int.from_bytes(head[at : at + n], "big")
+    little = lambda at, n: int.from_bytes(head[at : at + n], "little")
+    if head[:8] == b"\x89PNG\r\n\x1a\n" and head[12:16] == b"IHDR" and len(head) >= 24:
+        return big(16, 4), big(20, 4)
+    if head[:6] in (b"GIF87a", b"GIF89a") and len(head) >= 10:
+        return little(6, 2), little(8, 2)
+    if head[:4] == b"RIFF" and head[8:12] == b"WEBP" and len(head) >= 30:
+        if head[12:16] == b"VP8X":
+            return little(24, 3) + 1, little(27, 3) + 1
+        if head[12:16] == b"VP8L" and head[20] == 0x2F:
+            both = little(21, 4)
+            return (both & 0x3FFF) + 1, (both >> 14 & 0x3FFF) + 1
+        if head[12:16] == b"VP8 " and head[23:26] == b"\x9d\x01\x2a":
+            return little(26, 2) & 0x3FFF, little(28, 2) & 0x3FFF
+    if head[:2] == b"\xff\xd8":
+        at = 2
+        while at + 4 <= len(head) and head[at] == 0xFF:
+            mark = head[at + 1]
+            if mark == 0xFF or mark == 0x01 or 0xD0 <= mark <= 0xD7:  # fill, or a mark without a segment
+                at += 1 if mark == 0xFF else 2
+            elif mark in _FRAMES:
+                return (big(at + 7, 2), big(at + 5, 2)) if at + 9 <= len(head) else None
+            elif mark == 0xD9 or mark == 0xDA or big(at + 2, 2) < 2:
+                return None
+            else:
+                at += 2 + big(at + 2, 2)
+    return None
+
+
+def header_sizes(content: Column) -> Column:
+    """Width and height of binary images by the first HEADER_BYTES of each, or nulls. Only these bytes leave the JVM."""
+
+    def run(values: pd.Series) -> pd.DataFrame:
+        found = [header_size(v) or (None, None) for v in values]
+        return pd.DataFrame({"width": pd.array([w for w, _ in found], "Int32"), "height": pd.array([h for _, h in found], "Int32")})
+
+    return F.pandas_udf(run, SIZE)(F.substring(content, 1, HEADER_BYTES))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import re
 import unicodedata
 from collections.abc import Callable, Iterable
@@ -184,8 +185,17 @@ def host_matches(host: Column, domain: str) -> Column:
     return (F.lower(host) == domain) | F.lower(host).endswith(f".{domain}")
 
 
-def strip_tags(html: Column | str) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(_col(html), F.lit("")), "<[^>]*>", " "), r"\s+", " "))
+def strip_tags(markup: Column | str) -> Column:
+    return F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(_col(markup), F.lit("")), "<[^>]*>", " "), r"\s+", " "))
+
+
+def _unescaped(values: pd.Series) -> pd.Series:
+    return values.map(html.unescape, na_action="ignore")
+
+
+def plain_text(markup: Column | str) -> Column:
+    """A text without tags, its character references decoded; null stays null."""
+    return F.trim(F.pandas_udf(_unescaped, "string")(F.regexp_replace(_col(markup), "<[^>]+>", "")))
 
 
 TRUE_WORDS = ("1", "true", "yes", "on")  # fixed values, as the next line

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import images as I
 from ..functions import text as T
 
 DEFAULTS = {
@@ -74,3 +75,21 @@ def resolve_dimensions(items: DataFrame, dims: DataFrame, on: str) -> DataFrame:
     joined = items.join(dims.select(on, F.col("width").alias("w"), F.col("height").alias("h")), on, "left")
     lacks = (F.col("width") == 0) | (F.col("height") == 0)
     return joined.withColumns({"width": F.when(lacks, F.coalesce("w", "width")).otherwise(F.col("width")), "height": F.when(lacks, F.coalesce("h", "height")).otherwise(F.col("height"))}).drop("w", "h")
+
+
+def probe_sizes(items: DataFrame, files: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Items whose width or height is missing with the sizes that their images' headers tell, and all probed sizes (url, width,
+    height) to be known next time. `files` (url, content) are images by address. An item's image counts, else its thumbnail;
+    each address is probed once; what no header tells is 0, so it isn't asked for again."""
+    address = F.coalesce(F.nullif("image_url", F.lit("")), F.nullif("thumb_url", F.lit("")))
+    lacks = (F.coalesce("width", F.lit(0)) == 0) | (F.coalesce("height", F.lit(0)) == 0)
+    wanted = items.where(lacks).select(address.alias("url")).where("url is not null").distinct()
+    if known is not None:
+        wanted = wanted.join(known.select("url"), "url", "left_anti")
+    probed = first_by(files.select("url", "content").join(wanted, "url", "left_semi"), ["url"], [F.col("content")])
+    size = probed.select("url", I.header_sizes(F.col("content")).alias("s")).select("url", F.coalesce("s.width", F.lit(0)).alias("width"), F.coalesce("s.height", F.lit(0)).alias("height"))
+    sizes = size if known is None else known.select("url", "width", "height").unionByName(size)
+    found = sizes.select("url", F.col("width").alias("__w"), F.col("height").alias("__h"))
+    joined = items.withColumn("__lacks", lacks).withColumn("__url", F.when(F.col("__lacks"), address)).join(found, F.col("__url") == F.col("url"), "left")
+    filled = joined.withColumns({"width": F.when(F.col("__lacks"), F.coalesce("__w", F.lit(0))).otherwise(F.col("width")), "height": F.when(F.col("__lacks"), F.coalesce("__h", F.lit(0))).otherwise(F.col("height"))})
+    return filled.drop("__lacks", "__url", "__w", "__h", "url"), sizes
