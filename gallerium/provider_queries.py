@@ -4,17 +4,18 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions import images
 from .functions import text as T
 from .functions import words as W
-from .operators import delivery, families, matches, tournament
+from .operators import delivery, families, items, matches, tournament
 from .plans import snapshot, translation
 from .queries import FOLD, HOLDS, TOKENS, document_items, first_vector, query, table, votes, with_copies
 from .sources import pages as html
-from .sources import cursors, paging, records
+from .sources import archives, composed, cursors, paging, records
 from .streaming import live
 
 # Word matching and evidence
@@ -452,3 +453,120 @@ def token_paged_union(spark, sf_dir):
     found = rows.select(F.split("chain", "-")[0].alias("field"), F.unhex(F.split("chain", "-")[1]).cast("string").alias("source"), "ordinal", "id")
     records = docs.select(F.col("doc_id").alias("id"), "title", "text")
     return paging.field_union(found, ["title", "text"], "and the", records, ["title", "text"], 25, ["source"]).select("source", "id", F.col("position").cast("long").alias("position"))
+
+
+# Headers, archives and composed scans
+
+
+@query(
+    """SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 7 WHEN p_partkey % 5 = 4 THEN 0 ELSE p_partkey % 5000 + 1 END::INT AS width, CASE WHEN p_partkey % 3 = 0 THEN 8 WHEN p_partkey % 5 = 4 THEN 0 ELSE p_size END::INT AS height FROM part"""
+)
+def header_probe(spark, sf_dir):
+    """Parts whose images are headers of four formats and of none; a third of the sizes are known."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_size", (F.col("p_partkey") % 5000 + 1).cast("int").alias("w"), F.col("p_size").cast("int").alias("h"), F.concat(F.lit("u"), "p_partkey").alias("url"))
+    big = lambda x, n: F.lpad(F.hex(x), 2 * n, "0")
+    little = lambda x, n: F.concat(*[F.substring(big(x, n), 2 * k - 1, 2) for k in range(n, 0, -1)])
+    w, h, kind = F.col("w"), F.col("h"), F.col("p_partkey") % 5
+    made = (
+        F.when(kind == 0, F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), big(w, 4), big(h, 4), F.lit("0802000000")))
+        .when(kind == 1, F.concat(F.lit("474946383961"), little(w, 2), little(h, 2), F.lit("000000")))
+        .when(kind == 2, F.concat(F.lit("FFD8FFE000104A46494600010100000100010000FFC2000B08"), big(h, 2), big(w, 2), F.lit("03")))
+        .when(kind == 3, F.concat(F.lit("524946461E00000057454250565038580A00000000000000"), little(w - 1, 3), little(h - 1, 3)))
+        .otherwise("3C68746D6C3E")
+    )
+    known = F.col("p_partkey") % 3 == 0
+    shown = part.select("p_partkey", F.col("url").alias("image_url"), F.lit("").alias("thumb_url"), F.when(known, 7).otherwise(0).alias("width"), F.when(known, 8).otherwise(0).alias("height"))
+    filled, _ = items.probe_sizes(shown, part.select("url", F.unhex(made).alias("content")))
+    return filled.select("p_partkey", "width", "height")
+
+
+@query("""SELECT doc_id::VARCHAR AS id, row_number() OVER (PARTITION BY source ORDER BY doc_id::VARCHAR) AS number, strlen(text) AS size, CASE WHEN doc_id % 3 > 0 THEN lang ELSE '' END AS lang FROM documents""")
+def archive_pool(spark, sf_dir):
+    """An archive a source, with its texts as members and their languages in lists beside them; read back in place."""
+    folder = f"{families.shared_folder(spark)}/archives-{uuid.uuid4().hex}"
+    if "://" not in folder:
+        folder = f"file://{folder}"
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+
+    def pack(key, frame):
+        """One archive; a repeated task writes it again."""
+        import io
+        import json
+        import zipfile
+
+        from pyarrow import fs
+
+        data = io.BytesIO()
+        with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as archive:
+            for doc, text in zip(frame["doc_id"], frame["text"]):
+                archive.writestr(f"images/{doc}.png", (text or "").encode())
+            notes = [{"image_path": f"./images/{doc}.png", "image_metadata": {"lang": lang}} for doc, lang in zip(frame["doc_id"], frame["lang"]) if doc % 3]
+            archive.writestr("annotations/first.json", json.dumps(notes))
+            archive.writestr("annotations/late.json", json.dumps([n | {"image_metadata": {"lang": "late"}} for n in notes]))
+        system, path = fs.FileSystem.from_uri(folder)
+        system.create_dir(path)
+        with system.open_output_stream(f"{path}/{key[0]}.zip") as out:
+            out.write(data.getvalue())
+        return pd.DataFrame({"path": [f"{folder}/{key[0]}.zip"]})
+
+    paths = [r.path for r in docs.groupBy("source").applyInPandas(pack, "path string").collect()]  # an archive a source
+    found = archives.pool(spark, paths)
+    return found.select("id", F.col("number").cast("long").alias("number"), "size", F.coalesce(F.col("metadata")["lang"], F.lit("")).alias("lang"))
+
+
+@query(
+    """WITH i AS (SELECT l_orderkey * 10 + l_linenumber AS image, l_partkey, p_name, p_type, p_brand, p_size FROM lineitem LEFT JOIN part ON l_partkey = p_partkey AND p_partkey % 7 > 0 WHERE l_returnflag = 'R'),
+    k AS (SELECT * FROM i WHERE p_name IS NOT NULL AND len(list_intersect(regexp_extract_all(lower(p_name || ' ' || p_type), '[a-z0-9]+'), ['widgets', 'widgetss', 'widgetses', 'widget'])) > 0 ORDER BY image LIMIT 500)
+    SELECT image::VARCHAR AS source_id, p_brand AS artist, CASE WHEN p_size % 2 = 0 THEN 'https://i.test/image/w' || l_partkey || '/full/max/0/default.jpg' ELSE 'https://i.test/image/m' || image || '/full/max/0/default.jpg' END AS image_url, p_size % 2 = 0 AS is_primary_view FROM k"""
+)
+def image_works(spark, sf_dir):
+    """Returned lines as images of parts; parts of even size are pictures, and some parts are unknown."""
+    lines = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ordinal"), F.col("l_partkey").cast("string").alias("work_id"))
+    shown = lines.select("ordinal", F.col("ordinal").cast("string").alias("image_id"), "work_id", F.lit("A matched image").alias("title"), F.concat(F.lit("https://i.test/image/m"), "ordinal", F.lit("/info.json")).alias("image_url"), F.lit("x").alias("license"))
+    one = lambda c: F.array(F.col(c))
+    works = table(spark, sf_dir, "part").where("p_partkey % 7 > 0").select(
+        F.col("p_partkey").cast("string").alias("work_id"), F.when(F.col("p_size") % 2 == 0, "Pictures").otherwise("Books").alias("work_type"), F.col("p_name").alias("description"), one("p_brand").alias("artists"), one("p_brand").alias("dates"),
+        F.lit("").alias("medium"), F.concat(F.lit("https://i.test/thumbs/w"), "p_partkey", F.lit("/full/200,/0/default.jpg")).alias("thumb_url"), one("p_type").alias("subjects"), F.lit(None).cast("array<string>").alias("notes"),
+    )
+    return composed.image_works(shown, works, "widgets", 500).select("source_id", "artist", "image_url", "is_primary_view")
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, source, text, lang, CASE WHEN doc_id % 6 = 0 THEN NULL WHEN doc_id % 6 = 1 THEN 0.000024 ELSE n_chars / 10.0 END AS score, {FOLD.format('text')} AS w FROM documents),
+    k AS (SELECT * FROM d WHERE coalesce(score >= 0.01, true) AND list_contains(w, 'tion') AND list_contains(w, 'was'))
+    SELECT doc_id AS id, CASE WHEN lang = 'en' AND doc_id % 4 > 0 THEN 'commons' WHEN source IN ('src0', 'src1', 'src2', 'src3') THEN 'archive' ELSE '' END AS image_delivery,
+    CASE WHEN lang = 'en' AND doc_id % 4 > 0 THEN 'c' || doc_id WHEN source IN ('src0', 'src1', 'src2', 'src3') THEN 'a' || doc_id ELSE 'own' || doc_id END AS image_url FROM k"""
+)
+def scored_deliveries(spark, sf_dir):
+    """Documents as scored hits: the floor, both ideas of the query, a delivery that a gate of colours lets through, and another."""
+    docs = table(spark, sf_dir, "documents")
+    score = F.when(F.col("doc_id") % 6 == 1, 0.000024).when(F.col("doc_id") % 6 > 1, F.col("n_chars") / 10.0)
+    hits = docs.withColumn("score", score)
+    kept = composed.above_floor(hits).where(composed.covers_concepts("tion was", F.col("text"))).select(F.col("doc_id").alias("id"), F.concat(F.lit("own"), "doc_id").alias("image_url"))
+    offer = lambda rows, prefix: rows.select(F.col("doc_id").alias("id"), F.concat(F.lit(prefix), "doc_id").alias("url"), F.lit(843).alias("width"), F.lit(0).alias("height"))
+    other = F.when(F.col("doc_id") % 4 == 0, 0.01).otherwise(0.2)
+    first = offer(docs.where("lang = 'en'").where(composed.keeps_colour(F.lit(0.31), other)), "c")
+    second = offer(docs.where(F.col("source").isin("src0", "src1", "src2", "src3")), "a")
+    return composed.delivered(kept, [("commons", first), ("archive", second)]).select("id", "image_delivery", "image_url")
+
+
+@query(
+    """WITH f AS (SELECT doc_id, doc_id // 25 AS ordinal, doc_id % 25 AS place, CASE WHEN doc_id % 4 = 0 THEN 'MET ' || (doc_id % 90) END AS object, 1000000 - doc_id AS asset FROM documents WHERE doc_id % 5 > 0 AND lang <> 'es'),
+    g AS (SELECT coalesce(object, 'doc ' || doc_id) AS key, min(doc_id) AS at, arg_min(doc_id, asset) AS best FROM f GROUP BY ALL)
+    SELECT at // 25 AS ordinal, (at % 25)::INT AS place, 'File:Document DT' || (1000000 - best) || '.jpg' AS source_id, 'https://c.test/' || best AS image_url FROM g ORDER BY at LIMIT 400"""
+)
+def repository_scan(spark, sf_dir):
+    """Documents as a file repository's answers of twenty-five; every fourth is a photograph of an object that others show."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.col("source"))
+    value = lambda c: F.struct(c.alias("value"))
+    key = F.col("doc_id")
+    meta = F.create_map(
+        F.lit("LicenseShortName"), value(F.when(F.col("lang") == "es", "Copyrighted").otherwise("CC BY-SA 4.0")), F.lit("Categories"), value(F.when(key % 4 == 0, F.concat(F.lit("Of an object, MET "), key % 90)).otherwise("")), F.lit("Artist"), value(F.concat(F.lit("<b>"), "source", F.lit("</b>")))
+    )
+    info = F.struct(F.when(key % 5 == 0, "image/tiff").otherwise("image/jpeg").alias("mime"), F.concat(F.lit("http://c.test/"), key).alias("url"), F.lit(3000).alias("width"), meta.alias("extmetadata"))
+    page = F.struct(F.concat(F.lit("File:Document DT"), 1000000 - key, F.lit(".jpg")).alias("title"), F.array(info).alias("imageinfo"))
+    each = F.concat(F.lit('"'), key % 25, F.lit('":'), F.to_json(page))
+    answers = docs.groupBy(F.floor(key / 25).alias("ordinal")).agg(F.array_sort(F.collect_list(F.struct((key % 25).alias("place"), each.alias("page")))).alias("pages"))
+    payload = F.concat(F.lit('{"query":{"pages":{'), F.array_join("pages.page", ","), F.lit("}}}"))
+    found = composed.repository_scan(answers.select("ordinal", payload.alias("payload")), None, 200)
+    return found.select("ordinal", "place", "source_id", "image_url")
