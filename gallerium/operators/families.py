@@ -88,14 +88,15 @@ def collapse(items: DataFrame, labels: DataFrame, node: str) -> DataFrame:
 def image_pairs(vectors: DataFrame, threshold: float = 0.9, miss: float = 1e-4, same: Callable[[DataFrame], Column] | None = None) -> DataFrame:
     """Pairs (a, b, cosine) of unit vectors (vec_id, embedding) at or above a cosine, and for which `same` holds, a rule over
     the pair's columns. Signs of random projections block them: a table has as many bits as leave about `BLOCK_ROWS` rows a
-    block, and there are as many tables as miss a pair at the threshold with `miss` at most. A pair is compared in the first
-    table that has it in one block. A block of many near copies is that large however many bits it has, and its pairs are the
+    block, and there are as many tables as miss a pair at the threshold with `miss` at most. Only ids meet in the
+    blocks; the vectors of each met pair are looked up once. A block of many near copies is that large however many bits it has, and its pairs are the
     result."""
     import numpy as np
     import pyarrow as pa
 
     from ..functions.scoring import dot
 
+    vectors = stored(vectors)  # read for the blocks and for both sides of the met pairs
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>").alias("embedding"))
     about = rows.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("width")).first()
     bits = int(min(24, max(6, np.ceil(np.log2(max(about.n, 1) / BLOCK_ROWS)))))
@@ -111,10 +112,8 @@ def image_pairs(vectors: DataFrame, threshold: float = 0.9, miss: float = 1e-4,
                 yield pa.RecordBatch.from_pydict({"vec_id": batch.column(0), "keys": pa.array(list(keys.astype("int32")), pa.list_(pa.int32()))})
 
     blocked = stored(rows.where("embedding is not null").mapInArrow(run, "vec_id long, keys array<int>"))
-    side = lambda n: blocked.select(F.posexplode("keys").alias("table", "key"), F.col("vec_id").alias(n), F.col("keys").alias(f"k{n}"))
-    met = side("a").join(side("b"), ["table", "key"]).where("a < b")
-    first = F.array_position(F.zip_with("ka", "kb", lambda x, y: x == y), True) - 1
-    pairs = met.where(F.col("table") == first).select("a", "b")
+    side = lambda n: blocked.select(F.posexplode("keys").alias("table", "key"), F.col("vec_id").alias(n))
+    pairs = side("a").join(side("b"), ["table", "key"]).where("a < b").select("a", "b").distinct()
     own = lambda n: vectors.select(*[F.col(c).alias(n if c == "vec_id" else f"{c}_{n}") for c in vectors.columns])
     both = pairs.join(own("a"), "a").join(own("b"), "b").withColumn("cosine", dot(F.col("embedding_a"), F.col("embedding_b"))).where(F.col("cosine") >= threshold)
     return (both.where(same(both)) if same else both).select("a", "b", "cosine")

@@ -552,8 +552,8 @@ def scored_deliveries(spark, sf_dir):
 
 @query(
     """WITH f AS (SELECT doc_id, doc_id // 25 AS ordinal, doc_id % 25 AS place, CASE WHEN doc_id % 4 = 0 THEN 'MET ' || (doc_id % 90) END AS object, 1000000 - doc_id AS asset FROM documents WHERE doc_id % 5 > 0 AND lang <> 'es'),
-    g AS (SELECT coalesce(object, 'doc ' || doc_id) AS key, min(doc_id) AS at, arg_min(doc_id, asset) AS best FROM f GROUP BY ALL)
-    SELECT at // 25 AS ordinal, (at % 25)::INT AS place, 'File:Document DT' || (1000000 - best) || '.jpg' AS source_id, 'https://c.test/' || best AS image_url FROM g ORDER BY at LIMIT 400"""
+    g AS (SELECT coalesce(object, 'doc ' || doc_id) AS key, min(doc_id) AS first_id, arg_min(doc_id, asset) AS best FROM f GROUP BY ALL)
+    SELECT first_id // 25 AS ordinal, (first_id % 25)::INT AS place, 'File:Document DT' || (1000000 - best) || '.jpg' AS source_id, 'https://c.test/' || best AS image_url FROM g ORDER BY first_id LIMIT 400"""
 )
 def repository_scan(spark, sf_dir):
     """Documents as a file repository's answers of twenty-five; every fourth is a photograph of an object that others show."""
