@@ -32,6 +32,11 @@ BAD_WORDS = frozenset(
 )
 # Words that say nothing of their own beside a bad one: a name goes if all its words are of either list, one of them bad.
 PLAIN_WORDS = frozenset("area bar block body bottom box btn button buttons center col column container content footer form global group header icons inline inner item items left line link links list main message middle module new outer overlay page panel post posts primary right row secondary section site slot small sticky stories story sub text title top unit widget wrap wrapper".split())
+# What an element holds, when a name ends with it or begins with it before a word of arrangement, whatever else the name says;
+# words that make a name a phrase or a state instead.
+HELD = frozenset("ad ads advert adverts advertisement advertisements breadcrumb breadcrumbs comment comments cookie cookies disqus footer login nav navbar newsletter popup promo replies sidebar signup sponsor sponsors".split())
+ARRANGED = frozenset("area box count feed form group inner list section stream thread threads tree wrap wrapper".split())
+PHRASE_WORDS = frozenset("a an and as at before after by for from has have in is no non not of off on or the to un with without".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar alert dialog form".split())
 STOP_WORDS = frozenset(
     "a about all also an and are as at be been but by can for from had has have he her his if in into is it its may more not of on or she so than that the their there they this to was we were which who will with would you "
@@ -54,10 +59,14 @@ class Block:
 
 def names_bad(value: str) -> bool:
     """Whether one of the names of a class or id attribute says that an element isn't main text. Names are taken whole:
-    `ad-box` does, `related-work`, `has-sidebar` and `comment-on-law` don't."""
+    `ad-box`, `user-comments` and `comment-thread` do, `related-work`, `has-sidebar` and `comment-on-law` don't."""
     for name in value.split():
         words = [w for w in _WORD_CUT.split(name) if w]
-        if words and not BAD_WORDS.isdisjoint(words) and all(w in BAD_WORDS or w in PLAIN_WORDS for w in words):
+        if not words or BAD_WORDS.isdisjoint(words):
+            continue
+        if all(w in BAD_WORDS or w in PLAIN_WORDS for w in words):
+            return True
+        if PHRASE_WORDS.isdisjoint(words) and (words[-1] in HELD or any(a in HELD and b in ARRANGED for a, b in zip(words, words[1:]))):
             return True
     return False
 
@@ -198,7 +207,7 @@ def first_pass(block: Block) -> str:
         if length < SHORT:
             return "bad" if density > LINKS_BAD_INSIDE and block.name in LINK_LISTS else "short"
         return "good" if length > LONG and _dense(block, STOPS_HIGH) else "near"
-    if "©" in block.text or "&copy" in block.text:
+    if "©" in block.text and length <= LONG:  # a line of rights; a long text may speak of them
         return "bad"
     if length < SHORT:
         return "bad" if block.links else "short"

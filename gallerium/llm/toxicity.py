@@ -1,12 +1,15 @@
 """Toxicity by a weighted finite-state grammar of clauses.
 
-Words become class letters by a lexicon (learned insult stems, given insults, threats, targets, negations and reporting verbs).
-Transducers mark the insults and threats of a clause that stand near a negation, a reporting verb or a target: those composed
-for one direction read a clause forwards, those for the other backwards, so that "you idiot" and "idiot, you" are the same. The
-marks say which patterns a clause matches: an insult at a target, a threat at a target, an insult at nobody, a threat at nobody,
-what is only denied or reported, and several insults or threats at once. A text's score weighs how many clauses match each pattern, however many of its words do;
-labelled rows move the weights from given ones. A pattern of its own, with a weight of its own, is the insult at nobody: where
-labels call it toxic, it counts, and in labels of isolated words it carries most of the score.
+Words become class letters by a lexicon (learned insult stems, given insults, threats, targets, negations, reporting verbs,
+articles, verbs of being and modal verbs). Transducers over these letters mark the insults and threats of a clause by the words
+that they stand with: an insult named with an article or a verb of being, or said of a thing as its adjective; a threat that a
+modal verb announces; either near a target, under a negation or reported. Some read a clause forwards, others backwards, so that
+"you idiot" and "idiot, you" are the same; those of one direction are composed into one table. "Not only" denies nothing, and
+what a target is said to be lasts to the clause's end.
+
+The marks say which patterns a clause matches, and a text's score weighs how many clauses match each, however many of its words
+do; labelled rows move the weights from given ones. A word in none of these constructions is a pattern of its own with a weight of
+its own: where labels call it toxic, it counts.
 """
 
 from __future__ import annotations
@@ -25,7 +28,8 @@ STEMS = (4, 5, 6)
 LEAST_ODDS, LEAST_DOCS, LEAST_SHARE, MARGIN = 2.5, 3, 0.003, 6.0
 MEMO_WORDS = 200_000
 OTHER, INSULT, THREAT, TARGET, OBJECT, NEGATION, REPORT, BREAK = "o", "I", "H", "T", "O", "N", "R", "."
-LETTERS = (OTHER, INSULT, THREAT, TARGET, OBJECT, NEGATION, REPORT, BREAK)
+ARTICLE, BEING, MODAL, ONLY = "A", "B", "M", "Y"
+LETTERS = (OTHER, INSULT, THREAT, TARGET, OBJECT, NEGATION, REPORT, BREAK, ARTICLE, BEING, MODAL, ONLY)
 # The given classes. An object can stand before its verb.
 GIVEN = {
     INSULT: "idiot idiots moron morons imbecile imbeciles cretin cretins stupid pathetic worthless loser losers scum scumbag scumbags disgusting bastard bastards asshole assholes dumbass idiotin vollidiot arschloch schwachkopf abschaum connard connasse crétin abruti imbécile idiote idiota imbécil estúpido estúpida pendejo gilipollas",
@@ -33,11 +37,18 @@ GIVEN = {
     TARGET: "you your you're you'll yours yourself u du ihr tu toi vous usted ustedes vosotros he she they him her them his their",
     OBJECT: "dich dir euch te os le",
     NEGATION: "not no never nobody none nor neither without isn't aren't wasn't weren't don't doesn't didn't won't wouldn't can't cannot nicht kein keine keinen keiner niemand nie ohne pas aucun aucune personne niemals jamais sans nunca nadie ningún ninguna sin",
+    ARTICLE: "a an the such what that this ein eine einen der die das so une un le la les quel quelle una el los las qué ese esa",
+    BEING: "is are was were am be been being ist sind war bist seid bin sei est sont était êtes suis es son era eres soy ser",
+    MODAL: "will would shall should must might could can gonna going i'll we'll they'll i'd want wants wanna let's werde werden wird muss soll vais va allons veux voy vamos quiero",
+    ONLY: "only just merely nur bloß seulement solo sólo solamente",
     REPORT: "said says saying wrote written writes quoted quotes called calls calling named reported sagte sagt schrieb nannte nennt écrit écrivait disait dit appelait dijo dice escribió llamó llamaba",
 }
 #: What a clause can match, and the weights that labels move: log(1 + clauses) times these, and the last is the bias.
-PATTERNS = ("insult at a target", "insult at nobody", "threat at a target", "threat at nobody", "insult denied or reported", "threat denied or reported", "several of them")
-GIVEN_WEIGHTS = np.array([4.0, 2.0, 5.0, 0.5, 0.5, 0.5, 1.0])
+PATTERNS = (
+    "insult at a target", "lone insult", "threat at a target", "threat at nobody", "insult denied or reported", "threat denied or reported", "several of them",
+    "insult named", "insult of a thing", "threat announced",
+)
+GIVEN_WEIGHTS = np.array([4.0, 2.0, 5.0, 0.5, 0.5, 0.5, 1.0, 3.0, 1.0, 1.5])
 GIVEN_BIAS = -2.0
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|[.!?;:]")
 
@@ -77,6 +88,32 @@ def near(triggers: str, mark: str, reach: int | None, kinds: str) -> Transducer:
     return Transducer(0, step)
 
 
+def denied() -> Transducer:
+    """Marks insults and threats up to four words after a negation; "not only" isn't one."""
+    plain = near(NEGATION, "n", 4, BOTH)
+
+    def step(state, symbol):
+        return (0, symbol) if symbol[0] == ONLY else plain.step(state, symbol)
+
+    return Transducer(0, step)
+
+
+def predicated() -> Transducer:
+    """Marks all insults of a clause after a target and, right behind it, a verb of being."""
+
+    def step(state, symbol):
+        kind = symbol[0]
+        if kind == BREAK:
+            return 0, symbol
+        if state == 2:
+            return 2, symbol + "t" if kind == INSULT else symbol
+        if kind == TARGET:
+            return 1, symbol
+        return (2 if state == 1 and kind == BEING else 0), symbol
+
+    return Transducer(0, step)
+
+
 def composed(*parts: Transducer) -> Transducer:
     first, *rest = parts
     for part in rest:
@@ -85,8 +122,8 @@ def composed(*parts: Transducer) -> Transducer:
 
 
 BOTH = INSULT + THREAT
-FORWARDS = composed(near(NEGATION, "n", 4, BOTH), near(REPORT, "r", None, BOTH), near(TARGET + OBJECT, "t", 4, INSULT), near(OBJECT, "t", 2, THREAT))
-BACKWARDS = composed(near(NEGATION, "n", 2, INSULT), near(REPORT, "r", 4, BOTH), near(TARGET + OBJECT, "t", 3, INSULT), near(TARGET + OBJECT, "t", 2, THREAT))
+FORWARDS = composed(denied(), near(REPORT, "r", None, BOTH), near(TARGET + OBJECT, "t", 4, INSULT), near(OBJECT, "t", 2, THREAT), predicated(), near(ARTICLE + BEING, "p", 1, INSULT), near(MODAL, "m", 2, THREAT))
+BACKWARDS = composed(near(NEGATION, "n", 2, INSULT), near(REPORT, "r", 4, BOTH), near(TARGET + OBJECT, "t", 3, INSULT), near(TARGET + OBJECT, "t", 2, THREAT), near(OTHER, "a", 1, INSULT))
 
 
 def table_of(grammar: Transducer) -> tuple[int, dict]:
@@ -124,8 +161,16 @@ def patterns_of(clause: str) -> frozenset[int]:
             marks = a + b
             if "n" in marks or "r" in marks:
                 found.add(4 if letter == INSULT else 5)
+            elif letter == THREAT:
+                found.add(2 if "t" in marks else 3)
+                if "m" in marks:
+                    found.add(9)
+            elif "t" in marks:
+                found.add(0)
+            elif "a" in marks:  # before a word that it can describe: an idiot box, a stupid question
+                found.add(8)
             else:
-                found.add((0 if "t" in marks else 1) if letter == INSULT else (2 if "t" in marks else 3))
+                found.add(7 if "p" in marks else 1)
     return frozenset(found | {6} if several else found)
 
 

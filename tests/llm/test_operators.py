@@ -645,7 +645,9 @@ def patterns(text):
 
 
 @pytest.mark.parametrize("text, pattern", [
-    ("what an idiot", "insult at nobody"),
+    ("what an idiot", "insult named"),
+    ("Idiot!", "lone insult"),
+    ("an idiot box", "insult of a thing"),
     ("idiot, you", "insult at a target"),
     ("you are such an idiot", "insult at a target"),
     ("You’re an idiot!", "insult at a target"),
@@ -654,8 +656,8 @@ def patterns(text):
     ("nobody is an idiot", "insult denied or reported"),
     ("they said idiot", "insult denied or reported"),
     ("an idiot, he said", "insult denied or reported"),
-    ("I will kill you", "threat at a target"),
-    ("ich werde dich umbringen", "threat at a target"),
+    ("I kill you", "threat at a target"),
+    ("dich umbringen", "threat at a target"),
     ("I kill time", "threat at nobody"),
     ("you kill time", "threat at nobody"),
     ("we will not kill you", "threat denied or reported"),
@@ -665,8 +667,9 @@ def test_toxicity_grammar(text, pattern):
 
 
 def test_toxicity_counts_clauses():
-    assert patterns("not he. idiot") == {"insult at nobody": 1}
-    assert patterns("idiot and moron and scum. a loser") == {"insult at nobody": 2, "several of them": 1}
+    assert patterns("not he. idiot") == {"lone insult": 1}
+    assert patterns("idiot, moron, scum. a loser") == {"lone insult": 1, "insult named": 1, "several of them": 1}
+    assert patterns("I will kill you") == patterns("ich werde dich umbringen") == {"threat at a target": 1, "threat announced": 1}
     assert patterns("you idiot\nyou idiot") == {"insult at a target": 2}
     assert patterns("nothing here") == {} == patterns(None)
     model = toxicity.Model(toxicity.given_lexicon(), np.array([toxicity.GIVEN_BIAS, *toxicity.GIVEN_WEIGHTS]))
@@ -684,16 +687,23 @@ def plain_patterns(letters):
         def trigger(kinds, reach, step):
             return any(letters[j] in kinds for j in range(i + step, i + step * (reach + 1), step) if 0 <= j < len(letters))
 
-        denied = trigger("N", 4, -1) or trigger("R", 99, -1) or trigger("R", 4, 1) or (letter == "I" and trigger("N", 2, 1))
+        negated = any(letters[j] == "N" and "Y" not in letters[j:i] for j in range(max(0, i - 4), i))
+        denied = negated or trigger("R", 99, -1) or trigger("R", 4, 1) or (letter == "I" and trigger("N", 2, 1))
         near = trigger("TO", 4, -1) or trigger("TO", 3, 1) if letter == "I" else trigger("O", 2, -1) or trigger("TO", 2, 1)
-        found.add((4 if letter == "I" else 5) if denied else {"I": (1, 0), "H": (3, 2)}[letter][near])
+        said = any(letters[j] == "T" and letters[j + 1] == "B" for j in range(i - 1))
+        if denied:
+            found.add(4 if letter == "I" else 5)
+        elif letter == "H":
+            found |= {2 if near else 3} | ({9} if trigger("M", 2, -1) else set())
+        else:
+            found.add(0 if near or said else 8 if trigger("o", 1, 1) else 7 if trigger("AB", 1, -1) else 1)
     return found | ({6} if sum(x in "IH" for x in letters) > 1 else set())
 
 
 def test_toxicity_transducers_against_plain():
     rng = random.Random(19)
     for _ in range(3000):
-        letters = "".join(rng.choices("ooooIHTONR", k=rng.randint(1, 12)))
+        letters = "".join(rng.choices("ooooIHTONRABMY", k=rng.randint(1, 12)))
         assert toxicity.patterns_of(letters) == plain_patterns(letters), letters
 
 

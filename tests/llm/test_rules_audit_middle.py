@@ -11,7 +11,7 @@ from math import isclose
 import pytest
 from pyspark.sql import functions as F
 
-from gallerium.llm import fill_middle, filter_audit, host_rules
+from gallerium.llm import fill_middle, filter_audit, host_rules, html_text, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -231,3 +231,69 @@ def test_ranked_bits_of_long_masks():
     mask = sum(1 << p for p in places)
     for k in (0, 1, 2500, 4998, 4999):
         assert fill_middle.ranked_bit(mask, k, 300_000) == places[k]
+
+
+# Blocks and clauses
+
+
+def test_comments_and_adverts_in_an_article_go_by_any_name():
+    prose = "The article's own text goes on for a while, as it is about the things that were said to have been there before."
+    for name in ("user-comments", "reader-comments", "comment-thread", "google-ad", "article__comments-list", "top-banner-ad"):
+        page = f"<article><h1>On a title</h1><p>{prose}</p><div class='{name}'><p>{prose[::-1]}</p></div><p>{prose} End.</p></article>"
+        assert html_text.main_text(page) == f"On a title {prose} {prose} End.", name
+    for name in ("related-work", "has-sidebar", "no-ads", "comment-on-law", "commentary", "advertorial", "reading-list"):
+        page = f"<article><p>{prose}</p><div class='{name}'><p>{prose} More.</p></div></article>"
+        assert html_text.main_text(page) == f"{prose} {prose} More.", name
+
+
+def test_a_long_text_may_speak_of_rights():
+    prose = "The sign © is one that is set before the name of the one who has the right to a work, and it has been there for as long as there have been such rights in the laws of most of the states that are known to us."
+    assert html_text.main_text(f"<body><div>{prose}</div><div>© 2020 The Owners of the Rights</div></body>") == prose
+
+
+def test_html_rows_that_repeat_and_clashing_columns(spark):
+    rows = [(1, "u", "<p>One and the same text.</p>", "x", 9)] * 3 + [(2, None, None, "x", 9), (3, "u", "", "x", 9)]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")).collect()
+    assert Counter((r.page_id, r.text, r.n_chars) for r in got) == {(1, "One and the same text.", 22): 3, (2, "", 0): 1, (3, "", 0): 1}
+
+
+CLASSES = toxicity.Classes(toxicity.given_lexicon())
+
+
+def patterns(text):
+    return {toxicity.PATTERNS[k] for k, n in enumerate(toxicity.features(text, CLASSES)) if n}
+
+
+@pytest.mark.parametrize("text, want", [
+    ("you are an idiot", {"insult at a target"}), ("idiot, you", {"insult at a target"}), ("what an idiot", {"insult named"}), ("that was stupid", {"insult named"}), ("the idiot box was on", {"insult of a thing"}),
+    ("a stupid question", {"insult of a thing"}), ("Idiot!", {"lone insult"}), ("he said this idiot", {"insult denied or reported"}), ("no idiot", {"insult denied or reported"}), ("i will kill you", {"threat at a target", "threat announced"}),
+    ("they could kill", {"threat at nobody", "threat announced"}), ("to kill time", {"threat at nobody"}), ("you are not only an idiot but a moron", {"insult at a target", "several of them"}),
+    ("you are not an idiot", {"insult denied or reported"}), ("nothing of the kind", set()), ("", set()), (None, set()),
+])
+def test_clause_patterns(text, want):
+    assert patterns(text) == want
+
+
+def test_transducer_tables_equal_their_parts():
+    """Composed tables against the parts one after the other, over random clauses."""
+    t = toxicity
+    forwards = [t.denied(), t.near(t.REPORT, "r", None, t.BOTH), t.near(t.TARGET + t.OBJECT, "t", 4, t.INSULT), t.near(t.OBJECT, "t", 2, t.THREAT), t.predicated(), t.near(t.ARTICLE + t.BEING, "p", 1, t.INSULT), t.near(t.MODAL, "m", 2, t.THREAT)]
+    rng = random.Random(4)
+    for _ in range(300):
+        letters = "".join(rng.choices(t.LETTERS, k=rng.randrange(1, 30)))
+        states, want = [p.start for p in forwards], []
+        for letter in letters:
+            symbol = letter
+            for k, part in enumerate(forwards):
+                states[k], symbol = part.step(states[k], symbol)
+            want.append(symbol[1:])
+        assert t.marks_of(letters, t._FORWARDS) == want
+
+
+def test_toxicity_of_long_repeated_and_odd_rows(spark):
+    rows = [(1, "you idiot " * 50_000, 1, "c", 0.5)] * 2 + [(2, None, 0, "c", 0.5), (3, "", 0, "c", 0.5), (None, "a quiet text", 0, "c", 0.5)] + [(k, "you are an idiot and a moron" if k % 2 else "a quiet day by the sea", k % 2, "c", 0.5) for k in range(10, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int, stem string, score double")
+    model = toxicity.learn(docs, docs.select("doc_id", "toxic").where("doc_id >= 10"))
+    got = Counter((r.doc_id, r.predicted) for r in toxicity.score(docs.drop("score", "stem"), model).collect())
+    assert got[(1, 1)] == 2 and got[(2, 0)] == got[(3, 0)] == got[(None, 0)] == 1 and sum(n for (d, p), n in got.items() if d and d >= 10 and p == d % 2) == 50
+    assert toxicity.score(docs.limit(0), model).collect() == []
