@@ -551,7 +551,7 @@ def scored_deliveries(spark, sf_dir):
 
 
 @query(
-    """WITH f AS (SELECT doc_id, doc_id // 25 AS ordinal, doc_id % 25 AS place, CASE WHEN doc_id % 4 = 0 THEN 'MET ' || (doc_id % 90) END AS object, 1000000 - doc_id AS asset FROM documents WHERE doc_id % 5 > 0 AND lang <> 'es'),
+    """WITH f AS (SELECT doc_id, doc_id // 25 AS ordinal, doc_id % 25 AS place, CASE WHEN doc_id % 4 = 0 THEN 'MET ' || (doc_id % 90 + 100) END AS object, 1000000 - doc_id AS asset FROM documents WHERE doc_id % 5 > 0 AND lang <> 'es'),
     g AS (SELECT coalesce(object, 'doc ' || doc_id) AS key, min(doc_id) AS first_id, arg_min(doc_id, asset) AS best FROM f GROUP BY ALL)
     SELECT first_id // 25 AS ordinal, (first_id % 25)::INT AS place, 'File:Document DT' || (1000000 - best) || '.jpg' AS source_id, 'https://c.test/' || best AS image_url FROM g ORDER BY first_id LIMIT 400"""
 )
@@ -561,7 +561,7 @@ def repository_scan(spark, sf_dir):
     value = lambda c: F.struct(c.alias("value"))
     key = F.col("doc_id")
     meta = F.create_map(
-        F.lit("LicenseShortName"), value(F.when(F.col("lang") == "es", "Copyrighted").otherwise("CC BY-SA 4.0")), F.lit("Categories"), value(F.when(key % 4 == 0, F.concat(F.lit("Of an object, MET "), key % 90)).otherwise("")), F.lit("Artist"), value(F.concat(F.lit("<b>"), "source", F.lit("</b>")))
+        F.lit("LicenseShortName"), value(F.when(F.col("lang") == "es", "Copyrighted").otherwise("CC BY-SA 4.0")), F.lit("Categories"), value(F.when(key % 4 == 0, F.concat(F.lit("Of an object, MET "), key % 90 + 100)).otherwise("")), F.lit("Artist"), value(F.concat(F.lit("<b>"), "source", F.lit("</b>")))
     )
     info = F.struct(F.when(key % 5 == 0, "image/tiff").otherwise("image/jpeg").alias("mime"), F.concat(F.lit("http://c.test/"), key).alias("url"), F.lit(3000).alias("width"), meta.alias("extmetadata"))
     page = F.struct(F.concat(F.lit("File:Document DT"), 1000000 - key, F.lit(".jpg")).alias("title"), F.array(info).alias("imageinfo"))
