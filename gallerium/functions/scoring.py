@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
@@ -116,3 +116,22 @@ def metadata_fallback(words1: Column, words2: Column, distance: Column) -> Colum
     """Likeness by words and proportions, for images without fingerprints."""
     union = F.size(F.array_union(words1, words2))
     return 0.7 * F.when(union > 0, F.size(F.array_intersect(words1, words2)) / union).otherwise(0.0) + 0.3 * F.exp(-distance)
+
+
+def quantiles(frame: DataFrame, column: str, shares: list[float], error: float = 1e-4) -> list[float | None]:
+    """Exact quantiles, interpolated between neighbours; None of no values. Bounds around each come from sketches that tasks
+    merge, and only values between them, a few times `error` of all, are sorted; no task has all values."""
+    values = frame.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"))
+    n = values.count()
+    if not n:
+        return [None] * len(shares)
+    edges = sorted({min(1.0, max(0.0, s + d)) for s in shares for d in (-3 * error - 2 / n, 3 * error + 2 / n)})
+    bounds = dict(zip(edges, values.approxQuantile("v", edges, error)))
+    out = []
+    for s in shares:
+        low, high = (bounds[min(1.0, max(0.0, s + d))] for d in (-3 * error - 2 / n, 3 * error + 2 / n))
+        at = s * (n - 1)
+        skip = int(at) - values.where(F.col("v") < low).count()
+        inside = [r.v for r in values.where(F.col("v").between(low, high)).orderBy("v").offset(max(skip, 0)).limit(2).collect()]
+        out.append(inside[0] if len(inside) == 1 or at == int(at) else inside[0] + (at - int(at)) * (inside[1] - inside[0]))
+    return out

@@ -257,12 +257,14 @@ def indel_ratio(a: str, b: str) -> float:
     """100 * 2 * LCS / (len a + len b), the normalised insertion-deletion similarity; two empty strings are equal."""
     if not a and not b:
         return 100.0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        diagonal = 0
-        for j, y in enumerate(b, 1):
-            diagonal, row[j] = row[j], diagonal + 1 if x == y else max(row[j], row[j - 1])
-    return 200.0 * row[-1] / (len(a) + len(b))
+    places: dict[str, int] = {}
+    for k, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << k
+    open_, whole = (1 << len(a)) - 1, (1 << len(a)) - 1
+    for c in b:  # zeros of the row are the letters of a that a longest common subsequence with b so far ends with
+        met = open_ & places.get(c, 0)
+        open_ = ((open_ + met) | (open_ - met)) & whole
+    return 200.0 * (len(a) - open_.bit_count()) / (len(a) + len(b))
 
 
 def token_set_ratio(a: str, b: str) -> float:

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -75,14 +75,23 @@ def resolution_order() -> list[Column]:
     return [(~F.col("is_primary_view")).cast("int"), (area == 0).cast("int"), -area, -F.least("width", "height"), -F.col("rank_score"), F.col("provider_rank")]
 
 
+def _members(items: DataFrame, labels: DataFrame, node: str) -> DataFrame:
+    joined = items.join(labels, items[node] == labels["node"], "left").withColumn("component", F.coalesce("component", F.col(node)))
+    return joined.withColumn("__order", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(resolution_order())], F.col(node).alias("k9")))
+
+
 def collapse(items: DataFrame, labels: DataFrame, node: str) -> DataFrame:
-    """A row a family: its best member, the highest score of all, how many more there are and their ids in order."""
-    member = items.join(labels, items[node] == labels["node"], "left").withColumn("component", F.coalesce("component", F.col(node)))
-    order = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(resolution_order())], F.col(node).alias("k9"))
-    best = member.withColumn("o", order).groupBy("component").agg(
-        F.min_by(F.struct(node, "title", "width", "height"), "o").alias("best"), F.max("rank_score").alias("rank_score"), (F.count("*") - 1).alias("duplicate_count"), F.array_sort(F.collect_list(F.struct("o", F.col(node).alias("n")))).alias("members")
-    )
-    return best.select("component", "best.*", "rank_score", "duplicate_count", F.transform(F.slice("members", 2, F.greatest(F.size("members") - 1, F.lit(1))), lambda m: m["n"]).alias("alternate_ids"))
+    """A row a family: its best member, the highest score of all, and how many more there are; tasks fold members before any
+    shuffle, and no family is gathered."""
+    best = _members(items, labels, node).groupBy("component").agg(F.min_by(F.struct(node, "title", "width", "height"), "__order").alias("best"), F.max("rank_score").alias("rank_score"), (F.count("*") - 1).alias("duplicate_count"))
+    return best.select("component", "best.*", "rank_score", "duplicate_count")
+
+
+def alternates(items: DataFrame, labels: DataFrame, node: str) -> DataFrame:
+    """(component, place, node) of the members of each family but its best, in order, a row each."""
+    own = Window.partitionBy("component").orderBy("__order")
+    placed = _members(items, labels, node).withColumn("place", F.row_number().over(own) - 1)
+    return placed.where("place > 0").select("component", "place", node)
 
 
 def image_pairs(vectors: DataFrame, threshold: float = 0.9, miss: float = 1e-4, same: Callable[[DataFrame], Column] | None = None) -> DataFrame:

@@ -55,3 +55,22 @@ def exact_batch(fetch: Callable[[int], DataFrame], fields: list[str], phrases: l
             rows, ends = batch(verified, order, offset, size)
             return rows, ends and not more, window
         window = min(2 * window, MOST_WINDOW)
+
+
+PAGE = 1000  # fixed value: candidates of an exact search that a provider gives at once
+
+
+def phrase_pages(fetch: Callable[[int, int], tuple[DataFrame, int]], query: str, fields: list[str], need: int, exact: bool = False) -> DataFrame:
+    """The first `need` rows of a provider whose search knows no phrases: fetch(skip, limit) gives candidates in order (with
+    `ordinal`) and how many there are. With quotation marks, or if exact, pages are read until enough rows hold every phrase
+    in one field, or none are left; without, one page of twice as many as needed is taken as it is."""
+    parsed = T.parse_query(query, exact)
+    if not parsed["phrases"]:
+        return fetch(0, need * 2)[0].orderBy("ordinal").limit(need * 2)
+    found, at, total = None, 0, 1
+    while at < total and (found is None or found.count() < need):
+        page, total = fetch(at, PAGE)
+        held = stored(page.where(T.matches_phrases(fields, parsed["phrases"])))
+        found = held if found is None else found.unionByName(held)
+        at += PAGE
+    return found.orderBy("ordinal").limit(need)

@@ -12,10 +12,10 @@ from .functions import images
 from .functions import text as T
 from .functions import words as W
 from .operators import delivery, families, items, matches, tournament
-from .plans import snapshot, translation
+from .plans import phrases, snapshot, translation
 from .queries import FOLD, HOLDS, TOKENS, document_items, first_vector, query, table, votes, with_copies
 from .sources import pages as html
-from .sources import archives, composed, cursors, paging, records
+from .sources import archives, composed, cursors, live_catalog as live_catalogs, paging, records, registry, stores
 from .streaming import live
 
 # Word matching and evidence
@@ -570,3 +570,88 @@ def repository_scan(spark, sf_dir):
     payload = F.concat(F.lit('{"query":{"pages":{'), F.array_join("pages.page", ","), F.lit("}}}"))
     found = composed.repository_scan(answers.select("ordinal", payload.alias("payload")), None, 200)
     return found.select("ordinal", "place", "source_id", "image_url")
+
+
+# Families, versions, live catalogs and sources that fail
+
+FAMILY = """WITH i AS (SELECT doc_id, md5(text) AS key, n_chars AS width, doc_id % 3 AS height, (doc_id % 11)::DOUBLE AS score, doc_id % 5 = 0 AS is_primary, (doc_id % 7)::INT AS provider_rank FROM documents),
+    m AS (SELECT *, min(doc_id) OVER (PARTITION BY key) AS component, row_number() OVER (PARTITION BY key ORDER BY NOT is_primary, (width * height = 0), -width * height, -least(width, height), -score, provider_rank, doc_id) - 1 AS place FROM i)"""
+
+
+def document_families(spark, sf_dir):
+    """Documents as items whose equal texts are a family, and the families' labels."""
+    docs = table(spark, sf_dir, "documents")
+    shown = docs.select(
+        "doc_id", F.concat(F.lit("t"), "doc_id").alias("title"), F.col("n_chars").cast("int").alias("width"), (F.col("doc_id") % 3).cast("int").alias("height"), (F.col("doc_id") % 11).cast("double").alias("rank_score"),
+        (F.col("doc_id") % 5 == 0).alias("is_primary_view"), (F.col("doc_id") % 7).cast("int").alias("provider_rank"), F.md5("text").alias("key"),
+    )
+    first = shown.groupBy("key").agg(F.min("doc_id").alias("b"))
+    labels = families.components(shown.join(first, "key").select(F.col("doc_id").alias("a"), "b"))
+    return shown, labels
+
+
+@query(f"{FAMILY} SELECT component, arg_min(doc_id, place) AS doc_id, max(score) AS rank_score, count(*) - 1 AS duplicate_count FROM m GROUP BY component")
+def collapsed_families(spark, sf_dir):
+    return families.collapse(*document_families(spark, sf_dir), "doc_id").select("component", "doc_id", "rank_score", "duplicate_count")
+
+
+@query(f"{FAMILY} SELECT component, place, doc_id FROM m WHERE place > 0")
+def family_alternates(spark, sf_dir):
+    return families.alternates(*document_families(spark, sf_dir), "doc_id").select("component", F.col("place").cast("long").alias("place"), "doc_id")
+
+
+@query("SELECT o_orderkey, o_totalprice + CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 0 END AS price, 2 AS version FROM orders WHERE o_orderkey % 7 > 0")
+def stored_versions(spark, sf_dir):
+    """Orders saved three times; the latest version counts, and its missing column is filled."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("price"))
+    folder = f"{families.shared_folder(spark)}/versions-{uuid.uuid4().hex}"
+    stores.save(orders.where("o_orderkey % 2 = 0").withColumn("version", F.lit(0)), folder)
+    stores.save(orders, folder)
+    third = orders.withColumn("price", F.col("price") + F.when(F.col("o_orderkey") % 3 == 0, 2).otherwise(0))
+    stores.save(third.where("o_orderkey % 7 > 0"), folder, keep=2)
+    return stores.load(spark, folder, {"version": F.lit(2)}).select("o_orderkey", "price", "version")
+
+
+@query(
+    """SELECT 'full' AS first, 'unchanged' AS second, 'incremental' AS third, 'full' AS fourth, count(*) AS records, max(strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S')) AS latest, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_orderkey % 10 > 0"""
+)
+def live_catalog(spark, sf_dir):
+    """Orders as a provider's records: loaded, asked again, grown by the later ones, and loaded anew after deletions."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("modified"), "o_totalprice")
+    cut = rows.select("modified").distinct().orderBy("modified").limit(1500).agg(F.max("modified")).first()[0]
+    now = {"rows": rows.where(F.col("modified") < cut)}
+    count = lambda: now["rows"].agg(F.max("modified"), F.count("*")).first()
+    fetch = lambda after: now["rows"] if after is None else now["rows"].where(F.col("modified") > after)
+    catalog = live_catalogs.LiveCatalog(spark, f"{families.shared_folder(spark)}/live-{uuid.uuid4().hex}", lambda: tuple(count()), fetch)
+    modes = [catalog.refresh(1.0), catalog.refresh(2.0)]
+    now["rows"] = rows
+    modes.append(catalog.refresh(3.0))
+    now["rows"] = rows.where("id % 10 > 0")
+    modes.append(catalog.refresh(4.0))
+    told = [F.lit(m).alias(n) for m, n in zip(modes, ("first", "second", "third", "fourth"))]
+    return catalog.records().agg(F.count("*").alias("records"), F.max("modified").alias("latest"), F.round(F.sum("o_totalprice"), 2).alias("total")).select(*told, "records", "latest", "total")
+
+
+@query("""SELECT 'good' AS source, doc_id::VARCHAR AS source_id FROM documents WHERE lang = 'en' UNION ALL SELECT 'other', doc_id::VARCHAR FROM documents WHERE lang = 'de'""")
+def isolated_sources(spark, sf_dir):
+    """Four sources, of which one can't be planned and one fails only as it runs."""
+    docs = table(spark, sf_dir, "documents")
+    items_of = lambda name, rows: rows.select(F.lit(name).alias("source"), F.col("doc_id").cast("string").alias("source_id"), F.concat(F.lit("https://i.test/"), "doc_id").alias("image_url"))
+    sources = registry.Registry()
+    sources.add("good", "Good", lambda s, q: items_of("good", docs.where("lang = 'en'")))
+    sources.add("unplanned", "Unplanned", lambda s, q: docs.select("no_such_column"))
+    sources.add("broken", "Broken", lambda s, q: items_of("broken", docs.where(F.when(F.col("doc_id") >= 0, F.raise_error(F.lit("no connection")).cast("boolean")))))
+    sources.add("other", "Other", lambda s, q: items_of("other", docs.where("lang = 'de'")))
+    found, errors = sources.load(spark, "", sources.select(""))
+    if set(errors) != {"unplanned", "broken"}:
+        raise AssertionError(errors)
+    return found.select("source", "source_id")
+
+
+@query(f"WITH f AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS ordinal FROM documents WHERE {HOLDS.replace('{0}', 'of the')}) SELECT doc_id FROM f WHERE ordinal <= 60")
+def paged_phrase(spark, sf_dir):
+    """A quoted query over a provider that knows no phrases: pages of candidates until sixty hold it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("doc_id").alias("ordinal"))
+    total = docs.count()
+    fetch = lambda skip, n: (docs.orderBy("ordinal").offset(skip).limit(n), total)
+    return phrases.phrase_pages(fetch, '"of the"', ["text"], 60).select("doc_id")

@@ -199,9 +199,9 @@ def semantic_scores(spark, sf_dir):
 def learned_scores(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     raw, axis = (S.dot(F.col("embedding"), S.vector_literal(first_vector(vectors, k))) for k in (1, 2))
-    projected = vectors.select("vec_id", raw.alias("raw"), axis.alias("axis"))
-    stats = projected.agg(F.median("raw").alias("mid"), F.percentile("raw", F.array(F.lit(0.25), F.lit(0.75))).alias("q")).first()
-    parts = S.learned_scores(F.col("raw"), stats.mid, max((stats.q[1] - stats.q[0]) / 1.349, 1e-6), F.col("axis"), 4)
+    projected = families.stored(vectors.select("vec_id", raw.alias("raw"), axis.alias("axis")))  # two numbers a vector
+    low, mid, high = S.quantiles(projected, "raw", [0.25, 0.5, 0.75])
+    parts = S.learned_scores(F.col("raw"), mid, max((high - low) / 1.349, 1e-6), F.col("axis"), 4)
     return projected.select("vec_id", *[c.alias(k) for k, c in parts.items()])
 
 

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.families import stored
 from ..operators.items import normalize
 
+TOGETHER = 18  # fixed value: sources that are read at a time
 Loader = Callable[[SparkSession, str], DataFrame]
 
 
@@ -35,12 +38,21 @@ class Registry:
         rows = [(k, name, self.labels[name], name not in self.opt_in) for k, name in enumerate(self.loaders)]
         return spark.createDataFrame(rows, "ordinal int, source string, label string, is_default boolean")
 
-    def load(self, spark: SparkSession, query: str, names: list[str]) -> tuple[DataFrame | None, dict[str, str]]:
-        """The union of all sources' items; a source that can't be loaded is an entry among the errors."""
+    def load(self, spark: SparkSession, query: str, names: list[str], lazy: bool = False) -> tuple[DataFrame | None, dict[str, str]]:
+        """The union of all sources' items; a source that fails is an entry among the errors and leaves the others alone.
+        Sources are read side by side, each into a table of its own, as only a run shows whether a source can be read; `lazy`
+        makes plans alone, which catches what fails in making them."""
+
+        def one(name: str) -> DataFrame:
+            items = normalize(self.loaders[name](spark, query))
+            return items if lazy else stored(items)
+
         out, errors = None, {}
+        with ThreadPoolExecutor(max_workers=max(1, min(len(names), TOGETHER))) as pool:
+            waiting = {name: pool.submit(one, name) for name in names}
         for name in names:
             try:
-                items = normalize(self.loaders[name](spark, query))
+                items = waiting[name].result()
             except Exception as e:  # one source must not stop the others
                 errors[name] = str(e)
                 continue

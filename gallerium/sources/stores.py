@@ -2,36 +2,42 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.items import first_by, upsert
+from ..streaming.session import numbered
 
 CACHE_HOURS, FRESH_DAYS, KEPT = 24, 7, 5  # fixed values
 
 
-def save(df: DataFrame, folder: str) -> str:
-    """Writes a new version of a table beside the others and then names it the current one, so that readers see a whole
-    version or the one before."""
-    version = uuid.uuid4().hex
-    df.write.parquet(f"{folder}/versions/{version}")
-    df.sparkSession.createDataFrame([(version,)], "version string").coalesce(1).write.mode("append").json(f"{folder}/current")
-    return version
+def versions(spark: SparkSession, folder: str) -> list[int]:
+    """The numbers of the whole versions of a table, rising."""
+    return numbered(spark, f"{folder}/versions", "version")
+
+
+def save(df: DataFrame, folder: str, keep: int = KEPT) -> int:
+    """Writes a new version of a table beside the others, one number higher, so that readers see a whole version or the one
+    before; the last `keep` versions stay for readers that began with them."""
+    spark = df.sparkSession
+    before = versions(spark, folder)
+    number = before[-1] + 1 if before else 0
+    df.write.mode("overwrite").parquet(f"{folder}/versions/version={number}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    for old in [*before, number][:-keep]:
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/versions/version={old}"), True)
+    return number
 
 
 def load(spark: SparkSession, folder: str, fill: dict[str, Column] | None = None) -> DataFrame | None:
-    """The current version of a table, or None if there is none; `fill` gives what older versions lack or left null."""
-    try:
-        named = spark.read.schema("version string").json(f"{folder}/current").select("version", F.col("_metadata.file_modification_time").alias("at"))
-        last = named.orderBy(F.desc("at")).first()
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e):
-            return None
-        raise
-    table = spark.read.parquet(f"{folder}/versions/{last.version}")
+    """The latest version of a table, or None if there is none; `fill` gives what older versions lack or left null."""
+    there = versions(spark, folder)
+    if not there:
+        return None
+    table = spark.read.parquet(f"{folder}/versions/version={there[-1]}")
     return table.withColumns({k: F.coalesce(F.col(k), c) if k in table.columns else c for k, c in (fill or {}).items()})
 
 

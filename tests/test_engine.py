@@ -117,8 +117,12 @@ def test_normalize_defaults(spark):
 
 def test_families(spark):
     rows = [item(source_id=str(k), image_url=u, width=w, work_id=v, is_primary_view=p, title=f"t{k}") for k, (u, w, v, p) in enumerate([("https://x.test/a?size=large", 100, "", False), ("https://x.test/a", 900, "", False), ("https://x.test/b", 50, "w", True), ("https://x.test/c", 999, "w", False), ("https://x.test/d", 10, "", False)])]
-    got = search.search(items.normalize(spark.createDataFrame(rows)), "t", 10).collect()
-    assert sorted((r.title, r.duplicate_count, len(r.alternate_ids)) for r in got) == [("t1", 1, 1), ("t2", 1, 1), ("t4", 0, 0)]
+    shown = items.normalize(spark.createDataFrame(rows))
+    got = search.search(shown, "t", 10).collect()
+    assert sorted((r.title, r.duplicate_count) for r in got) == [("t1", 1), ("t2", 1), ("t4", 0)]
+    ranked = search.scored(shown, "t")
+    others = families.alternates(ranked, families.components(families.key_edges(ranked, "id")), "id").join(shown.select("id", "title"), "id").collect()
+    assert sorted((r.place, r.title) for r in others) == [(1, "t0"), (1, "t3")]
 
 
 def test_components(spark):
