@@ -2,8 +2,10 @@
 
 import random
 import sys
+from collections import Counter
 
 import corpus_pipeline
+import pytest
 from gallerium.llm import queries
 
 from .test_operators import check_packing, components_of, library, prose, removed
@@ -61,8 +63,63 @@ def test_stages(spark, tmp_path):
     assert {(r.doc_id, r.start, r.length, r.ids_crc32) for r in kept["packing"]} == {x[:4] for x in whole}
 
 
+EDGES = [
+    (1, "the an re er ing the an re er ing one", "aa", "s", 1), (1, "the an re er ing the an re er ing another text of one id", "aa", "s", 1), (1, "the an re er ing the an re er ing one", "aa", "s", 1),
+    (None, "the an re er ing of no id", "aa", None, None), (2, None, None, None, None), (3, "", "aa", "s", 0), (4, "ció que ado las ez ció que ado", "bb", "s", 1), (5, "word " * 9000, "aa", "s", 1),
+]
+
+
+def edge_frame(spark, rows=EDGES):
+    """Columns that clash with those of the stages."""
+    kind = COLUMNS + ", score double, predicted int, spans string, link_group long, text_key long, kept boolean, component_id long"
+    return spark.createDataFrame([(*r, 0.1, 1, "x", 7, 8, True, 9) for r in rows], kind)
+
+
+@pytest.fixture()
+def edge_dir(spark, tmp_path):
+    edge_frame(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (4, 1, 0), (5, 0, 0), (None, 1, 1), (1, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_each_stage_bears_odd_rows(spark, edge_dir, name):
+    """Nulls in any column, empty texts, rows that repeat, one id with two texts, clashing columns, and an empty table."""
+    stage = dict(corpus_pipeline.STAGES)[name]
+    docs = spark.read.parquet(f"{edge_dir}/documents.parquet")
+    out = stage(spark, docs, edge_dir)
+    rows = out.collect()
+    given = Counter((r[0], r[1]) for r in EDGES)
+    if name == "packing":
+        assert sum(r.start == 0 for r in rows) == len(EDGES)  # each row begins once
+    else:
+        assert out.columns == [c.split()[0] for c in COLUMNS.split(", ")]
+        got = Counter((r.doc_id, r.text) for r in rows)
+    if name == "language_id":
+        assert {k for k in got if k[0] != 5} == {(i, t) for i, t in given if t and i != 5} and all(given[k] == n for k, n in got.items())
+    if name == "toxicity":
+        assert got == given
+    if name == "near_dedup":
+        assert set(got) == set(given) and set(got.values()) == {1}
+    if name == "suffix_dedup":  # all of the text of one word repeats
+        assert {i for i, _ in got} == {1, None, 4} and not any(t is None or not t.strip() for _, t in got)
+    none = stage(spark, spark.createDataFrame([], docs.schema), edge_dir)
+    assert none.collect() == []
+
+
+def test_an_empty_table_stays_empty(spark, tmp_path):
+    edge_frame(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_the_whole_pipeline_bears_odd_rows(spark, edge_dir):
+    pieces = corpus_pipeline.run(spark, edge_dir).collect()
+    assert {r.doc_id for r in pieces} <= {1, None, 4, 5} and 4 in {r.doc_id for r in pieces}
+
+
 def test_registered():
     sys.modules.pop("__spark_entry__", None)
     import __spark_entry__
 
-    assert {f"op{n}" for n in range(1, 11)} | {"pipeline"} <= {k.split("_")[0] for k in __spark_entry__.queries()}
+    assert {f"op{n}" for n in range(1, 14)} | {"pipeline"} <= {k.split("_")[0] for k in __spark_entry__.queries()}
