@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions import images
 from .functions import text as T
 from .functions import words as W
-from .operators import delivery, families, items, matches, tournament
+from .operators import delivery, families, items, matches, staged, tournament
 from .plans import phrases, snapshot, translation
 from .queries import FOLD, HOLDS, TOKENS, document_items, first_vector, query, table, votes, with_copies
 from .sources import pages as html
@@ -655,3 +655,53 @@ def paged_phrase(spark, sf_dir):
     total = docs.count()
     fetch = lambda skip, n: (docs.orderBy("ordinal").offset(skip).limit(n), total)
     return phrases.phrase_pages(fetch, '"of the"', ["text"], 60).select("doc_id")
+
+
+# Crawls, pages and requests that come together
+
+
+@query(
+    """WITH g AS (SELECT p_partkey, p_size, p_name, row_number() OVER (PARTITION BY p_name ORDER BY p_size, p_partkey) AS k FROM part WHERE p_size > 5)
+    SELECT replace(p_name, ' ', '-') AS source_id, 'Gallery ' || p_size AS gallery, 'https://g.test/shown/' || replace(p_name, ' ', '-') || '.html' AS page_url, 'https://g.test/img/' || p_partkey || '.jpg' AS image_url,
+    CASE WHEN length(p_name) % 2 = 0 THEN 'About ' || p_name ELSE '' END AS description FROM g WHERE k = 1"""
+)
+def gallery_crawl(spark, sf_dir):
+    """Parts as images in galleries by size, which an index links but for the small ones; every second name has a page of its own."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_name", F.regexp_replace("p_name", " ", "-").alias("stem"))
+    join = lambda c, order: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, c.alias("html")))), lambda x: x["html"]), "")
+    picture = F.concat(F.lit("<a href='/shown/"), "stem", F.lit(".html'><img src='../img/"), "p_partkey", F.lit(".jpg' alt=' "), "p_name", F.lit("'></a><a href='/shop/'><img src='no.jpg'></a>"))
+    galleries = part.groupBy("p_size").agg(join(picture, ["p_partkey"]).alias("html")).select(F.concat(F.lit("https://g.test/list/"), "p_size").alias("page_url"), "html")
+    link = F.concat(F.lit("<a href='/list/"), "p_size", F.lit("'><h3>Gallery "), "p_size", F.lit("</h3></a>"))
+    index = part.where("p_size > 5").select("p_size").distinct().agg(join(link, ["p_size"]).alias("html")).select(F.lit("https://g.test/index").alias("page_url"), "html")
+    own = part.select("p_name", "stem").distinct().where(F.length("p_name") % 2 == 0)
+    details = own.select(F.concat(F.lit("https://g.test/shown/"), "stem", F.lit(".html")).alias("page_url"), F.concat(F.lit("<div id='About'>About <em>"), "p_name", F.lit("</em></div><p>else</p>")).alias("html"))
+    pages = index.unionByName(galleries).unionByName(details)
+    return html.crawl(pages, "https://g.test/index", "/shown/", ["About"]).select("source_id", "gallery", "page_url", "image_url", "description")
+
+
+@query(
+    """WITH c AS (SELECT l_orderkey AS page, 0 AS part, l_linenumber AS place, l_partkey AS key, 0 AS width FROM lineitem WHERE l_returnflag = 'R' UNION ALL SELECT l_orderkey, 1, l_linenumber, l_partkey, 0 FROM lineitem WHERE l_returnflag = 'A'
+    UNION ALL SELECT l_orderkey, 2, l_linenumber, l_partkey, (l_suppkey % 3 * 100)::INT FROM lineitem WHERE l_returnflag <> 'R'),
+    b AS (SELECT page, key, min(part * 100 + place) AS first, arg_min(width, part * 100 + place) FILTER (width > 0) AS width FROM c GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY first, key::VARCHAR) - 1 AS position FROM b)
+    SELECT page, position, key::VARCHAR AS key, coalesce(width, CASE WHEN key % 2 = 0 THEN 7 ELSE 0 END)::INT AS width FROM r WHERE position < 4"""
+)
+def rendered_pages(spark, sf_dir):
+    """Orders as rendered pages: lines as cards, anchors and what scripts tell; half of the sizes are known from before."""
+    lines = table(spark, sf_dir, "lineitem")
+    none = F.lit(0)
+    shape = lambda rows, width: rows.select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("place"), F.col("l_partkey").cast("string").alias("image_id"), F.lit("").alias("image_url"), F.lit("").alias("page_url"), width.cast("int").alias("width"), width.cast("int").alias("height"))
+    parts = [shape(lines.where("l_returnflag = 'R'"), none), shape(lines.where("l_returnflag = 'A'"), none), shape(lines.where("l_returnflag <> 'R'"), F.col("l_suppkey") % 3 * 100)]
+    known = table(spark, sf_dir, "part").where("p_partkey % 2 = 0").select(F.col("p_partkey").cast("string").alias("key"), F.lit(7).alias("width"), F.lit(7).alias("height"))
+    return staged.page_union(["page"], parts, known, 4).select("page", F.col("position").cast("long").alias("position"), "key", "width")
+
+
+@query("WITH k AS (SELECT user_id % 500 AS key, min(event_id) AS id, count(*) AS waiting FROM events WHERE event_id % 2 = 0 GROUP BY 1) SELECT key, id, waiting FROM k WHERE key % 3 > 0")
+def coalesced_requests(spark, sf_dir):
+    """Events as requests of which a third is answered from the cache; the first of each other key is fetched."""
+    events = table(spark, sf_dir, "events").where("event_id % 2 = 0").select(F.col("event_id").alias("id"), (F.col("user_id") % 500).alias("key"), F.lit(0).alias("at"))
+    now = F.lit("2024-01-01 00:10:00").cast("timestamp")
+    young = events.where("key % 3 = 0").select("key", (now - F.expr("INTERVAL 10 SECONDS")).alias("at"), F.lit("answer").alias("answer")).distinct().orderBy("key").limit(200)
+    _, waiting = live.coalesced(events, young, now)
+    return waiting.select("key", "id", F.size("ids").cast("long").alias("waiting"))
+

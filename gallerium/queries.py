@@ -480,13 +480,9 @@ def stream_windowed_events(spark, sf_dir):
     return session.last_ranking(spark, folder).select("start", "event_type", "n", F.round("total", 2).alias("total"))
 
 
-@query(
-    """WITH r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id::VARCHAR) AS k FROM events)
-    SELECT 'u' || user_id AS session, count(*) AS items, string_agg(event_id::VARCHAR, ' ' ORDER BY k) FILTER (k <= 50) AS best, true AS complete FROM r GROUP BY user_id"""
-)
-def session_stream(spark, sf_dir):
-    """Users as live sessions and event types as their sources, which answer in batches of ten. The stream runs three times, each
-    time from where its checkpoint left it; what counts is the last snapshot of a session's told rows."""
+def told_sessions(spark, sf_dir):
+    """(told rows, answers) of users as live sessions and event types as their sources, which answer in batches of ten. The stream
+    runs three times, each time from where its checkpoint left it."""
     events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     own = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
     rows = events.withColumns({"k": F.row_number().over(own) - 1, "n": F.count("*").over(Window.partitionBy("user_id", "event_type"))})
@@ -503,11 +499,31 @@ def session_stream(spark, sf_dir):
         stream = spark.readStream.schema(told.schema).parquet(f"{folder}/in")
         with keyed.state_store(spark):
             keyed.start(stream, f"{folder}/out", f"{folder}/checkpoint", late="60 days").awaitTermination()
-    last = keyed.last_snapshots(spark.read.parquet(f"{folder}/out"))
+    return spark.read.parquet(f"{folder}/out"), answers
+
+
+@query(
+    """WITH r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id::VARCHAR) AS k FROM events)
+    SELECT 'u' || user_id AS session, count(*) AS items, string_agg(event_id::VARCHAR, ' ' ORDER BY k) FILTER (k <= 50) AS best, true AS complete FROM r GROUP BY user_id"""
+)
+def session_stream(spark, sf_dir):
+    """The last snapshot of each session's told rows."""
+    told, answers = told_sessions(spark, sf_dir)
+    last = keyed.last_snapshots(told)
     found = answers.groupBy("session").agg(F.sum(F.size("ids")).alias("items"))
     return last.join(found, "session").select("session", "items", F.array_join("ids", " ").alias("best"), "complete")
 
 
+@query("SELECT 'u' || user_id AS session, least(count(*), 50)::INT AS most_visible, 0 AS failures, 0 AS retries FROM events GROUP BY user_id")
+def session_trace(spark, sf_dir):
+    """The same sessions' traces as lines of JSON, read back and counted."""
+    told, _ = told_sessions(spark, sf_dir)
+    path = f"{families.shared_folder(spark)}/trace-{uuid.uuid4().hex}"
+    keyed.trace(told).write.json(path)
+    lines = spark.read.schema("session string, event string, elapsed double, revision long, results int").json(path)
+    return keyed.metrics(lines).select("session", "most_visible", F.col("failures").cast("int").alias("failures"), F.col("retries").cast("int").alias("retries"))
+
+
 @query(
     """SELECT p_partkey::VARCHAR AS source_id, p_name AS title, CASE WHEN p_size < 20 THEN 'first' ELSE 'second' END || p_partkey AS image_url, CASE WHEN p_size < 20 THEN 100 ELSE 200 END::INT AS width, 'artist' || p_brand AS artist FROM part WHERE p_size % 3 = 0"""
 )

@@ -191,3 +191,56 @@ def gallery_images(pages: DataFrame, below: str) -> DataFrame:
 def gallery_index(html: str | None) -> list[tuple[str, str]]:
     """(address, heading) of linked headings, each address once."""
     return list(dict(reversed(sections(html, ()).headings)).items())[::-1]
+
+
+def page_links(pages: DataFrame) -> DataFrame:
+    """(page_url, place, url, heading) of the linked headings of pages (page_url, html), absolute and each once a page."""
+
+    def run(frames):
+        for frame in frames:
+            rows = [(base, k, urllib.parse.urljoin(base, href), heading) for base, page in zip(frame["page_url"], frame["html"]) for k, (href, heading) in enumerate(gallery_index(page))]
+            yield pd.DataFrame(rows, columns=["page_url", "place", "url", "heading"])
+
+    return pages.select("page_url", "html").mapInPandas(run, "page_url string, place int, url string, heading string")
+
+
+def crawl(pages: DataFrame, index_url: str, below: str, names: list[str]) -> DataFrame:
+    """(source_id, title, gallery, page_url, image_url, description) of the galleries that an index page links, over stored
+    pages (page_url, html).
+
+    Galleries are followed by a join on their addresses, then their images' own pages for the named sections; an image whose
+    page isn't there stays without a description. An image that several galleries show belongs to the first."""
+    from ..operators.items import first_by
+
+    index = page_links(pages.where(F.col("page_url") == index_url)).select(F.col("url").alias("gallery_url"), "heading", F.col("place").alias("gallery_place"))
+    first = first_by(index.withColumn("__p", F.col("gallery_place")), ["gallery_url"], [F.col("__p")]).drop("__p")
+    galleries = pages.join(first, F.col("page_url") == F.col("gallery_url")).select("gallery_url", "heading", "gallery_place", "html")
+    kind = "source_id string, gallery string, gallery_place int, rank int, page_url string, image_url string, title string"
+
+    def images(frames):
+        for frame in frames:
+            rows = []
+            for base, heading, place, page in zip(frame["gallery_url"], frame["heading"], frame["gallery_place"], frame["html"]):
+                for k, (href, src, alt) in enumerate(sections(page, (), below).images):
+                    at = urllib.parse.urljoin(base, href)
+                    stem = urllib.parse.urlsplit(at).path.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0]
+                    rows.append((stem, heading, place, k, at, urllib.parse.urljoin(base, src), " ".join(alt.split())))
+            yield pd.DataFrame(rows, columns=["source_id", "gallery", "gallery_place", "rank", "page_url", "image_url", "title"])
+
+    shown = galleries.mapInPandas(images, kind).where("source_id <> ''")
+    once = first_by(shown.withColumns({"__g": F.col("gallery_place"), "__r": F.col("rank")}), ["source_id"], [F.col("__g"), F.col("__r")]).drop("__g", "__r")
+    wanted = pages.select(F.col("page_url").alias("url"), "html").join(once.select(F.col("page_url").alias("url")).distinct(), "url", "left_semi")
+    wanted_names = tuple(names)
+
+    def told(frames):
+        for frame in frames:
+            texts = []
+            for page in frame["html"]:
+                found = sections(page, wanted_names).texts
+                texts.append("\n\n".join(t for n in wanted_names if (t := " ".join("".join(found.get(n, [])).split()))))
+            yield pd.DataFrame({"url": frame["url"], "description": texts})
+
+    described = first_by(wanted.mapInPandas(told, "url string, description string"), ["url"], [F.col("description")])
+    out = once.join(described, F.col("page_url") == F.col("url"), "left")
+    return out.select("source_id", "title", "gallery", "gallery_place", "rank", "page_url", "image_url", F.coalesce("description", F.lit("")).alias("description"))
+

@@ -273,3 +273,22 @@ def last_snapshots(told_rows: DataFrame) -> DataFrame:
     """(session, revision, ids, complete) of each session from its told rows: the last best ids, and whether it has ended."""
     shown = F.when(F.col("kind") == "snapshot", F.col("number"))
     return told_rows.groupBy("session").agg(F.max_by("revision", shown).alias("revision"), F.max_by("ids", shown).alias("ids"), F.max(F.col("kind") == "complete").alias("complete"))
+
+
+def trace(told_rows: DataFrame) -> DataFrame:
+    """A line an event of each session, as they are written for later: (session, event, elapsed, source, revision, results)."""
+    began = told_rows.groupBy("session").agg(F.min("at").alias("began"))
+    elapsed = F.round(F.col("at").cast("double") - F.col("began").cast("double"), 4)
+    return told_rows.join(began, "session").select("session", "number", F.col("kind").alias("event"), elapsed.alias("elapsed"), "source", "revision", F.coalesce(F.size("ids"), F.lit(0)).alias("results"), "reason")
+
+
+def metrics(lines: DataFrame) -> DataFrame:
+    """Counters and milestones of each session from its trace."""
+    is_ = lambda k: F.col("event") == k
+    first = lambda c: F.min(F.when(c, F.col("elapsed")))
+    return lines.groupBy("session").agg(
+        *[F.count_if(is_(k)).alias(n) for k, n in (("fetch", "fetches"), ("snapshot", "snapshots"), ("retry", "retries"), ("failed", "failures"), ("heartbeat", "heartbeats"))],
+        first(is_("snapshot") & (F.col("results") > 0)).alias("first_visible"), first(is_("snapshot") & (F.col("results") >= TOP)).alias("fifty_visible"),
+        F.max(F.when(is_("snapshot"), F.col("elapsed"))).alias("settled"), F.max("revision").alias("revisions"), F.max("results").alias("most_visible"),
+    )
+

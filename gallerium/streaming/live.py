@@ -55,6 +55,15 @@ def cached_batches(batches: DataFrame, now: Column) -> DataFrame:
     return first_by(fresh.withColumn("__at", F.col("at")), ["key"], [-F.col("__at").cast("timestamp").cast("double")]).drop("__at").orderBy(F.desc("at"), "key").limit(BATCHES)
 
 
+def coalesced(requests: DataFrame, batches: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """Requests (id, key, at) that come together: those that a young cached batch (key, at, answer) answers, with its answer,
+    and of the others one a key to fetch, the first, with the ids that wait for it. A key's waiting ids are one micro-batch's."""
+    have = cached_batches(batches, now).select("key", "answer")
+    known = requests.join(have, "key", "left")
+    waiting = known.where("answer is null").groupBy("key").agg(F.min(F.struct("at", "id")).alias("first"), F.array_sort(F.collect_list("id")).alias("ids"))
+    return known.where("answer is not null").select("id", "key", "answer"), waiting.select(F.col("first.id").alias("id"), "key", "ids")
+
+
 def admitted(requests: DataFrame, each: int = 2, total: int = 8) -> DataFrame:
     """The requests (source, at, id) that run now: a few of each source, oldest first, and a few at all."""
     own = Window.partitionBy("source").orderBy("at", "id")
