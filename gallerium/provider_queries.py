@@ -705,3 +705,22 @@ def coalesced_requests(spark, sf_dir):
     _, waiting = live.coalesced(events, young, now)
     return waiting.select("key", "id", F.size("ids").cast("long").alias("waiting"))
 
+
+@query(
+    """WITH i AS (SELECT l_partkey, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_partkey ORDER BY (l_returnflag <> 'R')::INT, l_linenumber, l_orderkey::VARCHAR) AS k FROM lineitem WHERE l_quantity > 10 AND l_linestatus = 'O')
+    SELECT p_partkey::VARCHAR AS source_id, p_name AS title, p_brand AS artist, 'https://a.test/art/' || p_partkey || '-' || replace(p_name, ' ', '-') AS page_url, 'https://i.test/' || l_orderkey || '/full/full/0/default.jpg' AS image_url,
+    (l_linenumber * 100)::INT AS width, 'A "view",' || chr(10) || 'line ' || l_linenumber AS description FROM part JOIN i ON l_partkey = p_partkey WHERE k = 1"""
+)
+def collection_release(spark, sf_dir):
+    """Parts as a museum's objects and lines as their images, written as the release's two files, read back and joined."""
+    folder = f"{families.shared_folder(spark)}/release-{uuid.uuid4().hex}"
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("objectid"), F.lit("more").alias("accession"), F.col("p_name").alias("title"), F.col("p_brand").alias("attribution"), F.lit("1900").alias("displaydate"), F.lit("ink").alias("medium"), F.col("p_type").alias("classification"))
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("uuid"), F.concat(F.lit("https://i.test/"), "l_orderkey", F.lit("/")).alias("iiifurl"), F.when(F.col("l_returnflag") == "R", "Primary").otherwise("alternate").alias("viewtype"), F.col("l_linenumber").alias("sequence"), (F.col("l_linenumber") * 100).alias("width"), F.lit(9).alias("height"),
+        F.when((F.col("l_quantity") > 10) & (F.col("l_linestatus") == "O"), 1).otherwise(0).alias("openaccess"), F.col("l_partkey").alias("depictstmsobjectid"), F.concat(F.lit('A "view",\nline '), "l_linenumber").alias("assistivetext"),
+    )
+    for name, rows in (("objects", part), ("images", lines)):
+        rows.write.option("header", True).option("escape", '"').csv(f"{folder}/{name}")
+    works = composed.release_works(*composed.read_release(spark, f"{folder}/objects", f"{folder}/images"), "https://a.test/art/")
+    return works.select("source_id", "title", "artist", "page_url", "image_url", "width", "description")
+

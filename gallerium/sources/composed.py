@@ -5,11 +5,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import words as W
+from ..operators.delivery import artwork_url
 from ..operators.items import first_by
 from .providers import IMAGE_TYPES, license_is_open
 from .records import bare_document_page
@@ -177,3 +178,36 @@ def delivered(items: DataFrame, deliveries: list[tuple[str, DataFrame]]) -> Data
     return items.join(found, "id", "left").withColumns(
         {"image_delivery": F.coalesce("__name", F.lit("")), "image_url": F.coalesce("__found", "image_url"), "preview_width": F.coalesce("__w", F.lit(0)), "preview_height": F.coalesce("__h", F.lit(0))}
     ).drop("__name", "__found", "__w", "__h")
+
+
+# A museum's released tables
+
+OBJECTS = "objectid string, title string, attribution string, displaydate string, medium string, classification string"
+IMAGES = "uuid string, iiifurl string, iiifthumburl string, viewtype string, sequence string, width string, height string, openaccess string, depictstmsobjectid string, assistivetext string"
+
+
+def read_release(spark: SparkSession, objects: str, images: str) -> tuple[DataFrame, DataFrame]:
+    """The two files of a release, by their headers; further columns are left out, values may hold line ends."""
+
+    def table(path: str, kind: str) -> DataFrame:
+        rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", "UTF-8").csv(path)
+        bare = rows.toDF(*[c.lstrip("\ufeff") for c in rows.columns])
+        return bare.select(*[F.col(c) if c in bare.columns else F.lit(None).cast("string").alias(c) for c in (part.split()[0] for part in kind.split(", "))])
+
+    return table(objects, OBJECTS), table(images, IMAGES)
+
+
+def release_works(objects: DataFrame, images: DataFrame, page_base: str) -> DataFrame:
+    """A work for each object with an open image that has an address: the primary view, else the first in sequence, of each
+    object in one aggregate; then its texts for search and its addresses of the whole and a bounded image."""
+    text = lambda c: F.coalesce(F.trim(F.col(c)), F.lit(""))
+    usable = images.where((text("openaccess") == "1") & (text("iiifurl") != "") & (text("depictstmsobjectid") != ""))
+    shown = usable.select(F.trim("depictstmsobjectid").alias("objectid"), F.regexp_replace(F.trim("iiifurl"), "/+$", "").alias("iiif"), F.lower(text("viewtype")).alias("view"), T.safe_int("sequence").alias("sequence"), "uuid", T.safe_int("width").alias("width"), T.safe_int("height").alias("height"), text("assistivetext").alias("description"))
+    best = first_by(shown.withColumn("__uuid", F.col("uuid")), ["objectid"], [(F.col("view") != "primary").cast("int"), F.col("sequence"), F.col("__uuid")])
+    rows = objects.where(text("objectid") != "").withColumn("objectid", F.trim("objectid")).join(best, "objectid")
+    title = F.coalesce(F.nullif(text("title"), F.lit("")), F.lit("Untitled"))
+    return rows.select(
+        F.lit("nga").alias("source"), F.col("objectid").alias("source_id"), title.alias("title"), text("attribution").alias("artist"), text("displaydate").alias("date"), text("medium").alias("medium"), text("classification").alias("classification"), "description",
+        F.lit("NGA Open Access").alias("license"), artwork_url(page_base, F.col("objectid"), title).alias("page_url"), F.concat("iiif", F.lit("/full/full/0/default.jpg")).alias("image_url"), F.concat("iiif", F.lit("/full/!1024,1024/0/default.jpg")).alias("thumb_url"), "width", "height",
+    )
+

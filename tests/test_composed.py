@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gallerium.functions import images
-from gallerium.sources import composed
+from gallerium.sources import composed, postings
 
 DPLA = "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa"
 
@@ -131,3 +131,27 @@ def test_deliveries_in_order(spark):
     got = {r.id: (r.image_delivery, r.image_url, r.preview_width) for r in composed.delivered(items, [("commons", first), ("wayback", last)]).collect()}
     assert got == {1: ("commons", "a", 5), 2: ("wayback", "w", 1686), 3: ("", "own3", 0)}
     assert composed.delivered(items, []).where("image_delivery = ''").count() == 3
+
+
+# Released tables
+
+
+def test_a_release_is_read_joined_indexed_and_searched(spark, tmp_path):
+    (tmp_path / "objects.csv").write_text(
+        "\ufeffobjectid,title,attribution,displaydate,medium,classification,other\n7,The Liberation of Saint Peter,Example Artist,1642,oil on canvas,Painting,x\n8,Unrelated Work,Other Artist,1700,ink,Drawing,x\n9,,,,,,x\n,No id,,,,,x\n", encoding="utf-8"
+    )
+    (tmp_path / "images.csv").write_text(
+        "uuid,iiifurl,iiifthumburl,viewtype,sequence,width,height,openaccess,depictstmsobjectid,assistivetext\n"
+        'a,https://i.test/iiif/a/,https://i.test/thumb/a,primary,5,3000,2000,1,7,"Saint Peter, escaping\nprison"\n'
+        "z,https://i.test/iiif/z,x,alternate,0,1,1,1,7,another view\nb,https://i.test/iiif/b,x,primary,0,1000,900,0,8,Not open access\n"
+        "d,https://i.test/iiif/d,x,alternate,2,5,6,1,9,second\nc,https://i.test/iiif/c,x,alternate,1,3,4,1,9,first\ne,,x,primary,0,1,1,1,9,no address\n", encoding="utf-8",
+    )
+    works = composed.release_works(*composed.read_release(spark, f"{tmp_path}/objects.csv", f"{tmp_path}/images.csv"), "https://m.test/artworks/")
+    got = {r.source_id: r for r in works.collect()}
+    assert set(got) == {"7", "9"} and got["9"].title == "Untitled" and got["9"].image_url == "https://i.test/iiif/c/full/full/0/default.jpg"
+    assert got["7"].page_url == "https://m.test/artworks/7-the-liberation-of-saint-peter" and (got["7"].width, got["7"].height) == (3000, 2000)
+    index = postings.Index(spark, f"{tmp_path}/index", "source_id", ["title", "artist", "date", "medium", "classification", "description"], buckets=8)
+    index.add(works)
+    (r,) = postings.search(index, "Peter prison", 10).collect()
+    assert r.source_id == "7" and r.thumb_url == "https://i.test/iiif/a/full/!1024,1024/0/default.jpg" and r.license == "NGA Open Access"
+
