@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions import images
+from .functions import scoring as S
 from .functions import text as T
 from .functions import words as W
 from .operators import delivery, families, items, matches, staged, tournament
@@ -206,13 +207,24 @@ def narratives(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", records.narrative(F.col("p_name"), titles, F.lit(""), F.col("p_type")).alias("narrative"))
 
 
-@query("SELECT range AS id, range * range % 97 AS value FROM range(5000)")
+@query("SELECT event_id AS id, value FROM events")
 def paged_source(spark, sf_dir):
+    """Events as a provider that gives them by offsets, at most two hundred at once; its pages lie in the shared folder."""
+    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "value")
+    folder = f"{families.shared_folder(spark)}/offsets-{uuid.uuid4().hex}"
+    events.withColumn("page", F.floor(F.col("id") / 200)).repartition("page").write.partitionBy("page").parquet(folder)
+
     def fetch(offset: int, need: int):
-        rows = [(k, k * k % 97) for k in range(offset, min(offset + min(need, 300), 5000))]
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        system, path = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        files = [f.path for f in system.get_file_info(fs.FileSelector(f"{path}/page={offset // 200}", allow_not_found=True)) if f.path.endswith(".parquet")]
+        held = [pq.read_table(f, filesystem=system, partitioning=None).to_pydict() for f in files]
+        rows = sorted((i, v) for t in held for i, v in zip(t["id"], t["value"]) if i >= offset)[:need]
         return rows, offset + len(rows)
 
-    return paging.read_paged(spark, f"paged_{uuid.uuid4().hex}", "id long, value long", fetch, 5000, 700)
+    return paging.read_paged(spark, f"paged_{uuid.uuid4().hex}", "id long, value double", fetch, events.count(), 700)
 
 
 @query()
@@ -724,3 +736,33 @@ def collection_release(spark, sf_dir):
     works = composed.release_works(*composed.read_release(spark, f"{folder}/objects", f"{folder}/images"), "https://a.test/art/")
     return works.select("source_id", "title", "artist", "page_url", "image_url", "width", "description")
 
+
+# The same image, by the whole cascade; facts of pages with images and linked data
+
+
+@query(
+    """WITH b AS (SELECT vec_id, embedding::DOUBLE[] AS v, [0.985, 0.97, 0.96, 0.93][vec_id % 4 + 1]::DOUBLE AS a FROM embeddings),
+    m AS (SELECT vec_id + 1000000 AS vec_id, list_transform(range(1, 65), lambda i: a * v[i] + sqrt(1 - a * a) * v[i % 64 + 1]) AS v FROM b),
+    n AS (SELECT vec_id, v FROM b UNION ALL SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) FROM m),
+    f AS (SELECT *, 100 + vec_id % 3 AS width, 100 AS height, CASE WHEN vec_id % 7 > 0 THEN (vec_id % 13) / 40.0 END AS shade FROM n),
+    p AS (SELECT x.vec_id AS a, y.vec_id AS b, list_dot_product(x.v, y.v) AS c, abs(ln((x.width / x.height) / (y.width / y.height))) AS d, 1 - abs(x.shade - y.shade) AS k FROM f x JOIN f y ON x.vec_id < y.vec_id)
+    SELECT a, b FROM p WHERE c >= 0.9 AND d <= 0.2 AND CASE WHEN k IS NULL THEN c >= 0.992 AND d < 0.08 WHEN c >= 0.98 THEN k >= 0.7 WHEN c >= 0.965 THEN k >= 0.86 WHEN c >= 0.955 THEN k >= 0.92 ELSE k >= 0.955 AND d < 0.08 END"""
+)
+def same_image_cascade(spark, sf_dir):
+    """Pairs that the whole rule takes for one image: vectors, proportions, and the likeness of fingerprints, where both are known."""
+    key = F.col("vec_id")
+    shown = with_copies(spark, sf_dir).select("vec_id", "embedding", (100 + key % 3).alias("width"), F.lit(100).alias("height"), F.when(key % 7 > 0, (key % 13) / 40.0).alias("shade"))
+    rule = lambda p: S.same_image(F.col("cosine"), S.aspect_distance(F.col("width_a"), F.col("height_a"), F.col("width_b"), F.col("height_b")), 1 - F.abs(F.col("shade_a") - F.col("shade_b")))
+    return families.image_pairs(shown, same=rule).select("a", "b")
+
+
+@query("SELECT page_id, (len(regexp_extract_all(html, '<a ')) + page_id % 3)::INT AS n_links, (page_id % 3)::INT AS n_images, CASE WHEN page_id % 2 = 0 THEN 'Longer words of ' || url ELSE '' END AS description FROM pages")
+def page_facts(spark, sf_dir):
+    """Pages with up to two more images, and linked data on every second."""
+    key = F.col("page_id")
+    image = F.repeat(F.lit("<a href='/i'><img src='x.jpg'></a>"), (key % 3).cast("int"))
+    data = F.to_json(F.struct(F.lit("short").alias("description"), F.array(F.struct(F.concat(F.lit("Longer words of "), "url").alias("description"))).alias("parts")))
+    linked = F.when(key % 2 == 0, F.concat(F.lit("<script type='application/ld+json'>"), data, F.lit("</script>"))).otherwise("")
+    pages = table(spark, sf_dir, "pages").select("page_id", F.concat("html", image, linked).alias("html"))
+    return html.page_facts(pages).select("page_id", "n_links", "n_images", "description")
+
