@@ -766,3 +766,23 @@ def page_facts(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", F.concat("html", image, linked).alias("html"))
     return html.page_facts(pages).select("page_id", "n_links", "n_images", "description")
 
+
+@query(
+    """SELECT p_partkey::VARCHAR AS source_id, CASE WHEN p_size % 3 = 0 THEN 'English ' || p_name ELSE 'Deutsch ' || p_name END AS description, p_name AS history FROM part WHERE p_size % 5 > 0 AND NOT (p_partkey % 4 = 0 AND p_type = 'ECONOMY')
+    AND (len(list_intersect(string_split(p_name, ' '), ['widgets', 'widgetss', 'widgetses', 'widget'])) > 0 OR p_partkey % 10 = 1)"""
+)
+def aggregator_items(spark, sf_dir):
+    """Parts as an aggregator's items, with documents and registers among them; details are merged, and a word must be shown or
+    have been recognised."""
+    part = table(spark, sf_dir, "part")
+    key = F.col("p_partkey").cast("string")
+    url = F.concat(F.lit("https://d.test/media/"), key, F.when(F.col("p_size") % 5 == 0, ".pdf").otherwise(""))
+    told = F.when(F.col("p_size") % 3 == 0, F.map_from_arrays(F.array(F.lit("de"), F.lit("en")), F.array(F.array(F.concat(F.lit("Deutsch "), "p_name")), F.array(F.concat(F.lit("English "), "p_name"))))).otherwise(F.map_from_arrays(F.array(F.lit("de")), F.array(F.array(F.concat(F.lit("Deutsch "), "p_name")))))
+    item = F.struct(key.alias("id"), F.array(F.col("p_name")).alias("title"), F.array(url).alias("edmIsShownBy"), told.alias("dcDescriptionLangAware"))
+    payloads = part.select(F.col("p_partkey").alias("ordinal"), F.to_json(F.struct(F.array(item).alias("items"))).alias("payload"))
+    assets = part.where("p_partkey % 4 = 0").select(key.alias("asset_id"), F.when(F.col("p_type") == "ECONOMY", "Register").otherwise("Specimen").alias("category"))
+    details = part.select(key.alias("source_id"), F.lit("unused").alias("summary"), F.concat(F.lit("<p>"), "p_name", F.lit("</p>")).alias("history"))
+    tags = part.where("p_partkey % 5 = 1").select(key.alias("source_id"), F.when(F.col("p_partkey") % 2 == 1, "textdetection").otherwise("colour").alias("kind"), F.array(F.lit("A WIDGET")).alias("words"))
+    found = composed.with_details(composed.aggregated(payloads, assets), details, {"history": "Object History"})
+    return composed.recognised(found, tags, "widgets", ["title"]).select("source_id", "description", F.col("search_text")["Object History"].alias("history"))
+

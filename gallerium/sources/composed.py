@@ -211,3 +211,50 @@ def release_works(objects: DataFrame, images: DataFrame, page_base: str) -> Data
         F.lit("NGA Open Access").alias("license"), artwork_url(page_base, F.col("objectid"), title).alias("page_url"), F.concat("iiif", F.lit("/full/full/0/default.jpg")).alias("image_url"), F.concat("iiif", F.lit("/full/!1024,1024/0/default.jpg")).alias("thumb_url"), "width", "height",
     )
 
+
+# Aggregators, details and recognised words
+
+
+def aggregated(payloads: DataFrame, assets: DataFrame) -> DataFrame:
+    """Items of an aggregator's payloads (ordinal, payload) that show an image: no document, and no page of a register by its
+    provider's own records `assets` (asset_id, category). What these records don't know stays. A description is English if there
+    is one, else of the first language."""
+    texts = "array<string>"
+    item = f"struct<id:string,title:{texts},dataProvider:{texts},edmIsShownBy:{texts},edmPreview:{texts},rights:{texts},dcCreator:{texts},dcDescription:{texts},dcDescriptionLangAware:map<string,{texts}>>"
+    rows = payloads.select("ordinal", F.posexplode(F.from_json("payload", f"struct<items:array<{item}>>")["items"]).alias("place", "r")).select("ordinal", "place", "r.*")
+    first = lambda c: F.coalesce(F.get(c, F.lit(0)), F.lit(""))
+    spoken = F.coalesce("dcDescriptionLangAware", F.create_map().cast(f"map<string,{texts}>"))
+    english = F.filter(F.map_keys(spoken), lambda k: F.lower(k).startswith("en"))
+    in_english = F.when(F.size(english) > 0, first(F.element_at(spoken, F.get(F.array_sort(english), F.lit(0)))))
+    named = F.coalesce(F.nullif(in_english, F.lit("")), F.nullif(first(F.get(F.map_values(spoken), F.lit(0))), F.lit("")), first("dcDescription"))
+    shown = rows.withColumn("image", T.clean_url(first("edmIsShownBy"))).where(F.col("image") != "")
+    bare = F.regexp_replace("image", r"[?#].*$", "")
+    images = shown.where(~F.lower(bare).endswith(".pdf")).withColumn("asset_id", F.regexp_extract(F.regexp_replace(bare, "/+$", ""), r"([^/]*)$", 1))
+    registers = assets.where(F.lower(F.trim("category")) == "register").select("asset_id").distinct()
+    kept = images.join(registers, "asset_id", "left_anti")
+    return kept.select(
+        "ordinal", "place", F.lit("europeana").alias("source"), F.col("id").alias("source_id"), F.coalesce(F.nullif(first("title"), F.lit("")), F.lit("Untitled")).alias("title"), first("dcCreator").alias("artist"), named.alias("description"),
+        first("rights").alias("license"), first("dataProvider").alias("attribution"), F.col("image").alias("image_url"), F.coalesce(F.nullif(first("edmPreview"), F.lit("")), F.col("image")).alias("thumb_url"),
+    )
+
+
+def with_details(items: DataFrame, details: DataFrame, texts: dict[str, str]) -> DataFrame:
+    """Items (source_id, description) with their details (source_id, summary, and the columns named by `texts`): the summary
+    describes an item that has no description, and `search_text` holds the other texts by their labels. An item without details stays."""
+    parts = [F.struct(F.lit(label).alias("key"), T.strip_tags(c).alias("value")) for c, label in texts.items()]
+    told = details.select("source_id", T.plain_text("summary").alias("__summary"), F.map_from_entries(F.filter(F.array(*parts), lambda e: e["value"] != "")).alias("search_text"))
+    none = F.create_map().cast("map<string,string>")
+    joined = items.join(told, "source_id", "left")
+    return joined.withColumns({"description": F.coalesce(F.nullif("description", F.lit("")), "__summary", F.lit("")), "search_text": F.coalesce("search_text", none)}).drop("__summary")
+
+
+def recognised(items: DataFrame, tags: DataFrame, query: str, texts: list[str]) -> DataFrame:
+    """Hits of a query of one word whose own texts hold its noun form, or in whose image it was recognised (`tags`: source_id,
+    kind, words): a recognised word counts whole, so that `run` is no sign of runes. Queries of more words aren't judged."""
+    wanted = T.fold_exact_py(query).split()
+    if len(wanted) != 1:
+        return items
+    forms = F.array(*map(F.lit, noun_forms(wanted[0])))
+    seen = tags.where((F.col("kind") == "textdetection") & F.exists("words", lambda w: F.arrays_overlap(T.fold_tokens(w), forms))).select("source_id").distinct().withColumn("__seen", F.lit(True))
+    return items.join(seen, "source_id", "left").where(F.coalesce("__seen", F.lit(False)) | single_word_supported(query, *[F.col(c) for c in texts])).drop("__seen")
+

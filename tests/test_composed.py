@@ -155,3 +155,34 @@ def test_a_release_is_read_joined_indexed_and_searched(spark, tmp_path):
     (r,) = postings.search(index, "Peter prison", 10).collect()
     assert r.source_id == "7" and r.thumb_url == "https://i.test/iiif/a/full/!1024,1024/0/default.jpg" and r.license == "NGA Open Access"
 
+
+# Aggregators
+
+
+def test_aggregated_items(spark):
+    image = lambda k, url, **more: {"id": k, "title": [k], "edmIsShownBy": [url], **more}
+    items = [
+        image("en", "https://i.test/work.jpg", dcDescriptionLangAware={"de": ["Deutsch"], "en-GB": ["An angel."]}), image("de", "https://i.test/w2.jpg", dcDescriptionLangAware={"de": ["Deutsch"]}), image("pdf", "https://i.test/x/ii.PDF?page=1", edmPreview=["https://i.test/p.jpg"]),
+        image("register", "https://d.test/media/a1"), image("specimen", "https://d.test/media/a2/"), image("unknown", "https://d.test/media/a3"), {"id": "none", "title": ["none"]}, image("plain", "http://i.test/w3.jpg", dcDescription=["Plain"]),
+    ]
+    assets = spark.createDataFrame([("a1", "Register"), ("a2", "Specimen"), (None, "Register")], "asset_id string, category string")
+    frame = spark.createDataFrame([(0, json.dumps({"items": items})), (1, None)], "ordinal int, payload string")
+    got = {r.source_id: r for r in composed.aggregated(frame, assets).collect()}
+    assert set(got) == {"en", "de", "specimen", "unknown", "plain"}
+    assert (got["en"].description, got["de"].description, got["plain"].description, got["unknown"].description) == ("An angel.", "Deutsch", "Plain", "")
+    assert got["plain"].image_url == got["plain"].thumb_url == "https://i.test/w3.jpg"
+
+
+def test_details_describe_and_are_searched(spark):
+    items = spark.createDataFrame([("O1", ""), ("O2", "own"), ("O3", None)], "source_id string, description string")
+    details = spark.createDataFrame([("O1", "<p>A carved figure &amp; wings.</p>", None), ("O2", "A casket.", "Its lock has a <i>mask</i> of Mercury.")], "source_id string, summary string, history string")
+    got = {r.source_id: (r.description, r.search_text) for r in composed.with_details(items, details, {"history": "Object History"}).collect()}
+    assert got == {"O1": ("A carved figure & wings.", {}), "O2": ("own", {"Object History": "Its lock has a mask of Mercury."}), "O3": ("", {})}
+
+
+def test_recognised_words_count_whole(spark):
+    items = spark.createDataFrame([("visible", "Stående model, Rune"), ("ocr-run", "Uden titel."), ("ocr-rune", "Blank"), ("none", "x")], "source_id string, title string")
+    tags = spark.createDataFrame([("ocr-run", "textdetection", ["RUN"]), ("ocr-rune", "textdetection", ["a RUNE"]), ("ocr-rune", "textdetection", ["RUNES"]), ("none", "colour", ["rune"])], "source_id string, kind string, words array<string>")
+    assert sorted(r.source_id for r in composed.recognised(items, tags, "runes", ["title"]).collect()) == ["ocr-rune", "visible"]
+    assert composed.recognised(items, tags, "two words", ["title"]).count() == 4
+
