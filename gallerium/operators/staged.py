@@ -36,17 +36,18 @@ def rank(rows: DataFrame, top: int) -> DataFrame:
 MOST_SCANNED = 200  # fixed value: what one page gives
 
 
-def page_union(page: list[str], parts: list[DataFrame], known: DataFrame, most: int = MOST_SCANNED) -> DataFrame:
+def page_union(page: list[str], parts: list[DataFrame], known: DataFrame, most: int = MOST_SCANNED, within: tuple[str, ...] = ()) -> DataFrame:
     """What a rendered page shows, from its parts in order (cards of the viewer, anchors, scripts; each with `page` columns,
     place, image_id, image_url, page_url, width, height): one row an image, by its id or else its address, as the first part
-    has it. A size that it lacks is any part's or one that is known (key, width, height); `most` rows a page, in order."""
+    has it. A size that it lacks is any part's or one that is known (key, width, height); `most` rows a page, in order. Of rows of
+    one image at one place, the first by the columns `within` counts."""
     key = F.coalesce(F.nullif("image_id", F.lit("")), F.nullif("image_url", F.lit("")))
     every = None
     for k, part in enumerate(parts):
-        one = part.select(*page, F.lit(k).alias("part"), "place", key.alias("key"), "image_url", "page_url", *[F.nullif(F.coalesce(c, F.lit(0)), F.lit(0)).alias(c) for c in ("width", "height")])
+        one = part.select(*page, F.lit(k).alias("part"), "place", *within, key.alias("key"), "image_url", "page_url", *[F.nullif(F.coalesce(c, F.lit(0)), F.lit(0)).alias(c) for c in ("width", "height")])
         every = one if every is None else every.unionByName(one)
-    sized = F.when(F.col("width").isNotNull() & F.col("height").isNotNull(), F.struct("part", "place", "width", "height"))
-    best = every.where("key is not null").groupBy(*page, "key").agg(F.min(F.struct("part", "place")).alias("at"), F.min_by(F.struct("image_url", "page_url"), F.struct("part", "place")).alias("r"), F.min(sized).alias("size"))
+    sized = F.when(F.col("width").isNotNull() & F.col("height").isNotNull(), F.struct("part", "place", *within, "width", "height"))
+    best = every.where("key is not null").groupBy(*page, "key").agg(F.min(F.struct("part", "place")).alias("at"), F.min_by(F.struct("image_url", "page_url"), F.struct("part", "place", *within)).alias("r"), F.min(sized).alias("size"))
     named = known.select("key", F.col("width").alias("__w"), F.col("height").alias("__h"))
     filled = best.join(named, "key", "left")
     own = Window.partitionBy(*page).orderBy("at", "key")

@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from gallerium import provider_queries
 from gallerium.operators import staged
 from gallerium.sources import pages
 from gallerium.streaming import keyed, live
@@ -37,6 +38,16 @@ def test_parts_of_a_rendered_page(spark):
     assert staged.page_union(["page"], [cards, anchors, scripts], known, 2).count() == 3
 
 
+def test_lines_of_one_number_stand_in_their_order(spark, tmp_path):
+    """Two lines of one order, part and number have sizes of 200 and 100: the first of the file counts, as SQL meets them in order."""
+    kind = "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long, l_returnflag string"
+    lines = [(1, 3, 5, 2, "N"), (1, 3, 5, 1, "A"), (2, 3, 5, 1, "N"), (2, 3, 5, 2, "N"), (2, 3, 40, 0, "N"), (2, 3, 6, 0, "R")]
+    spark.createDataFrame(lines, kind).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(5,), (6,), (40,)], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    rows = provider_queries.rendered_pages(spark, str(tmp_path)).orderBy("page", "position").collect()
+    assert [tuple(r) for r in rows] == [(1, 0, "5", 200), (2, 0, "6", 7), (2, 1, "40", 7), (2, 2, "5", 100)]
+
+
 def test_requests_that_come_together(spark):
     at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
     requests = spark.createDataFrame([(1, "a", at(0)), (2, "a", at(1)), (3, "b", at(0)), (4, "c", at(2)), (5, "c", at(1))], "id int, key string, at timestamp")
