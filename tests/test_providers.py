@@ -5,6 +5,7 @@ import random
 import uuid
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,6 +61,20 @@ def test_fingerprints(spark):
     assert np.linalg.norm(got[4].gray) == pytest.approx(1, abs=1e-5)
 
 
+def test_fingerprints_of_one_size_are_taken_together(monkeypatch):
+    """Many images of two sizes cost a few calls, in bounded steps, and each keeps its own values."""
+    rng, calls, whole = np.random.default_rng(2), [], images.fingerprint
+    monkeypatch.setattr(images, "fingerprint", lambda pixels: calls.append(len(pixels)) or whole(pixels))
+    monkeypatch.setattr(images, "AT_ONCE", 96 * 300)
+    sizes = [(8, 4) if i % 2 else (2, 16) for i in range(1000)]
+    raw = [rng.integers(0, 256, 96, dtype="uint8").tobytes() for _ in sizes]
+    got = images._fingerprints(pd.Series([*raw, None]), pd.Series([*[w for w, _ in sizes], 1]), pd.Series([*[h for _, h in sizes], 1]))
+    assert sorted(calls) == [200, 200, 300, 300] and got["color"].iloc[1000] is None
+    for i in (0, 1, 998, 999):
+        one = whole(np.frombuffer(raw[i], dtype="uint8").reshape(1, sizes[i][1], sizes[i][0], 3))
+        assert all(np.allclose(got[part].iloc[i], one[part][0], atol=1e-6) for part in one)
+
+
 def test_evidence(spark):
     rows = [("Blue Rose", "a rose that is red"), ("none", "a\n blue   rose"), (None, ""), ("x", "y" * 50_000)]
     got = matches.evidence(spark.createDataFrame(rows, "title string, description string"), "blue rose").collect()
