@@ -178,6 +178,22 @@ def test_image_pairs_against_all_pairs(spark):
     assert ruled == {(a, b) for a, b in got if a % 2 == b % 2}
 
 
+def test_unlike_vectors_that_meet_are_told_apart_in_their_blocks(spark):
+    """Of 3,000 unlike vectors tens of thousands of pairs share a block; they go before any vector is looked up. Pairs at the
+    threshold stay."""
+    rng = np.random.default_rng(4)
+    rows = rng.normal(size=(3000, 64))
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    side = rng.normal(size=(300, 64))
+    side -= (side * rows[:300]).sum(1, keepdims=True) * rows[:300]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    every = np.concatenate([rows, 0.901 * rows[:300] + np.sqrt(1 - 0.901**2) * side])
+    frame = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(every)], "vec_id long, embedding array<float>")
+    met = {(r.a, r.b) for r in families.met_pairs(frame, 0.9, 1e-4).collect()}
+    lost = {(i, 3000 + i) for i in range(300)} - met
+    assert not lost and len(met) < 1000, (lost, len(met))
+
+
 def test_stream_is_ranked_at_its_end(spark, tmp_path):
     for k in range(3):
         spark.createDataFrame([(k, k * 10)], "id int, score int").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
