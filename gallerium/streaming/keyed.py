@@ -36,7 +36,9 @@ _FETCHING, _SCORING, _IDLE, _STOPPED = "fetching", "scoring", "idle", "stopped"
 
 
 class Sessions(StatefulProcessor):
-    """A session's state is a row about itself, a row a source and a row an item."""
+    """A session's state is a row about itself, a row a source and a row an item. The first two are read once a call and written
+    at its end, as each access goes to the JVM and back; items are read when a ranking needs them, and then only those that
+    came since."""
 
     SESSION = "number long, revision long, dirty long, top string, beat long, settle long, closed boolean"
     SOURCE = "fetched long, rounds long, shown boolean, exhausted boolean, stage string, due long, attempt long, latest string"
@@ -54,19 +56,33 @@ class Sessions(StatefulProcessor):
     def close(self) -> None:
         pass
 
+    def _open(self) -> None:
+        names = [part.split()[0] for part in self.SESSION.split(", ")]
+        self._row = dict(zip(names, self.session.get())) if self.session.exists() else None
+        self._held: dict[str, dict] | None = None  # the sources, once they are needed
+        self._changed: set[str] = set()
+        self._written = self._row
+        self._best: tuple[set, list] | None = None  # the shown sources and their best rows, as _top gives them
+
+    def _flush(self) -> None:
+        if self._row is not None and self._row is not self._written:
+            self.session.update(tuple(self._row.values()))
+        for name in sorted(self._changed):
+            self.sources.updateValue((name,), tuple(self._held[name].values()))
+
     # What happens
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows))  # one session's events of one micro-batch
-        frame["order"] = frame["kind"].map({k: n for n, k in enumerate(KINDS)})
+        events = [e for frame in rows for e in frame.itertuples(index=False)]  # one session's events of one micro-batch
         told, force = [], False
-        for e in frame.sort_values(["ms", "order", "source", "offset"], kind="stable").itertuples():
+        self._open()
+        for e in sorted(events, key=_turn):
             now = int(e.ms) if self.event_time else int(timerValues.getCurrentProcessingTimeInMs())
-            if e.kind == "start" and not self.session.exists():
+            if e.kind == "start" and self._row is None:
                 self._save(number=0, revision=0, dirty=0, top="", beat=0, settle=0, closed=False)
                 self._show(list(e.ids), told, now)
                 self._beat(now)
-            if not self.session.exists() or self._load()["closed"]:
+            if self._row is None or self._row["closed"]:
                 continue
             if e.kind == "choose":
                 self._show(list(e.ids), told, now)
@@ -80,11 +96,13 @@ class Sessions(StatefulProcessor):
                 force |= self._scores(e, now)
             self._settle(told, now, force)
             force = False
+        self._flush()
         yield self._frame(key, told)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now, told = int(expiredTimerInfo.getExpiryTimeInMs()), []
-        if self.session.exists() and not self._load()["closed"]:
+        self._open()
+        if self._row is not None and not self._row["closed"]:
             late = False
             for name, s in list(self._all_sources()):
                 if s["due"] and s["due"] <= now:
@@ -97,25 +115,28 @@ class Sessions(StatefulProcessor):
                 if not any(t["kind"] == "snapshot" for t in told):
                     self._tell(told, now, "heartbeat")
                 self._beat(now)
+        self._flush()
         yield self._frame(key, told)
 
     # State
 
     def _load(self) -> dict:
-        names = [part.split()[0] for part in self.SESSION.split(", ")]
-        return dict(zip(names, self.session.get()))
+        return self._row
 
     def _save(self, **changes) -> None:
-        row = (self._load() if self.session.exists() else {}) | changes
-        self.session.update(tuple(row.values()))
+        self._row = (self._row or {}) | changes
 
     def _all_sources(self) -> Iterator[tuple[str, dict]]:
-        names = [part.split()[0] for part in self.SOURCE.split(", ")]
-        for name, value in self.sources.iterator():
-            yield name[0], dict(zip(names, value))
+        if self._held is None:
+            names = [part.split()[0] for part in self.SOURCE.split(", ")]
+            self._held = {name[0]: dict(zip(names, value)) for name, value in self.sources.iterator()}
+        for name, source in self._held.items():
+            yield name, dict(source)
 
     def _put(self, name: str, source: dict) -> None:
-        self.sources.updateValue((name,), tuple(source.values()))
+        dict(self._all_sources())  # reads those that are there, if nothing has yet
+        self._held[name] = source
+        self._changed.add(name)
 
     def _timer(self, at: int) -> int:
         self.handle.registerTimer(at)
@@ -125,7 +146,7 @@ class Sessions(StatefulProcessor):
         self._save(beat=self._timer(now + HEARTBEAT * 1000))
 
     def _tell(self, told: list, now: int, kind: str, source: str | None = None, offset: int | None = None, ids: list | None = None, reason: str | None = None) -> None:
-        s = self._load()
+        s = self._row
         told.append({"number": s["number"], "ms": now, "kind": kind, "source": source, "offset": offset, "revision": s["revision"], "ids": ids, "reason": reason})
         self._save(number=s["number"] + 1)
 
@@ -162,9 +183,11 @@ class Sessions(StatefulProcessor):
             return True
         ids = [] if e.ids is None else list(e.ids)
         scores = [None] * len(ids) if e.scores is None else list(e.scores)
+        scores = [None if score is None or pd.isna(score) else float(score) for score in scores]
         for item, score in zip(ids, scores):
-            self.items.updateValue((item,), (e.source, None if score is None or pd.isna(score) else float(score)))
-        waits = any(score is None or pd.isna(score) for score in scores)
+            self.items.updateValue((item,), (e.source, score))
+        self._add(e.source, ids, scores)
+        waits = any(score is None for score in scores)
         s |= {"fetched": s["fetched"] + len(ids), "rounds": s["rounds"] + 1, "exhausted": bool(e.exhausted) or not ids, "latest": "\x1f".join(ids), "attempt": 0}
         s |= {"stage": _SCORING, "due": self._timer(now + SCORE_SECONDS * 1000)} if waits else {"stage": _IDLE, "due": 0}
         self._put(e.source, s)
@@ -181,6 +204,7 @@ class Sessions(StatefulProcessor):
                 self.items.updateValue((item,), (source, float(score)))
                 changed = True
         if changed:
+            self._best = None
             for name, s in list(self._all_sources()):
                 if s["stage"] == _SCORING and not self._missing(s):
                     self._put(name, s | {"stage": _IDLE, "due": 0})
@@ -227,10 +251,25 @@ class Sessions(StatefulProcessor):
             self._end(None, told, now)
 
     def _top(self, sources: dict) -> list[str]:
-        """The best scored items of shown sources, and after them those without a score; the items pass one by one."""
+        """The best scored items of shown sources, and after them those without a score; the items pass one by one, once a call
+        unless sources or scores change."""
         shown = {name for name, s in sources.items() if s["shown"]}
-        rows = ((score is None, -(score or 0.0), key[0]) for key, (source, score) in self.items.iterator() if source in shown)
-        return [i for _, _, i in heapq.nsmallest(TOP, rows)]
+        if self._best is None or self._best[0] != shown:
+            rows = ((score is None, -(score or 0.0), key[0]) for key, (source, score) in self.items.iterator() if source in shown)
+            self._best = shown, heapq.nsmallest(TOP, rows)
+        return [i for _, _, i in self._best[1]]
+
+    def _add(self, source: str, ids: list[str], scores: list[float | None]) -> None:
+        """Brings new items to the best ones. An item that comes again replaces itself: if it was among the best, the next may
+        be any other, and all are read again."""
+        if self._best is None:
+            return
+        shown, best = self._best
+        if not {i for _, _, i in best}.isdisjoint(ids):
+            self._best = None
+        elif source in shown:
+            rows = {i: (score is None, -(score or 0.0), i) for i, score in zip(ids, scores)}  # the last of an id, as in the state
+            self._best = shown, heapq.nsmallest(TOP, [*best, *rows.values()])
 
     def _end(self, reason: str | None, told: list, now: int) -> None:
         self._tell(told, now, "complete", reason=reason)
@@ -238,6 +277,12 @@ class Sessions(StatefulProcessor):
         self.items.clear()
 
 
+def _turn(e) -> tuple:
+    """The order of events of one micro-batch; events without a source or an offset come after those with one."""
+    source, offset = (e.source is None or pd.isna(e.source)), (e.offset is None or pd.isna(e.offset))
+    return e.ms, KINDS.index(e.kind) if e.kind in KINDS else len(KINDS), source, "" if source else e.source, offset, 0 if offset else e.offset
+
+
 @contextmanager
 def state_store(spark: SparkSession) -> Iterator[None]:
     """Queries that start inside keep their state in STORE."""

@@ -3,6 +3,7 @@
 import datetime as dt
 import uuid
 
+import pandas as pd
 import pytest
 
 from gallerium.streaming import keyed
@@ -128,3 +129,63 @@ def test_the_state_store_is_named(spark, tmp_path):
             keyed.told(spark.readStream.schema(keyed.EVENT).parquet(str(tmp_path)))
     finally:
         spark.conf.set(key, before)
+
+
+class Stores(dict):
+    """State in memory that counts its accesses."""
+
+    def getValueState(self, name, kind):
+        return self.setdefault(name, Store())
+
+    getMapState = lambda self, name, key, kind: self.setdefault(name, Store())
+
+    def registerTimer(self, when):
+        pass
+
+
+class Store:
+    def __init__(self):
+        self.rows, self.calls = {}, {}
+
+    def _count(self, name):
+        self.calls[name] = self.calls.get(name, 0) + 1
+
+    def exists(self):
+        self._count("exists")
+        return () in self.rows
+
+    def get(self):
+        self._count("get")
+        return self.rows[()]
+
+    def update(self, row):
+        self._count("update")
+        self.rows[()] = row
+
+    def updateValue(self, key, value):
+        self._count("updateValue")
+        self.rows[key] = value
+
+    def iterator(self):
+        self._count("iterator")
+        return iter(list(self.rows.items()))
+
+    def clear(self):
+        self.rows.clear()
+
+
+def test_a_call_reads_and_writes_each_state_once():
+    """Batches in one micro-batch, with an id that comes again worse than before: a pass over the items for each
+    source of changes, not for each event, and one row of the session read and written."""
+    stores, sessions = Stores(), keyed.Sessions(True)
+    sessions.init(stores)
+    rows = [event("s", 0, "start", ids=["a"]), *batches("s", "a", 1, 12, 10, 1000)]
+    rows[4] = event("s", 4, "batch", "a", 30, ["a0", *(f"x{i}" for i in range(9))], [-5.0, *(2000.0 + i for i in range(9))])
+    columns = [part.split()[0] for part in keyed.EVENT.split(", ")]
+    frame = pd.DataFrame(rows, columns=columns).rename(columns={"at": "ms"})
+    frame["ms"] = [int((r[1] - T0).total_seconds() * 1000) for r in rows]
+    (out,) = sessions.handleInputRows(("s",), iter([frame]), None)
+    shown = out[out["kind"] == "snapshot"]["ids"].iloc[-1]
+    assert shown[:9] == [f"x{i}" for i in range(8, -1, -1)] and shown[9] == "a1" and len(shown) >= 38
+    assert stores["session"].calls["update"] == 1 and stores["session"].calls["exists"] == 1 and stores["items"].calls["iterator"] <= 2
+    assert stores["sources"].calls == {"iterator": 1, "updateValue": 1}
