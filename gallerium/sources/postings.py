@@ -22,7 +22,7 @@ from ..functions import text as T
 
 K1, B = 1.2, 0.75
 BUCKETS = 64
-ROWS_A_PART = 500_000  # indexed rows; a bucket is written in as many parts as hold so many, so that no task has a whole one
+ROWS_A_PART = 20_000  # indexed rows; a bucket is written in as many parts as hold so many, so that no task has a whole one
 REACH = 12
 # The fields of a catalog with their weights, those that can carry a query of several words, and concepts that
 # stand for words of a query.
@@ -86,11 +86,12 @@ class Index:
         named = self.segments()
         number = named[-1].segment + 1 if named else 0
         rows = rows.where(F.col(self.key).isNotNull())
-        parts = F.pmod(F.xxhash64("key"), F.lit(rows.count() // ROWS_A_PART + 1))
+        n = rows.count()
+        parts = lambda key: F.pmod(F.xxhash64(F.lit("part"), key), F.lit(n // ROWS_A_PART + 1))  # noqa: E731  apart from the buckets' hash
         dealt = postings(rows, self.key, self.fields).withColumn("bucket", _bucket(F.col("token"), self.buckets))
-        dealt.repartition(F.col("bucket"), parts).sortWithinPartitions("bucket", "token", "key").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/postings/segment={number}")
+        dealt.repartition(F.col("bucket"), parts("key")).sortWithinPartitions("bucket", "token", "key").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/postings/segment={number}")
         kept = rows.withColumns({"__size": reduce(lambda a, b: a + b, [F.size(_words(F.col(f).cast("string"))) for f in self.fields]), "bucket": _key_bucket(F.col(self.key), self.buckets)})
-        kept.repartition("bucket").sortWithinPartitions("bucket", self.key).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/rows/segment={number}")
+        kept.repartition(F.col("bucket"), parts(self.key)).sortWithinPartitions("bucket", self.key).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/rows/segment={number}")
         columns = kept.drop("bucket").schema.json()
         new = self._read("rows", [Row(segment=number, columns=columns)]).select(self.key, "bucket", "__size")
         added = new.agg(F.count("*").alias("n"), F.coalesce(F.sum("__size"), F.lit(0)).alias("words")).first()

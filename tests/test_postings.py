@@ -102,3 +102,18 @@ def test_no_index_and_an_empty_one(spark, tmp_path):
         postings.search(postings.Index(spark, str(tmp_path / "none"), "id", FIELDS), "rose", 3)
     index = built(spark, tmp_path, [])
     assert found(index, "rose") == [] and [tuple(s)[:3] for s in index.segments()] == [(0, 0, 0)]
+
+
+def test_no_task_writes_a_whole_bucket(spark, tmp_path, monkeypatch):
+    """Rows and postings of one bucket are dealt over several parts once there are more rows than one part holds."""
+    monkeypatch.setattr(postings, "ROWS_A_PART", 100)
+    index = postings.Index(spark, str(tmp_path / "dealt"), "id", ["title"], buckets=1)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        index.add(spark.range(1000).select("id", F.concat(F.lit("word "), "id").alias("title")))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for kind in ("rows", "postings"):
+        files = spark.read.parquet(str(tmp_path / "dealt" / kind)).groupBy(F.input_file_name()).count().collect()
+        assert len(files) > 1 and max(r["count"] for r in files) < sum(r["count"] for r in files) * 0.7
+    assert {r.id for r in postings.search(index, "word 77", 50).collect()} >= {77}
