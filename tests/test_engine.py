@@ -248,3 +248,16 @@ def test_matching(spark):
     frame = items.normalize(spark.createDataFrame(rows))
     assert search.matching(frame, '"blue rose"').count() == 1 and search.matching(frame, "rose blue").count() == 2
     assert search.top(search.scored(frame, "blue rose"), 1).first().position == 1
+
+
+def test_texts_of_a_batch_are_taken_one_by_one(spark):
+    """A text function sees plain texts and nulls, and its batch stays Arrow's: no pandas Series of all texts is made."""
+    from pyspark.util import PythonEvalType
+
+    from gallerium.functions import words
+    from gallerium.operators import evidence
+
+    made = [words.match_score("tree life"), words.centered_excerpts("x", 10), evidence.highlighted("was"), evidence.excerpts("was")]
+    assert {f.evalType for f in made} == {PythonEvalType.SQL_SCALAR_ARROW_UDF}
+    frame = spark.createDataFrame([("It was. was it?",), (None,), ("",)], "t string")
+    assert [tuple(r) for r in frame.select(made[0]("t"), made[1]("t"), made[2]("t"), made[3]("t")).collect()] == [(0.0, "It was.…", 2, "It was. was it?"), (0.0, "", 0, ""), (0.0, "", 0, "")]
